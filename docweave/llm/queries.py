@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import lookalikes, packing, splitting, tokenizer
+from docweave.llm import lookalikes, packing, pairs, splitting, stuffing, tokenizer
 from docweave.session import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, root, "answers"))
+
+
+def p1_report(spark: SparkSession, root: str) -> DataFrame:
+    """Defective pairs per defect and month, of all pairs of the month."""
+    answers = table(spark, root, "answers", ["answer_id", "created_at"]).groupBy("answer_id").agg(F.min("created_at").alias("created_at"))
+    joined = answers.join(p1_found(spark, root), "answer_id", "left")
+    return joined.groupBy(F.date_trunc("month", "created_at").alias("month"), F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return splitting.oversized_items(table(spark, root, "blocks"), table(spark, root, "chunk_configs"))
 
@@ -49,7 +60,18 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return packing.container_report(packing.pack_documents(table(spark, root, "documents")))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return stuffing.stuffed_ids(table(spark, root, "documents"))
+
+
+def p7_verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """Characters of every document by kind, its bits per word class, and the verdict."""
+    return stuffing.stuffed_documents(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
@@ -58,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_counts": p5_counts,
     "p6_packed": p6_packed,
     "p6_report": p6_report,
+    "p7_found": p7_found,
+    "p7_verdicts": p7_verdicts,
 }
 
 _TOKENS = r"len(regexp_extract_all(b.markdown, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\t\n\x0B\f\r\x{85}]'))"
