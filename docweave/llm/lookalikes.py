@@ -43,9 +43,9 @@ GREEK = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "Ϲ": "C", "ϲ": "c", "ϳ": "j", "Ϳ": "J",
 }
 # Ignorable characters that are not of category Cf.
-IGNORABLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
+IGNORABLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0"
 # Characters of category Cf that are visible.
-VISIBLE_FORMAT = "؀؁؂؃؄؅۝܏࢐࢑࣢"
+VISIBLE_FORMAT = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2"
 # Kinds of compatibility decomposition that keep the look.
 SAME_LOOK = {"wide", "narrow", "compat", "font", "initial", "medial", "final", "isolated", "noBreak"}
 
@@ -57,19 +57,19 @@ CONTEXT = 8.0
 #: Encoded tokens remembered by one Python worker.
 CACHE_ENTRIES = 200_000
 
-WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
+WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f][^\W\d_]*)*")
 _TWIN = str.maketrans(CYRILLIC | GREEK)
 _CANDIDATES: dict[str, list[tuple[str, int]]] = {}
 for _script, _letters in ((CYRIL, CYRILLIC), (HELLENIC, GREEK)):
     for _other, _latin in _letters.items():
         _CANDIDATES.setdefault(_latin, [(_latin, LATIN)]).append((_other, _script))
-_FOREIGN = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
+_FOREIGN = re.compile("[Ͱ-Ͽἀ-\u1fffЀ-ԯ]")
 
 
 def _script_of(letter: str) -> int | None:
     if "Ѐ" <= letter <= "ԯ":
         return CYRIL
-    if "Ͱ" <= letter <= "Ͽ" or "ἀ" <= letter <= "῿":
+    if "Ͱ" <= letter <= "Ͽ" or "ἀ" <= letter <= "\u1fff":
         return HELLENIC
     if letter.isascii() or "À" <= letter <= "ɏ" or "Ḁ" <= letter <= "ỿ":
         return LATIN if letter.isalpha() else None

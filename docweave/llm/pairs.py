@@ -109,7 +109,7 @@ DANGLING = set(
 # Words after which not even a full stop ends a sentence.
 NEVER_LAST = set("the an and or of their its every und oder dass et ou le les el los las y и или".split()) - {"y"}
 
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 _FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 _FENCED = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
@@ -246,7 +246,7 @@ def _script(word: str) -> str | None:
         return "latin"
     if "Ѐ" <= c <= "ӿ":
         return "ru"
-    if "぀" <= c <= "ヿ":
+    if "\u3040" <= c <= "ヿ":
         return "ja"
     if "㐀" <= c <= "鿿":
         return "cjk"
@@ -254,13 +254,13 @@ def _script(word: str) -> str | None:
         return "ko"
     if "Ͱ" <= c <= "Ͽ":
         return "el"
-    if "؀" <= c <= "ۿ":
+    if "\u0600" <= c <= "ۿ":
         return "ar"
-    if "֐" <= c <= "׿":
+    if "\u0590" <= c <= "\u05ff":
         return "he"
-    if "ऀ" <= c <= "ॿ":
+    if "\u0900" <= c <= "ॿ":
         return "hi"
-    if "฀" <= c <= "๿":
+    if "\u0e00" <= c <= "\u0e7f":
         return "th"
     return None
 
@@ -366,7 +366,7 @@ def is_truncated(answer: str) -> bool:
         if bare.endswith(("...", "…")):
             return True
         return end == "." and len(words) > 1 and words[-1] in NEVER_LAST
-    if re.search(r"[぀-ヿ㐀-鿿]", end):
+    if re.search(r"[\u3040-ヿ㐀-鿿]", end):
         return len(bare) > 12 and not _BULLET.match(last)
     if last.startswith("#"):
         return True  # a heading with nothing below

@@ -87,8 +87,8 @@ _PRICE = re.compile(r"^(?:[$€£¥₽]\d[\d.,]*|\d[\d.,]*[$€£¥₽円]|EUR|U
 _CURRENCY = re.compile(r"(?:[$€£¥₽]\s?\d|\d\s?[$€£¥₽円]|\b(?:EUR|USD|GBP|RUB)\s?\d|\d\s?(?:EUR|USD|GBP|RUB|руб)\b)")
 _TAG = re.compile(r"^(?:#\w[\w-]*|tag:\S+)$")
 _JOINED = re.compile(r"^(?=.*[a-zа-я])\w+(?:[_-]\w+)+$", re.I)
-_KANA = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾝ]")
-_JRUN = re.compile(r"[぀-ゟ]+|[゠-ヿー]+|[㐀-鿿々]+|[a-zA-Z]+|\d+|[。！？]|[、,]|\S")
+_KANA = re.compile(r"[\u3040-ヿ㐀-鿿ｦ-ﾝ]")
+_JRUN = re.compile(r"[\u3040-ゟ]+|[゠-ヿー]+|[㐀-鿿々]+|[a-zA-Z]+|\d+|[。！？]|[、,]|\S")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -153,7 +153,7 @@ def _japanese(word: str) -> bytes:
     for m in _JRUN.findall(word):
         if m in OFFERS_JA:
             out.append(C["offer"])
-        elif "぀" <= m[0] <= "ゟ":
+        elif "\u3040" <= m[0] <= "ゟ":
             out.append(C["jparticle"])
         elif m in "。！？":
             out.append(C["end"])
