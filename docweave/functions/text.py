@@ -88,8 +88,9 @@ def clean_subtitles(c: Column | str) -> Column:
     """
     t = F.regexp_replace(_col(c), r"\x{FEFF}", "")
     t = F.regexp_replace(t, r"^(?i:WEBVTT)[^\n]*\n+", "")
-    t = F.regexp_replace(t, r"(?md)^[0-9:]*[0-9]{1,2}:[0-9]{2}([.,][0-9]{1,3})?[ \t]*-->[ \t]*[0-9:]*[0-9]{1,2}:[0-9]{2}([.,][0-9]{1,3})?[ \t]*$", "")
-    t = F.regexp_replace(t, r"(?md)^[0-9]+[ \t]*$", "")
+    time = r"([0-9]+:)?[0-9]{1,2}:[0-9]{2}([.,][0-9]+)?"
+    t = F.regexp_replace(t, rf"(?md)^[ \t\r\x0B\f]*{time}[ \t\r]*-->[ \t\r]*{time}[ \t\r]*$", "")
+    t = F.regexp_replace(t, r"(?md)^[0-9]+[ \t\r]*$", "")
     t = F.regexp_replace(t, r"\n[ \t\n\x0B\f\r]*\n", "\n")
     return strip(t)
 
@@ -97,7 +98,7 @@ def clean_subtitles(c: Column | str) -> Column:
 def natural_key(c: Column | str) -> Column:
     """Sort key in which ``file2`` comes before ``file10``: digit runs padded to 20 places, the rest in lower case."""
     parts = F.regexp_extract_all(F.lower(_col(c)), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(F.regexp_replace(p, "^0+(?=[0-9])", ""), 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("\x01"), F.lpad(F.regexp_replace(p, "^0+([0-9])", "$1"), 20, "0"))).otherwise(p)), "")
 
 
 def wikilinks(c: Column | str) -> Column:
