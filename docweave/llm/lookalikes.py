@@ -89,7 +89,7 @@ def _folding() -> dict[int, str | None]:
         elif kind == "Cf":
             if c not in VISIBLE_FORMAT:
                 table[code] = None
-        elif kind not in ("Cn", "Co", "Cs") and code not in table:
+        elif kind not in ("Cn", "Co", "Cs") and code not in table and c not in CYRILLIC and c not in GREEK:
             how = unicodedata.decomposition(c)
             if how.startswith("<") and how[1 : how.index(">")] in SAME_LOOK:
                 plain = unicodedata.normalize("NFKC", c)

@@ -189,6 +189,15 @@ def is_copy(question: str, answer: str) -> bool:
 # --- refusal -------------------------------------------------------------
 
 
+_LONG_FORMS = ((re.compile(r"\bcan ?not\b", re.I), "can't"), (re.compile(r"\bdo not\b", re.I), "don't"), (re.compile(r"\bi am\b", re.I), "i'm"), (re.compile(r"\bunable\b", re.I), "not able"))
+
+
+def _short(text: str) -> str:
+    for pattern, form in _LONG_FORMS:
+        text = pattern.sub(form, text)
+    return text
+
+
 class Templates:
     """Alignment of a sentence with templates by longest common subsequence."""
 
@@ -197,7 +206,7 @@ class Templates:
         self.by_word: dict[str, list[int]] = {}
         for line in re.split(r"[|\n]", text):
             if line.strip():
-                words = _tokens(line.replace("*", " "))
+                words = _tokens(_short(line.replace("*", " ")))
                 for w in set(words):
                     self.by_word.setdefault(w, []).append(len(self.templates))
                 self.templates.append((words, 8 * line.count("*")))
@@ -223,7 +232,7 @@ _OPENING = re.compile(r"^\W*(?:" + "|".join(sorted((re.escape(x.strip()).replace
 
 def is_refusal(answer: str) -> bool:
     """Declines, or says that there is no answer; what else is said are courtesies."""
-    text = _FENCED.sub(" ", _INVISIBLE.sub("", answer)).replace("’", "'")
+    text = _short(_FENCED.sub(" ", _INVISIBLE.sub("", answer)).replace("’", "'"))
     said = _QUOTED.sub(" ", text)
     refused, other = False, 0
     for sentence in _SENTENCE.split(said):
