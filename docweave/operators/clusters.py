@@ -103,7 +103,9 @@ def grouped_kmeans(points: DataFrame, group: str, key: str, vector: str = "v", d
     inner = F.sqrt(F.array_min("_d"))
     outer = F.sqrt(F.element_at(F.array_sort("_d"), 2))
     silhouette = F.when(F.greatest(inner, outer) > 0, (outer - inner) / F.greatest(inner, outer)).otherwise(0.0)
-    means = final.groupBy(group, "k").agg(F.avg(silhouette).alias("_q"))
+    # A cluster of one point counts as 0, as in the usual definition.
+    sums = final.groupBy(group, "k", "cluster").agg(F.sum(silhouette).alias("_s"), F.count(F.lit(1)).alias("_m"))
+    means = sums.groupBy(group, "k").agg((F.sum(F.when(F.col("_m") > 1, F.col("_s")).otherwise(0.0)) / F.sum("_m")).alias("_q"))
     best = means.groupBy(group).agg(F.max_by("k", F.struct(F.round("_q", 9), -F.col("k"))).alias("k"))
     chosen = final.join(best, [group, "k"], "left_semi").select(group, key, "cluster", "k")
     single = base.join(usable.select(group).distinct(), group, "left_anti").select(group, key, F.lit(0).alias("cluster"), F.lit(1).alias("k"))
