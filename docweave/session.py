@@ -36,3 +36,22 @@ def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
 def blank(column: Column) -> Column:
     """True for null and for the empty string."""
     return column.isNull() | (column == F.lit(""))
+
+
+#: Bytes per core up to which an input of few files is spread over all cores.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Spread a small input that lies in fewer files than there are cores.
+
+    A file of one row group is one task, however long Python works on it.  The
+    step moves at most ``SPREAD_BYTES`` per core; larger inputs, and inputs
+    that do not come from files, stay as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    n_files = len(frame.inputFiles())
+    if not 0 < n_files < cores:
+        return frame
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size <= cores * SPREAD_BYTES else frame

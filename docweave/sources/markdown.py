@@ -15,6 +15,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from docweave.session import spread
+
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _FENCE = re.compile(r"^( {0,3})(`{3,}|~{3,})([^`]*)$")
@@ -324,7 +326,7 @@ def _rows(documents: DataFrame, key: str, text: str, schema: str, make: Callable
             rows = [(k, *r) for k, t in zip(pdf[key], pdf[text]) for r in make(k, t)]
             yield pd.DataFrame(rows, columns=[key, *names])
 
-    return documents.select(key, text).mapInPandas(run, f"`{key}` {kind}, {schema}")
+    return spread(documents.select(key, text)).mapInPandas(run, f"`{key}` {kind}, {schema}")
 
 
 def markdown_blocks(documents: DataFrame, key: str = "doc_id", text: str = "text", soft_break: str = "") -> DataFrame:
