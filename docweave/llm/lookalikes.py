@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.session import cut
+from docweave.session import cut, spread
 
 # Letters of other scripts beside the Latin letter of the same shape.
 CYRILLIC = {
@@ -224,7 +224,7 @@ def script_bigrams(frame: DataFrame, column: str) -> dict[tuple[int, str, str],
                 names=["script", "a", "b", "n"],
             )
 
-    rows = frame.select(column).mapInArrow(run, schema).groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = spread(frame.select(column)).mapInArrow(run, schema).groupBy("script", "a", "b").agg(F.sum("n").alias("n")).collect()
     return {(r["script"], r["a"], r["b"]): r["n"] for r in rows}
 
 
@@ -245,7 +245,7 @@ def normalize_columns(frame: DataFrame, columns: list[str], bigrams: dict[tuple[
                 arrays[i] = pa.array([normal(t) for t in arrays[i].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    return frame.mapInArrow(run, frame.schema)
+    return spread(frame).mapInArrow(run, frame.schema)
 
 
 def _fingerprints(frame: DataFrame, key: str, fields: list[str], model: dict[tuple[int, str, str], int]) -> DataFrame:
@@ -274,7 +274,7 @@ def _fingerprints(frame: DataFrame, key: str, fields: list[str], model: dict[tup
                     names=["id", "field", "look", "raw"],
                 )
 
-    return frame.select(key, *fields).mapInArrow(run, schema)
+    return spread(frame.select(key, *fields)).mapInArrow(run, schema)
 
 
 def lookalike_pairs(frame: DataFrame, key: str = "block_id", fields: tuple[str, ...] = ("text", "markdown")) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.session import spread
+
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 
 #: Words of a shingle, and the share of an answer's shingles that must be in the question.
@@ -469,5 +471,5 @@ def defective_pairs(pairs: DataFrame, key: str = "answer_id", question: str = "q
             keep = [i for i, d in enumerate(found) if d]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([DEFECTS.index(found[i]) for i in keep], pa.int32())], names=[key, "_rank"])
 
-    ranked = pairs.select(key, question, answer).mapInArrow(run, schema).groupBy(key).agg(F.min("_rank").alias("_rank"))
+    ranked = spread(pairs.select(key, question, answer)).mapInArrow(run, schema).groupBy(key).agg(F.min("_rank").alias("_rank"))
     return ranked.select(key, F.element_at(F.array(*map(F.lit, DEFECTS)), F.col("_rank") + 1).alias("defect"))

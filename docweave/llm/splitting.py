@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.session import spread
+
 #: One token; the same pattern holds in Java, RE2 and the ``regex`` module.
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\t\n\x0B\f\r\x85]"
 
@@ -150,7 +152,8 @@ def split_oversized(
     before it broadcasts them.
     """
     limit = limits.groupBy(F.col(config_column).alias("_config")).agg(F.min(max_column).alias("_max"), F.min(overlap_column).alias("_overlap"))
-    sized = items.select(F.col(key), F.col(text_column).alias("_text"), F.col(config_column).alias("_config")).join(limit, "_config", "left").withColumn("_n", word_punct_count(F.col("_text")))
+    narrow = spread(items.select(F.col(key), F.col(text_column).alias("_text"), F.col(config_column).alias("_config")))
+    sized = narrow.join(limit, "_config", "left").withColumn("_n", word_punct_count(F.col("_text")))
     fits = F.col("_max").isNull() | (F.col("_n") <= F.col("_max"))
     kind = items.schema[key].dataType.simpleString()
     whole = sized.where(fits).select(

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.session import spread
+
 # Function words by kind, in the languages of the corpus.
 DETERMINERS = """a an the this that these those each every some any no its their his her our my your all both several another
 der die das den dem des ein eine einen einem einer eines dieser diese dieses jeder jede jedes kein keine keinen
@@ -293,7 +295,7 @@ def prose_counts(documents: DataFrame, text_column: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["gram", "n"])
 
     counts = np.zeros(N**3)
-    for r in documents.select(text_column).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in spread(documents.select(text_column)).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r["gram"]] = r["n"]
     return counts
 
@@ -408,7 +410,7 @@ def stuffed_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
             arrays = [batch.column(0), *[pa.array([r[n] for r in rows], pa.int32()) for n in names], pa.array([r["bits"] for r in rows], pa.float64()), pa.array([is_stuffed(r) for r in rows], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return documents.select(id_column, text_column).mapInArrow(run, schema)
+    return spread(documents.select(id_column, text_column)).mapInArrow(run, schema)
 
 
 def stuffed_ids(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docweave.session import spread
+
 #: Where the public vocabulary files lie; a parameter of every operator here.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -227,7 +229,7 @@ def encode_corpus(
             lists = pa.ListArray.from_arrays(pa.array(offsets), values)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_column, out_column])
 
-    return frame.select(id_column, text_column).mapInArrow(run, schema)
+    return spread(frame.select(id_column, text_column)).mapInArrow(run, schema)
 
 
 def count_tokens(
@@ -243,4 +245,4 @@ def count_tokens(
             sizes = np.fromiter((len(bpe.packed(t)) >> 2 if t else 0 for t in _strings(batch.column(1))), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], names=[id_column, out_column])
 
-    return frame.select(id_column, text_column).mapInArrow(run, schema)
+    return spread(frame.select(id_column, text_column)).mapInArrow(run, schema)
