@@ -6,11 +6,11 @@ sorts them by range.  No export builds a whole document in one value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import camel, one_line, strip
-from docweave.session import cut
+from docweave.operators.ordering import previous
 
 
 def _title(c: str = "title") -> Column:
@@ -106,23 +106,46 @@ def join_parts(parts: DataFrame, document: str, order: str, text: str) -> DataFr
 def transcript_lines(files: DataFrame, path: str = "path", body: str = "body", key: str = "sort_key") -> DataFrame:
     """Merged transcript: ``# directory`` where its name changes, ``## file``, then the text; rows in the order of ``key``.
 
-    The file before is looked up within ranges of the key; the first file of a
-    range is compared with the last of the range before, one row per range.
+    The file before is looked up within ranges of the key, so no task sees all files.
     """
     folder = F.regexp_replace(F.col(path), "/?[^/]*$", "")
     directory = F.coalesce(F.element_at(F.split(folder, "/"), -1), F.lit(""))
     stem = F.regexp_replace(F.regexp_extract(F.col(path), "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     named = files.select(F.col(key).alias("sort_key"), directory.alias("_dir"), stem.alias("_stem"), F.coalesce(F.col(body), F.lit("")).alias("_body"))
-    ranged = cut(named.repartitionByRange("sort_key", "_stem").withColumn("_p", F.spark_partition_id()))
-    order = F.struct("sort_key", "_stem")
-    ends = ranged.groupBy("_p").agg(F.max_by("_dir", order).alias("_end"))
-    across = ends.select("_p", F.lag("_end").over(Window.orderBy("_p")).alias("_before"))
-    local = F.lag("_dir").over(Window.partitionBy("_p").orderBy("sort_key", "_stem"))
-    seen = ranged.withColumn("_local", local).join(across, "_p", "left")
-    changed = F.coalesce("_local", "_before").isNull() | (F.coalesce("_local", "_before") != F.col("_dir"))
+    seen = previous(named, ["sort_key", "_stem"], ["_dir"])
+    changed = F.col("_dir_before").isNull() | (F.col("_dir_before") != F.col("_dir"))
     lines = F.array(
         F.struct(F.lit(0).alias("sub"), F.when(changed, F.concat(F.lit("# "), F.col("_dir"))).alias("line")),
         F.struct(F.lit(1).alias("sub"), F.concat(F.lit("## "), F.col("_stem")).alias("line")),
         F.struct(F.lit(2).alias("sub"), F.col("_body").alias("line")),
     )
     return seen.select("sort_key", F.explode(lines).alias("_l")).select("sort_key", "_l.sub", "_l.line").where("line is not null")
+
+
+def mindmap_json_lines(walked: DataFrame, refs: DataFrame | None = None, tree: str = "map_id") -> DataFrame:
+    """The nested JSON of every tree as lines: ``tree, place, ord, line``; the lines of a tree joined are its JSON.
+
+    A node's line closes the nodes before it that do not contain it and opens
+    itself with its content, which is bounded per node by what was put on it;
+    the last line closes the tree.
+    """
+    node = walked.select(tree, "place", "level", "node_id", "title")
+    if refs is not None:
+        each = F.struct("ord", *[F.coalesce(c, F.lit("")).alias(c) for c in ("element_id", "type", "element_caption", "markdown", "hash")])
+        held = refs.groupBy(tree, "node_id").agg(F.array_sort(F.collect_list(each)).alias("_refs"))
+        node = node.join(held, [tree, "node_id"], "left")
+        content = F.coalesce(F.to_json("_refs"), F.lit("[]"))
+    else:
+        content = F.lit("[]")
+    known = node.withColumn("_open", F.concat(F.expr("substring(to_json(struct(coalesce(title, 'Untitled') as title, node_id)), 2)"), F.lit("")))
+    opened = known.select(tree, "place", "level", F.concat(F.lit("{"), F.regexp_replace("_open", r"\}$", ""), F.lit(',"content_refs":'), content, F.lit(',"children":[')).alias("_o"))
+    seen = previous(opened, [tree, "place"], [tree, "level"])
+    same = F.col(f"{tree}_before").eqNullSafe(F.col(tree)) & (F.col("level") > 0)
+    closing = F.repeat(F.lit("]}"), F.col("level_before") - F.col("level") + 1)
+    lead = F.when(same & (F.col("level_before") >= F.col("level")), F.concat(closing, F.lit(","))).otherwise(F.lit(""))
+    lines = seen.select(tree, "place", F.lit(0).alias("ord"), F.concat(lead, "_o").alias("line"), "level")
+    # Each root starts a text of its own; what is open at its end is closed after its last node.
+    rooted = walked.withColumn("_root", F.element_at(F.split("place", "/"), 1))
+    last = rooted.groupBy(tree, "_root").agg(F.max_by("level", "place").alias("level"), F.max("place").alias("place"))
+    ends = last.select(tree, "place", F.lit(1).alias("ord"), F.repeat(F.lit("]}"), F.col("level") + 1).alias("line"))
+    return lines.select(tree, "place", "ord", "line").unionByName(ends)

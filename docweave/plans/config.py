@@ -111,6 +111,19 @@ def recipe(name: str) -> Options:
     return Options(preset=preset, max_tokens=size, include_html=preset.startswith("subs_"))
 
 
+def write_recipes(folder: str) -> list[str]:
+    """Write the recipes as editable files; files that exist stay as they are.  Returns what was written."""
+    target = Path(folder)
+    target.mkdir(parents=True, exist_ok=True)
+    made = []
+    for name, (preset, size) in RECIPES.items():
+        file = target / f"{name}.toml"
+        if not file.exists():
+            file.write_text(f'[pipeline]\npreset = "{preset}"\n\n[chunk]\nmax_tokens = {size}\noverlap_tokens = 0\n\n[io]\ninclude_html = {str(preset.startswith("subs_")).lower()}\n', encoding="utf-8")
+            made.append(file.name)
+    return made
+
+
 # Sections of a configuration file, and the options their entries set.
 _SECTIONS = {
     "io": ("input", "markmap_input", "output_dir", "debug_dir", "run_name", "manifest", "include_html"),

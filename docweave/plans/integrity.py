@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweave.operators.orphans import Reference, orphan_cascade, orphan_references, orphan_report
 from docweave.session import table
@@ -19,13 +20,17 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_cascade(spark: SparkSession, root: str) -> DataFrame:
     """Direct and inherited orphans among nodes and content references."""
+    return _cascade(spark, root).drop("made_at")
+
+
+def _cascade(spark: SparkSession, root: str) -> DataFrame:
     refs, blocks, nodes = (table(spark, root, t) for t in ("content_refs", "blocks", "nodes"))
     return orphan_cascade(nodes, refs, NODE_TO_NODE, REF_TO_NODE, [(REF_TO_BLOCK, blocks)])
 
 
 def p3_report(spark: SparkSession, root: str) -> DataFrame:
     """Orphans per table, field, kind, reason and month."""
-    return orphan_report(p3_cascade(spark, root))
+    return orphan_report(_cascade(spark, root)).withColumn("period", F.date_format("period", "yyyy-MM"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_cascade": p3_cascade, "p3_report": p3_report}
@@ -76,6 +81,6 @@ _CASCADE = (
 
 ORACLE = {
     "p3_found": _STATES + " SELECT DISTINCT ref_id, field, reason FROM d",
-    "p3_cascade": _CASCADE + " SELECT * FROM o",
-    "p3_report": _CASCADE + """ SELECT "table", field, kind, reason, date_trunc('month', made_at)::TIMESTAMP AS period, count(*) AS n FROM o GROUP BY ALL""",
+    "p3_cascade": _CASCADE + " SELECT \"table\", scope, id, field, kind, reason, level FROM o",
+    "p3_report": _CASCADE + """ SELECT "table", field, kind, reason, strftime(made_at, '%Y-%m') AS period, count(*) AS n FROM o GROUP BY ALL""",
 }

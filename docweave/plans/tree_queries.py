@@ -140,12 +140,17 @@ def export_pages(spark: SparkSession, root: str) -> DataFrame:
     return E.page_lines(_walk(spark, root), _refs(spark, root))
 
 
+def export_json(spark: SparkSession, root: str) -> DataFrame:
+    """The nested JSON of every map with its content, as lines."""
+    return E.mindmap_json_lines(_walk(spark, root), _refs(spark, root))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tree_walk, tree_ids, tree_fingerprints, tree_node_types, tree_children, tree_levels, tree_sizes, tree_fallback_tags, tree_merge_schedule,
         tree_see_also, tree_prereq_candidates, tree_prereqs, map_tags, mapping_reasons, mapping_queue, mapping_refs, qa_coverage, qa_unmapped,
-        qa_attached, qa_per_block, export_qa, export_markmap, export_markmap_inline, export_pages,
+        qa_attached, qa_per_block, export_qa, export_markmap, export_markmap_inline, export_pages, export_json,
     )
 }
 

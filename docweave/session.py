@@ -49,6 +49,8 @@ def spread(frame: DataFrame) -> DataFrame:
     step moves at most ``SPREAD_BYTES`` per core; larger inputs, and inputs
     that do not come from files, stay as they are.
     """
+    if frame.isStreaming:
+        return frame
     cores = frame.sparkSession.sparkContext.defaultParallelism
     n_files = len(frame.inputFiles())
     if not 0 < n_files < cores:

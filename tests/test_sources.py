@@ -146,3 +146,25 @@ def test_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() >= n
+
+
+def test_sql_functions(spark):
+    from docweave.functions.udtf import register
+
+    register(spark)
+    spark.createDataFrame([(1, "# a\n- b\n  - c"), (2, None)], "doc_id long, text string").createOrReplaceTempView("t_docs")
+    assert spark.sql("SELECT t.doc_id, b.type FROM t_docs t, LATERAL markdown_blocks(t.text) b").count() == 3
+    assert spark.sql("SELECT n.title FROM t_docs t, LATERAL outline_nodes(t.text) n WHERE n.parent_no = 1").first()[0] == "c"
+
+
+def test_prompts_and_recipes(tmp_path):
+    from docweave.models.prompts import prompt
+
+    (tmp_path / "p.txt").write_text("mine")
+    assert prompt("merge", {"merge": str(tmp_path / "p.txt")}) == "mine"
+    with pytest.warns(UserWarning):
+        assert prompt("merge", {"merge": str(tmp_path / "none.txt")}).startswith("Merge")
+    with pytest.raises(KeyError):
+        prompt("nope")
+    assert len(config.write_recipes(str(tmp_path / "r"))) == len(config.RECIPES) and config.write_recipes(str(tmp_path / "r")) == []
+    assert config.load(str(tmp_path / "r" / "focus_markdown.toml")).resolved_steps() == ("chunk", "clean_for_map")

@@ -125,3 +125,26 @@ def test_front_matter(spark):
     arr = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
     text = spark.range(1).select(N.front_matter(F.lit("i"), F.lit("leaf"), F.lit(None).cast("string"), arr("a", "b"), arr(), arr("c"), F.lit("s" * 500), F.lit("m"), F.lit("r"))).first()[0]
     assert text.startswith("---\nid: i\ntype: leaf\nchildren:\n  - a\n  - b\nprereqs:\nsee_also:\n  - c\nsummary: " + "s" * 480 + "\nmodel: m") and text.endswith("run_id: r\n---")
+
+
+def test_nested_json(spark):
+    import json
+
+    from docweave.sources.json_trees import parse_picks, parse_tree
+
+    walked = T.walk(T.live_nodes(sample(spark)))
+    refs = spark.createDataFrame([(1, "a", 2, "e2", "qa", None, "x\"y", "h"), (1, "a", 1, "e1", "code", "c", "z", "h")], "map_id long, node_id string, ord long, element_id string, type string, element_caption string, markdown string, hash string")
+    texts = {}
+    for r in E.mindmap_json_lines(walked, refs).orderBy("map_id", "place", "ord").collect():
+        texts[r["map_id"]] = texts.get(r["map_id"], "") + r["line"]
+    one = json.loads(texts[1])
+    assert [c["title"] for c in one["children"]] == ["Untitled", "Same"] and one["children"][1]["children"][0]["title"] == "Leaf\none"
+    assert [x["element_id"] for x in one["children"][1]["content_refs"]] == ["e1", "e2"] and json.loads(texts[2])["children"] == []
+    assert parse_tree('{"root": "R", "nodes": [{"title": ""}, 5, {"title": "x", "children": [{"title": "y"}], "z": 1}]}') == [(0, None, 0, 0, "R"), (1, 0, 1, 0, "Untitled"), (2, 0, 1, 1, "Untitled"), (3, 0, 1, 2, "x"), (4, 3, 2, 0, "y")]
+    assert parse_tree("no") == [] and parse_tree(None) == [] and parse_picks('["a", 1, "b"]') == ["a", "b"] and parse_picks("x") == []
+
+
+def test_previous(spark):
+    frame = spark.createDataFrame([(i, i * i) for i in range(300)], "i int, v int")
+    got = O.previous(frame.repartition(3), ["i"], ["v"]).collect()
+    assert all(r["v_before"] == (None if r["i"] == 0 else (r["i"] - 1) ** 2) for r in got)
