@@ -63,13 +63,15 @@ N = len(CLASSES)
 #: Bits per class above which a stretch is no prose, and below which it repeats itself.
 HIGH_BITS, LOW_BITS = 3.0, 0.4
 #: Bits up to which a stretch with the make of a sentence still is one.
-HIGHEST_BITS = 6.5
+HIGHEST_BITS = 9.0
 #: Classes in the shortest stretch that is judged by itself.
 STRETCH = 8
 #: Share of offers among the words of a run of non-prose from which it is stuffing.
 OFFER_SHARE = 0.08
 #: Share of words already said from which a run of at least so many words is stuffing.
 REPEAT_SHARE, REPEAT_WORDS = 0.85, 60
+#: Share of a run's words that must be among the keywords found elsewhere in the text.
+SHARED = 0.8
 #: Share of a text's characters from which the page is flagged.
 FLAG_SHARE = 0.5
 
@@ -84,6 +86,8 @@ _MARKDOWN_LINK = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)\)")
 _HREF = re.compile(r"(?i)<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)[\"']?[^>]*>(.*?)</a>", re.S)
 _HTML = re.compile(r"<[/!a-zA-Z][^<>]*>")
 _BREAK = re.compile(r"(?i)</?(?:p|br|li|ul|ol|h[1-6]|div|tr|table|body|html|td|th)\b[^<>]*>")
+_NUMBER = re.compile(r"^\d{1,4}[.)]\s+")
+_ITEM = re.compile(r"^\d{1,2}[.)]$")
 _CUE_TIME = re.compile(r"^\s*(?:\d+:)?\d+:\d+[.,]?\d*\s*-->.*$")
 _PRICE = re.compile(r"^(?:[$€£¥₽]\d[\d.,]*|\d[\d.,]*[$€£¥₽円]|EUR|USD|GBP|RUB|руб\.?)$")
 _CURRENCY = re.compile(r"(?:[$€£¥₽]\s?\d|\d\s?[$€£¥₽円]|\b(?:EUR|USD|GBP|RUB)\s?\d|\d\s?(?:EUR|USD|GBP|RUB|руб)\b)")
@@ -110,6 +114,8 @@ def _classes(word: str) -> bytes:
         return bytes([C["price"]])
     if _KANA.search(word):
         return _japanese(word)
+    if _ITEM.match(word):
+        return bytes([C["bullet"]])
     core = _EDGE.sub("", word)
     if not core:
         mark = word[-1]
@@ -197,7 +203,8 @@ class Reader:
         joined with their neighbours until they can be judged.
         """
         if "<" in text and _HTML.search(text):
-            text = _HREF.sub(lambda m: f" {m.group(2)} {_mark(m.group(1))} ", text)
+            # The target of a link to another site stays: it is part of the text's characters.
+            text = _HREF.sub(lambda m: f" {m.group(2)} {m.group(1) if _mark(m.group(1)) == EXTERNAL else INTERNAL} ", text)
             text = _BREAK.sub("\n", text)
             text = _HTML.sub(" ", text)
         out: list[tuple[str, str, bytes]] = []
@@ -230,7 +237,7 @@ class Reader:
             if kind != held:
                 close()
                 held = kind
-            shown = line
+            shown = _NUMBER.sub("", line) if line[0].isdigit() else line
             if "](" in line:
                 shown = _MARKDOWN_LINK.sub(lambda m: f" {m.group(1)} {_mark(m.group(2))} ", shown)
             if _DOTTED.search(shown) or "://" in shown:
@@ -341,9 +348,8 @@ def _verdict(source: str, code: bytes, mean: float) -> str:
     urls, tags = code.count(C["url"]), code.count(C["tag"])
     if urls:
         words = len(code.translate(None, bytes([C["url"], C["symbol"], C["bullet"], C["sep"], C["end"], C["bracket"], C["num"]])))
-        functions = sum(map(code.count, _FUNCTION))
         # A link with at most a title is a link; a link beside a sentence is a reference.
-        return "prose" if words > 8 * urls and functions >= 2 * urls and C["end"] in code else "link"
+        return "prose" if code.count(C["end"]) >= urls and words >= 4 * urls and code.count(C["offer"]) * 6 <= words else "link"
     if tags * 5 >= len(code) and tags:
         return "tag"
     if code.count(C["price"]) or (mean > HIGH_BITS and _CURRENCY.search(source)):
@@ -366,6 +372,8 @@ def judge(text: str, cost: np.ndarray, reader: Reader) -> dict[str, float]:
     all_bits = all_n = 0.0
     near = False  # the run before was stuffing
     runs = list(_runs(reader.stretches(text), cost))
+    open_: list[tuple[int, list[str]]] = []
+    keywords: set[str] = set()
     for at, (verdict, run, b) in enumerate(runs):
         size = sum(len(s) for s, _ in run)
         out["chars"] += size
@@ -380,8 +388,15 @@ def judge(text: str, cost: np.ndarray, reader: Reader) -> dict[str, float]:
             repeated = len(words) >= REPEAT_WORDS and 1 - len(set(words)) / len(words) >= REPEAT_SHARE
             if words and (offers >= OFFER_SHARE * len(words) or repeated or (beside and verdict == "suspect" and len(words) < REPEAT_WORDS)):
                 verdict = "keyword"
+                keywords.update(words)
+            elif verdict == "suspect":
+                open_.append((size, words))
         out[verdict] += size
         near = verdict in ("keyword", "tag", "goods")
+    for size, words in open_:  # the same keywords without an offer
+        if words and sum(w in keywords for w in words) >= SHARED * len(words):
+            out["suspect"] -= size
+            out["keyword"] += size
     out["bits"] = all_bits / all_n if all_n else 0.0
     return out
 
