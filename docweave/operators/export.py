@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import camel, one_line, strip
 from docweave.operators.ordering import previous
+from docweave.operators.trees import STEP
 
 
 def _title(c: str = "title") -> Column:
@@ -122,30 +123,28 @@ def transcript_lines(files: DataFrame, path: str = "path", body: str = "body", k
     return seen.select("sort_key", F.explode(lines).alias("_l")).select("sort_key", "_l.sub", "_l.line").where("line is not null")
 
 
-def mindmap_json_lines(walked: DataFrame, refs: DataFrame | None = None, tree: str = "map_id") -> DataFrame:
-    """The nested JSON of every tree as lines: ``tree, place, ord, line``; the lines of a tree joined are its JSON.
+def mindmap_json_lines(walked: DataFrame, refs: DataFrame, tree: str = "map_id") -> DataFrame:
+    """The nested JSON of every tree as lines: ``tree, place, part, ord, line``; the lines of a root, in this order, are its JSON.
 
-    A node's line closes the nodes before it that do not contain it and opens
-    itself with its content, which is bounded per node by what was put on it;
-    the last line closes the tree.
+    A node's first line (part 0) closes the nodes before it that do not
+    contain it and opens the node; each content is a line (part 1); part 2
+    opens the children; part 3, after the last node of a root, closes all.
+    A node may hold any number of contents.
     """
-    node = walked.select(tree, "place", "level", "node_id", "title")
-    if refs is not None:
-        each = F.struct("ord", *[F.coalesce(c, F.lit("")).alias(c) for c in ("element_id", "type", "element_caption", "markdown", "hash")])
-        held = refs.groupBy(tree, "node_id").agg(F.array_sort(F.collect_list(each)).alias("_refs"))
-        node = node.join(held, [tree, "node_id"], "left")
-        content = F.coalesce(F.to_json("_refs"), F.lit("[]"))
-    else:
-        content = F.lit("[]")
-    known = node.withColumn("_open", F.concat(F.expr("substring(to_json(struct(coalesce(title, 'Untitled') as title, node_id)), 2)"), F.lit("")))
-    opened = known.select(tree, "place", "level", F.concat(F.lit("{"), F.regexp_replace("_open", r"\}$", ""), F.lit(',"content_refs":'), content, F.lit(',"children":[')).alias("_o"))
+    head = F.regexp_replace(F.to_json(F.struct(F.coalesce("title", F.lit("Untitled")).alias("title"), "node_id")), r"\}$", "")
+    opened = walked.select(tree, "place", "level", F.concat(head, F.lit(',"content_refs":[')).alias("_o"))
     seen = previous(opened, [tree, "place"], [tree, "level"])
-    same = F.col(f"{tree}_before").eqNullSafe(F.col(tree)) & (F.col("level") > 0)
-    closing = F.repeat(F.lit("]}"), F.col("level_before") - F.col("level") + 1)
-    lead = F.when(same & (F.col("level_before") >= F.col("level")), F.concat(closing, F.lit(","))).otherwise(F.lit(""))
-    lines = seen.select(tree, "place", F.lit(0).alias("ord"), F.concat(lead, "_o").alias("line"), "level")
-    # Each root starts a text of its own; what is open at its end is closed after its last node.
-    rooted = walked.withColumn("_root", F.element_at(F.split("place", "/"), 1))
-    last = rooted.groupBy(tree, "_root").agg(F.max_by("level", "place").alias("level"), F.max("place").alias("place"))
-    ends = last.select(tree, "place", F.lit(1).alias("ord"), F.repeat(F.lit("]}"), F.col("level") + 1).alias("line"))
-    return lines.select(tree, "place", "ord", "line").unionByName(ends)
+    inside = F.col(f"{tree}_before").eqNullSafe(F.col(tree)) & (F.col("level") > 0) & (F.col("level_before") >= F.col("level"))
+    closing = F.concat(F.repeat(F.lit("]}"), F.col("level_before") - F.col("level") + 1), F.lit(","))
+    zero = F.lit(0).cast("long").alias("ord")
+    opens = seen.select(tree, "place", F.lit(0).alias("part"), zero, F.concat(F.when(inside, closing).otherwise(F.lit("")), "_o").alias("line"))
+    nodes = walked.select(tree, "node_id", "place")
+    firsts = refs.groupBy(tree, "node_id").agg(F.min("ord").alias("_first"))
+    content = F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("element_id", "type", "element_caption", "markdown", "hash")]))
+    held = refs.join(nodes, [tree, "node_id"]).join(firsts, [tree, "node_id"])
+    contents = held.select(tree, "place", F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), F.concat(F.when(F.col("ord") == F.col("_first"), "").otherwise(","), content).alias("line"))
+    below = walked.select(tree, "place", F.lit(2).alias("part"), zero, F.lit('],"children":[').alias("line"))
+    root = F.element_at(F.split("place", STEP), 1).alias("_root")
+    last = walked.select(tree, "place", "level", root).groupBy(tree, "_root").agg(F.max_by("level", "place").alias("level"), F.max("place").alias("place"))
+    ends = last.select(tree, "place", F.lit(3).alias("part"), zero, F.repeat(F.lit("]}"), F.col("level") + 1).alias("line"))
+    return opens.unionByName(contents).unionByName(below).unionByName(ends)

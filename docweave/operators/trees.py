@@ -15,6 +15,8 @@ from docweave.session import cut
 
 #: Levels after which a walk stops; a deeper tree is an error in the data.
 MAX_DEPTH = 100
+#: Between the steps of a place; it sorts before every character of an id, so children follow their parent at once.
+STEP = "\x01"
 
 
 def live_nodes(nodes: DataFrame, tree: str = "map_id") -> DataFrame:
@@ -56,7 +58,7 @@ def walk(nodes: DataFrame, tree: str = "map_id") -> DataFrame:
             "title",
             F.lit(depth).alias("level"),
             F.concat("_path", F.array(F.coalesce("title", F.lit("")))).alias("path"),
-            F.concat("_place", F.lit("/"), _key(F.col("sibling_idx"), F.col("node_id"))).alias("place"),
+            F.concat("_place", F.lit(STEP), _key(F.col("sibling_idx"), F.col("node_id"))).alias("place"),
         )
         level = cut(level)
         if level.isEmpty():

@@ -160,7 +160,7 @@ _KEY = "lpad(coalesce({a}.sibling_idx, 0)::VARCHAR, 8, '0') || '~' || {a}.node_i
 WALK = f"""{_LN}, w AS (
     SELECT map_id, node_id, parent_id, sibling_idx, title, 0 AS level, [coalesce(title, '')] AS path, {_KEY.format(a="ln")} AS place FROM ln WHERE parent_id IS NULL
     UNION ALL
-    SELECT n.map_id, n.node_id, n.parent_id, n.sibling_idx, n.title, w.level + 1, list_append(w.path, coalesce(n.title, '')), w.place || '/' || {_KEY.format(a="n")}
+    SELECT n.map_id, n.node_id, n.parent_id, n.sibling_idx, n.title, w.level + 1, list_append(w.path, coalesce(n.title, '')), w.place || chr(1) || {_KEY.format(a="n")}
     FROM ln n JOIN w ON n.map_id = w.map_id AND n.parent_id = w.node_id WHERE w.level < 100)"""
 _W = f"WITH RECURSIVE {WALK}"
 _NEAR = """, sb AS (SELECT a.map_id, a.node_id, b.node_id AS other, 1 AS k, b.place FROM w a JOIN w b ON a.map_id = b.map_id AND a.parent_id = b.parent_id),

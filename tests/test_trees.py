@@ -135,7 +135,7 @@ def test_nested_json(spark):
     walked = T.walk(T.live_nodes(sample(spark)))
     refs = spark.createDataFrame([(1, "a", 2, "e2", "qa", None, "x\"y", "h"), (1, "a", 1, "e1", "code", "c", "z", "h")], "map_id long, node_id string, ord long, element_id string, type string, element_caption string, markdown string, hash string")
     texts = {}
-    for r in E.mindmap_json_lines(walked, refs).orderBy("map_id", "place", "ord").collect():
+    for r in E.mindmap_json_lines(walked, refs).orderBy("map_id", "place", "part", "ord").collect():
         texts[r["map_id"]] = texts.get(r["map_id"], "") + r["line"]
     one = json.loads(texts[1])
     assert [c["title"] for c in one["children"]] == ["Untitled", "Same"] and one["children"][1]["children"][0]["title"] == "Leaf\none"
@@ -148,3 +148,9 @@ def test_previous(spark):
     frame = spark.createDataFrame([(i, i * i) for i in range(300)], "i int, v int")
     got = O.previous(frame.repartition(3), ["i"], ["v"]).collect()
     assert all(r["v_before"] == (None if r["i"] == 0 else (r["i"] - 1) ** 2) for r in got)
+
+
+def test_place_of_ids_that_extend_each_other(spark):
+    nodes = spark.createDataFrame([(1, "r", None, 0, 0, "R", "1", None), (1, "a", "r", 1, 0, "a", "1", None), (1, "a-b", "r", 1, 0, "b", "1", None), (1, "c", "a", 2, 0, "c", "1", None)], NODES)
+    walked = T.walk(T.live_nodes(nodes))
+    assert [r["node_id"] for r in walked.orderBy("place").collect()] == ["r", "a", "c", "a-b"]
