@@ -292,9 +292,9 @@ def lookalike_pairs(frame: DataFrame, key: str = "block_id", fields: tuple[str,
     model = script_bigrams(frame, fields[-1])
     # The texts are read and searched once; what is kept is some 40 bytes a value.
     prints = cut(_fingerprints(frame, key, list(fields), model))
-    # A class with one string has one fingerprint; partial aggregation shrinks a hot class before the shuffle.
-    strings = prints.groupBy("field", "look", "raw").agg(F.count(F.lit(1)).alias("n"))
-    mixed = strings.groupBy("field", "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "look")
+    # Distinct strings per class; partial aggregation shrinks a hot class before the shuffle.
+    strings = prints.select("field", "look", "raw").distinct()
+    mixed = strings.groupBy("field", "look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field", "look")
     members = cut(prints.join(mixed, ["field", "look"], "left_semi").distinct())
     kinds = members.select("field", "look", "raw").distinct()
     other = kinds.withColumnRenamed("raw", "raw_b")

@@ -86,7 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TOKENS = r"len(regexp_extract_all(b.markdown, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\t\n\x0B\f\r\x{85}]'))"
 
+def _twins() -> str:
+    """SQL of what a text looks like, for the characters of the test data: wide forms, ligatures, spaces, ignorables, twins."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+    x = "x"
+    for ligature, letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
+        x = f"replace({x}, '{ligature}', '{letters}')"
+    x = f"translate({x}, '{wide}', '{plain}')"
+    x = rf"regexp_replace(regexp_replace({x}, '\p{{Zs}}', ' ', 'g'), '\p{{Cf}}', '', 'g')"
+    pairs = lookalikes.CYRILLIC | lookalikes.GREEK
+    # Twins come before composition, so that an accent composes with the Latin letter.
+    return f"nfc_normalize(translate({x}, '{''.join(pairs)}', '{''.join(pairs.values())}'))"
+
+
 ORACLE: dict[str, str] = {
+    "p4_found": f"""
+        WITH v AS (SELECT DISTINCT block_id, 'text' AS field, text AS x FROM blocks WHERE text IS NOT NULL UNION ALL SELECT DISTINCT block_id, 'markdown', markdown FROM blocks WHERE markdown IS NOT NULL),
+        k AS (SELECT block_id, field, x, {_twins()} AS look FROM v),
+        m AS (SELECT field, look FROM k GROUP BY ALL HAVING count(DISTINCT x) > 1),
+        c AS (SELECT k.* FROM k JOIN m USING (field, look))
+        SELECT DISTINCT a.block_id AS block_id_a, b.block_id AS block_id_b, a.field FROM c a JOIN c b ON a.field = b.field AND a.look = b.look AND a.block_id < b.block_id AND a.x <> b.x""",
     "p2_found": f"""
         SELECT DISTINCT b.block_id FROM blocks b JOIN chunk_configs c ON b.config_name = c.config_name
         WHERE {_TOKENS} > c.max_tokens""",
