@@ -184,6 +184,12 @@ ORACLE = {
     "text_sanitized": """WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^\\x{FEFF}', '') AS t FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, md5(CASE WHEN starts_with(t, '```') THEN chr(10) || t ELSE t END) AS md5 FROM t""",
     "text_payload": f"WITH {LIVE} SELECT block_id, coalesce({', '.join(f'CASE WHEN {_STRIP.format(c=c)} <> {chr(39)*2} THEN {c} END' for c in ('text', 'markdown', 'alt', 'src'))}) AS payload FROM live",
+    # A section ends at the next line that starts with two number signs and a space.
+    "text_sections": """WITH d AS (SELECT doc_id, chr(10) || text AS t FROM documents WHERE text LIKE '%## Further reading%'),
+        s AS (SELECT doc_id, t, regexp_matches(t, '\n## (?i:Further reading)[ \\t]*\n') AS has, regexp_extract(t, '(?s)\n## (?i:Further reading)[ \\t]*\n(.*)', 1) AS rest FROM d),
+        b AS (SELECT *, CASE WHEN starts_with(rest, '## ') THEN '' ELSE split_part(rest, chr(10) || '## ', 1) END AS body FROM s)
+        SELECT doc_id, CASE WHEN has THEN left(trim(regexp_replace(body, '[ \\t\\n\x0B\f\r]+', ' ', 'g')), 480) ELSE '' END AS summary,
+        (length(t) - 1 - CASE WHEN has THEN length(regexp_extract(t, '\n(## (?i:Further reading)[ \\t]*\n)', 1)) + length(body) + CASE WHEN length(rest) > length(body) AND NOT starts_with(rest, '## ') THEN 1 ELSE 0 END ELSE 0 END)::INTEGER AS n_rest FROM b""",
     "link_validation": f"{_LINES} SELECT DISTINCT map_id, node_id, sl AS target FROM nl WHERE NOT EXISTS (SELECT 1 FROM pg WHERE pg.map_id = nl.map_id AND pg.name = nl.sl)",
     "link_repair": f"""{_LINES}, al AS (SELECT DISTINCT w.map_id, {_CAMEL.format(c="coalesce(title, '')")} AS name FROM w WHERE EXISTS (SELECT 1 FROM rf WHERE rf.map_id = w.map_id AND rf.node_id = w.node_id)),
         ca AS (SELECT nl.map_id, nl.node_id, nl.ord, nl.sl, nl.ti, (SELECT min(nl.fo || '/' || al.name || '.md') FROM al WHERE al.map_id = nl.map_id AND lower(al.name) = lower(nl.sl)) AS c FROM nl)

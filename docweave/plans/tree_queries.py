@@ -232,6 +232,20 @@ ORACLE = {
         SELECT map_id, m.pos AS pos, m.id AS answer_id, len(pre)::INTEGER AS sub, repeat('#', len(pre)) || ' ' || pre[len(pre)] AS line FROM f
         UNION ALL SELECT map_id, pos, answer_id, 100, repeat('#', len(heading_path) + 1) || ' ' || {_STRIP.format(c="question")} FROM att
         UNION ALL SELECT map_id, pos, answer_id, 101, {_STRIP.format(c="coalesce(answer, '')")} FROM att""",
+    "export_markmap_inline": f"""{_W}, {_REFS},
+        h AS (SELECT map_id, place, -1::BIGINT AS ord, 0 AS sub, CASE WHEN level = 0 THEN '# ' || {_TITLE} ELSE repeat('  ', level) || '- ' || {_TITLE} END AS line FROM w),
+        b AS (SELECT rf.map_id, place, ord, level, type, trim(coalesce(element_caption, '')) AS cap, {_STRIP.format(c="markdown")} AS md FROM rf JOIN w ON w.map_id = rf.map_id AND w.node_id = rf.node_id),
+        l AS (SELECT *, CASE WHEN md = '' THEN [] ELSE string_split(md, chr(10)) END AS ls FROM b),
+        r AS (SELECT map_id, place, ord, level, CASE type WHEN 'image' THEN list_concat(['- 🖼 ' || coalesce(nullif(cap, ''), 'Image')], ls) WHEN 'code' THEN list_concat(['- 🧩 ' || coalesce(nullif(cap, ''), 'Code')], ls)
+            WHEN 'table' THEN list_concat(['- 📊 ' || coalesce(nullif(cap, ''), 'Table')], ls) ELSE CASE WHEN len(ls) = 0 THEN [] ELSE list_concat(['- ' || ls[1]], ls[2:]) END END AS ls FROM l),
+        e AS (SELECT map_id, place, ord, level, unnest(range(0, len(ls))) AS sub, ls FROM r)
+        SELECT * FROM h UNION ALL SELECT map_id, place, ord, sub::INTEGER, repeat('  ', level) || CASE WHEN sub = 0 THEN '  ' ELSE '    ' END || ls[sub + 1] FROM e""",
+    # No content of the test tables starts with front matter.
+    "export_pages": f"""{_W}, {_REFS}, f AS (SELECT map_id, node_id, arg_min(markdown, ord) AS md FROM rf GROUP BY ALL),
+        n AS (SELECT w.map_id, w.node_id, {_TITLE} AS t, {_CAMEL.format(c=_TITLE)} AS page, string_split(regexp_replace(f.md, '^[ \t\n\x0B\f\r]+', ''), chr(10))[1] AS o FROM w JOIN f ON f.map_id = w.map_id AND f.node_id = w.node_id)
+        SELECT map_id, node_id, page, -1::BIGINT AS ord, '# ' || t AS part FROM n WHERE NOT (starts_with(o, '#') AND lower(trim(o[2:])) = lower(t))
+        UNION ALL SELECT rf.map_id, rf.node_id, page, ord, CASE WHEN trim(coalesce(element_caption, '')) NOT IN ('') AND lower(trim(element_caption)) <> 'teaching note'
+            THEN '### ' || trim(element_caption) || CASE WHEN {_STRIP.format(c="markdown")} = '' THEN '' ELSE chr(10) || {_STRIP.format(c="markdown")} END ELSE {_STRIP.format(c="markdown")} END FROM rf JOIN n ON n.map_id = rf.map_id AND n.node_id = rf.node_id""",
     "export_markmap": f"""{_W}, {_REFS}, x AS (SELECT w.map_id, place, level, {_TITLE} AS t, {_CAMEL.format(c="run_name")} AS fo, EXISTS (SELECT 1 FROM rf WHERE rf.map_id = w.map_id AND rf.node_id = w.node_id) AS linked
             FROM w JOIN maps m ON m.map_id = w.map_id), y AS (SELECT *, CASE WHEN linked THEN '[' || t || '](' || fo || '/' || {_CAMEL.format(c="t")} || '.md)' ELSE t END AS s FROM x)
         SELECT map_id, place, CASE WHEN level = 0 THEN '# ' || s ELSE repeat('  ', level) || '- ' || s END AS line FROM y""",
