@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import ids
 from docweave.functions.text import normalize_for_id
+from docweave.operators.ordering import ordinal
 
 #: Siblings that a refined tree shows; the others go below a node "More".
 SIBLINGS = 6
@@ -31,8 +32,8 @@ def heading_tree(blocks: DataFrame, document: str = "map_id") -> DataFrame:
 
 def refine(tree: DataFrame, document: str = "map_id", siblings: int = SIBLINGS) -> DataFrame:
     """Adds ``sibling_idx`` by first place, and ``more`` for siblings beyond the limit (kept, below a node "More")."""
-    order = F.row_number().over(Window.partitionBy(document, "parent").orderBy("first_pos", "path"))
-    return tree.withColumn("sibling_idx", order - 1).withColumn("more", F.col("sibling_idx") >= siblings)
+    numbered = ordinal(tree, [document, "parent"], ["first_pos", "path"], F.floor(F.col("first_pos") / 4096), "sibling_idx")
+    return numbered.withColumn("sibling_idx", F.col("sibling_idx").cast("int")).withColumn("more", F.col("sibling_idx") >= siblings)
 
 
 def as_nodes(refined: DataFrame, document: str = "map_id") -> DataFrame:
