@@ -114,8 +114,8 @@ NEVER_LAST = set("the an and or of their its every und oder dass et ou le les el
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 _FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 _FENCED = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
-_IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
-_HTML = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
+_IMAGE = re.compile(r"!\[[^\[\]]*\]\([^()]{0,2000}\)")
+_HTML = re.compile(r"<!--(?:(?!<!--).)*?-->|</?[a-zA-Z][^<>]*>", re.S)
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\"”\n]*[“\"”]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|(?<=[。！？])|\n+")
@@ -150,7 +150,7 @@ def is_empty(answer: str | None) -> bool:
         return True
     text = _INVISIBLE.sub("", html.unescape(answer))
     text = re.sub(r"^[ \t]*(?:```|~~~)[^\n]*$", " ", text, flags=re.M)
-    text = re.sub(r"!?\[\s*\]\([^)]*\)", " ", text)
+    text = re.sub(r"!?\[\s*\]\([^()]{0,2000}\)", " ", text)
     text = _HTML.sub(" ", text).strip()
     if not any(c.isalnum() or (not c.isascii() and unicodedata.category(c) in ("So", "Sc", "Sm")) for c in text):
         return True

@@ -43,6 +43,8 @@ def word_punct_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD_PUNCT)), F.lit(0))
 
 
+#: Closing marks skipped to find the mark that ends a sentence or clause.
+_LOOK_BACK = 8
 _CLOSERS = "\"')]}»”’*_`"
 _SENTENCE_END = set(".!?…。！？")
 _CLAUSE_END = set(",;:—–、；：，")
@@ -56,7 +58,9 @@ def _strength(text: str, left_end: int, right_start: int) -> int:
             return HEADING
         return PARAGRAPH if gap.replace("\r\n", "\n").replace("\r", "\n").count("\n") > 1 else LINE
     at = left_end - 1
-    while at > 0 and text[at] in _CLOSERS:
+    for _ in range(_LOOK_BACK):
+        if at <= 0 or text[at] not in _CLOSERS:
+            break
         at -= 1
     wide = text[at] in "。！？、；：，"  # these need no space after them
     if gap or wide:

@@ -82,7 +82,7 @@ EXTERNAL, INTERNAL = "\ue000", "\ue001"
 
 _LINK = re.compile(r"(?i)\b(?:https?://|ftp://|www\.)\S+|\b(?:[a-z0-9-]+\.)+(?:com|org|net|info|biz|shop|store|online|io|co|example|invalid|test|site|xyz|de|fr|es|ru|jp|uk)\b(?:/\S*)?")
 _DOTTED = re.compile(r"[A-Za-z0-9-]\.[A-Za-z]")
-_MARKDOWN_LINK = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)\)")
+_MARKDOWN_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]{0,2000})\)")
 _HREF = re.compile(r"(?i)<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)[\"']?[^>]*>(.*?)</a>", re.S)
 _HTML = re.compile(r"<[/!a-zA-Z][^<>]*>")
 _BREAK = re.compile(r"(?i)</?(?:p|br|li|ul|ol|h[1-6]|div|tr|table|body|html|td|th)\b[^<>]*>")

@@ -34,8 +34,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Encoded pieces and token pairs remembered by one Python worker.
-CACHE_ENTRIES = 400_000
-PAIR_ENTRIES = 2_000_000
+CACHE_ENTRIES = 250_000
+PAIR_ENTRIES = 300_000
 
 
 class ByteBpe:
