@@ -12,15 +12,17 @@ from docweave.functions.text import token_count
 SEGMENT = 4096
 
 
-def live_blocks(blocks: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def live_blocks(blocks: DataFrame, columns: list[str] | None = None, **computed: Column) -> DataFrame:
     """Blocks that are not deleted, each delivered block once (its first delivery).
 
-    The filter reaches the scan; the deliveries are merged with a map-side combine.
+    Only ``columns`` and what is ``computed`` from a row are shuffled; the
+    filter reaches the scan, and the ranked window drops repeated deliveries
+    before the shuffle too.  Blocks without an id are left out.
     """
-    columns = columns or [c for c in blocks.columns if c not in ("block_id", "ingested_at", "deleted_at")]
-    kept = blocks.where(F.col("deleted_at").isNull() & F.col("block_id").isNotNull())
-    first = kept.groupBy("block_id").agg(F.min_by(F.struct(*columns), F.col("ingested_at")).alias("_b"))
-    return first.select("block_id", *[F.col("_b")[c].alias(c) for c in columns])
+    columns = columns if columns is not None else [c for c in blocks.columns if c not in ("block_id", "ingested_at", "deleted_at")]
+    kept = blocks.where(F.col("deleted_at").isNull() & F.col("block_id").isNotNull()).select("block_id", "ingested_at", *columns, *[c.alias(n) for n, c in computed.items()])
+    first = F.row_number().over(Window.partitionBy("block_id").orderBy("ingested_at"))
+    return kept.withColumn("_nth", first).where("_nth = 1").drop("_nth", "ingested_at")
 
 
 def block_markdown(kind: Column, level: Column, text: Column, language: Column, src: Column, alt: Column) -> Column:

@@ -34,8 +34,10 @@ def repair_links(texts: DataFrame, allowed: DataFrame, keys: list[str], text: st
     links and the text between, the links meet their page in an equi-join, and
     the parts of one text are put together again.  Null texts stay null.
     """
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"(?s)\[\[[^\]]+\]\]|(?:(?!\[\[[^\]]+\]\]).)+"), F.lit(0))
-    rows = texts.select(*keys, F.posexplode_outer(parts).alias("_i", "_p"))
+    pattern = r"\[\[[^\]]+\]\]"
+    between, links = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    pieces = F.flatten(F.transform(between, lambda t, i: F.array(t, F.coalesce(F.get(links, i), F.lit("")))))
+    rows = texts.select(*keys, F.posexplode_outer(pieces).alias("_i", "_p"))
     raw = F.trim(F.regexp_extract("_p", r"^\[\[([^\]]+)\]\]$", 1))
     left = F.element_at(F.split(raw, r"\|"), 1)
     base = F.regexp_replace(F.element_at(F.split(left, "/"), -1), r"(?i)\.md$", "")

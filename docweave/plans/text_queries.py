@@ -20,8 +20,7 @@ from docweave.sources import markdown as R
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
-    live = B.live_blocks(table(spark, root, "blocks"), ["map_id", "pos", "type", "config_name", "markdown", "is_atomic"])
-    sized = live.select("map_id", "pos", "block_id", "type", "config_name", "is_atomic", X.token_count("markdown").alias("token_count"))
+    sized = B.live_blocks(table(spark, root, "blocks"), ["map_id", "pos", "type", "config_name", "is_atomic"], token_count=X.token_count("markdown"))
     return C.pack(sized.join(table(spark, root, "chunk_configs"), "config_name", "left"))
 
 

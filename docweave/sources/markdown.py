@@ -24,10 +24,10 @@ _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})
 _MARKER = re.compile(r"^([ \t]*)(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
 _QUOTE = re.compile(r"^ {0,3}> ?")
 _DELIMITER = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_IMAGE = re.compile(r"!\[([^\]]*)\]\(\s*<?([^\s)>]*)>?(?:\s+[\"'(].*?[\"')])?\s*\)")
-_LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
+_IMAGE = re.compile(r"!\[([^\[\]]*)\]\(\s{0,9}<?([^\s()<>]{0,9999}(?:\([^\s()<>]{0,999}\)[^\s()<>]{0,999})?)>?(?:\s+[\"'(][^\n]{0,999}?[\"')])?\s{0,9}\)")
+_LINK = re.compile(r"\[([^\[\]]*)\]\([^()\n]{0,2000}\)")
 _CODE = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
-_TAGS = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
+_TAGS = re.compile(r"<!--(?:(?!<!--).)*?-->|</?[A-Za-z][^<>]*>", re.S)
 _EMPHASIS = re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1|(?<![\w*])([*_])(?=\S)([^*_]+?)(?<=\S)\3(?![\w*])", re.S)
 _HTML_BLOCK = re.compile(r"^ {0,3}<(?:/?[A-Za-z]|!--)")
 
@@ -65,6 +65,7 @@ def parse_blocks(text: str | None, soft_break: str = "") -> list[Block]:
     out: list[Block] = []
     para: list[str] = []
     start = 0
+    in_list = False  # an indented line continues an item
 
     def flush(end: int) -> None:
         if para:
@@ -127,11 +128,15 @@ def parse_blocks(text: str | None, soft_break: str = "") -> list[Block]:
             while i < len(lines) and lines[i].strip():
                 i += 1
             continue
-        if not para and (bare.startswith("    ") or bare.startswith("\t")) and not marker and not out_of_list(lines, i):
+        indented = bare.startswith(("    ", "\t"))
+        if not para and indented and not marker and not in_list:
             i += 1
             continue
         if marker:
             flush(i)
+            in_list = True
+        elif not bare.startswith((" ", "\t")):
+            in_list = False
         if not para:
             start = i
         para.append(inner)
@@ -140,16 +145,6 @@ def parse_blocks(text: str | None, soft_break: str = "") -> list[Block]:
     return out
 
 
-def out_of_list(lines: list[str], at: int) -> bool:
-    """True if an indented line continues a list item (some line above, without a blank line at the margin, has a marker)."""
-    for k in range(at - 1, -1, -1):
-        if _MARKER.match(lines[k]):
-            return True
-        if lines[k].strip() and not lines[k].startswith((" ", "\t")):
-            return False
-    return False
-
-
 def _cells(line: str) -> list[str]:
     inner = line.strip()
     inner = inner[1:] if inner.startswith("|") else inner
@@ -311,7 +306,8 @@ def html_to_markdown(text: str | None) -> str | None:
     if text is None:
         return None
     reader = _ToMarkdown()
-    reader.feed(text)
+    # An angle that is never closed is text; the parser would look for its end again and again.
+    reader.feed(re.sub(r"<(?!!--)(?![^<>]*>)", "&lt;", text))
     reader.close()
     return re.sub(r"\n[ \t]*(?:\n[ \t]*)+", "\n\n", re.sub(r"(?<! ) (?=\n)", "", "".join(reader.out))).strip()
 

@@ -168,3 +168,14 @@ def test_prompts_and_recipes(tmp_path):
         prompt("nope")
     assert len(config.write_recipes(str(tmp_path / "r"))) == len(config.RECIPES) and config.write_recipes(str(tmp_path / "r")) == []
     assert config.load(str(tmp_path / "r" / "focus_markdown.toml")).resolved_steps() == ("chunk", "clean_for_map")
+
+
+def test_long_odd_texts_take_linear_time():
+    import time
+
+    for p in ("![", "[[", "[a](", "<!--", "<a ", "\n    x", "| ", "```\n", "> ", "**a"):
+        text = p * (40000 // len(p))
+        for read in (R.parse_blocks, R.parse_questions, R.parse_outline, R.html_to_markdown):
+            began = time.time()
+            read(text)
+            assert time.time() - began < 5, (p, read)

@@ -85,12 +85,13 @@ def test_exports(spark):
 
 
 def test_links(spark):
-    texts = spark.createDataFrame([(1, "p", 0, "see [[X/alpha.md|Al]] and [[beta]]\n[[none|n]] end"), (1, "q", 0, None), (1, "r", 0, "")], "map_id long, node_id string, ord int, line string")
+    texts = spark.createDataFrame([(1, "p", 0, "see [[X/alpha.md|Al]] and [[beta]]\n[[none|n]] end"), (1, "q", 0, None), (1, "r", 0, ""), (1, "s", 0, "x y " * 60000 + "[[ALPHA]]")], "map_id long, node_id string, ord int, line string")
     allowed = spark.createDataFrame([(1, "Alpha", "F/Alpha.md"), (1, "Beta", "F/Beta.md")], "map_id long, slug string, canonical string")
     fixed = {r["node_id"]: r["fixed"] for r in L.repair_links(texts, allowed, ["map_id", "node_id", "ord"], "line", "fixed").collect()}
-    assert fixed["p"] == "see [[F/Alpha.md|Al]] and [[F/Beta.md]]\nnone|n end" and fixed["q"] is None
+    assert fixed["p"] == "see [[F/Alpha.md|Al]] and [[F/Beta.md]]\nnone|n end" and fixed["q"] is None and fixed["r"] == ""
+    assert fixed["s"] == "x y " * 60000 + "[[F/Alpha.md]]"
     names = spark.createDataFrame([(1, "alpha")], "map_id long, target string")
-    assert rows(L.missing_links(texts, names), "target") == [("beta",), ("none",)]
+    assert rows(L.missing_links(texts, names), "target") == [("ALPHA",), ("beta",), ("none",)]
 
 
 def test_ordinal_and_first(spark):
