@@ -15,7 +15,7 @@ from docweave.operators import notes as N
 from docweave.operators import trees as T
 from docweave.plans.block_queries import LIVE
 from docweave.plans.text_queries import _PACK, _packed
-from docweave.plans.tree_queries import _walk
+from docweave.plans.tree_queries import WALK, _walk
 from docweave.session import table
 
 #: Dimensions of the test vectors.
@@ -141,5 +141,12 @@ ORACLE = {
         g AS (SELECT map_id, path, arg_min(hp[len(hp)], pos) AS title, min(pos) AS first_pos, count(*) AS n_blocks FROM k GROUP BY ALL),
         o AS (SELECT *, (row_number() OVER (PARTITION BY map_id, path[1:len(path) - 1] ORDER BY first_pos, path) - 1)::INTEGER AS sibling_idx FROM g)
         SELECT map_id, array_to_string(path, '/') AS path, title, first_pos, n_blocks, (len(path) - 1)::INTEGER AS depth, sibling_idx, sibling_idx >= 6 AS more FROM o""",
+    "concept_mapping": f"""WITH RECURSIVE {LIVE}, {WALK}, x AS (SELECT map_id, block_id, text FROM live WHERE type <> 'heading' AND text IS NOT NULL),
+        t AS (SELECT map_id, block_id, term, count(*) AS tf FROM (SELECT map_id, block_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM x) GROUP BY ALL),
+        df AS (SELECT map_id, term, count(*) AS df FROM t GROUP BY ALL), n AS (SELECT map_id, count(*) AS n FROM x GROUP BY ALL),
+        wt AS (SELECT t.map_id, block_id, t.term, tf * (ln((n + 1) / (df + 1)) + 1) AS wt FROM t JOIN df ON df.map_id = t.map_id AND df.term = t.term JOIN n ON n.map_id = t.map_id),
+        nw AS (SELECT map_id, block_id, term, wt / sqrt(sum(wt * wt) OVER (PARTITION BY block_id)) AS weight FROM wt),
+        nt AS (SELECT map_id, term, arg_min(node_id, place) AS target FROM (SELECT map_id, node_id, place, unnest(regexp_extract_all(lower(coalesce(title, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM w) GROUP BY ALL)
+        SELECT nw.map_id, block_id, arg_max(target, {{'w': round(weight, 9), 't': nw.term}}) AS target_node_id, round(max(weight), 6) AS score FROM nw JOIN nt ON nt.map_id = nw.map_id AND nt.term = nw.term GROUP BY ALL""",
     "trace_events": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
 }

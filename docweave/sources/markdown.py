@@ -183,6 +183,7 @@ def parse_questions(text: str | None) -> list[tuple[list[str], str, str]]:
     return out
 
 
+# The line forms of an outline, and of a title that is only a link.
 _OUTLINE_HEADING = re.compile(r"^(#{1,6})\s+(.*)")
 _OUTLINE_BULLET = re.compile(r"^(\s*)-\s+(.*)")
 _WHOLE_LINK = re.compile(r"\[(.+?)\]\(.*?\)")
