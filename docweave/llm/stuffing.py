@@ -14,7 +14,6 @@ A page is flagged if most of its characters are stuffing.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
