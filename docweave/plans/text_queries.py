@@ -11,10 +11,9 @@ from docweave.operators import blocks as B
 from docweave.operators import chunks as C
 from docweave.operators import export as E
 from docweave.operators import links as L
-from docweave.operators import mapping as M
 from docweave.operators import trees as T
 from docweave.plans.block_queries import _STRIP, LIVE
-from docweave.plans.tree_queries import _CAMEL, _LN, _REFS, _TITLE, WALK, _blocks, _refs, _walk
+from docweave.plans.tree_queries import _CAMEL, _REFS, _TITLE, WALK, _refs, _walk
 from docweave.session import table
 from docweave.sources import markdown as R
 
