@@ -27,10 +27,9 @@ from docweave.session import cut
 
 #: Tokens that one container holds, unless stated.
 CAPACITY = 2048
-#: Sizes are rounded up to this share of the capacity while combinations are sought.
-UNITS = 128
-#: Units that a combination may leave empty.
-WINDOW = 1
+#: Grains at which combinations are sought: sizes are rounded up to so many units of the capacity, and a combination may leave
+#: so many units empty.  A plan is made for each grain and the one with the fewest containers is taken.
+GRAINS = ((32, 1), (64, 0), (64, 1))
 #: Items numbered by one task.
 NUMBERED_AT_ONCE = 500_000
 
@@ -135,8 +134,12 @@ class Plan:
         return out
 
 
-def plan(histogram: dict[int, int], capacity: int, units: int = UNITS, window: int = WINDOW) -> Plan:
-    """Containers for ``histogram`` (size -> number of items, sizes 1..capacity)."""
+def plan(histogram: dict[int, int], capacity: int, grains: tuple[tuple[int, int], ...] = GRAINS) -> Plan:
+    """Containers for ``histogram`` (size -> number of items, sizes 1..capacity); the best of the plans by grain."""
+    return min((_plan(histogram, capacity, units, window) for units, window in grains), key=lambda p: p.containers)
+
+
+def _plan(histogram: dict[int, int], capacity: int, units: int, window: int) -> Plan:
     left = {s: n for s, n in sorted(histogram.items()) if n > 0 and 0 < s <= capacity}
     result = Plan(capacity)
     units = min(units, capacity)
