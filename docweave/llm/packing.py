@@ -29,7 +29,7 @@ from docweave.session import cut
 CAPACITY = 2048
 #: Grains at which combinations are sought: sizes are rounded up to so many units of the capacity, and a combination may leave
 #: so many units empty.  A plan is made for each grain and the one with the fewest containers is taken.
-GRAINS = ((32, 1), (64, 0), (64, 1))
+GRAINS = ((32, 1), (64, 0), (64, 1), (128, 0))
 #: Items numbered by one task.
 NUMBERED_AT_ONCE = 500_000
 
