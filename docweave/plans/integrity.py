@@ -10,6 +10,7 @@ from docweave.session import table
 
 REF_TO_BLOCK = Reference("content_refs", "element_id", "blocks", "element_id", "map_id", ("ref_id",), "created_at", "ingested_at")
 REF_TO_NODE = Reference("content_refs", "target_node_id", "nodes", "node_id", "map_id", ("ref_id",), "created_at", "created_at")
+ANSWER_TO_BLOCK = Reference("answers", "element_id", "blocks", "element_id", "map_id", ("answer_id",), "created_at", "ingested_at")
 NODE_TO_NODE = Reference("nodes", "parent_id", "nodes", "node_id", "map_id", ("map_id", "node_id"), "created_at", "created_at")
 
 
@@ -19,13 +20,13 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_cascade(spark: SparkSession, root: str) -> DataFrame:
-    """Direct and inherited orphans among nodes and content references."""
+    """Direct and inherited orphans among nodes, content references and answers."""
     return _cascade(spark, root).drop("made_at")
 
 
 def _cascade(spark: SparkSession, root: str) -> DataFrame:
-    refs, blocks, nodes = (table(spark, root, t) for t in ("content_refs", "blocks", "nodes"))
-    return orphan_cascade(nodes, refs, NODE_TO_NODE, REF_TO_NODE, [(REF_TO_BLOCK, blocks)])
+    refs, blocks, nodes, answers = (table(spark, root, t) for t in ("content_refs", "blocks", "nodes", "answers"))
+    return orphan_cascade(nodes, refs, NODE_TO_NODE, REF_TO_NODE, [(REF_TO_BLOCK, blocks)], [(answers, ANSWER_TO_BLOCK, blocks)])
 
 
 def p3_report(spark: SparkSession, root: str) -> DataFrame:
@@ -74,6 +75,10 @@ _CASCADE = (
         UNION ALL
         SELECT 'content_refs', map_id, CAST(ref_id AS VARCHAR), field, 'direct', reason, 0, created_at FROM d
         UNION ALL
+        SELECT DISTINCT 'answers', a.map_id, CAST(answer_id AS VARCHAR), 'element_id', 'direct', CASE WHEN bk.k IS NULL THEN 'missing' WHEN bk.f IS NULL THEN 'deleted' ELSE 'late' END, 0, a.created_at
+        FROM answers a LEFT JOIN bk ON bk.map_id = a.map_id AND bk.k = a.element_id
+        WHERE a.map_id IS NOT NULL AND a.element_id <> '' AND (bk.k IS NULL OR bk.f IS NULL OR bk.f > a.created_at)
+        UNION ALL
         SELECT DISTINCT 'content_refs', c.map_id, CAST(c.ref_id AS VARCHAR), 'target_node_id', 'inherited', 'parent', lv.level + 1, c.created_at
         FROM content_refs c JOIN lv ON lv.map_id = c.map_id AND lv.node_id = c.target_node_id
         WHERE c.ref_id NOT IN (SELECT ref_id FROM d WHERE field = 'target_node_id'))"""
