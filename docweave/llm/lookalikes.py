@@ -249,9 +249,9 @@ def normalize_columns(frame: DataFrame, columns: list[str], bigrams: dict[tuple[
 
 
 def _fingerprints(frame: DataFrame, key: str, fields: list[str], model: dict[tuple[int, str, str], int]) -> DataFrame:
-    """(key, field, look, raw): 128-bit fingerprints of the consistent form and of the text as it is."""
+    """(key, field, look, raw, tag): 128-bit fingerprints of the consistent form and of the text as it is, and 64 bits of the latter."""
     schema = T.StructType([
-        T.StructField("id", frame.schema[key].dataType), T.StructField("field", T.StringType()), T.StructField("look", T.BinaryType()), T.StructField("raw", T.BinaryType()),
+        T.StructField("id", frame.schema[key].dataType), T.StructField("field", T.StringType()), T.StructField("look", T.BinaryType()), T.StructField("raw", T.BinaryType()), T.StructField("tag", T.LongType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +270,8 @@ def _fingerprints(frame: DataFrame, key: str, fields: list[str], model: dict[tup
                     raws.append(raw)
                     looks.append(raw if text.isascii() else xxh3_128_digest(normal(text).encode("utf-8", "surrogatepass")))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(keep, pa.int64())), pa.array([name] * len(keep), pa.string()), pa.array(looks, pa.binary()), pa.array(raws, pa.binary())],
-                    names=["id", "field", "look", "raw"],
+                    [ids.take(pa.array(keep, pa.int64())), pa.array([name] * len(keep), pa.string()), pa.array(looks, pa.binary()), pa.array(raws, pa.binary()), pa.array([int.from_bytes(r[:8], "big", signed=True) for r in raws], pa.int64())],
+                    names=["id", "field", "look", "raw", "tag"],
                 )
 
     return spread(frame.select(key, *fields)).mapInArrow(run, schema)
@@ -292,10 +292,9 @@ def lookalike_pairs(frame: DataFrame, key: str = "block_id", fields: tuple[str,
     model = script_bigrams(frame, fields[-1])
     # The texts are read and searched once; what is kept is some 40 bytes a value.
     prints = cut(_fingerprints(frame, key, list(fields), model))
-    # Distinct strings per class; partial aggregation shrinks a hot class before the shuffle.
-    strings = prints.select("field", "look", "raw").distinct()
-    mixed = strings.groupBy("field", "look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field", "look")
-    members = cut(prints.join(mixed, ["field", "look"], "left_semi").distinct())
+    # A class with one string has one tag; partial aggregation shrinks a hot class before the shuffle.
+    mixed = prints.groupBy("field", "look").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("field", "look")
+    members = cut(prints.drop("tag").join(mixed, ["field", "look"], "left_semi").distinct())
     kinds = members.select("field", "look", "raw").distinct()
     other = kinds.withColumnRenamed("raw", "raw_b")
     seams = kinds.join(other, ["field", "look"]).where("raw < raw_b")
