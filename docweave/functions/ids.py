@@ -30,7 +30,10 @@ def element_id(prefix: Column, content: Column, path: Column | None = None) -> C
     payload = norm
     if path is not None:
         payload = F.when(F.size(path) > 0, F.concat(norm, F.lit(" || "), normalize_for_id(F.array_join(path, " / ")))).otherwise(norm)
-    short = F.substring(slug(F.when(norm == "", prefix).otherwise(norm)), 1, 8)
+    base = F.when(norm == "", prefix).otherwise(norm)
+    # The start of a text mostly decides; the whole text is folded only if its start is too poor in letters.
+    start = slug(F.substring(base, 1, 48))
+    short = F.substring(F.when(F.length(start) > 8, start).otherwise(slug(base)), 1, 8)
     return F.concat_ws("_", prefix, F.when(short == "", F.lit("item")).otherwise(short), hash8(payload))
 
 
