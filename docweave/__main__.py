@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         files.write_lines(out["transcript"], f"{target}/subtitles_merged.md", ["sort_key", "sub"])
     if "markmap" in out:
         files.write_lines(out["markmap"], f"{target}/mindmap.md", ["place"], by="doc_id")
+        files.write_lines(out["tree_json"], f"{target}/tree.json", ["place", "part", "ord"], by="doc_id")
         files.write_pages(out["pages"], f"{target}/pages", "doc_id")
         out["missing_links"].select(F.concat_ws(": ", "node_id", F.concat(F.lit("[["), "target", F.lit("]] not found")))).write.mode("overwrite").text(f"{target}/link_validation.txt")
         pipeline.envelope(out, options.input or options.markmap_input, "cli").write.mode("overwrite").json(f"{target}/mindmap.json")

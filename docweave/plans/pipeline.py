@@ -142,6 +142,7 @@ def run(
             refs = spark.createDataFrame([], f"{DOC} {out['nodes'].schema[DOC].dataType.simpleString()}, node_id string, ord long, element_id string, type string, element_caption string, markdown string, q string, a string")
         out["markmap"] = E.markmap_lines(out["nodes"], refs, F.lit(None).cast("string") if name is None else X.camel(F.lit(name)), DOC)
         out["pages"] = E.page_lines(out["nodes"], refs, DOC)
+        out["tree_json"] = E.mindmap_json_lines(out["nodes"], refs if "hash" in refs.columns else refs.withColumn("hash", ids.content_hash(F.coalesce("markdown", F.lit("")))), DOC)
         paged = out["nodes"].join(refs.select(DOC, "node_id").distinct(), [DOC, "node_id"], "left_semi")
         out["missing_links"] = L.missing_links(out["pages"], L.page_names(paged, DOC), DOC, text="part")
     out["trace"] = trace.frame(spark)

@@ -109,6 +109,10 @@ def test_plans(spark, tmp_path):
     assert notes["refs"].count() == 4 and notes["refs"].where("markdown not like '---%'").count() == 0
     mapped = pipeline.run(spark, docs, config.Options(preset="map_qa_onto_markmap", markmap_input="x"), outlines, docs)
     assert mapped["refs"].where("type = 'qa' and q = 'Why yes?'").count() == 1
+    import json
+
+    text = "".join(r["line"] for r in notes["tree_json"].orderBy("place", "part", "ord").collect())
+    assert json.loads(text)["children"][0]["children"][0]["title"] == "deep"
     assert pipeline.envelope(notes, "s", "r").first()["tags"] == ["b", "deep", "no", "yes"]
 
 
