@@ -323,7 +323,7 @@ def bits(counts: np.ndarray) -> np.ndarray:
 def _runs(parts: list[tuple[str, str, bytes]], cost: np.ndarray) -> Iterator[tuple[str, list[tuple[str, bytes]], float]]:
     """Neighbouring stretches of one verdict: prose, code, link, suspect or table (a suspect table)."""
     last, run, bits_of_run = None, [], 0.0
-    costs = iter(_costs([code for _, _, code in parts if code], cost))
+    costs = iter(_costs([code.translate(_AMOUNT) for _, _, code in parts if code], cost))
     for kind, source, code in parts:
         b = next(costs) if code else 0.0
         verdict = "code" if kind == "code" or not code else _verdict(source, code, b / len(code))
@@ -339,22 +339,21 @@ def _runs(parts: list[tuple[str, str, bytes]], cost: np.ndarray) -> Iterator[tup
         yield last, run, bits_of_run
 
 
+# To the model an amount of money is a number: sentences may hold one.
+_AMOUNT = bytes.maketrans(bytes([C["price"]]), bytes([C["num"]]))
 _MARKS = [C[k] for k in ("comma", "end", "sep", "colon", "bracket", "bullet", "symbol")]
 _FUNCTION = [C[k] for k in ("det", "prep", "conj", "other", "jparticle")]
 
 
 def _verdict(source: str, code: bytes, mean: float) -> str:
+    """The model decides first what is no prose; counts only tell of what kind it then is."""
+    if LOW_BITS <= mean <= HIGH_BITS:
+        return "prose"
     urls, tags = code.count(C["url"]), code.count(C["tag"])
     if urls:
         words = len(code.translate(None, bytes([C["url"], C["symbol"], C["bullet"], C["sep"], C["end"], C["bracket"], C["num"]])))
         # A link with at most a title is a link; a link beside a sentence is a reference.
         return "prose" if code.count(C["end"]) >= urls and words >= 4 * urls and code.count(C["offer"]) * 6 <= words else "link"
-    if tags * 5 >= len(code) and tags:
-        return "tag"
-    if code.count(C["price"]) or (mean > HIGH_BITS and _CURRENCY.search(source)):
-        return "goods"
-    if LOW_BITS <= mean <= HIGH_BITS:
-        return "prose"
     # A sentence about a tool, a sentence in quotes and the like cost more bits, but stay sentences.
     words = len(code) - sum(map(code.count, _MARKS))
     spoken = C["end"] in code and sum(map(code.count, _FUNCTION)) >= 2 and code.count(C["offer"]) * 6 <= words
@@ -362,6 +361,10 @@ def _verdict(source: str, code: bytes, mean: float) -> str:
         said = [w.lower() for w in _WORD.findall(source)]
         if len(set(said)) * 10 >= min(len(said), 40) * 6:
             return "prose"
+    if tags * 5 >= len(code) and tags:
+        return "tag"
+    if code.count(C["price"]) or (mean > HIGH_BITS and _CURRENCY.search(source)):
+        return "goods"
     return "suspect"
 
 

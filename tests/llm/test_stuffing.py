@@ -67,3 +67,15 @@ def test_table(spark):
     verdicts = S.stuffed_documents(frame)
     assert verdicts.count() == frame.count() and rows(verdicts.where("doc_id = 900"), "chars", "stuffed") == [(0, False)]
     assert S.stuffed_ids(frame.limit(0)).count() == 0
+
+
+def test_prices_in_sentences():
+    cost, reader = model(), S.Reader()
+    page = "\n".join((
+        "The course costs $20 and starts in May.", "A ticket for the museum is 15€, and the guide shows the old kiln.", "We paid $30 for a lamp because it is in the choir for years.",
+        "The school asks £12 for each lesson, but the first draft is read without a fee.", "They have a room for $90 in the old town, and the tea is in the price.",
+    ))
+    found = S.judge(page, cost, reader)
+    assert found["goods"] == 0 and not S.is_stuffed(found)
+    goods = "\n".join(f"{phrase()} SKU A{i} ${i}.99 in stock" for i in range(20))
+    assert S.judge(goods, cost, reader)["goods"] > 0.8 * len(goods.replace("\n", ""))
