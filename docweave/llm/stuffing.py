@@ -5,9 +5,9 @@ content words by shape, numbers, links, tags, prices, and the punctuation
 between them.  A trigram model of such sequences is trained on the sentences
 of the whole corpus.  A stretch of text whose perplexity under the model lies
 above that of prose, or so far below it that it must repeat itself, is no
-prose.  What is no prose counts as stuffing if it consists of links to other
-sites, tags or goods, or if it shows that it was written for search engines:
-its phrases come with offers ("cheap", "near me") or come again and again.
+prose; nor is a longer one without any function word.  What is no prose counts as stuffing if it consists of links to other
+sites, tags or goods, or if its words come again and again, more than those of
+an outline of that length do; offers ("cheap", "near me") are further evidence.
 A page is flagged if most of its characters are stuffing.
 """
 
@@ -69,6 +69,10 @@ STRETCH = 8
 OFFER_SHARE = 0.08
 #: Share of words already said from which a run of at least so many words is stuffing.
 REPEAT_SHARE, REPEAT_WORDS = 0.85, 60
+#: Different words that as many words as LEAST_WORDS or more have in keyword lists at most: RICHNESS * words ** GROWTH.
+LEAST_WORDS, RICHNESS, GROWTH = 30, 2.2, 0.6
+#: Words without a function word from which a stretch is no prose, whatever its bits.
+BARE_WORDS = 12
 #: Share of a run's words that must be among the keywords found elsewhere in the text.
 SHARED = 0.8
 #: Share of a text's characters from which the page is flagged.
@@ -347,16 +351,17 @@ _FUNCTION = [C[k] for k in ("det", "prep", "conj", "other", "jparticle")]
 
 def _verdict(source: str, code: bytes, mean: float) -> str:
     """The model decides first what is no prose; counts only tell of what kind it then is."""
-    if LOW_BITS <= mean <= HIGH_BITS:
+    words = len(code) - sum(map(code.count, _MARKS))
+    functions = sum(map(code.count, _FUNCTION))
+    if LOW_BITS <= mean <= HIGH_BITS and (functions or words < BARE_WORDS):
         return "prose"
     urls, tags = code.count(C["url"]), code.count(C["tag"])
     if urls:
-        words = len(code.translate(None, bytes([C["url"], C["symbol"], C["bullet"], C["sep"], C["end"], C["bracket"], C["num"]])))
+        beside = len(code.translate(None, bytes([C["url"], C["symbol"], C["bullet"], C["sep"], C["end"], C["bracket"], C["num"]])))
         # A link with at most a title is a link; a link beside a sentence is a reference.
-        return "prose" if code.count(C["end"]) >= urls and words >= 4 * urls and code.count(C["offer"]) * 6 <= words else "link"
+        return "prose" if code.count(C["end"]) >= urls and beside >= 4 * urls and code.count(C["offer"]) * 6 <= beside else "link"
     # A sentence about a tool, a sentence in quotes and the like cost more bits, but stay sentences.
-    words = len(code) - sum(map(code.count, _MARKS))
-    spoken = C["end"] in code and sum(map(code.count, _FUNCTION)) >= 2 and code.count(C["offer"]) * 6 <= words
+    spoken = C["end"] in code and functions >= 2 and code.count(C["offer"]) * 6 <= words
     if spoken and mean <= HIGHEST_BITS:
         said = [w.lower() for w in _WORD.findall(source)]
         if len(set(said)) * 10 >= min(len(said), 40) * 6:
@@ -368,6 +373,24 @@ def _verdict(source: str, code: bytes, mean: float) -> str:
     return "suspect"
 
 
+def _words(run: list[tuple[str, bytes]]) -> list[str]:
+    words: list[str] = []
+    for s, _ in run:
+        words += _JRUN.findall(s) if _KANA.search(s) else [w.lower() for w in _WORD.findall(s)]
+    return words
+
+
+def _repetitive(words: list[str]) -> bool:
+    """Few different words for so many; a number belongs to the word before it: lesson 1 and lesson 2 differ."""
+    said: list[str] = []
+    for w in words:
+        if said and w.isdigit():
+            said[-1] += " " + w
+        else:
+            said.append(w)
+    return len(said) >= LEAST_WORDS and len(set(said)) <= RICHNESS * len(said) ** GROWTH
+
+
 def judge(text: str, cost: np.ndarray, reader: Reader) -> dict[str, float]:
     """Characters of a text by what they are (``chars`` is all but layout), and its bits per class."""
     out = dict.fromkeys(("chars", "prose", "code", "link", "tag", "goods", "suspect", "table", "keyword"), 0)
@@ -375,6 +398,7 @@ def judge(text: str, cost: np.ndarray, reader: Reader) -> dict[str, float]:
     near = False  # the run before was stuffing
     runs = list(_runs(reader.stretches(text), cost))
     open_: list[tuple[int, list[str]]] = []
+    unlinked: list[tuple[str, bytes]] = []  # stretches of open runs without links to pages of the vault
     keywords: set[str] = set()
     for at, (verdict, run, b) in enumerate(runs):
         size = sum(len(s) for s, _ in run)
@@ -382,9 +406,7 @@ def judge(text: str, cost: np.ndarray, reader: Reader) -> dict[str, float]:
         all_bits += b
         all_n += sum(len(c) for _, c in run)
         if verdict in ("suspect", "table"):
-            words: list[str] = []
-            for s, _ in run:
-                words += _JRUN.findall(s) if _KANA.search(s) else [w.lower() for w in _WORD.findall(s)]
+            words = _words(run)
             offers = sum(c.count(C["offer"]) for _, c in run)
             beside = near or (at + 1 < len(runs) and runs[at + 1][0] in ("tag", "goods"))
             repeated = len(words) >= REPEAT_WORDS and 1 - len(set(words)) / len(words) >= REPEAT_SHARE
@@ -393,8 +415,14 @@ def judge(text: str, cost: np.ndarray, reader: Reader) -> dict[str, float]:
                 keywords.update(words)
             elif verdict == "suspect":
                 open_.append((size, words))
+                unlinked += [x for x in run if C["node"] not in x[1]]
         out[verdict] += size
         near = verdict in ("keyword", "tag", "goods")
+    if _repetitive(_words(unlinked)):
+        size = sum(len(s) for s, _ in unlinked)
+        out["suspect"] -= size
+        out["keyword"] += size
+        open_ = []
     for size, words in open_:  # the same keywords without an offer
         if words and sum(w in keywords for w in words) >= SHARED * len(words):
             out["suspect"] -= size

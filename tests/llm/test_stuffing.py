@@ -79,3 +79,19 @@ def test_prices_in_sentences():
     assert found["goods"] == 0 and not S.is_stuffed(found)
     goods = "\n".join(f"{phrase()} SKU A{i} ${i}.99 in stock" for i in range(20))
     assert S.judge(goods, cost, reader)["goods"] > 0.8 * len(goods.replace("\n", ""))
+
+
+TOPICS = "lesson garden kitchen travel camera window mountain winter bicycle coffee laptop leather wooden silver running hiking fishing wedding office school music guitar piano drawing painting puppy kitten horse tractor engine battery solar panel floor carpet sofa chair table lamp mirror shelf ring watch phone charger cable".split()
+
+
+def test_keywords_without_offers():
+    cost, reader, r = model(), S.Reader(), random.Random(7)
+    for words, topics in ((50, 10), (100, 20), (200, 50), (400, 50)):
+        phrases = [" ".join(r.sample(TOPICS, 2)) for _ in range(topics)]
+        said = [r.choice(phrases) for _ in range(words // 2)]
+        for page in (", ".join(said), " ".join(said), "\n".join("- " + p for p in said)):
+            assert S.is_stuffed(S.judge(page, cost, reader)), (words, topics, page[:80])
+    # An outline says each of its titles once, linked or not.
+    titles = ["- " + " ".join(r.sample(TOPICS, 3)) for _ in range(15)]
+    for page in ("\n".join(titles), "\n".join(f"- [The slow passages](Atlas/Slow{i}.md)" for i in range(15)), "\n".join(f"- The slow lesson {i}" for i in range(60))):
+        assert not S.is_stuffed(S.judge(page, cost, reader)), page[:80]
