@@ -41,25 +41,24 @@ def front_matter(node_id: Column, kind: Column, parent: Column, children: Column
     return F.concat(head, _block("children", children), _block("prereqs", prereqs), _block("see_also", see_also), tail)
 
 
-def child_digest(edges: DataFrame, summaries: DataFrame, tree: str = "map_id", first: int = 20) -> DataFrame:
-    """Titles and summaries of the first children of a node, one line each; the number of lines is bounded."""
-    ranked = edges.where(F.col("ord") < first).join(summaries, [tree, "node_id"], "left")
+def child_digest(edges: DataFrame, summaries: DataFrame, tree: str = "map_id") -> DataFrame:
+    """Titles and summaries of all children of a node, one line each, in order."""
+    ranked = edges.join(summaries, [tree, "node_id"], "left")
     line = F.concat(F.lit("- "), F.coalesce("title", F.lit("Untitled")), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), F.col("summary"))).otherwise(F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("l"))))
     return ranked.groupBy(tree, F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("digest"))
 
 
-def assemble(typed: DataFrame, edges: DataFrame, see_also: DataFrame, prereqs: DataFrame, bodies: DataFrame, folder: Column, model: str, run: Column, tree: str = "map_id", children_shown: int = 1000) -> DataFrame:
+def assemble(typed: DataFrame, edges: DataFrame, see_also: DataFrame, prereqs: DataFrame, bodies: DataFrame, folder: Column, model: str, run: Column, tree: str = "map_id") -> DataFrame:
     """One synthetic note per node: ``tree, node_id, element_id, markdown``.
 
     ``typed`` holds the walked nodes with ``ntype``; ``see_also`` and
     ``prereqs`` arrays of ids; ``bodies`` texts.  A body without a heading gets
-    the title.  Front matter lists the first ``children_shown`` children; the
-    complete list is in the edges.
+    the title.  Front matter lists all children; a note is one value, so its size
+    follows the number of its children.
     """
     links = typed.select(tree, "node_id", page_link(folder, F.col("title")).alias("link"))
-    first = edges.withColumn("_k", F.col("ord")).where(F.col("_k") < children_shown).join(links, [tree, "node_id"])
-    kids = first.groupBy(tree, F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "link"))), lambda x: x["link"]).alias("kids"))
+    kids = edges.join(links, [tree, "node_id"]).groupBy(tree, F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "link"))), lambda x: x["link"]).alias("kids"))
 
     def linked(lists: DataFrame, name: str) -> DataFrame:
         rows = lists.select(tree, F.col("node_id").alias("_n"), F.posexplode(name).alias("_i", "node_id")).join(links, [tree, "node_id"])

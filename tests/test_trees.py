@@ -155,3 +155,18 @@ def test_place_of_ids_that_extend_each_other(spark):
     nodes = spark.createDataFrame([(1, "r", None, 0, 0, "R", "1", None), (1, "a", "r", 1, 0, "a", "1", None), (1, "a-b", "r", 1, 0, "b", "1", None), (1, "c", "a", 2, 0, "c", "1", None)], NODES)
     walked = T.walk(T.live_nodes(nodes))
     assert [r["node_id"] for r in walked.orderBy("place").collect()] == ["r", "a", "c", "a-b"]
+
+
+def test_notes_hold_all_children(spark):
+    n = 1100
+    nodes = spark.createDataFrame([(1, "r", None, 0, 0, "Root", "1", None)] + [(1, f"c{i:04}", "r", 1, i, f"Child {i:04}", "1", None) for i in range(n)], NODES)
+    walked = T.walk(T.live_nodes(nodes))
+    edges = T.children(walked)
+    summaries = walked.select("map_id", "node_id", "title", F.concat(F.lit("about "), "node_id").alias("summary"))
+    (digest,) = rows(N.child_digest(edges, summaries), "digest")
+    assert digest[0].split("\n") == [f"- Child {i:04}: about c{i:04}" for i in range(n)]
+    none = walked.select("map_id", "node_id", F.array().cast("array<string>").alias("prereqs"))
+    bodies = walked.select("map_id", "node_id", F.lit("# T").alias("body"))
+    notes = N.assemble(T.node_types(walked), edges, T.see_also(walked), none, bodies, F.lit("Map"), "m", F.lit("run"))
+    text = notes.where("node_id = 'r'").first()["markdown"]
+    assert text[text.index("children:") : text.index("\nprereqs:")].split("\n")[1:] == [f"  - Map/Child{i:04}.md" for i in range(n)]
