@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import camel, section
+from docweave.operators import trees as T
+from docweave.session import cut
 
 # Closing blocks of a note, as the note viewer reads them.
 _CLOSING = """## {title}
@@ -75,3 +79,25 @@ def assemble(typed: DataFrame, edges: DataFrame, see_also: DataFrame, prereqs: D
     front = front_matter(F.col("node_id"), F.col("ntype"), F.col("parent_link"), F.coalesce("kids", empty), F.coalesce("prereqs", empty), F.coalesce("see_also", empty), section(body, "Summary"), F.lit(model), run)
     text = F.concat(front, F.lit("\n"), body, F.lit("\n\n"), F.lit(PREREQS_BLOCK), F.lit(SEE_ALSO_BLOCK))
     return joined.select(tree, "node_id", F.concat(F.lit("note::"), "node_id").alias("element_id"), "ntype", text.alias("markdown"))
+
+
+def write_notes(walked: DataFrame, folders: DataFrame | None, folder: Column, asked: Callable[..., DataFrame], model: str, run: Column, tree: str = "map_id") -> DataFrame:
+    """Notes of all nodes: leaves from their path, branches from the summaries of their children, prerequisites of leaves as picked.
+
+    ``folder`` is an expression over the walked nodes and ``folders`` (one row
+    per tree, or none); ``asked`` has the arguments of ``ask``.
+    """
+    typed = T.node_types(walked, tree) if folders is None else T.node_types(walked, tree).join(folders, tree)
+    typed = cut(typed.withColumn("shown", F.coalesce("title", F.lit("Untitled"))).withColumn("where_", F.array_join("path", " / ")).withColumn("none", F.lit("")))
+    edges = cut(T.children(walked, tree))
+    leaves = cut(asked(typed.where("ntype = 'leaf'"), [tree, "node_id"], ["shown", "where_", "none"], "leaf_note", "body"))
+    titles = typed.select(tree, "node_id", "title")
+    summaries = titles.join(leaves.select(tree, "node_id", section("body", "Summary").alias("summary")), [tree, "node_id"], "left")
+    digests = child_digest(edges, summaries, tree)
+    inner = typed.where("ntype <> 'leaf'").join(digests, [tree, "node_id"], "left")
+    branches = asked(inner, [tree, "node_id"], ["shown", "where_", "digest"], "branch_note", "body")
+    candidates = T.prereq_candidates(walked, tree).join(typed.where("ntype = 'leaf'").select(tree, "node_id"), [tree, "node_id"], "left_semi")
+    picks = asked(candidates, [tree, "node_id"], ["node_id", "candidates"], "pick_prereqs", "picked", "array<string>").select(tree, "node_id", F.posexplode("picked").alias("ord", "pick"))
+    chosen = T.valid_picks(picks, walked, tree)
+    prereqs = cut(chosen.groupBy(tree, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pick"))), lambda x: x["pick"]).alias("prereqs")))
+    return assemble(typed, edges, T.see_also(walked, prereqs, tree), prereqs, leaves.unionByName(branches), folder, model, run, tree)

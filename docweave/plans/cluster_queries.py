@@ -12,7 +12,6 @@ from docweave.operators.chunks import chunk_texts, chunk_top_paths
 from docweave.operators import clusters as K
 from docweave.operators import concepts as P
 from docweave.operators import notes as N
-from docweave.operators import trees as T
 from docweave.plans.block_queries import LIVE
 from docweave.plans.text_queries import _PACK, _packed
 from docweave.plans.tree_queries import WALK, _walk
@@ -95,15 +94,10 @@ def model_bullets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def notes_front_matter(spark: SparkSession, root: str) -> DataFrame:
-    """A note for every node, with the bodies of the default backend."""
+    """A note for every node, as the plans write them: leaves, digests of children, branches, picked prerequisites of leaves."""
     maps = table(spark, root, "maps", ["map_id", "run_name"])
-    walked = _walk(spark, root)
-    typed = T.node_types(walked).join(maps, "map_id").withColumn("where_", F.array_join("path", " / ")).withColumn("none", F.lit("")).withColumn("shown", F.coalesce("title", F.lit("Untitled")))
-    edges = T.children(walked)
-    bodies = ask(typed, ["map_id", "node_id"], ["shown", "where_", "none"], "leaf_note", "body")
-    candidates = T.prereq_candidates(walked)
-    prereqs = candidates.select("map_id", "node_id", F.slice("candidates", 1, 5).alias("prereqs"))
-    return N.assemble(typed, edges, T.see_also(walked, prereqs), prereqs, bodies, camel("run_name"), "extractive", F.lit("run")).select("map_id", "node_id", "ntype", F.md5("markdown").alias("md5"))
+    notes = N.write_notes(_walk(spark, root), maps, camel("run_name"), ask, "extractive", F.lit("run"))
+    return notes.select("map_id", "node_id", "ntype", F.md5("markdown").alias("md5"))
 
 
 def trace_events(spark: SparkSession, root: str) -> DataFrame:

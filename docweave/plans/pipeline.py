@@ -25,7 +25,6 @@ from docweave.operators import notes as N
 from docweave.operators import trees as T
 from docweave.plans.artifacts import Store, Trace
 from docweave.plans.config import Options
-from docweave.session import cut
 from docweave.sources import files, markdown
 
 DOC = "doc_id"
@@ -151,19 +150,7 @@ def run(
 
 def _notes(nodes: DataFrame, name: str, asked: Callable[..., DataFrame], run_id: str) -> DataFrame:
     """Notes of all nodes as their first content: leaves from their path, branches from the summaries of their children."""
-    typed = cut(T.node_types(nodes, DOC).withColumn("shown", F.coalesce("title", F.lit("Untitled"))).withColumn("where_", F.array_join("path", " / ")).withColumn("none", F.lit("")))
-    edges = cut(T.children(nodes, DOC))
-    leaves = asked(typed.where("ntype = 'leaf'"), [DOC, "node_id"], ["shown", "where_", "none"], "leaf_note", "body")
-    titles = typed.select(DOC, "node_id", "title")
-    summaries = titles.join(leaves.select(DOC, "node_id", X.section("body", "Summary").alias("summary")), [DOC, "node_id"], "left")
-    digests = N.child_digest(edges, summaries, DOC)
-    inner = typed.where("ntype <> 'leaf'").join(digests, [DOC, "node_id"], "left")
-    branches = asked(inner, [DOC, "node_id"], ["shown", "where_", "digest"], "branch_note", "body")
-    candidates = T.prereq_candidates(nodes, DOC).join(typed.where("ntype = 'leaf'").select(DOC, "node_id"), [DOC, "node_id"], "left_semi")
-    picks = asked(candidates, [DOC, "node_id"], ["node_id", "candidates"], "pick_prereqs", "picked", "array<string>").select(DOC, "node_id", F.posexplode("picked").alias("ord", "pick"))
-    chosen = T.valid_picks(picks, nodes, DOC)
-    prereqs = chosen.groupBy(DOC, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pick"))), lambda x: x["pick"]).alias("prereqs"))
-    notes = N.assemble(typed, edges, T.see_also(nodes, prereqs, DOC), prereqs, leaves.unionByName(branches), X.camel(F.lit(name)), "extractive", F.lit(run_id), DOC)
+    notes = N.write_notes(nodes, None, X.camel(F.lit(name)), asked, "extractive", F.lit(run_id), DOC)
     return notes.select(DOC, "node_id", F.lit(-1).cast("long").alias("ord"), "element_id", F.lit("paragraph").alias("type"), F.lit("").alias("element_caption"), "markdown", F.lit(None).cast("string").alias("q"), F.lit(None).cast("string").alias("a"))
 
 

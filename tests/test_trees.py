@@ -1,13 +1,16 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
+from docweave.models.backend import ExtractiveBackend
 from docweave.operators import export as E
 from docweave.operators import links as L
 from docweave.operators import mapping as M
 from docweave.operators import notes as N
 from docweave.operators import ordering as O
 from docweave.operators import trees as T
+from docweave.plans import cluster_queries as Q
 from tests.conftest import rows
 
 NODES = "map_id long, node_id string, parent_id string, depth int, sibling_idx int, title string, created_at string, deleted_at string"
@@ -170,3 +173,16 @@ def test_notes_hold_all_children(spark):
     notes = N.assemble(T.node_types(walked), edges, T.see_also(walked), none, bodies, F.lit("Map"), "m", F.lit("run"))
     text = notes.where("node_id = 'r'").first()["markdown"]
     assert text[text.index("children:") : text.index("\nprereqs:")].split("\n")[1:] == [f"  - Map/Child{i:04}.md" for i in range(n)]
+
+
+def test_note_query_takes_the_path_of_the_plans(spark, tmp_path):
+    n = [(1, "r", None, 0, 0, "Root", "1", None), (1, "a", "r", 1, 0, "Apples", "1", None), (1, "b", "r", 1, 1, "Pears", "1", None), (1, "a1", "a", 2, 0, "Cox", "1", None), (1, "a2", "a", 2, 1, "Elstar", "1", None)]
+    spark.createDataFrame(n, NODES).write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(1, "my run")], "map_id long, run_name string").write.parquet(f"{tmp_path}/maps.parquet")
+    told = {r["node_id"]: r["md5"] for r in Q.notes_front_matter(spark, str(tmp_path)).collect()}
+    assert set(told) == {x[1] for x in n}
+    backend = ExtractiveBackend()
+    branch = backend.branch_note("Apples", "Root / Apples", "- Cox: Cox\n- Elstar: Elstar")
+    front = "---\nid: a\ntype: hub\nparent: MyRun/Root.md\nchildren:\n  - MyRun/Cox.md\n  - MyRun/Elstar.md\nprereqs:\nsee_also:\n  - MyRun/Pears.md\n  - MyRun/Root.md\nsummary: Root / Apples\nmodel: extractive\nrun_id: run\n---"
+    note = f"{front}\n{branch}\n\n{N.PREREQS_BLOCK}{N.SEE_ALSO_BLOCK}"
+    assert told["a"] == hashlib.md5(note.encode()).hexdigest()
