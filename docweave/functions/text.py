@@ -139,3 +139,19 @@ def unwrap_fence(c: Column | str) -> Column:
 def first_filled(*columns: Column | str) -> Column:
     """The first text that is not blank; null if all are."""
     return F.coalesce(*[F.when(strip(c) != "", _col(c)) for c in columns])
+
+
+# What stands before the root of an HTML page: marks, blanks, declarations, comments.
+_PAGE = r"(?is)\A[\s\x{FEFF}\x{A0}]*(?>(?><\?xml[^>]*>|<!--.*?-->)\s*)*+<(?:!doctype\s+html|html|head|body)(?=[\s/>])"
+_FENCED = r"(?ms)^ {0,3}```.*?^ {0,3}```[ \t\r]*$"
+_CUE = r"(?m)^[ \t\x{FEFF}]*(?:\d+:)?\d{1,2}:\d{2}(?:[.,]\d+)?[ \t]*-->[ \t]*(?:\d+:)?\d{1,2}:\d{2}"
+
+
+def is_html_page(text: Column) -> Column:
+    """A page that begins with a doctype or an HTML root, in any case, after a byte-order mark, blanks and comments."""
+    return text.rlike(_PAGE)
+
+
+def is_subtitles(text: Column) -> Column:
+    """A text with the times of a cue on a line of their own, outside fenced code."""
+    return F.regexp_replace(text, _FENCED, "").rlike(_CUE)

@@ -56,7 +56,8 @@ def chunk_export(spark: SparkSession, root: str) -> DataFrame:
 
 def read_markdown_blocks(spark: SparkSession, root: str) -> DataFrame:
     """Blocks of all Markdown notes among the documents."""
-    return R.markdown_blocks(table(spark, root, "documents", ["doc_id", "text"]).where("text is not null and not text like '%-->%' and not text like '<html%'"))
+    documents = table(spark, root, "documents", ["doc_id", "text"]).where("text is not null")
+    return R.markdown_blocks(documents.where(~X.is_html_page(F.col("text")) & ~X.is_subtitles(F.col("text"))))
 
 
 def read_question_guides(spark: SparkSession, root: str) -> DataFrame:
@@ -69,7 +70,8 @@ def read_outlines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_html(spark: SparkSession, root: str) -> DataFrame:
-    return R.html_markdown(table(spark, root, "documents", ["doc_id", "text"]).where("text like '<html%'"))
+    """Markdown of all HTML pages among the documents."""
+    return R.html_markdown(table(spark, root, "documents", ["doc_id", "text"]).where(X.is_html_page(F.col("text"))))
 
 
 def subtitle_clean(spark: SparkSession, root: str) -> DataFrame:

@@ -308,7 +308,7 @@ def html_to_markdown(text: str | None) -> str | None:
         return None
     reader = _ToMarkdown()
     # An angle that is never closed is text; the parser would look for its end again and again.
-    reader.feed(re.sub(r"<(?!!--)(?![^<>]*>)", "&lt;", text))
+    reader.feed(re.sub(r"<(?!!--)(?![^<>]*>)", "&lt;", text.lstrip("\ufeff")))
     reader.close()
     return re.sub(r"\n[ \t]*(?:\n[ \t]*)+", "\n\n", re.sub(r"(?<! ) (?=\n)", "", "".join(reader.out))).strip()
 

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import text as X
 from docweave.models.backend import ExtractiveBackend, Limiter, ask, call
 from docweave.operators import clusters as K
 from docweave.plans import config, pipeline
+from docweave.plans import text_queries as Q
 from docweave.plans.artifacts import Store, Trace
 from docweave.sources import files
 from docweave.sources import markdown as R
@@ -183,3 +185,16 @@ def test_long_odd_texts_take_linear_time():
             began = time.time()
             read(text)
             assert time.time() - began < 5, (p, read)
+
+
+def test_pages_and_notes_are_told_apart(spark, tmp_path):
+    body = "<body><p>a</p></body></html>"
+    pages = [f"<html>{body}", f"﻿<html>{body}", f"<!DOCTYPE html>\n<html lang='en'>{body}", f"\n  <HTML>{body}", f"﻿\r\n<!doctype HTML PUBLIC 'x'><html>{body}", f"<?xml version='1.0'?>\n<!-- made --><!-- so -->\n<html>{body}"]
+    notes = ["# A\n\nx <!-- hidden --> y", "# A\n\nin --> out", "# A\n\n```\n1\n00:00:01,000 --> 00:00:02,000\nx\n```\n", "﻿# A", "<!-- a -->\n\n# A", "Text on <html> and <body>."]
+    cues = ["1\n00:00:01,000 --> 00:00:02,000\nx", "WEBVTT\n\n00:01.000 --> 00:02.000 align:start\nx", "﻿00:00:01.000 --> 00:00:02.000\r\nx"]
+    spark.createDataFrame([*enumerate(pages + notes + cues), (99, None), (98, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    read = Q.read_html(spark, str(tmp_path))
+    assert rows(read) == [(i, "a") for i in range(len(pages))]
+    assert {r[0] for r in rows(Q.read_markdown_blocks(spark, str(tmp_path)), "doc_id")} == {len(pages) + i for i in range(len(notes))}
+    many = spark.createDataFrame([(1, "<!-- x -->" * 20000 + "z"), (2, "```\n" * 20001), (3, "00:00" * 50000)], "doc_id long, text string")
+    assert rows(many.select("doc_id", X.is_html_page(F.col("text")), X.is_subtitles(F.col("text")))) == [(1, False, False), (2, False, False), (3, False, False)]
