@@ -19,7 +19,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,7 +128,7 @@ def _tokens(text: str) -> list[str]:
     return [w.replace("’", "'") for w in _TOKEN.findall(text.lower())]
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
+def _lcs(a: Sequence[str], b: Sequence[str]) -> int:
     """Length of the longest common subsequence, by bit vectors: one word operation per token of ``b``."""
     where: dict[str, int] = {}
     for i, w in enumerate(a):
@@ -164,28 +164,25 @@ def is_empty(answer: str | None) -> bool:
 def is_copy(question: str, answer: str) -> bool:
     """The answer gives back the question and adds nothing."""
     q = _tokens(question)
-    if len(q) < 2 or len(answer) > 40 * (len(question) + 40):
-        return False
-    a = _tokens(_LABEL.sub("", _HTML.sub(" ", answer)))
+    a = _tokens(_LABEL.sub("", _HTML.sub(" ", answer))) if q else []
     if not a:
         return False
+    spare = max(min(1, len(q) - 1), LEFT_OVER * len(a))
     shingles = min(SHINGLE, len(q), len(a))
     of_q = {tuple(q[i : i + shingles]) for i in range(len(q) - shingles + 1)}
-    of_a = [tuple(a[i : i + shingles]) for i in range(len(a) - shingles + 1)]
-    inside = sum(s in of_q for s in of_a) / len(of_a)
+    inside = sum(tuple(a[i : i + shingles]) in of_q for i in range(len(a) - shingles + 1)) / (len(a) - shingles + 1)
     if len(a) <= 1.3 * len(q):
         common = _lcs(q, a)
-        return common >= COVERED * len(q) and len(a) - common <= max(1, LEFT_OVER * len(a))
-    # A longer answer may repeat the question: each line or sentence must align with it.
-    if inside < 0.4:
+        return common >= COVERED * len(q) and len(a) - common <= spare
+    # A longer answer may repeat the question: each line or sentence must align with it, and together they cover the question's sentences.
+    if inside < max(0.4, CONTAINMENT * (1 - (shingles - 1) / len(q)) * 0.8):
+        return False
+    parts = Counter(tuple(_tokens(_LABEL.sub("", part))) for part in _SENTENCE.split(answer))
+    if sum(n * (len(words) - _lcs(q, words)) for words, n in parts.items()) > spare:
         return False
-    rest = covered = 0
-    for part in _SENTENCE.split(answer):
-        words = _tokens(_LABEL.sub("", part))
-        common = min(len(words), _lcs(q, words))
-        rest += len(words) - common
-        covered = max(covered, common)
-    return covered >= COVERED * len(q) and rest <= max(1, LEFT_OVER * len(a)) and inside >= CONTAINMENT * (1 - (shingles - 1) / len(q)) * 0.8
+    asked = Counter(tuple(_tokens(part)) for part in _SENTENCE.split(question))
+    covered = sum(n * (len(words) if words in parts else max(_lcs(words, part) for part in parts)) for words, n in asked.items())
+    return covered >= COVERED * len(q)
 
 
 # --- refusal -------------------------------------------------------------

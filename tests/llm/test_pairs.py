@@ -64,3 +64,13 @@ def test_table(spark):
     assert got.columns == ["answer_id", "defect"]
     assert rows(got) == [(1, "empty"), (4, "empty"), (5, "copy"), (6, "empty"), (7, "truncated")]
     assert P.defective_pairs(frame.limit(0)).count() == 0
+
+
+def test_copies_of_any_length():
+    two = "Why does the kiln drain the shared glossary? When does the caption limit the average flow?"
+    for n in (2, 10, 70, 500):
+        assert P.defect(Q, " ".join([Q] * n)) == "copy" and P.defect(two, " ".join([two] * n)) == "copy", n
+    assert P.defect(two, "\n".join(reversed(two.replace("? ", "?|").split("|"))) + "\n" + two) == "copy"
+    assert P.defect("Why?", "Why?") == "copy" and P.defect("Why?", "why? Why?") == "copy"
+    for question, answer in (("Why?", "Because."), ("Kilns?", "Kilns, yes."), ("Why?", "Why, why not?"), ("?", "Yes."), (two, two + " The kiln drains it because the bridge deck collects the heading path.")):
+        assert P.defect(question, answer) is None, (question, answer)
