@@ -114,7 +114,8 @@ NEVER_LAST = set("the an and or of their its every und oder dass et ou le les el
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 _FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 _FENCED = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
-_IMAGE = re.compile(r"!\[[^\[\]]*\]\([^()]{0,2000}\)")
+_IMAGE = re.compile(r"!\[[^\[\]]*\]\([^()]*\)")
+_IMAGE_START = re.compile(r"!\[[^\[\]]*\]\(")
 _HTML = re.compile(r"<!--(?:(?!<!--).)*?-->|</?[a-zA-Z][^<>]*>", re.S)
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\"”\n]*[“\"”]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -361,7 +362,7 @@ def is_truncated(answer: str) -> bool:
     bare = re.sub(r"[*_`]+$", "", body).rstrip()
     if not bare:
         return False
-    if bare.endswith(")") and _IMAGE.search(bare[-400:]):
+    if bare.endswith(")") and "![" in bare and _IMAGE_START.match(bare, bare.rindex("![")):
         return False
     closed = bare.rstrip("\"'”»’)]")
     if not closed:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from docweave.llm import pairs as P
@@ -74,3 +76,14 @@ def test_copies_of_any_length():
     assert P.defect("Why?", "Why?") == "copy" and P.defect("Why?", "why? Why?") == "copy"
     for question, answer in (("Why?", "Because."), ("Kilns?", "Kilns, yes."), ("Why?", "Why, why not?"), ("?", "Yes."), (two, two + " The kiln drains it because the bridge deck collects the heading path.")):
         assert P.defect(question, answer) is None, (question, answer)
+
+
+def test_closing_images_of_any_length():
+    for target in ("x.png", "media/" + "long-name/" * 60 + "x.png", "data:image/png;base64," + "iVBORw0KGgo" * 3000, "media/plate_(1).png"):
+        for head in ("The kiln drains the shared glossary in small steps. ", "It does.\n\n", "The kiln drains the glossary, and the caption limits it in small steps.\n- "):
+            assert P.defect(Q, f"{head}![A picture of the kiln]({target})") is None, (head, target[:40])
+    assert P.defect(Q, "It does. ![A picture](" + "a" * 3000) == "truncated"
+    began = time.time()
+    P.defect(Q, "![a](" * 40000 + ")" * 40000)
+    P.defect(Q, "![" * 100000 + ")")
+    assert time.time() - began < 5
