@@ -81,7 +81,7 @@ def orphan_references(child: DataFrame, references: list[tuple[Reference, DataFr
     return _marked(child, references).select(*first.row_id, "field", "reason").distinct()
 
 
-def orphan_cascade(nodes: DataFrame, refs: DataFrame, node_ref: Reference, into_nodes: Reference, others: list[tuple[Reference, DataFrame]], more: list[tuple[DataFrame, Reference, DataFrame]] | None = None, max_rounds: int = 1000) -> DataFrame:
+def orphan_cascade(nodes: DataFrame, refs: DataFrame, node_ref: Reference, into_nodes: Reference, others: list[tuple[Reference, DataFrame]], more: list[tuple[DataFrame, Reference, DataFrame]] | None = None) -> DataFrame:
     """Direct and inherited orphans of a self-referencing table and of a table that points into it.
 
     Result: ``table``, ``scope``, ``id``, ``field``, ``kind`` (direct or
@@ -103,7 +103,7 @@ def orphan_cascade(nodes: DataFrame, refs: DataFrame, node_ref: Reference, into_
     orphaned = cut(direct_nodes.select("_scope", "_id", "reason", F.lit(0).alias("level"), "made_at"))
     edges = cut(edges)
     wave, level = orphaned, 0
-    while level < max_rounds:
+    while True:
         level += 1
         parents = wave.select("_scope", F.col("_id").alias("_parent"))
         wave = (

@@ -7,14 +7,16 @@ a tree of any width is spread over all tasks; nothing collects a tree.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import ids
 from docweave.session import cut
 
-#: Levels after which a walk stops; a deeper tree is an error in the data.
-MAX_DEPTH = 100
+#: Levels after which a walk cuts its plan and looks for nodes that are their own ancestors, again and again.
+LEVELS = 100
 #: Between the steps of a place; it sorts before every character of an id, so children follow their parent at once.
 STEP = "\x01"
 
@@ -39,6 +41,7 @@ def walk(nodes: DataFrame, tree: str = "map_id") -> DataFrame:
     Adds ``level`` (0 at a root), ``path`` (titles from the root) and
     ``place``, a string whose order within a tree is the preorder: siblings by
     their index, ties by node id.  Nodes that hang on no root are left out.
+    A tree may be of any depth; a node below itself is an error.
     """
     base = cut(nodes.select(tree, "node_id", "parent_id", "sibling_idx", "title"))
     level = cut(
@@ -48,7 +51,7 @@ def walk(nodes: DataFrame, tree: str = "map_id") -> DataFrame:
     )
     rest = base.where("parent_id is not null")
     done = level
-    for depth in range(1, MAX_DEPTH + 1):
+    for depth in count(1):
         above = level.select(tree, F.col("node_id").alias("parent_id"), F.col("path").alias("_path"), F.col("place").alias("_place"))
         level = rest.join(above, [tree, "parent_id"]).select(
             tree,
@@ -64,6 +67,11 @@ def walk(nodes: DataFrame, tree: str = "map_id") -> DataFrame:
         if level.isEmpty():
             break
         done = done.unionByName(level)
+        if depth % LEVELS == 0:
+            done = cut(done)
+            steps = F.split("place", STEP)
+            if not level.where(F.size(F.array_distinct(steps)) < F.size(steps)).isEmpty():
+                raise ValueError("a node is its own ancestor")
     return done
 
 

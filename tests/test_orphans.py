@@ -1,3 +1,4 @@
+import inspect
 from datetime import datetime as D
 
 from docweave.operators.orphans import orphan_cascade, orphan_references, orphan_report
@@ -67,3 +68,12 @@ def test_empty(spark):
     assert rows(orphan_cascade(nodes, refs, NODE_TO_NODE, REF_TO_NODE, [(REF_TO_BLOCK, blocks)])) == []
     some = tables(spark)[0]
     assert {r[2] for r in rows(orphan_references(some, [(REF_TO_BLOCK, blocks), (REF_TO_NODE, nodes)]))} == {"missing"}
+
+
+def test_cascade_has_no_last_round(spark):
+    assert "max_rounds" not in inspect.signature(orphan_cascade).parameters
+    refs, blocks, _ = tables(spark)
+    n = 12
+    nodes = spark.createDataFrame([(1, f"n{i}", f"n{i - 1}" if i else "lost", T1, None, None) for i in range(n)], NODES)
+    out = orphan_cascade(nodes, refs, NODE_TO_NODE, REF_TO_NODE, [(REF_TO_BLOCK, blocks)])
+    assert rows(out.where("table = 'nodes'"), "id", "level") == sorted([(f"n{i}", i) for i in range(n)], key=repr)

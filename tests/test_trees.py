@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.models.backend import ExtractiveBackend
@@ -186,3 +187,16 @@ def test_note_query_takes_the_path_of_the_plans(spark, tmp_path):
     front = "---\nid: a\ntype: hub\nparent: MyRun/Root.md\nchildren:\n  - MyRun/Cox.md\n  - MyRun/Elstar.md\nprereqs:\nsee_also:\n  - MyRun/Pears.md\n  - MyRun/Root.md\nsummary: Root / Apples\nmodel: extractive\nrun_id: run\n---"
     note = f"{front}\n{branch}\n\n{N.PREREQS_BLOCK}{N.SEE_ALSO_BLOCK}"
     assert told["a"] == hashlib.md5(note.encode()).hexdigest()
+
+
+def test_walk_of_any_depth(spark):
+    n = 104
+    chain = spark.createDataFrame([(1, f"n{i:03}", f"n{i - 1:03}" if i else None, i, 0, f"T{i}", "1", None) for i in range(n)], NODES)
+    walked = T.walk(T.live_nodes(chain))
+    assert [r["node_id"] for r in walked.orderBy("place").collect()] == [f"n{i:03}" for i in range(n)]
+
+
+def test_walk_ends_on_a_node_below_itself(spark):
+    loop = spark.createDataFrame([(1, "r", None, 0, 0, "R", "1", None), (1, "a", "r", 1, 0, "A", "1", None), (1, "b", "a", 2, 0, "B", "1", None), (1, "a", "b", 3, 0, "A", "1", None)], NODES)
+    with pytest.raises(ValueError, match="ancestor"):
+        T.walk(loop)
