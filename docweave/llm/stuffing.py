@@ -1,20 +1,23 @@
 """Pages made of repeated keywords, link lists, tags or goods lines.
 
 Every text is read as a sequence of word classes: function words by kind,
-content words by shape, numbers, links, tags, prices, and the punctuation
-between them.  A trigram model of such sequences is trained on the sentences
-of the whole corpus.  A stretch of text whose perplexity under the model lies
-above that of prose, or so far below it that it must repeat itself, is no
-prose; nor is a longer one without any function word.  What is no prose counts as stuffing if it consists of links to other
-sites, tags or goods, or if its words come again and again, more than those of
-an outline of that length do; offers ("cheap", "near me") are further evidence.
-A page is flagged if most of its characters are stuffing.
+content words by shape and by how many of them stand since the last function
+word, numbers, links, tags, prices, and the punctuation between them.  A
+trigram model of such sequences is trained on the sentences of the whole
+corpus.  The perplexity of every stretch of text is held against that of the
+sentences: a stretch is no prose if its bits lie further above (or below) the
+mean of the sentences than chance allows for its length.  Only such a stretch
+can be stuffing, and it is if an exact check finds links to other sites, tags,
+goods, or words that come again and again.  A page is flagged if most of its
+characters are stuffing.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,56 +28,70 @@ from pyspark.sql import types as T
 from docweave.session import spread
 
 # Function words by kind, in the languages of the corpus.
-DETERMINERS = """a an the this that these those each every some any no its their his her our my your all both several another
-der die das den dem des ein eine einen einem einer eines dieser diese dieses jeder jede jedes kein keine keinen
-le la les un une des du ce cet cette ces chaque quelques leur leurs son sa ses tout tous toutes
-el los las una unos unas este esta estos estas cada su sus todo todos algunas algunos
-этот эта это эти каждый каждая каждое весь вся все его её их""".split()
-PREPOSITIONS = """of in on at by for with from to into over under after before between during until without about through across along near per as
-von im in am an auf für mit aus zu zum zur nach vor bei über unter zwischen während ohne durch bis um pro ins beim vom
-de à au aux en dans sur par pour avec sans sous entre après avant pendant chez vers près
-del al por para con sin sobre bajo entre tras desde hasta según junto después antes durante
-в во на с со к ко по из от до у о об для без над под при через после между перед возле около""".split()
-CONJUNCTIONS = """and or but if because when while then than so nor once whether although where what which who whose how why
-und oder aber wenn weil dass als ob sondern denn während bevor nachdem wie was wer wo
-et ou mais si parce que quand lorsque donc car ni comme où qui quoi dont
-y e o u pero si porque que cuando mientras sino aunque como donde quien
-и а но или если потому что когда чтобы как где кто чем зачем поэтому затем также""".split()
-OTHERS = """i you he she it we they me him us them is are was were be been has have had do does did will would can could may might must shall should not
-n't isn't don't doesn't it's we've they'd wouldn't won't only also rarely instead exactly there here just more most very later
-ich du er sie es wir ihr ist sind war waren wird werden hat haben kann können soll muss nicht nur auch hier später sich man
-je tu il elle nous vous ils elles on est sont était a ont peut doit ne pas plus aussi ici puis se y
-yo tú él ella nosotros ellos es son era fue ha han puede debe no más también aquí se lo le les luego
-я ты он она оно мы вы они не ни бы был была было были есть будет можно нужно только уже здесь потом сначала позже""".split()
-# Words with which pages advertise.
-OFFERS = """buy cheap free best online review reviews discount deal deals download new pro sale offer offers price prices shop
-top coupon promo 2024 2023 2025 affordable top-rated
-kaufen günstig günstige kostenlos beste bester test sofort angebot angebote bestellen gutschein vergleich rabatt billig
-acheter gratuit gratuite meilleur meilleure avis télécharger promo cher ligne
-comprar barato barata gratis mejor mejores descargar oferta ofertas opiniones descuento precio
-купить дешево дёшево бесплатно лучший отзывы скачать онлайн скидкой скидка заказать цена""".split()
-OFFERS_JA = "無料 通販 割引 安い 人気 比較 激安 おすすめ 口コミ ランキング 格安 最安".split()
-
-CLASSES = "det prep conj other low cap upper num offer url node tag price code comma end sep colon bracket bullet jparticle jcontent symbol line".split()
-C = {name: i for i, name in enumerate(CLASSES)}
-N = len(CLASSES)
-
-#: Bits per class above which a stretch is no prose, and below which it repeats itself.
-HIGH_BITS, LOW_BITS = 3.0, 0.4
-#: Bits up to which a stretch with the make of a sentence still is one.
-HIGHEST_BITS = 9.0
+FUNCTION_WORDS = {
+    "det": {
+        "en": "a an the this that these those each every some any no its their his her our my your all both several another",
+        "de": "der die das den dem des ein eine einen einem einer eines dieser diese dieses jeder jede jedes kein keine keinen",
+        "fr": "le la les un une des du ce cet cette ces chaque quelques leur leurs son sa ses tout tous toutes",
+        "es": "el los las una unos unas este esta estos estas cada su sus todo todos algunas algunos",
+        "ru": "этот эта это эти каждый каждая каждое весь вся все его её их",
+    },
+    "prep": {
+        "en": "of in on at by for with from to into over under after before between during until without about through across along near per as",
+        "de": "von im in am an auf für mit aus zu zum zur nach vor bei über unter zwischen während ohne durch bis um pro ins beim vom",
+        "fr": "de à au aux en dans sur par pour avec sans sous entre après avant pendant chez vers près",
+        "es": "del al por para con sin sobre bajo entre tras desde hasta según junto después antes durante",
+        "ru": "в во на с со к ко по из от до у о об для без над под при через после между перед возле около",
+    },
+    "conj": {
+        "en": "and or but if because when while then than so nor once whether although where what which who whose how why",
+        "de": "und oder aber wenn weil dass als ob sondern denn während bevor nachdem wie was wer wo",
+        "fr": "et ou mais si parce que quand lorsque donc car ni comme où qui quoi dont",
+        "es": "y e o u pero si porque que cuando mientras sino aunque como donde quien",
+        "ru": "и а но или если потому что когда чтобы как где кто чем зачем поэтому затем также",
+    },
+    "other": {
+        "en": "i you he she it we they me him us them is are was were be been has have had do does did will would can could may might must shall should not n't isn't don't doesn't it's we've they'd wouldn't won't only also rarely instead exactly there here just more most very later",
+        "de": "ich du er sie es wir ihr ist sind war waren wird werden hat haben kann können soll muss nicht nur auch hier später sich man",
+        "fr": "je tu il elle nous vous ils elles on est sont était a ont peut doit ne pas plus aussi ici puis se y",
+        "es": "yo tú él ella nosotros ellos es son era fue ha han puede debe no más también aquí se lo le les luego",
+        "ru": "я ты он она оно мы вы они не ни бы был была было были есть будет можно нужно только уже здесь потом сначала позже",
+    },
+}
+
+#: Content words are numbered from the last function word; the last number stands for all further ones.
+PLACES = 6
+LANGUAGES = ("en", "de", "fr", "es", "ru", "ja")
+_FUNCTION_KINDS = (*FUNCTION_WORDS, "jparticle")
+_CLASSES = "num url node tag price code comma semi end sep colon bracket bullet verb symbol break line".split()
+_CONTENT = ("low", "cap", "upper", "cyrillic", "adjective", "jcontent")
+FIRST_CONTENT = len(_FUNCTION_KINDS) + len(_CLASSES)
+C = {name: i for i, name in enumerate((*_FUNCTION_KINDS, *_CLASSES))} | {name: FIRST_CONTENT + PLACES * i for i, name in enumerate(_CONTENT)}
+N = FIRST_CONTENT + PLACES * len(_CONTENT)
+# A function word of one language has a class of its own until the language of its text is known.
+_SPOKEN = {(kind, language): N + len(FUNCTION_WORDS) * i + C[kind] for i, language in enumerate(LANGUAGES[:5]) for kind in FUNCTION_WORDS}
+_SILENT = bytes(c if c < N else (c - N) % len(FUNCTION_WORDS) for c in range(256))
+_VOTES = np.zeros((len(LANGUAGES), 256), dtype=np.int64)
+for (_kind, _language), _code in _SPOKEN.items():
+    _VOTES[LANGUAGES.index(_language), _code] = 1
+_VOTES[LANGUAGES.index("ru"), [C["cyrillic"], C["adjective"], C["verb"]]] = 1
+_VOTES[LANGUAGES.index("ja"), [C["jparticle"], C["jcontent"]]] = 1
+
+#: Standard errors above the mean bits of a sentence from which a stretch is no prose, and below which it repeats itself.
+HIGH_Z, LOW_Z = 2.5, -4.0
+#: Standard errors from which a stretch beside one that is no prose is none either.
+BESIDE_Z = 1.0
 #: Classes in the shortest stretch that is judged by itself.
 STRETCH = 8
-#: Share of offers among the words of a run of non-prose from which it is stuffing.
-OFFER_SHARE = 0.08
-#: Share of words already said from which a run of at least so many words is stuffing.
-REPEAT_SHARE, REPEAT_WORDS = 0.85, 60
-#: Different words that as many words as LEAST_WORDS or more have in keyword lists at most: RICHNESS * words ** GROWTH.
-LEAST_WORDS, RICHNESS, GROWTH = 30, 2.2, 0.6
-#: Words without a function word from which a stretch is no prose, whatever its bits.
-BARE_WORDS = 12
-#: Share of a run's words that must be among the keywords found elsewhere in the text.
-SHARED = 0.8
+#: Classes up to which a longer stretch makes the same deviation less likely.
+LONGEST = 32
+#: Classes of a language's sentences below which all languages lend it their mean.
+LEAST_TRAINED = 2_000
+#: Share of function words among the words of a sentence of the training set, and of different ones among its long words.
+FUNCTION_SHARE, DIFFERENT = 0.12, 0.8
+#: Non-prose of LEAST_WORDS words or more is made of keywords if its different words over words ** GROWTH, less the share of words that
+#: stand in pairs said more than once, are RICHNESS at most; tables, which repeat their cells, at most TABLE_RICHNESS.
+LEAST_WORDS, GROWTH, RICHNESS, TABLE_RICHNESS = 30, 0.6, 2.3, 0.0
 #: Share of a text's characters from which the page is flagged.
 FLAG_SHARE = 0.5
 
@@ -83,30 +100,46 @@ CACHE_ENTRIES = 300_000
 # Marks that stand for a link to another site and for a link to a page of the same vault.
 EXTERNAL, INTERNAL = "\ue000", "\ue001"
 
-_LINK = re.compile(r"(?i)\b(?:https?://|ftp://|www\.)\S+|\b(?:[a-z0-9-]+\.)+(?:com|org|net|info|biz|shop|store|online|io|co|example|invalid|test|site|xyz|de|fr|es|ru|jp|uk)\b(?:/\S*)?")
+# Letters before an apostrophe that stand for a function word.
+ELIDED = "ldnjscmt"
+# Endings of Russian verbs in the third person and of adjectives.
+VERB_ENDINGS = tuple("ет ёт ит ут ют ат ят тся".split())
+ADJECTIVE_ENDINGS = tuple("ый ий ой ая яя ое ее ые ие ого его ому ему ых их ым им ую юю".split())
+# Endings of host names that are links without a scheme.
+HOST_ENDINGS = set("com org net info biz shop store online io co example invalid test site xyz de fr es ru jp uk".split())
+
+_URL = re.compile(r"(?i)(?:https?://|ftp://|www\.)\S+")
+_HOST = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*(?:/\S*)?")
 _DOTTED = re.compile(r"[A-Za-z0-9-]\.[A-Za-z]")
-_MARKDOWN_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]{0,2000})\)")
-_HREF = re.compile(r"(?i)<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)[\"']?[^>]*>(.*?)</a>", re.S)
+_MARKDOWN_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]*)\)")
 _HTML = re.compile(r"<[/!a-zA-Z][^<>]*>")
-_BREAK = re.compile(r"(?i)</?(?:p|br|li|ul|ol|h[1-6]|div|tr|table|body|html|td|th)\b[^<>]*>")
+_TARGET = re.compile(r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]*)")
+_TAG_NAME = re.compile(r"</?([a-zA-Z0-9]+)")
+# Elements that begin a new line.
+_BREAKS = set("p br li ul ol h1 h2 h3 h4 h5 h6 div tr table body html td th".split())
 _NUMBER = re.compile(r"^\d{1,4}[.)]\s+")
 _ITEM = re.compile(r"^\d{1,2}[.)]$")
 _CUE_TIME = re.compile(r"^\s*(?:\d+:)?\d+:\d+[.,]?\d*\s*-->.*$")
 _PRICE = re.compile(r"^(?:[$€£¥₽]\d[\d.,]*|\d[\d.,]*[$€£¥₽円]|EUR|USD|GBP|RUB|руб\.?)$")
 _CURRENCY = re.compile(r"(?:[$€£¥₽]\s?\d|\d\s?[$€£¥₽円]|\b(?:EUR|USD|GBP|RUB)\s?\d|\d\s?(?:EUR|USD|GBP|RUB|руб)\b)")
 _TAG = re.compile(r"^(?:#\w[\w-]*|tag:\S+)$")
-_JOINED = re.compile(r"^(?=.*[a-zа-я])\w+(?:[_-]\w+)+$", re.I)
-_KANA = re.compile(r"[\u3040-ヿ㐀-鿿ｦ-ﾝ]")
-_JRUN = re.compile(r"[\u3040-ゟ]+|[゠-ヿー]+|[㐀-鿿々]+|[a-zA-Z]+|\d+|[。！？]|[、,]|\S")
+_KANA = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾝ]")
+_JRUN = re.compile(r"[぀-ゟ]+|[゠-ヿー]+|[㐀-鿿々]+|[a-zA-Z]+|\d+|[。！？]|[、,]|\S")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_ALNUM = re.compile(r"[^\W_]")
+
+_KIND: dict[str, int] = {}
+for _kind, _words in FUNCTION_WORDS.items():
+    for _language, _list in _words.items():
+        for _w in _list.split():  # a word of several languages tells none
+            _KIND[_w] = C[_kind] if _w in _KIND else _SPOKEN[_kind, _language]
 
-_KIND = {w: C["other"] for w in OTHERS} | {w: C["conj"] for w in CONJUNCTIONS} | {w: C["prep"] for w in PREPOSITIONS} | {w: C["det"] for w in DETERMINERS}
-_OFFER = set(OFFERS)
+
+_AFTER_WORD = {",": C["comma"], ";": C["semi"], ":": C["colon"], "/": C["sep"], "|": C["sep"]}
 
 
 def _classes(word: str) -> bytes:
-    """Classes of one space-delimited word with its punctuation."""
+    """Classes of one space-delimited word with its punctuation; content words at their first place."""
     if EXTERNAL in word:
         return bytes([C["url"]])
     if INTERNAL in word:
@@ -119,42 +152,40 @@ def _classes(word: str) -> bytes:
         return _japanese(word)
     if _ITEM.match(word):
         return bytes([C["bullet"]])
-    core = _EDGE.sub("", word)
-    if not core:
+    start = _ALNUM.search(word)
+    if not start:
         mark = word[-1]
-        kind = "sep" if mark in "|/;•·–—-" and word not in ("-", "*") else "bullet" if word in ("-", "*", "+") else "end" if mark in ".!?…" else "comma" if mark == "," else "symbol"
+        kind = "bullet" if word in ("-", "*", "+") else "sep" if mark in "|/;•·–—-" else "end" if mark in ".!?…" else "comma" if mark == "," else "symbol"
         return bytes([C[kind]])
+    end = len(word)
+    while not _ALNUM.match(word, end - 1):
+        end -= 1
+    lead, core, tail = word[: start.start()], word[start.start() : end], word[end:]
     out = []
-    lead = word[: word.index(core)] if core in word else ""
-    tail = word[word.rindex(core) + len(core) :] if core in word else ""
     if lead and lead[-1] in "([{\"'“«":
         out.append(C["bracket"])
     low = core.lower()
-    if low in _OFFER:
-        out.append(C["offer"])
-    elif low in _KIND:
+    if low in _KIND:
         out.append(_KIND[low])
-    elif core.isdigit() or core[0].isdigit():
+    elif core[0].isdigit():
         out.append(C["num"])
     elif "_" in core or "=" in core or "(" in core or "<" in core:
         out.append(C["code"])
-    elif len(core) > 1 and core.isupper():
-        out.append(C["upper"])
-    elif core[0].isupper():
-        out.append(C["cap"])
+    elif "а" <= low[0] <= "ё":
+        out.append(C["verb" if low.endswith(VERB_ENDINGS) else "adjective" if low.endswith(ADJECTIVE_ENDINGS) else "cyrillic"])
     else:
-        out.append(C["low"])
-    for mark in tail[:3]:
+        if low[1:2] in "'’" and low[0] in ELIDED:
+            out.append(_SPOKEN["det", "fr"])
+            core = core[2:]
+        out.append(C["upper" if len(core) > 1 and core.isupper() else "cap" if core[:1].isupper() else "low"])
+    for mark in tail:
         if mark in ".!?…":
             out.append(C["end"])
             break
-        if mark in ",;/|":
-            out.append(C["comma"] if mark == "," else C["sep"])
-            break
-        if mark == ":":
-            out.append(C["colon"])
+        if mark in _AFTER_WORD:
+            out.append(_AFTER_WORD[mark])
             break
-        if mark in ")]}\"'”»":
+        if mark in ")]}\"'”»" and out[-1] != C["bracket"]:
             out.append(C["bracket"])
     return bytes(out)
 
@@ -162,23 +193,29 @@ def _classes(word: str) -> bytes:
 def _japanese(word: str) -> bytes:
     out = []
     for m in _JRUN.findall(word):
-        if m in OFFERS_JA:
-            out.append(C["offer"])
-        elif "\u3040" <= m[0] <= "ゟ":
-            out.append(C["jparticle"])
+        if "぀" <= m[0] <= "ゟ":
+            kind = "jparticle"
         elif m in "。！？":
-            out.append(C["end"])
+            kind = "end"
         elif m in "、,":
-            out.append(C["comma"])
+            kind = "comma"
         elif m.isdigit():
-            out.append(C["num"])
+            kind = "num"
         elif m.isalnum():
-            out.append(C["jcontent"])
+            kind = "jcontent"
         else:
-            out.append(C["sep"] if m in "/|;" else C["symbol"])
+            kind = "sep" if m in "/|;" else "symbol"
+        out.append(C[kind])
     return bytes(out)
 
 
+@dataclass
+class Stretch:
+    kind: str  # text, table or code
+    source: str
+    code: bytes
+
+
 class Reader:
     """Turns texts into stretches of word classes."""
 
@@ -198,19 +235,16 @@ class Reader:
             out.append(known)
         return b"".join(out)
 
-    def stretches(self, text: str) -> list[tuple[str, str, bytes]]:
-        """(kind, source, classes) of each stretch; kind is text, table or code, layout is left out.
+    def stretches(self, text: str) -> tuple[list[Stretch], int]:
+        """The stretches of a text, and its language (a number; that after the last stands for none); layout is left out.
 
         Links to other sites and links to pages of the same vault become one
         mark each; markup, cue numbers and cue times vanish.  Short lines are
         joined with their neighbours until they can be judged.
         """
-        if "<" in text and _HTML.search(text):
-            # The target of a link to another site stays: it is part of the text's characters.
-            text = _HREF.sub(lambda m: f" {m.group(2)} {m.group(1) if _mark(m.group(1)) == EXTERNAL else INTERNAL} ", text)
-            text = _BREAK.sub("\n", text)
-            text = _HTML.sub(" ", text)
-        out: list[tuple[str, str, bytes]] = []
+        if "<" in text:
+            text = _without_markup(text)
+        out: list[Stretch] = []
         lines: list[str] = []
         codes: list[bytes] = []
         size = 0
@@ -220,7 +254,7 @@ class Reader:
         def close() -> None:
             nonlocal lines, codes, size
             if lines:
-                out.append((held, "\n".join(lines), b"".join(codes)))
+                out.append(Stretch(held, "\n".join(lines), _BREAK.join(codes)))
             lines, codes, size = [], [], 0
 
         for raw in text.splitlines():
@@ -234,18 +268,13 @@ class Reader:
                     close()
                 continue
             if fence:
-                out.append(("code", line, b""))
+                out.append(Stretch("code", line, b""))
                 continue
             kind = "table" if line.startswith("|") and line.endswith("|") else "text"
             if kind != held:
                 close()
                 held = kind
-            shown = _NUMBER.sub("", line) if line[0].isdigit() else line
-            if "](" in line:
-                shown = _MARKDOWN_LINK.sub(lambda m: f" {m.group(1)} {_mark(m.group(2))} ", shown)
-            if _DOTTED.search(shown) or "://" in shown:
-                shown = _LINK.sub(lambda m: f" {EXTERNAL} ", shown)
-            code = self.words(shown)
+            code = self.words(_marked(_NUMBER.sub("", line) if line[0].isdigit() else line))
             long = len(code) >= STRETCH
             if long:
                 close()
@@ -255,179 +284,224 @@ class Reader:
             if long:
                 close()
         close()
-        return out
+        votes = _VOTES @ np.bincount(np.frombuffer(b"".join([s.code for s in out]), dtype=np.uint8), minlength=256)
+        for s in out:
+            s.code = s.code.translate(_SILENT)
+        return out, int(votes.argmax()) if votes.any() else len(LANGUAGES)
+
+
+_BREAK = bytes([C["break"]])
+
+
+def _marked(line: str) -> str:
+    """A line with a mark in place of each link."""
+    if "](" in line:
+        line = _MARKDOWN_LINK.sub(lambda m: f" {m.group(1)} {_mark(m.group(2))} ", line)
+    if "://" in line or _DOTTED.search(line):
+        line = _HOST.sub(lambda m: f" {EXTERNAL} " if _is_host(m.group()) else m.group(), _URL.sub(f" {EXTERNAL} ", line))
+    return line
+
+
+def _is_host(word: str) -> bool:
+    """A host name: labels, of which one after the first is a known ending."""
+    labels = word.partition("/")[0].split(".")
+    return any(labels[i].lower() in HOST_ENDINGS and labels[i - 1] for i in range(1, len(labels)))
 
 
 def _mark(target: str) -> str:
-    return EXTERNAL if _LINK.match(target) or target.startswith("//") else INTERNAL
+    return EXTERNAL if _URL.match(target) or target.startswith("//") or _is_host(target) else INTERNAL
+
+
+def _without_markup(text: str) -> str:
+    """HTML as lines; the target of a link to another site stays behind its title, as it is part of the text's characters."""
+    target = ""
+
+    def shown(m: re.Match) -> str:
+        nonlocal target
+        tag = m.group()
+        name = _TAG_NAME.match(tag)
+        name = name.group(1).lower() if name else ""
+        if name != "a":
+            return "\n" if name in _BREAKS else " "
+        before, target = target, ""
+        if tag[1] != "/" and (found := _TARGET.search(tag)):
+            target = found.group(1) if _mark(found.group(1)) == EXTERNAL else INTERNAL
+        return f" {before} "
 
+    return _HTML.sub(shown, text) + " " + target
 
-def _is_sentence(code: bytes) -> bool:
-    """Stretches on which the model is trained: they end sentences and hold function words of two kinds, and no offer, link or tag."""
+
+_FUNCTIONS = [C[k] for k in _FUNCTION_KINDS]
+_MARKS = bytes(C[k] for k in ("comma", "semi", "end", "sep", "colon", "bracket", "bullet", "symbol", "break"))
+_NOT_PROSE = {C[k] for k in ("url", "tag", "price", "sep", "node")}
+
+
+def _is_sentence(stretch: Stretch) -> bool:
+    """Stretches on which the model is trained: they end sentences, hold enough function words and no link or tag, and do not repeat themselves."""
+    code = stretch.code
     kinds = set(code)
-    if kinds & {C["offer"], C["url"], C["tag"], C["price"], C["sep"], C["node"]} or C["end"] not in kinds:
+    if kinds & _NOT_PROSE or C["end"] not in kinds:
+        return False
+    functions = sum(map(code.count, _FUNCTIONS))
+    if not functions or functions < FUNCTION_SHARE * len(code.translate(None, _MARKS)):
         return False
-    return len(kinds & {C["det"], C["prep"], C["conj"], C["other"]}) >= 2 or C["jparticle"] in kinds
+    long = [w for w in stretch.source.lower().split() if len(w) > 3]
+    return len(set(long)) >= DIFFERENT * len(long)
 
 
 _LEAD = bytes([C["line"], C["line"]])
+_RESETS = np.zeros(256, dtype=bool)
+_RESETS[[*_FUNCTIONS, C["verb"], C["line"]]] = True
+
+
+def _placed(codes: list[bytes]) -> np.ndarray:
+    """The stretches as one sequence, two ``line`` marks before each, content words numbered from the last function word."""
+    a = np.frombuffer(_LEAD + _LEAD.join(codes), dtype=np.uint8)
+    content = a >= FIRST_CONTENT
+    so_far = np.cumsum(content)
+    place = so_far - np.maximum.accumulate(np.where(_RESETS[a], so_far, 0))
+    return np.where(content, a + np.minimum(place, PLACES) - 1, a).astype(np.int32)
 
 
 def _trigrams(codes: list[bytes]) -> np.ndarray:
-    """Trigrams of the stretches, two ``line`` marks before each; those that end in such a mark are kept."""
-    a = np.frombuffer(_LEAD + _LEAD.join(codes), dtype=np.uint8).astype(np.int32)
+    """Trigrams of the stretches; those that end in a ``line`` mark are kept."""
+    a = _placed(codes)
     return (a[:-2] * N + a[1:-1]) * N + a[2:]
 
 
-def _costs(codes: list[bytes], cost: np.ndarray) -> list[float]:
-    """Bits of each stretch."""
-    if not codes:
-        return []
-    values = cost[_trigrams(codes)]
-    starts = np.cumsum([0] + [len(c) + 2 for c in codes[:-1]])
-    return np.add.reduceat(values, starts).tolist()
+class Model:
+    """Bits of each trigram in each language, with the mean and deviation of the bits of the sentences they were counted on.
 
-
-def prose_counts(documents: DataFrame, text_column: str = "text") -> np.ndarray:
-    """Trigrams of word classes over the sentences of all documents.
-
-    Counted per task, summed by Spark; the result has at most 24**3 entries.
+    The trigrams of a language lean on those of all languages where they are
+    few; texts of no language are held against all.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        total = np.zeros(N**3, dtype=np.int64)
-        for batch in batches:
-            codes = [code for text in batch.column(0).to_pylist() if text for kind, _, code in reader.stretches(text) if kind == "text" and _is_sentence(code)]
-            if codes:
-                total += np.bincount(_trigrams(codes), minlength=N**3)
-        (there,) = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["gram", "n"])
-
-    counts = np.zeros(N**3)
-    for r in spread(documents.select(text_column)).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        counts[r["gram"]] = r["n"]
-    return counts
-
-
-def bits(counts: np.ndarray) -> np.ndarray:
-    """Cost of each trigram in bits, by interpolation of trigram, bigram and unigram shares; a ``line`` mark costs nothing."""
-    tri = counts.reshape(N, N, N).copy()
-    tri[:, :, C["line"]] = 0
-    bi = tri.sum(axis=0)
-    uni = bi.sum(axis=0)
-    p1 = (uni + 0.5) / (uni.sum() + 0.5 * N)
-    p2 = (bi + 2 * p1[None, :]) / (bi.sum(axis=1, keepdims=True) + 2)
-    p3 = (tri + 2 * p2[None, :, :]) / (tri.sum(axis=2, keepdims=True) + 2)
-    out = -np.log2(p3)
-    out[:, :, C["line"]] = 0
-    return out.reshape(-1)
-
-
-def _runs(parts: list[tuple[str, str, bytes]], cost: np.ndarray) -> Iterator[tuple[str, list[tuple[str, bytes]], float]]:
-    """Neighbouring stretches of one verdict: prose, code, link, suspect or table (a suspect table)."""
-    last, run, bits_of_run = None, [], 0.0
-    costs = iter(_costs([code.translate(_AMOUNT) for _, _, code in parts if code], cost))
-    for kind, source, code in parts:
-        b = next(costs) if code else 0.0
-        verdict = "code" if kind == "code" or not code else _verdict(source, code, b / len(code))
-        if verdict == "suspect" and kind == "table":
-            verdict = "table"
-        if verdict != last and run:
-            yield last, run, bits_of_run
-            run, bits_of_run = [], 0.0
-        last = verdict
-        run.append((source, code))
-        bits_of_run += b
-    if run:
-        yield last, run, bits_of_run
-
-
-# To the model an amount of money is a number: sentences may hold one.
-_AMOUNT = bytes.maketrans(bytes([C["price"]]), bytes([C["num"]]))
-_MARKS = [C[k] for k in ("comma", "end", "sep", "colon", "bracket", "bullet", "symbol")]
-_FUNCTION = [C[k] for k in ("det", "prep", "conj", "other", "jparticle")]
-
-
-def _verdict(source: str, code: bytes, mean: float) -> str:
-    """The model decides first what is no prose; counts only tell of what kind it then is."""
-    words = len(code) - sum(map(code.count, _MARKS))
-    functions = sum(map(code.count, _FUNCTION))
-    if LOW_BITS <= mean <= HIGH_BITS and (functions or words < BARE_WORDS):
-        return "prose"
+    def __init__(self, counts: np.ndarray):
+        """``counts``: a row per language, a column per trigram."""
+        every = np.vstack([counts, counts.sum(axis=0)]).reshape(-1, N, N, N).astype(float)
+        every[..., C["line"]] = 0
+        pooled = self._shares(every[-1], None)
+        rows = [self._shares(tri, pooled) for tri in every[:-1]] + [pooled]
+        self.cost = -np.log2(np.stack(rows)).reshape(len(every), -1).astype(np.float32)
+        self.cost.reshape(len(every), N, N, N)[..., C["line"]] = 0
+        weight = every.reshape(len(every), -1)
+        total = np.maximum(weight.sum(axis=1), 1e-9)
+        self.mean = (weight * self.cost).sum(axis=1) / total
+        self.deviation = np.sqrt((weight * (self.cost - self.mean[:, None]) ** 2).sum(axis=1) / total)
+        self.mean[weight.sum(axis=1) < LEAST_TRAINED], self.deviation[weight.sum(axis=1) < LEAST_TRAINED] = self.mean[-1], self.deviation[-1]
+
+    @staticmethod
+    def _shares(tri: np.ndarray, pooled: np.ndarray | None) -> np.ndarray:
+        bi = tri.sum(axis=0)
+        uni = bi.sum(axis=0)
+        p1 = (uni + 0.5) / (uni.sum() + 0.5 * N)
+        p2 = (bi + 2 * p1[None, :]) / (bi.sum(axis=1, keepdims=True) + 2)
+        lower = p2[None, :, :] if pooled is None else 0.5 * (p2[None, :, :] + pooled)
+        return (tri + 2 * lower) / (tri.sum(axis=2, keepdims=True) + 2)
+
+    def bits(self, codes: list[bytes], language: int) -> np.ndarray:
+        """Bits of each stretch."""
+        if not codes:
+            return np.zeros(0)
+        starts = np.cumsum([0] + [len(c) + 2 for c in codes[:-1]])
+        return np.add.reduceat(self.cost[language][_trigrams(codes)], starts)
+
+    def scores(self, codes: list[bytes], language: int, bits: np.ndarray | None = None) -> list[float]:
+        """How many standard errors the mean bits of each stretch lie above those of the sentences; 0 if there were no sentences to learn from."""
+        if not codes or not self.deviation[language]:
+            return [0.0] * len(codes)
+        n = np.array([len(c) for c in codes], dtype=float)
+        bits = self.bits(codes, language) if bits is None else bits
+        return ((bits / n - self.mean[language]) * np.sqrt(np.minimum(n, LONGEST)) / self.deviation[language]).tolist()
+
+
+_REFERENCE = bytes(C[k] for k in ("url", "symbol", "bullet", "sep", "end", "bracket", "num", "break"))
+
+
+def _made_of(stretch: Stretch) -> str:
+    """What a stretch that is no prose is made of; a link, tag or price alone makes no stretch stuffing."""
+    code = stretch.code
     urls, tags = code.count(C["url"]), code.count(C["tag"])
     if urls:
-        beside = len(code.translate(None, bytes([C["url"], C["symbol"], C["bullet"], C["sep"], C["end"], C["bracket"], C["num"]])))
         # A link with at most a title is a link; a link beside a sentence is a reference.
-        return "prose" if code.count(C["end"]) >= urls and beside >= 4 * urls and code.count(C["offer"]) * 6 <= beside else "link"
-    # A sentence about a tool, a sentence in quotes and the like cost more bits, but stay sentences.
-    spoken = C["end"] in code and functions >= 2 and code.count(C["offer"]) * 6 <= words
-    if spoken and mean <= HIGHEST_BITS:
-        said = [w.lower() for w in _WORD.findall(source)]
-        if len(set(said)) * 10 >= min(len(said), 40) * 6:
-            return "prose"
+        beside = len(code.translate(None, _REFERENCE))
+        return "prose" if code.count(C["end"]) >= urls and beside >= 4 * urls else "link"
     if tags * 5 >= len(code) and tags:
         return "tag"
-    if code.count(C["price"]) or (mean > HIGH_BITS and _CURRENCY.search(source)):
-        return "goods"
-    return "suspect"
+    if code.count(C["price"]) or _CURRENCY.search(stretch.source):
+        # A sentence may name a price.
+        spoken = C["end"] in code and 4 * sum(map(code.count, _FUNCTIONS)) >= len(code.translate(None, _MARKS))
+        return "prose" if spoken else "goods"
+    return "table" if stretch.kind == "table" else "suspect"
 
 
-def _words(run: list[tuple[str, bytes]]) -> list[str]:
-    words: list[str] = []
-    for s, _ in run:
-        words += _JRUN.findall(s) if _KANA.search(s) else [w.lower() for w in _WORD.findall(s)]
-    return words
+def _words(source: str) -> list[str]:
+    """Words in lower case.
 
+    A number belongs to the word before it, and a short line that ends in one
+    is one word: lesson 1 and lesson 2 differ.
+    """
+    out: list[str] = []
+    for line in source.lower().split("\n"):
+        words: list[str] = []
+        for w in _JRUN.findall(line) if _KANA.search(line) else _WORD.findall(line):
+            if words and w.isdigit():
+                words[-1] += " " + w
+            elif w[0].isalnum() and not "\u3040" <= w[0] <= "ゟ":
+                words.append(w)
+        out += [" ".join(words)] if words and len(words) < STRETCH and words[-1][-1].isdigit() else words
+    return out
 
-def _repetitive(words: list[str]) -> bool:
-    """Few different words for so many; a number belongs to the word before it: lesson 1 and lesson 2 differ."""
-    said: list[str] = []
-    for w in words:
-        if said and w.isdigit():
-            said[-1] += " " + w
-        else:
-            said.append(w)
-    return len(said) >= LEAST_WORDS and len(set(said)) <= RICHNESS * len(said) ** GROWTH
-
-
-def judge(text: str, cost: np.ndarray, reader: Reader) -> dict[str, float]:
-    """Characters of a text by what they are (``chars`` is all but layout), and its bits per class."""
-    out = dict.fromkeys(("chars", "prose", "code", "link", "tag", "goods", "suspect", "table", "keyword"), 0)
-    all_bits = all_n = 0.0
-    near = False  # the run before was stuffing
-    runs = list(_runs(reader.stretches(text), cost))
-    open_: list[tuple[int, list[str]]] = []
-    unlinked: list[tuple[str, bytes]] = []  # stretches of open runs without links to pages of the vault
-    keywords: set[str] = set()
-    for at, (verdict, run, b) in enumerate(runs):
-        size = sum(len(s) for s, _ in run)
-        out["chars"] += size
-        all_bits += b
-        all_n += sum(len(c) for _, c in run)
-        if verdict in ("suspect", "table"):
-            words = _words(run)
-            offers = sum(c.count(C["offer"]) for _, c in run)
-            beside = near or (at + 1 < len(runs) and runs[at + 1][0] in ("tag", "goods"))
-            repeated = len(words) >= REPEAT_WORDS and 1 - len(set(words)) / len(words) >= REPEAT_SHARE
-            if words and (offers >= OFFER_SHARE * len(words) or repeated or (beside and verdict == "suspect" and len(words) < REPEAT_WORDS)):
-                verdict = "keyword"
-                keywords.update(words)
-            elif verdict == "suspect":
-                open_.append((size, words))
-                unlinked += [x for x in run if C["node"] not in x[1]]
-        out[verdict] += size
-        near = verdict in ("keyword", "tag", "goods")
-    if _repetitive(_words(unlinked)):
-        size = sum(len(s) for s, _ in unlinked)
-        out["suspect"] -= size
-        out["keyword"] += size
-        open_ = []
-    for size, words in open_:  # the same keywords without an offer
-        if words and sum(w in keywords for w in words) >= SHARED * len(words):
-            out["suspect"] -= size
+
+def _repeated(stretches: list[Stretch], most: float) -> bool:
+    """The words of the stretches come again and again, by themselves and in pairs."""
+    said = [_words(s.source) for s in stretches]
+    n = sum(map(len, said))
+    if n < LEAST_WORDS:
+        return False
+    pairs = Counter(pair for words in said for pair in zip(words, words[1:]))
+    again = 0
+    for words in said:
+        twice = [pairs[pair] > 1 for pair in zip(words, words[1:])]
+        again += sum(a or b for a, b in zip([False, *twice], [*twice, False])) if words else 0
+    return len({w for words in said for w in words}) / n**GROWTH - again / n <= most
+
+
+# To the model an amount of money is a number.
+_AMOUNT = bytes.maketrans(bytes([C["price"]]), bytes([C["num"]]))
+KINDS = ("chars", "prose", "code", "link", "tag", "goods", "suspect", "table", "keyword")
+
+
+def judge(text: str, model: Model, reader: Reader) -> dict[str, float]:
+    """Characters of a text by what they are (``chars`` is all but layout), and its bits per class.
+
+    The model decides which stretches are no prose; only these are looked at
+    for what they are made of.
+    """
+    out = dict.fromkeys(KINDS, 0) | {"bits": 0.0}
+    stretches, language = reader.stretches(text)
+    read = [s for s in stretches if s.code]
+    codes = [s.code.translate(_AMOUNT) for s in read]
+    bits = model.bits(codes, language)
+    scores = model.scores(codes, language, bits)
+    other = [not LOW_Z <= z <= HIGH_Z for z in scores]
+    for order in (range(1, len(read)), range(len(read) - 2, -1, -1)):
+        for i in order:
+            other[i] = other[i] or (scores[i] > BESIDE_Z and other[i - order.step])
+    open_: dict[str, list[Stretch]] = {"suspect": [], "table": []}
+    for s, strange in zip(read, other):
+        made_of = _made_of(s) if strange else "prose"
+        out[made_of] += len(s.source)
+        if made_of in open_ and C["node"] not in s.code:  # links to pages of the vault are no keywords
+            open_[made_of].append(s)
+    for made_of, most in (("suspect", RICHNESS), ("table", TABLE_RICHNESS)):
+        if open_[made_of] and _repeated(open_[made_of], most):
+            size = sum(len(s.source) for s in open_[made_of])
+            out[made_of] -= size
             out["keyword"] += size
-    out["bits"] = all_bits / all_n if all_n else 0.0
+    out["code"] = sum(len(s.source) for s in stretches if not s.code)
+    out["chars"] = sum(len(s.source) for s in stretches)
+    out["bits"] = float(bits.sum()) / sum(map(len, codes)) if codes else 0.0
     return out
 
 
@@ -435,6 +509,35 @@ def is_stuffed(j: dict[str, float]) -> bool:
     return j["link"] + j["tag"] + j["goods"] + j["keyword"] > FLAG_SHARE * j["chars"]
 
 
+def prose_counts(documents: DataFrame, text_column: str = "text") -> np.ndarray:
+    """Trigrams of word classes over the sentences of all documents, a row per language.
+
+    Counted per task, summed by Spark; the result has at most one entry per
+    language and trigram of classes, whatever the number of documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        total = np.zeros(len(LANGUAGES) * N**3, dtype=np.int64)
+        for batch in batches:
+            grams = []
+            for text in batch.column(0).to_pylist():
+                if text:
+                    stretches, language = reader.stretches(text)
+                    codes = [s.code for s in stretches if s.kind == "text" and _is_sentence(s)]
+                    if codes and language < len(LANGUAGES):
+                        grams.append(_trigrams(codes) + language * N**3)
+            if grams:
+                total += np.bincount(np.concatenate(grams), minlength=len(total))
+        (there,) = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["gram", "n"])
+
+    counts = np.zeros(len(LANGUAGES) * N**3)
+    for r in spread(documents.select(text_column)).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        counts[r["gram"]] = r["n"]
+    return counts.reshape(len(LANGUAGES), -1)
+
+
 def stuffed_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Verdict on every document: id, the characters by kind, ``bits`` per word class, ``stuffed``.
 
@@ -442,17 +545,16 @@ def stuffed_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
     repeated rows stay repeated; extra columns are ignored.  Two passes over
     the texts, no shuffle of texts: the model is a bounded table of counts.
     """
-    cost = bits(prose_counts(documents, text_column))
-    names = ("chars", "prose", "code", "link", "tag", "goods", "suspect", "table", "keyword")
+    model = Model(prose_counts(documents, text_column))
     kind = documents.schema[id_column].dataType
-    schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, T.IntegerType()) for n in names], T.StructField("bits", T.DoubleType()), T.StructField("stuffed", T.BooleanType())])
+    schema = T.StructType([T.StructField(id_column, kind), *[T.StructField(n, T.IntegerType()) for n in KINDS], T.StructField("bits", T.DoubleType()), T.StructField("stuffed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
-        nothing = dict.fromkeys(names, 0) | {"bits": 0.0}
+        nothing = dict.fromkeys(KINDS, 0) | {"bits": 0.0}
         for batch in batches:
-            rows = [judge(t, cost, reader) if t else nothing for t in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), *[pa.array([r[n] for r in rows], pa.int32()) for n in names], pa.array([r["bits"] for r in rows], pa.float64()), pa.array([is_stuffed(r) for r in rows], pa.bool_())]
+            rows = [judge(t, model, reader) if t else nothing for t in batch.column(1).to_pylist()]
+            arrays = [batch.column(0), *[pa.array([r[n] for r in rows], pa.int32()) for n in KINDS], pa.array([r["bits"] for r in rows], pa.float64()), pa.array([is_stuffed(r) for r in rows], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     return spread(documents.select(id_column, text_column)).mapInArrow(run, schema)

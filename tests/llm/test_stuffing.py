@@ -38,10 +38,19 @@ HONEST = [
 ]
 
 
-def model():
+def trained(texts):
     reader = S.Reader()
-    codes = [c for t in HONEST + [prose(200)] for k, _, c in reader.stretches(t) if k == "text" and S._is_sentence(c)]
-    return S.bits(np.bincount(S._trigrams(codes), minlength=S.N**3).astype(float))
+    counts = np.zeros((len(S.LANGUAGES), S.N**3))
+    for text in texts:
+        stretches, language = reader.stretches(text)
+        codes = [s.code for s in stretches if s.kind == "text" and S._is_sentence(s)]
+        if codes and language < len(S.LANGUAGES):
+            np.add.at(counts[language], S._trigrams(codes), 1)
+    return S.Model(counts)
+
+
+def model():
+    return trained(HONEST + [prose(200)])
 
 
 def test_verdicts():
@@ -52,12 +61,43 @@ def test_verdicts():
         assert not S.is_stuffed(S.judge(text, cost, reader)), (S.judge(text, cost, reader), text[:80])
 
 
-def test_costs_by_stretch():
-    cost = np.arange(S.N**3, dtype=float)
+def test_the_model_decides():
+    reader = S.Reader()
+    flat, none = model(), trained([])
+    flat.cost[:], flat.mean[:], flat.deviation[:] = 5.0, 5.0, 0.0
+    for text in STUFFED:  # a model that finds nothing surprising finds no stuffing
+        assert not S.is_stuffed(S.judge(text, flat, reader)) and not S.is_stuffed(S.judge(text, none, reader))
+
+
+def test_bits_by_stretch():
+    m = model()
     codes = [b"\x01\x02", b"\x03", b"\x04\x05\x06"]
-    masked = S.bits(np.ones(S.N**3))
-    one = [sum(masked[S._trigrams([c])][: len(c)]) for c in codes]
-    assert np.allclose(S._costs(codes, masked), one) and S._costs([], cost) == []
+    one = [m.cost[0][S._trigrams([c])].sum() for c in codes]
+    assert np.allclose(m.bits(codes, 0), one, rtol=1e-5) and len(m.bits([], 0)) == 0
+
+
+def test_places_of_content_words():
+    reader = S.Reader()
+    (s,), language = reader.stretches("the old kiln near the bridge deck keeps small steps along it")
+    places = [int(c) - S.C["low"] + 1 for c in S._placed([s.code]) if S.C["low"] <= c < S.C["low"] + S.PLACES]
+    assert S.LANGUAGES[language] == "en" and places == [1, 2, 1, 2, 3, 4, 5]
+
+
+def test_links_by_form():
+    reader = S.Reader()
+    for text, mark in (("see a.example/x now", "url"), ("see www.x.y", "url"), ("[a](//x.y/z)", "url"), ("[a](Atlas/A.md)", "node"), ('<a class="b" href="/x.html">t</a>', "node"), ("<a href=https://x.y>t</a>", "url"), ("version 1.2.x", None)):
+        codes = b"".join(s.code for s in reader.stretches(text)[0])
+        assert [k for k in ("url", "node") if S.C[k] in codes] == ([mark] if mark else []), text
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    reader, cost = S.Reader(), model()
+    for part in ("<a href=x>", "a.a.a.", "a.", "<a <a ", "[a](", "!", "a!", "<" * 7, "'", "https://", "#", "$1", "- ", "語", "a.com/", "..", "|"):
+        began = time.time()
+        S.judge(part * (1_000_000 // len(part)), cost, reader)
+        assert time.time() - began < 4, part
 
 
 def test_table(spark):
