@@ -216,24 +216,23 @@ class Stretch:
     code: bytes
 
 
+class _Known(dict):
+    """Classes of the words met so far."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        code = _classes(word)
+        if len(word) < 40:
+            self[word] = code
+        return code
+
+
 class Reader:
     """Turns texts into stretches of word classes."""
 
     def __init__(self) -> None:
-        self.cache: dict[str, bytes] = {}
-
-    def words(self, line: str) -> bytes:
-        cache, out = self.cache, []
-        for w in line.split():
-            known = cache.get(w)
-            if known is None:
-                if len(cache) > CACHE_ENTRIES:
-                    cache.clear()
-                known = _classes(w)
-                if len(w) < 40:
-                    cache[w] = known
-            out.append(known)
-        return b"".join(out)
+        self.class_of = _Known().__getitem__
 
     def stretches(self, text: str) -> tuple[list[Stretch], int]:
         """The stretches of a text, and its language (a number; that after the last stands for none); layout is left out.
@@ -244,6 +243,8 @@ class Reader:
         """
         if "<" in text:
             text = _without_markup(text)
+        hosts = "://" in text or _DOTTED.search(text) is not None
+        class_of = self.class_of
         out: list[Stretch] = []
         lines: list[str] = []
         codes: list[bytes] = []
@@ -274,7 +275,10 @@ class Reader:
             if kind != held:
                 close()
                 held = kind
-            code = self.words(_marked(_NUMBER.sub("", line) if line[0].isdigit() else line))
+            shown = _NUMBER.sub("", line) if line[0].isdigit() else line
+            if hosts or "](" in line:
+                shown = _marked(shown)
+            code = b"".join(map(class_of, shown.split()))
             long = len(code) >= STRETCH
             if long:
                 close()
