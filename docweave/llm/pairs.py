@@ -6,9 +6,12 @@ order: ``empty``, ``refusal``, ``copy``, ``other_language``, ``truncated``.
 * Copies: the answer's tokens are aligned with the question's, by containment
   of word shingles and by the longest common subsequence, as often as the
   question recurs; what the alignment leaves over must be next to nothing.
-* Refusals: each sentence outside quotation marks is aligned with templates of
-  refusals by longest common subsequence; templates have slots for subjects.
-* Other language: sentences vote by function words and script.
+* Refusals: each sentence outside quotation marks is aligned by longest common
+  subsequence with templates of refusals whose slots are notions (the speaker,
+  a negation, answering, a source, ...); each language has its words for them.
+* Other language: sentences vote by function words and script; where these say
+  little, the letters are held against a trigram model of the question's
+  language, trained on the questions.
 * Truncated: open brackets, fences and quotation marks, cut table rows, lists
   and announcements, and sentences that stop without an end.
 """
@@ -16,6 +19,7 @@ order: ``empty``, ``refusal``, ``copy``, ``other_language``, ``truncated``.
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -34,8 +38,18 @@ DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Share of the question that an aligned answer covers, and share of the answer that may be left over.
 COVERED, LEFT_OVER = 0.7, 0.15
-#: Share of a template that a sentence covers, and share of the sentence (slots aside) that the template covers.
-TEMPLATE_COVERED, SENTENCE_COVERED = 0.8, 0.65
+#: Words between two neighbouring slots of a refusal template, at most.
+GAP = 9
+#: Words beside a refusal that make it an answer; a sentence without a word of the question counts a third.
+ANSWER_WORDS = 12
+#: Words of the question's language, as a share of all, below which the letters are asked, if there are so many words; without a trained model, if there are so many.
+FEW, LEAST_WORDS, LEAST_WORDS_UNTRAINED = 0.12, 4, 8
+#: Words of the question's language, as a share of all, from which an answer with few words of any other is not read by sentences.
+CLEAR = 0.25
+#: Standard errors of the letters' bits from which a sentence is in another language, and trigrams up to which a longer one makes that likelier.
+STRANGE_Z, LONGEST = 26.0, 64
+#: Trigrams of a language's questions below which it has no model.
+LEAST_TRAINED = 2_000
 #: Words up to which an answer without a full stop may be a complete phrase.
 PHRASE_WORDS = 4
 
@@ -47,41 +61,50 @@ PLACEHOLDERS = set(
 ) | {"no answer", "no value", "no data", "not available", "not applicable", "to be done", "to be determined", "to do", "lorem ipsum", "keine angabe", "keine antwort", "sin respuesta", "sin datos", "sans réponse", "pas de réponse", "нет ответа", "нет данных"}
 PLACEHOLDERS -= {"keine", "nichts", "ninguno", "ninguna", "нет", "sans", "sin", "unknown"}  # these can be answers
 
-# Refusal templates; * is a slot for up to eight words.
-REFUSALS = """
-i can't answer this question | i cannot answer that | i can't say anything about * | i won't go into this topic | i don't know the answer | i do not know
-i have to decline this request | i must decline | i am not able to help with that | i'm unable to answer * | i can't help with * | i can't assist with * | i cannot provide *
-this lies outside what i may discuss | answering this would go beyond my role | nothing in the passage lets me answer that | i could not find an answer in the supplied notes
-the blocks i was given say nothing about this | there is no information on this in the material | it is not possible to derive this from what was provided
-the notes never mention * so no answer is possible | * is not a subject i can comment on | i'm not allowed to discuss * | i don't have enough information to answer
-no answer can be given * | i have no information about * | i have no answer to this | the text does not say * so i can't answer | as an ai language model i can't *
-i'd rather not answer this | i refuse to answer * | i am not permitted to answer * | the provided context does not contain the answer | this question cannot be answered from *
-ich kann diese frage nicht beantworten | ich darf auf dieses thema nicht eingehen | eine antwort lässt sich daraus nicht ableiten | mir liegt darüber keine auskunft vor
-dazu steht nichts in den abschnitten | zu diesem punkt kann ich nichts sagen | ich weiß die antwort nicht | dabei kann ich nicht helfen | ich kann dazu nichts sagen | ich kann zu * nichts sagen
-in den notizen konnte ich keine antwort finden | ich habe keine antwort * gefunden | das weiß ich nicht | darüber darf ich nicht sprechen | diese anfrage muss ich ablehnen | ich muss diese bitte ablehnen
-diese anfrage liegt außerhalb meiner rolle | das geht über meine rolle hinaus | die abschnitte sagen nichts darüber | ohne angaben zu * kann ich nicht antworten | ich kann ihnen dabei nicht helfen
-je ne peux pas répondre à cette question | il m'est impossible d'aborder ce sujet | je n'ai trouvé aucune réponse dans les notes | cette demande sort de mon rôle | rien ne permet de répondre ici
-je n'ai rien à dire sur ce point | je ne sais pas | je ne connais pas la réponse | les blocs fournis n'en disent rien | je dois refuser cette demande | je ne suis pas en mesure de répondre *
-je ne peux rien dire sur * | je ne peux pas vous aider * | aucune information à ce sujet * | je ne peux rien dire à ce sujet | les notes ne disent rien *
-no puedo responder a esta pregunta | no encontré ninguna respuesta en los apuntes | nada de lo recibido permite contestar | esta petición queda fuera de mi papel | los bloques recibidos no dicen nada de esto
-no me es posible tratar este tema | no sé la respuesta | no puedo decir nada sobre * | no tengo información sobre * | debo rechazar esta petición | no puedo ayudar con * | no tengo nada que decir sobre *
-я не могу ответить на этот вопрос | ответа в заметках найти не удалось | по этому вопросу мне нечего сказать | в присланных блоках об этом ничего нет | я не знаю ответа | эта просьба выходит за рамки моей роли
-я не могу обсуждать эту тему | мне нельзя обсуждать эту тему | из материала это никак не следует | об этом ничего не сказано * | у меня нет сведений * | я не могу с этим помочь | вынужден отклонить эту просьбу | ответить на это нельзя | я ничего не могу сказать о *
-эту тему я обсуждать не могу | я не нашел ответа * | мне нечего сказать о * | на это я ответить не могу | это выходит за рамки моей роли
-"""
-# Sentences around a refusal that say nothing.
-COURTESIES = """
-please ask something else | you may want to look at another source | i hope you understand | that is a good question | thank you for the question | i read all of the blocks | please consult another source | feel free to share the missing chapter
-let me know if i can help with something else | please try again later | i'm sorry | sorry about that | i apologize
-bitte stelle eine andere frage | danke für die frage | ich habe alle abschnitte gelesen | das ist eine gute frage | ich hoffe auf verständnis | bitte sieh in einer anderen quelle nach | vielleicht hilft eine andere quelle | es tut mir leid
-merci de poser une autre question | merci pour la question | j'ai lu tous les blocs | c'est une bonne question | je suis désolé | merci de votre compréhension | une autre source conviendrait mieux
-haz otra pregunta por favor | gracias por la pregunta | he leído todos los bloques | es una buena pregunta | lo siento | espero que lo entiendas | quizá sirva otra fuente
-задайте пожалуйста другой вопрос | спасибо за вопрос | я прочитал все блоки | это хороший вопрос | мне очень жаль | надеюсь на понимание | возможно поможет другой источник | все блоки прочитаны
-"""
-# Openings that may stand before a refusal.
-OPENINGS = """sorry i'm sorry but | i am sorry but | unfortunately | regrettably | apologies | as a study assistant | as an ai | i'm afraid | es tut mir leid aber | entschuldigung | leider gilt | leider
-| malheureusement | je suis désolé mais | désolé | pardon | hélas | lo siento pero | por desgracia | disculpa | lamentablemente | к сожалению | извините но | извините | простите | сожалею но"""
-
+# The notions of refusals and their words; * stands for any ending.
+NOTIONS = {
+    "self": """i i'm i'd i've me my myself we us our | ich mir mich mein* wir uns unser* | je j me m moi mon ma mes nous notre
+        | yo me mi mis mí nos nuestr* prefiero quiero voy creo temo dispongo desconozco ignoro puedo podemos sé sabemos tengo tenemos encuentro encontré debo soy estoy | я мне меня мной мой моя мое моё моей моего мы нам нас наш* могу можем знаю знаем нашел нашёл нашла вынужден* хочу буду смогу располагаю имею отказываюсь""",
+    "not": """not no never nothing none nobody nowhere neither cannot can't won't don't didn't couldn't wouldn't isn't aren't doesn't haven't hasn't wasn't unable impossible rather lack lacks
+        | nicht nichts niemand kein* nie niemals weder unmöglich fehlt fehlen | ne n pas rien aucun* jamais ni impossible manque | no nada nadie ningún ningun* nunca jamás imposible falta faltan
+        | не нет никто нельзя ничего нечего ничем никак никогда ни невозможно""",
+    "nothing": "nothing never nowhere | nichts nie nirgends | rien jamais | nada nunca | ничего нечего нет",
+    "none": "none | keiner keine | aucun aucune | ninguno ninguna ningún",
+    "answer": """answer* respond* repl* | antwort* beantwort* | répon* | respond* respuesta* contest* | ответ* отвеч*""",
+    "say": """answer* respond* repl* say* said tell* discuss* comment* help* assist* provid* address* share speak* talk* elaborat* advis* offer* giv* explain* go mention* cover* describe*
+        | antwort* beantwort* sag* red* helf* weiterhelf* mitteil* äußer* eingeh* sprech* besprech* erklär* erläuter* erörter* kommentier* behandel* geben erwähn* enthalt*
+        | répon* dire dis disent dit aider aborder parl* trait* expliqu* comment* précis* donn* fourni* discut* évoqu* mentionn*
+        | respond* contest* decir digo dicen dice ayud* trat* hablar coment* explic* dar doy ofrec* proporcion* abord* discut* mencion*
+        | ответ* отвеч* сказ* скаж* обсужд* обсуд* помо* помо* говор* комментир* объясн* рассказ* дать предостав* упомина*""",
+    "know": """know* idea clue aware sure certain find* found locat* determine determined derive* deduce* infer inferred see
+        | weiß weiss wissen kenntnis* kenn* find* fand gefunden ableit* abgeleit* entnehm* ermittel* | sais savons connai* trouv* dédui* ai avons
+        | sé sabemos conozco encontr* tengo tenemos dispongo hall* deduc* | знаю знаем знать нашел нашёл нашла найти нашлось следует понятия располага* име*""",
+    "derive": "derive* deduce* infer inferred tell determine determined | ableit* abgeleit* entnehm* hervor* | dédui* ressort | deduc* desprende | следует вывести",
+    "information": """answer* information info details | antwort* auskunft auskünfte information* angabe* hinweis* | répons* information* renseignement* indication* | respuesta* información informaciones datos | ответ* сведени* информаци* данных""",
+    "source": """notes passage passages text texts material materials context blocks document documents sources excerpt excerpts provided supplied
+        | notizen abschnitt* text texte* unterlagen material* quelle* kontext dokument* passage* | notes passage* texte* blocs document* sources contexte extrait*
+        | apuntes notas bloques texto* material* documento* fuentes contexto pasaje* | заметк* материал* блок* текст* документ* источник* отрыв* контекст*""",
+    "possible": """possible can can't cannot could couldn't able unable let lets allow* permit* may
+        | kann können könn* lässt lassen möglich darf dürfen | permet* possible impossible peut peux pouvons mesure | posible imposible permit* puede pueden puedo podemos | можно возможно невозможно могу можем может позволя* удалось нельзя""",
+    "impossible": "impossible | unmöglich | impossible | imposible | невозможно нельзя",
+    "unknown": "unknown unaware | unbekannt | inconnu* ignore | desconozco ignoro | неизвестн*",
+    "beyond": "beyond outside exceed* violat* breach* | außerhalb hinaus übersteig* | sort dehors dépass* hors | fuera exced* | рамк* рамок предел* вне",
+    "decline": "decline declining refuse refusing reject | ablehn* lehne verweiger* | refus* décliner décline | rechaz* declin* niego | отклон* отказ*",
+    "prevent": "prevent* forbid* prohibit* restrict* bar bars keeps | verbiet* untersag* hinder* | interdi* empêch* | prohíb* prohib* impid* | запрещ* меша*",
+    "there": "there | gibt liegen | aucun* a | hay | нет",
+    "reports": "says said states reports claims explains | sagt meldet erklärt | dit affirme indique | dice afirma indica | говорит сообщает пишет",
+    "that": "that | dass | que qu | que | что",
+    "courtesy": """please thank* hope sorry apolog* free welcome question you your perhaps maybe might
+        | bitte danke hoffe tut entschuldig* verständnis vielleicht frage du dir dich dein* ihnen ihr* | merci vous votre vos désolé* espère peut-être question tu te ton
+        | gracias favor siento disculp* espero quizá quizás usted tu te haz pregunta lamento | пожалуйста спасибо жаль надеюсь возможно извините простите вопрос вы вас вам ваш*""",
+}
+# Refusals as sequences of notions; the slots of one template may stand in any order, except after "=".
+TEMPLATES = (
+    "self not say", "self not know", "self not information", "= source not say", "source not information", "source not derive", "source nothing", "= none source say", "not possible answer", "not possible derive",
+    "impossible answer", "self unknown", "self beyond", "self decline", "self prevent", "there not information",
+)
+# Words before which a sentence turns.
+_TURN = re.compile(r";|[,—–-]\s*(?:but|yet|however|although|aber|jedoch|doch|sondern|mais|cependant|pourtant|pero|aunque|но|однако)\b", re.I)
 # Function words by language.
 LANGUAGE_WORDS = {
     "en": "the a an of and or is are was were that this these it its in on at to by with from for what which who how why when where does do did would should can not no yes but only if as about after before while until each every because they has have be there then than under without across near he she we you i my your".split(),
@@ -111,13 +134,19 @@ DANGLING = set(
 # Words after which not even a full stop ends a sentence.
 NEVER_LAST = set("the an and or of their its every und oder dass et ou le les el los las y и или".split()) - {"y"}
 
+#: Words remembered by one Python worker, and characters of the longest.
+CACHE_ENTRIES, LONGEST_KEPT = 200_000, 40
+
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 _FENCE = re.compile(r"^[ \t]*(```|~~~)", re.M)
 _FENCED = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _IMAGE = re.compile(r"!\[[^\[\]]*\]\([^()]*\)")
 _IMAGE_START = re.compile(r"!\[[^\[\]]*\]\(")
 _HTML = re.compile(r"<!--(?:(?!<!--).)*?-->|</?[a-zA-Z][^<>]*>", re.S)
+_QUOTE = re.compile(r"[\"“«„]")
 _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\"”\n]*[“\"”]")
+_MARKED = re.compile(r"[<&\[`~]")
+_LETTER = re.compile(r"[^\W_]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|(?<=[。！？])|\n+")
 _LABEL = re.compile(r"^[\W_]*(?:(?:your |the |my )?(?:original )?(?:question|prompt|answer|response|reply)(?: is| was)?|you asked|q|a|frage|antwort|die frage(?: lautet)?|du fragst|(?:la )?question(?: est)?|réponse|vous demandez|(?:la )?pregunta(?: es)?|respuesta|preguntas|вопрос|ответ|вы спросили|вы спрашиваете)\s*[:：]\s*", re.I)
@@ -126,7 +155,7 @@ _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])(?:\s+|$)")
 
 
 def _tokens(text: str) -> list[str]:
-    return [w.replace("’", "'") for w in _TOKEN.findall(text.lower())]
+    return _TOKEN.findall(text.lower().replace("’", "'"))
 
 
 def _lcs(a: Sequence[str], b: Sequence[str]) -> int:
@@ -149,9 +178,13 @@ def is_empty(answer: str | None) -> bool:
     """Nothing but blanks, invisible characters, punctuation, empty markup or a placeholder."""
     if answer is None:
         return True
+    if len(answer) > 80 and not _MARKED.search(answer):  # plain text, longer than any placeholder
+        plain = " ".join(answer.split())
+        if len(plain) > 80 and _LETTER.search(plain):
+            return False
     text = _INVISIBLE.sub("", html.unescape(answer))
     text = re.sub(r"^[ \t]*(?:```|~~~)[^\n]*$", " ", text, flags=re.M)
-    text = re.sub(r"!?\[\s*\]\([^()]{0,2000}\)", " ", text)
+    text = re.sub(r"!?\[\s*\]\([^()]*\)", " ", text)
     text = _HTML.sub(" ", text).strip()
     if not any(c.isalnum() or (not c.isascii() and unicodedata.category(c) in ("So", "Sc", "Sm")) for c in text):
         return True
@@ -162,9 +195,15 @@ def is_empty(answer: str | None) -> bool:
 # --- copy ----------------------------------------------------------------
 
 
-def is_copy(question: str, answer: str) -> bool:
-    """The answer gives back the question and adds nothing."""
-    q = _tokens(question)
+def is_copy(question: str, answer: str, asked: list[str] | None = None, tokens: list[str] | None = None) -> bool:
+    """The answer gives back the question and adds nothing.
+
+    ``asked`` and ``tokens``: those of question and answer, if they are known.
+    """
+    q = _tokens(question) if asked is None else asked
+    there = set(_tokens(answer) if tokens is None else tokens)
+    if sum(w in there for w in q) < COVERED * len(q):
+        return False
     a = _tokens(_LABEL.sub("", _HTML.sub(" ", answer))) if q else []
     if not a:
         return False
@@ -188,152 +227,306 @@ def is_copy(question: str, answer: str) -> bool:
 
 # --- refusal -------------------------------------------------------------
 
+_BIT = {name: 1 << i for i, name in enumerate(NOTIONS)}
 
-_LONG_FORMS = ((re.compile(r"\bcan ?not\b", re.I), "can't"), (re.compile(r"\bdo not\b", re.I), "don't"), (re.compile(r"\bi am\b", re.I), "i'm"), (re.compile(r"\bunable\b", re.I), "not able"))
 
+def _notion_words() -> tuple[dict[str, int], dict[str, int]]:
+    """Notions of whole words, and of beginnings of words."""
+    whole: dict[str, int] = {}
+    begins: dict[str, int] = {}
+    for name, words in NOTIONS.items():
+        for w in words.replace("|", " ").split():
+            into, w = (begins, w[:-1]) if w.endswith("*") else (whole, w)
+            into[w] = into.get(w, 0) | _BIT[name]
+    return whole, begins
 
-def _short(text: str) -> str:
-    for pattern, form in _LONG_FORMS:
-        text = pattern.sub(form, text)
-    return text
 
+_WHOLE, _BEGINS = _notion_words()
+_LONGEST_BEGINNING = max(map(len, _BEGINS))
 
-class Templates:
-    """Alignment of a sentence with templates by longest common subsequence."""
 
-    def __init__(self, text: str):
-        self.templates: list[tuple[list[str], int]] = []
-        self.by_word: dict[str, list[int]] = {}
-        for line in re.split(r"[|\n]", text):
-            if line.strip():
-                words = _tokens(_short(line.replace("*", " ")))
-                for w in set(words):
-                    self.by_word.setdefault(w, []).append(len(self.templates))
-                self.templates.append((words, 8 * line.count("*")))
+class _Notions(dict):
+    """Notions of the words met so far, as bits."""
 
-    def match(self, words: list[str]) -> bool:
-        if not 1 <= len(words) <= 40:
-            return False
-        votes = Counter(t for w in set(words) for t in self.by_word.get(w, ()))
-        for t, n in votes.items():
-            template, slot = self.templates[t]
-            if n < TEMPLATE_COVERED * len(set(template)):
-                continue
-            common = _lcs(template, words)
-            if common >= TEMPLATE_COVERED * len(template) and common >= SENTENCE_COVERED * max(len(words) - min(slot, len(words) - common), 1):
-                return True
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        found = _WHOLE.get(word, 0)
+        for n in range(2, min(len(word), _LONGEST_BEGINNING) + 1):
+            found |= _BEGINS.get(word[:n], 0)
+        if "'" in word and not found:
+            for part in word.split("'"):
+                found |= _WHOLE.get(part, 0)
+                for n in range(2, min(len(part), _LONGEST_BEGINNING) + 1):
+                    found |= _BEGINS.get(part[:n], 0)
+        if len(word) <= LONGEST_KEPT:
+            self[word] = found
+        return found
+
+
+_NOTIONS = _Notions()
+
+
+def _aligned(slots: tuple[int, ...], words: list[int], ordered: bool = False) -> int | None:
+    """Place of the first of the words that fill all slots close to each other; None if there is none.
+
+    Each slot takes a word of its own, but a verb in the first person fills the
+    speaker's slot too.  The words that fill any slot are taken in order; their longest common
+    subsequence with the template, in whichever order its slots stand, must be
+    the whole template.
+    """
+    any_of = 0
+    for slot in slots:
+        any_of |= slot
+    filling = [(i, w) for i, w in enumerate(words) if w & any_of]
+    full = (1 << len(slots)) - 1
+    reach: dict[int, tuple[int, int]] = {}  # filled slots -> (last place, first place), the latest kept
+    for i, w in filling:
+        here = {}
+        for k, slot in enumerate(slots):
+            if w & slot:
+                own = 1 << k
+                if not ordered or k == 0:
+                    here[own] = (i, i)
+                for filled, (last, first) in reach.items():
+                    if not filled & own and i - last <= GAP + 1 and (not ordered or filled == own - 1):
+                        here[filled | own] = max(here.get(filled | own, (-1, -1)), (i, first))
+        if w & _BIT["self"] and len(here) > 1:  # the speaker's slot is the first of a template that has one
+            here |= {filled | 1: at for filled, at in here.items() if slots[0] == _BIT["self"]}
+        if full in here:
+            return here[full][1]
+        reach |= here
+    return None
+
+
+_SLOTS = [(tuple(_BIT[name] for name in template.strip("= ").split()), template.startswith("=")) for template in TEMPLATES]
+_NEEDED = [sum(slots) for slots, _ in _SLOTS]
+_NEGATIVE = _BIT["not"] | _BIT["nothing"] | _BIT["beyond"] | _BIT["decline"] | _BIT["prevent"] | _BIT["unknown"]
+_KIND = _BIT["courtesy"] | _BIT["self"]
+
+
+def _refuses(words: list[int]) -> bool:
+    """A sentence, as notions, fills a template and is not reported of somebody else."""
+    there = 0
+    for w in words:
+        there |= w
+    if not there & _NEGATIVE:
         return False
+    for (slots, ordered), needed in zip(_SLOTS, _NEEDED):
+        if needed & there == needed:
+            at = _aligned(slots, words, ordered)
+            if at is not None and not (there & _BIT["reports"] and _reported(words[:at + 1])):
+                return True
+    return False
+
 
+def _reported(before: list[int]) -> bool:
+    """A report (says that) stands before."""
+    return any(a & _BIT["reports"] and b & _BIT["that"] for a, b in zip(before, before[1:]))
 
-REFUSAL_TEMPLATES = Templates(REFUSALS)
-COURTESY_TEMPLATES = Templates(COURTESIES)
-_OPENING = re.compile(r"^\W*(?:" + "|".join(sorted((re.escape(x.strip()).replace("\\ ", r"\W+") for x in re.split(r"[|\n]", OPENINGS.replace("sorry i'm sorry but", "sorry | i'm sorry but")) if x.strip()), key=len, reverse=True)) + r")\b[\s,:;.!—–-]*", re.I)
 
+def is_refusal(answer: str, question: str = "", tokens: list[str] | None = None) -> bool:
+    """Declines, or says that there is no answer; what else is said are courtesies or next to nothing.
 
-def is_refusal(answer: str) -> bool:
-    """Declines, or says that there is no answer; what else is said are courtesies."""
-    text = _short(_FENCED.sub(" ", _INVISIBLE.sub("", answer)).replace("’", "'"))
-    said = _QUOTED.sub(" ", text)
-    refused, other = False, 0
+    ``tokens``: those of the answer, if they are known.
+    """
+    there = 0
+    for n in map(_NOTIONS.__getitem__, set(_tokens(_INVISIBLE.sub("", answer)) if tokens is None else tokens)):
+        there |= n
+    if not there & _NEGATIVE or not any(needed & there == needed for needed in _NEEDED):
+        return False
+    text = _FENCED.sub(" ", answer) if "```" in answer or "~~~" in answer else answer
+    low = _INVISIBLE.sub("", text).lower().replace("’", "'")
+    said = _QUOTED.sub(" ", low) if _QUOTE.search(low) else low
+    asked = {w for w in _tokens(question) if len(w) > 3}
+    refused, other = False, 0.0
     for sentence in _SENTENCE.split(said):
-        words = _tokens(_OPENING.sub("", sentence, count=2))
-        if not words:
-            continue
-        if REFUSAL_TEMPLATES.match(words):
-            refused = True
-        elif not COURTESY_TEMPLATES.match(words):
-            other += len(words)
-    return refused and other <= 12
+        for part in _TURN.split(sentence):
+            words = _TOKEN.findall(part)
+            if not words:
+                continue
+            notions = [_NOTIONS[w] for w in words]
+            if _refuses(notions):
+                refused = True
+            elif not any(n & _KIND for n in notions):
+                other += len(words) if any(w in asked for w in words) else len(words) / 3
+    return refused and other <= ANSWER_WORDS
 
 
 # --- other language ------------------------------------------------------
 
 
+_SCRIPTS = (("latin", "a", "z"), ("latin", "À", "ɏ"), ("latin", "Ḁ", "ỿ"), ("ru", "Ѐ", "ӿ"), ("ja", "\u3040", "ヿ"), ("cjk", "㐀", "鿿"), ("ko", "가", "힣"), ("el", "Ͱ", "Ͽ"), ("ar", "\u0600", "ۿ"), ("he", "\u0590", "\u05ff"), ("hi", "\u0900", "ॿ"), ("th", "\u0e00", "\u0e7f"))
+
+
 def _script(word: str) -> str | None:
-    c = word[0]
-    if "a" <= c.lower() <= "z" or "À" <= c <= "ɏ":
-        return "latin"
-    if "Ѐ" <= c <= "ӿ":
-        return "ru"
-    if "\u3040" <= c <= "ヿ":
-        return "ja"
-    if "㐀" <= c <= "鿿":
-        return "cjk"
-    if "가" <= c <= "힣":
-        return "ko"
-    if "Ͱ" <= c <= "Ͽ":
-        return "el"
-    if "\u0600" <= c <= "ۿ":
-        return "ar"
-    if "\u0590" <= c <= "\u05ff":
-        return "he"
-    if "\u0900" <= c <= "ॿ":
-        return "hi"
-    if "\u0e00" <= c <= "\u0e7f":
-        return "th"
-    return None
+    c = word[0].lower()
+    return next((name for name, first, last in _SCRIPTS if first <= c <= last), None)
 
 
-def votes(text: str) -> Counter:
-    """Languages of a sentence: function words, letters and script, one vote each."""
-    out: Counter = Counter()
-    words = _TOKEN.findall(text)
-    for w in words:
-        script = _script(w)
-        if script is None:
-            continue
+class _Votes(dict):
+    """Votes of the words met so far: pairs of language and weight."""
+
+    def __missing__(self, word: str) -> tuple[tuple[str, float], ...]:
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        out: Counter = Counter()
+        script = _script(word)
         if script == "latin":
-            low = w.lower().replace("’", "'")
-            for part in (low, *low.split("'")) if "'" in low else (low,):
+            for part in (word, *word.split("'")) if "'" in word else (word,):
                 for lang in _LANGUAGES.get(part, ()):
                     out[lang] += 1 / len(_LANGUAGES[part])
-        else:
-            out[{"cjk": "ja"}.get(script, script)] += 1 if script not in ("cjk", "ja") else max(1, len(w) // 4)
-    for lang, letters in _LETTERS.items():
-        n = sum(text.lower().count(c) for c in letters)
-        if n:
-            out[lang] += min(2.0, 0.5 * n)
+            for lang, letters in _LETTERS.items():
+                if n := sum(map(word.count, letters)):
+                    out[lang] += 0.5 * n
+        elif script in ("cjk", "ja"):
+            out["ja"] += max(1, len(word) // 4)
+        elif script:
+            out[script] += 1
+        found = tuple(out.items())
+        if len(word) <= LONGEST_KEPT:
+            self[word] = found
+        return found
+
+
+_VOTES = _Votes()
+
+
+def _votes(words: list[str]) -> dict[str, float]:
+    """Languages of some words: function words, letters and script, one vote each."""
+    out: dict[str, float] = {}
+    for some in map(_VOTES.__getitem__, words):
+        for lang, weight in some:
+            out[lang] = out.get(lang, 0.0) + weight
     return out
 
 
-def language(text: str) -> tuple[str | None, float]:
+def language(text: str | list[str]) -> tuple[str | None, float]:
     """The language with most votes and its lead; None if there is none."""
-    v = votes(text).most_common(2)
+    v = sorted(_votes(_tokens(text) if isinstance(text, str) else text).items(), key=lambda x: -x[1])
     if not v:
         return None, 0.0
     return v[0][0], v[0][1] - (v[1][1] if len(v) > 1 else 0.0)
 
 
-def _prose(answer: str) -> list[str]:
-    """Sentences of an answer without code, tables, images, quoted lines and quotations."""
-    text = _IMAGE.sub(" ", _HTML.sub(" ", _FENCED.sub("\n", answer)))
-    lines = [x for x in text.split("\n") if not x.lstrip().startswith((">", "|"))]
-    return [s for s in _SENTENCE.split(_QUOTED.sub(" ", "\n".join(lines))) if s and s.strip()]
+def _grams(word: str) -> list[str]:
+    w = f"^{word}$"
+    return [w[i : i + 3] for i in range(len(w) - 2)]
+
+
+class Letters:
+    """Trigrams of letters of one language: bits of each, with mean and deviation over the text they were counted on."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.total = sum(counts.values())
+        pairs: Counter = Counter()
+        for g, n in counts.items():
+            pairs[g[:2]] += n
+        letters = len({c for g in counts for c in g}) + 1
+        # One half of a count is shared by all letters, so an unseen trigram costs the more the better its pair is known.
+        self.bits = {g: -math.log2((n + 0.5 / letters) / (pairs[g[:2]] + 0.5)) for g, n in counts.items()}
+        self.unseen = {p: -math.log2(0.5 / letters / (n + 0.5)) for p, n in pairs.items()}
+        self.least = math.log2(letters)
+        self.mean = sum(n * self.bits[g] for g, n in counts.items()) / self.total if self.total else 0.0
+        self.deviation = math.sqrt(sum(n * (self.bits[g] - self.mean) ** 2 for g, n in counts.items()) / self.total) if self.total else 0.0
+
+    def score(self, words: list[str]) -> float:
+        """Standard errors by which the words' letters cost more than those of the language."""
+        grams = [g for w in words for g in _grams(w)]
+        if not grams or not self.deviation:
+            return 0.0
+        bits = sum(self.bits[g] if g in self.bits else self.unseen.get(g[:2], self.least) for g in grams)
+        return (bits / len(grams) - self.mean) * math.sqrt(min(len(grams), LONGEST)) / self.deviation
 
 
-def is_other_language(question: str, answer: str) -> bool:
-    """Most of the answer's prose is in another language than the question."""
-    asked, lead = language(question)
+def language_letters(pairs: DataFrame, question: str = "question") -> dict[str, Letters]:
+    """Letter trigrams of the questions of each language, over all rows.
+
+    Counted per batch in Python, summed by Spark.  The result has at most one
+    entry per language and three letters, whatever the number of rows, so it
+    may go to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    tokens = _tokens(text)
+                    v = sorted(_votes(tokens).items(), key=lambda x: -x[1])
+                    if v and v[0][1] - (v[1][1] if len(v) > 1 else 0.0) >= 1.0:
+                        words.setdefault(v[0][0], Counter()).update(tokens)
+        rows: Counter = Counter()
+        for lang, counted in words.items():
+            for w, n in counted.items():
+                if _script(w):
+                    for g in _grams(w):
+                        rows[lang, g] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
+
+    counts: dict[str, dict[str, int]] = {}
+    for r in spread(pairs.select(question)).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    return {lang: Letters(c) for lang, c in counts.items() if sum(c.values()) >= LEAST_TRAINED}
+
+
+def _prose(answer: str) -> list[str]:
+    """Sentences of an answer without code, tables, images, quoted lines and quotations."""
+    text = answer
+    if _MARKED.search(text):
+        text = _IMAGE.sub(" ", _HTML.sub(" ", _FENCED.sub("\n", text)))
+    if "|" in text or ">" in text:
+        text = "\n".join(x for x in text.split("\n") if not x.lstrip().startswith((">", "|")))
+    if _QUOTE.search(text):
+        text = _QUOTED.sub(" ", text)
+    return [s for s in _SENTENCE.split(text) if s and s.strip()]
+
+
+def is_other_language(question: str, answer: str, letters: dict[str, Letters] | None = None, of_question: list[str] | None = None, tokens: list[str] | None = None) -> bool:
+    """Most of the answer's prose is in another language than the question.
+
+    ``letters`` holds the trained models; without one for the question's
+    language, only longer sentences with hardly any of its function words count.
+    ``of_question`` and ``tokens``: those of question and answer, if they are known.
+    """
+    asked, lead = language(question if of_question is None else of_question)
     if asked is None or lead <= 0:
         return False
+    if tokens is not None:  # no sentence can outvote so many words of the question's language
+        v = _votes(tokens)
+        mine = v.pop(asked, 0.0)
+        if mine >= CLEAR * len(tokens) and 3 * max(v.values(), default=0.0) <= mine:
+            return False
     own = foreign = 0.0
     strong = 0.0
     for sentence in _prose(answer):
-        v = votes(sentence)
-        if not v:
-            continue
-        best, most = v.most_common(1)[0]
+        words = _tokens(sentence)
+        v = _votes(words)
+        best, most = max(v.items(), key=lambda x: x[1]) if v else (asked, 0.0)
         mine = v.get(asked, 0.0)
         weight = len(sentence.strip())
-        if best == asked or most - mine < 0.75:
-            if mine or best == asked:
-                own += weight
-            continue
-        foreign += weight
-        strong += most - mine
+        if best != asked and most - mine >= 0.75:
+            foreign += weight
+            strong += most - mine
+            if most - mine < 1.5 and mine < FEW * len(words) and _is_strange(words, asked, letters):
+                strong += 1.5
+        elif mine < FEW * len(words) and _is_strange(words, asked, letters):
+            foreign += weight
+            strong += 1.5
+        elif mine or (v and best == asked):
+            own += weight
     return foreign > own and strong >= 1.5
 
 
+def _is_strange(words: list[str], asked: str, letters: dict[str, Letters] | None) -> bool:
+    """Words with hardly any function word of ``asked`` whose letters are not those of that language."""
+    spelled = [w for w in words if _script(w)]
+    model = (letters or {}).get(asked)
+    if model is None:
+        return len(spelled) >= LEAST_WORDS_UNTRAINED
+    return len(spelled) >= LEAST_WORDS and model.score(spelled) > STRANGE_Z
+
+
 # --- truncated -----------------------------------------------------------
 
 
@@ -436,16 +629,17 @@ def _open_bracket(text: str) -> bool:
 # --- pairs ---------------------------------------------------------------
 
 
-def defect(question: str | None, answer: str | None) -> str | None:
+def defect(question: str | None, answer: str | None, letters: dict[str, Letters] | None = None) -> str | None:
     """The defect of a pair, or None."""
     if is_empty(answer):
         return "empty"
     question = question or ""
-    if is_refusal(answer):
+    asked, tokens = _tokens(question), _tokens(_INVISIBLE.sub("", answer))
+    if is_refusal(answer, question, tokens):
         return "refusal"
-    if is_copy(question, answer):
+    if is_copy(question, answer, asked, tokens):
         return "copy"
-    if is_other_language(question, answer):
+    if is_other_language(question, answer, letters, asked, tokens):
         return "other_language"
     if is_truncated(answer):
         return "truncated"
@@ -458,14 +652,16 @@ def defective_pairs(pairs: DataFrame, key: str = "answer_id", question: str = "q
     Null answers are ``empty``; a null question can be neither copied nor in
     another language.  Repeated rows count once; if rows of one key differ,
     the first defect in the order of :data:`DEFECTS` holds.  The texts are
-    mapped where they lie; only defective keys are shuffled.
+    mapped where they lie, after one pass over the questions that trains the
+    letters of each language; only defective keys are shuffled.
     """
     kind = pairs.schema[key].dataType
+    letters = language_letters(pairs, question)
     schema = T.StructType([T.StructField(key, kind), T.StructField("_rank", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [defect(q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            found = [defect(q, a, letters) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             keep = [i for i, d in enumerate(found) if d]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([DEFECTS.index(found[i]) for i in keep], pa.int32())], names=[key, "_rank"])
 
