@@ -120,7 +120,7 @@ _LANGUAGES: dict[str, list[str]] = {}
 for _lang, _words in LANGUAGE_WORDS.items():
     for _w in set(_words):
         _LANGUAGES.setdefault(_w, []).append(_lang)
-_LETTERS = {"de": "ßäöü", "fr": "çèêëœùûîïô", "es": "ñ¿¡", "pt": "ãõ", "it": "ìò"}
+_LETTERS = {"de": "ß", "fr": "èêëœùûîï", "es": "ñ¿¡", "pt": "ãõ", "it": "ìò"}
 
 # Words that can not end a sentence.
 DANGLING = set(
