@@ -12,6 +12,10 @@ The lattice of a token depends only on what it looks like, and so does the set
 of scripts a text may use (Latin, and any script of which the text holds a
 letter without a Latin twin).  Texts that look the same therefore come out
 equal, and texts that look different come out different.
+
+For classes and pairs this is put to use: the table is read once for the look
+of each value and for the bigrams together, and the search then runs on one
+text per class of looks that holds different strings.
 """
 
 from __future__ import annotations
@@ -64,6 +68,8 @@ for _script, _letters in ((CYRIL, CYRILLIC), (HELLENIC, GREEK)):
     for _other, _latin in _letters.items():
         _CANDIDATES.setdefault(_latin, [(_latin, LATIN)]).append((_other, _script))
 _FOREIGN = re.compile("[Ͱ-Ͽἀ-\u1fffЀ-ԯ]")
+#: Field of the rows that hold the bigrams of the model.
+MODEL = -1
 
 
 def _script_of(letter: str) -> int | None:
@@ -98,12 +104,36 @@ def _folding() -> dict[int, str | None]:
     return table
 
 
+@lru_cache(maxsize=1)
+def _folded() -> re.Pattern:
+    """Any character that step 1 changes by itself."""
+    codes, ranges = sorted(_folding()), []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
+
+
 def fold(text: str) -> str:
     """Step 1."""
     if text.isascii():
         return text
+    if _folded().search(text):
+        text = text.translate(_folding())
     # Removing a joiner can bring a base and its accent together, so composition comes last.
-    return unicodedata.normalize("NFC", text.translate(_folding()))
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+def look(text: str) -> str:
+    """What a text looks like: folded, twins as Latin letters.  Texts look the same if this is equal."""
+    if text.isascii():
+        return text
+    text = fold(text)
+    if not _FOREIGN.search(text):
+        return text
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TWIN))
 
 
 class Normalizer:
@@ -248,57 +278,121 @@ def normalize_columns(frame: DataFrame, columns: list[str], bigrams: dict[tuple[
     return spread(frame).mapInArrow(run, frame.schema)
 
 
-def _fingerprints(frame: DataFrame, key: str, fields: list[str], model: dict[tuple[int, str, str], int]) -> DataFrame:
-    """(key, field, look, raw, tag): 128-bit fingerprints of the consistent form and of the text as it is, and 64 bits of the latter."""
+def _readings(frame: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, id, a, b, tag, shown): what each value looks like and is, from one scan.
+
+    ``a`` and ``b`` are 128 bits of the look, ``tag`` 64 bits of the string as
+    it is, ``shown`` the look itself where it is another string.  Rows of the
+    field MODEL hold the character bigrams of the last field instead: ``shown``
+    the script and both letters, ``tag`` their number.
+    """
     schema = T.StructType([
-        T.StructField("id", frame.schema[key].dataType), T.StructField("field", T.StringType()), T.StructField("look", T.BinaryType()), T.StructField("raw", T.BinaryType()), T.StructField("tag", T.LongType()),
+        T.StructField("field", T.IntegerType()), T.StructField("id", frame.schema[key].dataType), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("shown", T.StringType()),
     ])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-        normal = Normalizer(model)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        words: Counter = Counter()
+        total: Counter = Counter()
+        id_type = None
         for batch in batches:
             ids = batch.column(0)
-            for i, name in enumerate(fields, 1):
-                looks, raws, keep = [], [], []
-                for at, text in enumerate(batch.column(i).to_pylist()):
+            id_type = ids.type
+            for i, _ in enumerate(fields):
+                keep, first, second, tags, shown = [], [], [], [], []
+                for at, text in enumerate(batch.column(i + 1).to_pylist()):
                     if text is None:
                         continue
-                    raw = xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+                    if i == len(fields) - 1:
+                        words.update(WORD.findall(text))
+                    seen = look(text)
+                    digest = xxh3_128_intdigest(seen.encode("utf-8", "surrogatepass"))
                     keep.append(at)
-                    raws.append(raw)
-                    looks.append(raw if text.isascii() else xxh3_128_digest(normal(text).encode("utf-8", "surrogatepass")))
+                    first.append(signed(digest >> 64))
+                    second.append(signed(digest & (1 << 64) - 1))
+                    tags.append(signed(xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))))
+                    shown.append(None if seen == text else seen)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(keep, pa.int64())), pa.array([name] * len(keep), pa.string()), pa.array(looks, pa.binary()), pa.array(raws, pa.binary()), pa.array([int.from_bytes(r[:8], "big", signed=True) for r in raws], pa.int64())],
-                    names=["id", "field", "look", "raw", "tag"],
+                    [pa.array([i] * len(keep), pa.int32()), ids.take(pa.array(keep, pa.int64())), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(tags, pa.int64()), pa.array(shown, pa.string())], names=names,
                 )
+            if len(words) > CACHE_ENTRIES:
+                total += _bigrams(words)
+                words.clear()
+        total += _bigrams(words)
+        if total:
+            none = pa.nulls(len(total), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([MODEL] * len(total), pa.int32()), pa.nulls(len(total), id_type), none, none, pa.array(list(total.values()), pa.int64()), pa.array([f"{k[0]}{k[1]}{k[2]}" for k in total])], names=names)
 
     return spread(frame.select(key, *fields)).mapInArrow(run, schema)
 
 
+def _members(frame: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, form, tag, id) of all values in classes of the same look that hold different strings, each once.
+
+    ``form`` is the consistent form of the class, from the lattice search.
+    """
+    frame = frame.where(F.col(key).isNotNull())
+    # The texts are read once; what is kept is some 40 bytes a value, and the look where it differs.
+    read = cut(_readings(frame, key, fields))
+    counted = read.where(F.col("field") == MODEL).groupBy("shown").agg(F.sum("tag").alias("n")).collect()  # at most a row per pair of letters of a script
+    model = {(int(r["shown"][0]), r["shown"][1], r["shown"][2]): r["n"] for r in counted}
+    values = read.where(F.col("field") != MODEL)
+    # A class with one string has one tag; partial aggregation shrinks a hot class before the shuffle.
+    # Half of the look is enough to find candidates; the other half parts them below.
+    mixed = values.groupBy("field", "a").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("field", "a")
+    near = cut(values.join(mixed, ["field", "a"], "left_semi").groupBy("field", "a", "b", "tag", "id").agg(F.first("shown").alias("shown")))
+    classes = near.groupBy("field", "a", "b").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.max("shown").alias("shown")).where("lo <> hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = Normalizer(model)
+        for batch in batches:
+            forms = pa.array([normal(t) for t in batch.column(3).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], forms], names=["field", "a", "b", "form"])
+
+    formed = classes.select("field", "a", "b", "shown").mapInArrow(run, "field int, a long, b long, form string")
+    named = F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1)
+    # The form of a class may be long; its members carry 128 bits of it.
+    short = formed.select("field", "a", "b", F.unhex(F.md5("form")).alias("form"))
+    return near.join(short, ["field", "a", "b"]).select(named.alias("field"), "form", "tag", "id")
+
+
 def lookalike_pairs(frame: DataFrame, key: str = "block_id", fields: tuple[str, ...] = ("text", "markdown")) -> DataFrame:
     """Pairs of rows with different ids whose values look the same but are not the same string.
 
     Result: ``<key>_a < <key>_b``, ``field``; each pair once.  Null values and
     null ids take part in no pair; repeated rows count once; an empty table
-    gives an empty result.  Values are compared by 128-bit fingerprints.
+    gives an empty result.  Looks are compared by 128-bit fingerprints, strings
+    of one look by 64 bits.
 
     Only classes with two or more different strings go on to the join, and the
     join runs along pairs of strings, not along all pairs of rows of a class:
-    a class of exact copies, however large, makes no candidate at all.
+    a class of exact copies, however large, makes no candidate at all.  All
+    pairs of a class of n and m equal strings are n times m rows;
+    :func:`lookalike_classes` says the same in n + m.
     """
-    frame = frame.where(F.col(key).isNotNull())
-    model = script_bigrams(frame, fields[-1])
-    # The texts are read and searched once; what is kept is some 40 bytes a value.
-    prints = cut(_fingerprints(frame, key, list(fields), model))
-    # A class with one string has one tag; partial aggregation shrinks a hot class before the shuffle.
-    mixed = prints.groupBy("field", "look").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("field", "look")
-    members = cut(prints.drop("tag").join(mixed, ["field", "look"], "left_semi").distinct())
-    kinds = members.select("field", "look", "raw").distinct()
-    other = kinds.withColumnRenamed("raw", "raw_b")
-    seams = kinds.join(other, ["field", "look"]).where("raw < raw_b")
-    left = members.select("field", "look", "raw", F.col("id").alias("id_l"))
-    right = members.select("field", "look", F.col("raw").alias("raw_b"), F.col("id").alias("id_r"))
-    pairs = seams.join(left, ["field", "look", "raw"]).join(right, ["field", "look", "raw_b"]).where("id_l <> id_r")
+    members = cut(_members(frame, key, list(fields)))
+    kinds = members.select("field", "form", "tag").distinct()
+    seams = kinds.join(kinds.withColumnRenamed("tag", "tag_b"), ["field", "form"]).where("tag < tag_b")
+    left = members.withColumnRenamed("id", "id_l")
+    right = members.select("field", "form", F.col("tag").alias("tag_b"), F.col("id").alias("id_r"))
+    pairs = seams.join(left, ["field", "form", "tag"]).join(right, ["field", "form", "tag_b"]).where("id_l <> id_r")
     return pairs.select(F.least("id_l", "id_r").alias(f"{key}_a"), F.greatest("id_l", "id_r").alias(f"{key}_b"), "field").distinct()
+
+
+def lookalike_classes(frame: DataFrame, key: str = "block_id", fields: tuple[str, ...] = ("text", "markdown")) -> DataFrame:
+    """The classes behind :func:`lookalike_pairs`: one row per member, whatever the size of a class.
+
+    Result: ``key``, ``field``, ``class_id`` (of the class's consistent form),
+    ``string_id`` (of the member's string), ``links``: the number of rows of
+    the class that hold another string.  A row delivered with two strings has
+    two rows.  Counts are taken per string with a map-side combine.
+    """
+    members = cut(_members(frame, key, list(fields)))
+    strings = members.groupBy("field", "form", "tag").agg(F.count(F.lit(1)).alias("_same"))
+    totals = strings.groupBy("field", "form").agg(F.sum("_same").alias("_all"))
+    counted = strings.join(totals, ["field", "form"]).withColumn("links", F.col("_all") - F.col("_same"))
+    joined = members.join(counted.select("field", "form", "tag", "links"), ["field", "form", "tag"])
+    return joined.select(F.col("id").alias(key), "field", F.lower(F.hex("form")).alias("class_id"), F.col("tag").alias("string_id"), "links")

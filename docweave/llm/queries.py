@@ -36,6 +36,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, root, "blocks"))
 
 
+def p4_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The blocks of every class of look-alikes, with the number of blocks that hold another string."""
+    return lookalikes.lookalike_classes(table(spark, root, "blocks")).drop("class_id", "string_id")
+
+
 def p4_consistent(spark: SparkSession, root: str) -> DataFrame:
     """Text and markdown of every block in the consistent form, as delivered."""
     blocks = table(spark, root, "blocks", ["block_id", "ingested_at", "text", "markdown"])
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p4_consistent": p4_consistent,
     "p5_ids": p5_ids,
     "p5_counts": p5_counts,
@@ -86,8 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TOKENS = r"len(regexp_extract_all(b.markdown, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\t\n\x0B\f\r\x{85}]'))"
 
-def _twins() -> str:
-    """SQL of what a text looks like, for the characters of the test data: wide forms, ligatures, spaces, ignorables, twins."""
+# Letters of the shape of a Latin letter, written for the SQL by themselves, below the Latin letters.
+_OTHERS = "АВЕЅІЈКМНОРСТУХҮѴԚԜԀаеорсухѕіјһԁԛԝѵӏӀΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϹϲϳͿ"
+_LETTERS = "ABESIJKMHOPCTYXYVQWDaeopcyxsijhdqwvlIABEZHIKMNOPTYXovCcjJ"
+
+
+def _looks() -> str:
+    """SQL of what a text ``x`` looks like, for the characters of the test data: wide forms, ligatures, spaces, ignorables, letters of one shape."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     plain = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
     x = "x"
@@ -95,18 +106,20 @@ def _twins() -> str:
         x = f"replace({x}, '{ligature}', '{letters}')"
     x = f"translate({x}, '{wide}', '{plain}')"
     x = rf"regexp_replace(regexp_replace({x}, '\p{{Zs}}', ' ', 'g'), '\p{{Cf}}', '', 'g')"
-    pairs = lookalikes.CYRILLIC | lookalikes.GREEK
-    # Twins come before composition, so that an accent composes with the Latin letter.
-    return f"nfc_normalize(translate({x}, '{''.join(pairs)}', '{''.join(pairs.values())}'))"
+    # Letters come before composition, so that an accent composes with the Latin letter.
+    return f"nfc_normalize(translate({x}, '{_OTHERS}', '{_LETTERS}'))"
 
 
-ORACLE: dict[str, str] = {
-    "p4_found": f"""
-        WITH v AS (SELECT DISTINCT block_id, 'text' AS field, text AS x FROM blocks WHERE text IS NOT NULL UNION ALL SELECT DISTINCT block_id, 'markdown', markdown FROM blocks WHERE markdown IS NOT NULL),
-        k AS (SELECT block_id, field, x, {_twins()} AS look FROM v),
+_MIXED = f"""WITH v AS (SELECT DISTINCT block_id, 'text' AS field, text AS x FROM blocks WHERE text IS NOT NULL UNION ALL SELECT DISTINCT block_id, 'markdown', markdown FROM blocks WHERE markdown IS NOT NULL),
+        k AS (SELECT block_id, field, x, {_looks()} AS look FROM v),
         m AS (SELECT field, look FROM k GROUP BY ALL HAVING count(DISTINCT x) > 1),
-        c AS (SELECT k.* FROM k JOIN m USING (field, look))
+        c AS (SELECT k.* FROM k JOIN m USING (field, look))"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"""{_MIXED}
         SELECT DISTINCT a.block_id AS block_id_a, b.block_id AS block_id_b, a.field FROM c a JOIN c b ON a.field = b.field AND a.look = b.look AND a.block_id < b.block_id AND a.x <> b.x""",
+    "p4_classes": f"""{_MIXED}
+        SELECT block_id, field, count(*) OVER (PARTITION BY field, look) - count(*) OVER (PARTITION BY field, look, x) AS links FROM c""",
     "p2_found": f"""
         SELECT DISTINCT b.block_id FROM blocks b JOIN chunk_configs c ON b.config_name = c.config_name
         WHERE {_TOKENS} > c.max_tokens""",

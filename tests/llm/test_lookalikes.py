@@ -68,6 +68,19 @@ def test_pairs(spark):
     got = L.lookalike_pairs(frame)
     assert set(rows(got)) == brute(data) and got.count() == len(brute(data))
     assert L.lookalike_pairs(frame.limit(0)).count() == 0
+    classes = L.lookalike_classes(frame)
+    assert L.lookalike_classes(frame.limit(0)).count() == 0
+    # As many links as pairs, seen from both sides; the large class of copies takes one row a member.
+    assert sum(r["links"] for r in classes.collect()) == 2 * len(brute(data))
+    assert classes.where("field = 'text' and block_id between 100 and 200").count() == 51 and rows(classes.where("block_id = 200"), "links") == [(50,)]
     clean = L.normalize_columns(frame, ["markdown", "text"])
     assert clean.columns == frame.columns and clean.count() == frame.count()
     assert rows(clean.where("block_id in (2, 4)"), "text") == sorted([("The map",), (None,)], key=repr)
+
+
+def test_look_decides_as_the_form():
+    texts = ["Тhe map", "The map", "сафари", "cафари", "ｆｕｌｌ", "full", "ﬁle", "file", "a b", "a b", "é", "é", "x²", "x2", "Ж", "", "plain", "Αθήνα", "Aθήνα"]
+    for a in texts:
+        for b in texts:
+            assert (L.look(a) == L.look(b)) == (NORMAL(a) == NORMAL(b)), (a, b)
+            assert NORMAL(L.look(a)) == NORMAL(a)
