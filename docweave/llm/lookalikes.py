@@ -106,13 +106,14 @@ def _folding() -> dict[int, str | None]:
 
 @lru_cache(maxsize=1)
 def _folded() -> re.Pattern:
-    """Any character that step 1 changes by itself."""
-    codes, ranges = sorted(_folding()), []
-    for code in codes:
+    """Any character that step 1 changes by itself, or of the further planes, which are rare."""
+    ranges: list[list[int]] = []
+    for code in sorted(c for c in _folding() if c < 0x10000) + [0x10000]:
         if ranges and ranges[-1][1] == code - 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
+    ranges.append([0x10001, sys.maxunicode])
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
 
 
@@ -211,7 +212,12 @@ class Normalizer:
         return unicodedata.normalize("NFC", "".join(out))
 
 
-def _bigrams(words: Counter) -> Counter:
+def _bigrams(tokens: Counter) -> Counter:
+    """Bigrams of the words in tokens that hold no white space."""
+    words: Counter = Counter()
+    for token, n in tokens.items():
+        for word in WORD.findall(token):
+            words[word] += n
     counts: Counter = Counter()
     for word, n in words.items():
         base = [c for c in unicodedata.normalize("NFD", word.lower()) if c.isalpha()]
@@ -242,7 +248,7 @@ def script_bigrams(frame: DataFrame, column: str) -> dict[tuple[int, str, str],
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words.update(WORD.findall(text))
+                    words.update(text.split())
             if len(words) > CACHE_ENTRIES:
                 total += _bigrams(words)
                 words.clear()
@@ -307,7 +313,7 @@ def _readings(frame: DataFrame, key: str, fields: list[str]) -> DataFrame:
                     if text is None:
                         continue
                     if i == len(fields) - 1:
-                        words.update(WORD.findall(text))
+                        words.update(text.split())
                     seen = look(text)
                     digest = xxh3_128_intdigest(seen.encode("utf-8", "surrogatepass"))
                     keep.append(at)
@@ -343,8 +349,11 @@ def _members(frame: DataFrame, key: str, fields: list[str]) -> DataFrame:
     # A class with one string has one tag; partial aggregation shrinks a hot class before the shuffle.
     # Half of the look is enough to find candidates; the other half parts them below.
     mixed = values.groupBy("field", "a").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("field", "a")
-    near = cut(values.join(mixed, ["field", "a"], "left_semi").groupBy("field", "a", "b", "tag", "id").agg(F.first("shown").alias("shown")))
-    classes = near.groupBy("field", "a", "b").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.max("shown").alias("shown")).where("lo <> hi")
+    near = cut(values.drop("shown").join(mixed, ["field", "a"], "left_semi").distinct())
+    parted = near.groupBy("field", "a", "b").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select("field", "a", "b")
+    # Of the strings of a class one at most is the look itself, so every class finds its look among the others.
+    looks = values.where("shown is not null").groupBy("field", "a", "b").agg(F.first("shown").alias("shown"))
+    classes = looks.join(parted, ["field", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normal = Normalizer(model)
