@@ -1,142 +1,180 @@
 """References to records that do not exist, direct and inherited.
 
-A foreign-key graph is given as a list of :class:`Reference`.  Direct orphans
-are found by one aggregate per key and one join; the cascade then treats
-records that lead only to orphans as orphans themselves, one semi-join per
-level of the graph, until a level adds nothing.
+A foreign-key graph is a set of tables and a list of :class:`Reference`.
+Direct orphans are found by one aggregate per key and one join for all
+references.  The cascade then treats records that refer to orphaned records as
+orphans themselves: waves of semi-joins run down the graph until a wave is
+empty.  Direct orphans are level 0 of it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.session import cut
 
+#: Waves after which the keys found so far are written as one set; the number doubles each time.
+WAVES = 16
+
 
 @dataclass(frozen=True)
 class Reference:
-    """``child.field`` names ``parent.key`` within the same ``scope`` (a column of both)."""
+    """``child.field`` names ``parent.key``, within the same ``scope`` (a column of both) or everywhere.
+
+    ``row_id`` identifies a row of the child; its last column is reported.
+    ``made_at`` is the time of the reference, ``known_at`` that from which a
+    row of the parent is there, ``deleted_at`` is set if it is no more; without
+    one of these columns nothing is late, or nothing deleted.
+    """
 
     child: str
     field: str
     parent: str
     key: str
-    scope: str
-    row_id: tuple[str, ...]  # columns that identify a row of the child
-    made_at: str  # time of the reference
-    known_at: str  # time from which a row of the parent is there
-    deleted_at: str | None = "deleted_at"  # of the parent
+    scope: str | None
+    row_id: tuple[str, ...]
+    made_at: str | None
+    known_at: str | None
+    deleted_at: str | None = "deleted_at"
 
 
-def _key_state(parent: DataFrame, scope: str, key: str, known_at: str, deleted_at: str | None) -> DataFrame:
-    """One row per key: the earliest time of a live row, null if there is none."""
-    live = F.col(deleted_at).isNull() if deleted_at else F.lit(True)
-    usable = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
-    return parent.where(usable).groupBy(F.col(scope).alias("_scope"), F.col(key).alias("_key")).agg(F.min(F.when(live, F.col(known_at))).alias("_from"), F.lit(True).alias("_there"))
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
-def _reason(made_at: Column) -> Column:
-    return F.when(F.col("_there").isNull(), "missing").when(F.col("_from").isNull(), "deleted").when(F.col("_from") > made_at, "late")
+def _scope(r: Reference) -> Column:
+    return F.col(r.scope).cast("string") if r.scope else F.lit("")
 
 
-def _marked(child: DataFrame, references: list[tuple[Reference, DataFrame]]) -> DataFrame:
-    """Each reference that has a reason to be an orphan, once per row of the child."""
-    first = references[0][0]
-    fields = F.array(*[F.struct(F.lit(r.field).alias("field"), F.col(r.field).cast("string").alias("_key")) for r, _ in references])
-    rows = (
-        child.select(*first.row_id, F.col(first.scope).alias("_scope"), F.col(first.made_at).alias("made_at"), F.explode(fields).alias("_ref"))
-        .select(*first.row_id, "_scope", "made_at", "_ref.field", "_ref._key")
-        .where("_key is not null and _key <> '' and _scope is not null")
-    )
-    states = None
-    for ref, parent in references:
-        state = _key_state(parent, ref.scope, ref.key, ref.known_at, ref.deleted_at).select(F.lit(ref.field).alias("field"), "_scope", F.col("_key").cast("string").alias("_key"), "_from", "_there")
-        states = state if states is None else states.unionByName(state)
-    return rows.join(states, ["_scope", "field", "_key"], "left").withColumn("reason", _reason(F.col("made_at"))).where("reason is not null")
+def _rows(tables: dict[str, DataFrame], references: list[Reference], own: dict[str, Reference]) -> DataFrame:
+    """One row per reference: ``table, id, own_scope, field, parent, scope, key, made_at``.
 
+    ``id`` is what other tables call the row by (``own``), else its row id.
+    Each table is read once for all of its references; null and empty
+    references, and those in a null scope, are left out.
+    """
+    out = []
+    for name in dict.fromkeys(r.child for r in references):
+        mine = [r for r in references if r.child == name]
+        fields = F.array(*[F.struct(F.lit(r.field).alias("field"), F.lit(r.parent).alias("parent"), _scope(r).alias("scope"), F.col(r.field).cast("string").alias("key")) for r in mine])
+        known = own.get(name)
+        made_at = F.col(mine[0].made_at) if mine[0].made_at else F.lit(None).cast("timestamp_ntz")
+        rows = tables[name].select(F.lit(name).alias("table"), F.col(known.key if known else mine[0].row_id[-1]).alias("id"), (_scope(known or mine[0])).alias("own_scope"), made_at.alias("made_at"), F.explode(fields).alias("_r"))
+        rows = rows.select("table", "id", "own_scope", "made_at", "_r.field", "_r.parent", "_r.scope", "_r.key").where("key is not null and key <> '' and scope is not null")
+        out.append(rows.where("id is not null and own_scope is not null") if known else rows)
+    if len(out) > 1:  # ids of one type
+        out = [rows.withColumn("id", F.col("id").cast("string")) for rows in out]
+    return _union(out)
+
+
+def _states(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """One row per key of a parent: ``parent, scope, key``, whether a row is live, and since when."""
+    out, types = [], [tables[r.parent].schema[r.known_at].dataType for r in references if r.known_at]
+    for r in {(r.parent, r.scope, r.key): r for r in references}.values():
+        live = F.col(r.deleted_at).isNull() if r.deleted_at else F.lit(True)
+        since = F.col(r.known_at) if r.known_at else F.lit(None).cast(types[0] if types else "timestamp_ntz")
+        key = F.col(r.key).cast("string")
+        keyed = tables[r.parent].select(F.lit(r.parent).alias("parent"), _scope(r).alias("scope"), key.alias("key"), F.when(live, since).alias("_since"), live.alias("_live")).where("key is not null and key <> ''")
+        out.append(keyed.groupBy("parent", "scope", "key").agg(F.min("_since").alias("_since"), F.max("_live").alias("_live")))
+    return _union(out)
+
+
+def _reason() -> Column:
+    return F.when(F.col("_live").isNull(), "missing").when(~F.col("_live"), "deleted").when(F.col("_since") > F.col("made_at"), "late")
+
+
+def _found(tables: dict[str, DataFrame], references: list[Reference], own: dict[str, Reference], orphaned: DataFrame | None = None) -> DataFrame:
+    """The references that are orphans: direct ones and, given the ``orphaned`` records, inherited ones; repeated rows as they are.
+
+    All references go through one join with the states of all keys, which hold
+    one row per key, so a key that a third of the rows refer to is skewed on
+    one side only, where AQE splits it.
+    """
+    keys = ["parent", "scope", "key"]
+    states = _states(tables, references).withColumn("_level", F.lit(None).cast("int"))
+    if orphaned is not None:
+        states = states.drop("_level").join(orphaned.select(F.col("table").alias("parent"), F.col("own_scope").alias("scope"), F.col("id").alias("key"), F.col("level").alias("_level")), keys, "left")
+    joined = _rows(tables, references, own).join(states, keys, "left").withColumn("_why", _reason())
+    level = F.when(F.col("_why").isNotNull(), 0).otherwise(F.col("_level") + 1)
+    return joined.select("table", "own_scope", "id", "field", F.coalesce("_why", F.when(F.col("_level").isNotNull(), F.lit("parent"))).alias("reason"), level.alias("level"), "made_at").where("reason is not null")
 
-def direct_orphans(child: DataFrame, references: list[tuple[Reference, DataFrame]]) -> DataFrame:
-    """Orphan references of one table: its row id, ``_scope``, ``field``, ``_key``, ``reason``, ``made_at``.
+
+def orphan_references(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """The direct orphans of one child table: its row id, ``field`` and ``reason``, each once.
 
     ``reason`` is ``missing`` if no row has the key, else ``deleted`` if all
     rows with it are deleted, else ``late`` if the earliest live row is younger
     than the reference.  Null and empty references, and references in a null
     scope, are none.  Repeated rows count once.  Extra columns are ignored.
-
-    All fields of the child go through one join: its rows are unpivoted to
-    (scope, field, key) and meet the states of all keys, which were aggregated
-    before.  The states hold one row per key, so a key that a third of the
-    rows refer to is skewed on one side only, where AQE splits it.
+    This is level 0 of :func:`orphan_graph` for one table.
     """
-    first = references[0][0]
-    return _marked(child, references).select(*first.row_id, "_scope", "field", "_key", "reason", "made_at").distinct()
-
-
-def orphan_references(child: DataFrame, references: list[tuple[Reference, DataFrame]]) -> DataFrame:
-    """Row id, ``field`` and ``reason`` of each orphan reference, each once; see :func:`direct_orphans`."""
-    first = references[0][0]
-    return _marked(child, references).select(*first.row_id, "field", "reason").distinct()
+    if len({r.child for r in references}) != 1:
+        raise ValueError("references of one table are needed")
+    return _found(tables, references, {}).select(F.col("id").alias(references[0].row_id[-1]), "field", "reason").distinct()
 
 
-def orphan_cascade(nodes: DataFrame, refs: DataFrame, node_ref: Reference, into_nodes: Reference, others: list[tuple[Reference, DataFrame]], more: list[tuple[DataFrame, Reference, DataFrame]] | None = None) -> DataFrame:
-    """Direct and inherited orphans of a self-referencing table and of a table that points into it.
+def orphan_graph(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """Direct and inherited orphans of all tables of a foreign-key graph.
 
     Result: ``table``, ``scope``, ``id``, ``field``, ``kind`` (direct or
-    inherited), ``reason`` (of the direct orphan, or ``parent``), ``level``
-    (0 for direct), ``made_at``.  A record inherits if it is no direct orphan
-    itself and the record it refers to is an orphan.  Records of one key count
-    as one; cycles end because every round only adds keys not yet orphaned.
-    ``more`` lists further (child, reference, parent) whose parents can not be
-    orphans themselves.
+    inherited), ``reason`` (of a direct orphan, or ``parent``), ``level`` (0
+    for direct), ``made_at``.  A record inherits if it refers to an orphaned
+    record and is no orphan by itself.  In tables to which others refer, the
+    rows of one key are one record, which inherits once, by the shortest way;
+    in other tables each reference inherits for itself.
+
+    Only tables that have children take part in the waves.  A wave visits only
+    the references whose parents the wave before has reached, and is added to
+    the ones before without writing these again.  Cycles end because a wave
+    only holds keys not yet orphaned.
     """
-    n = node_ref
-    key = n.row_id[-1]
-    direct_nodes = direct_orphans(nodes, [(n, nodes)]).groupBy("_scope", F.col(key).alias("_id")).agg(F.min("reason").alias("reason"), F.min("made_at").alias("made_at"))
-    edges = (
-        nodes.where(F.col(n.field).isNotNull() & (F.col(n.field) != "") & F.col(n.scope).isNotNull() & F.col(key).isNotNull())
-        .groupBy(F.col(n.scope).alias("_scope"), F.col(key).alias("_id"), F.col(n.field).alias("_parent"))
-        .agg(F.min(n.made_at).alias("made_at"))
-    )
-    orphaned = cut(direct_nodes.select("_scope", "_id", "reason", F.lit(0).alias("level"), "made_at"))
-    edges = cut(edges)
-    wave, level = orphaned, 0
-    while True:
-        level += 1
-        parents = wave.select("_scope", F.col("_id").alias("_parent"))
-        wave = (
-            edges.join(parents, ["_scope", "_parent"], "left_semi")
-            .join(orphaned.select("_scope", "_id"), ["_scope", "_id"], "left_anti")
-            .groupBy("_scope", "_id")
-            .agg(F.min("made_at").alias("made_at"))
-            .select("_scope", "_id", F.lit("parent").alias("reason"), F.lit(level).alias("level"), "made_at")
-        )
-        wave = cut(wave)
-        if wave.isEmpty():
-            break
-        orphaned = cut(orphaned.unionByName(wave))
+    own: dict[str, Reference] = {}
+    for r in references:
+        known = own.setdefault(r.parent, r)
+        if (known.key, known.scope) != (r.key, r.scope):
+            raise ValueError(f"{r.parent} is referred to by two different keys")
+    inner = [r for r in references if r.child in own]
+    outer = [r for r in references if r.child not in own]
+    identity = ["table", "own_scope", "id"]
+    results, orphaned = [], None
+    if inner:
+        direct = _found(tables, inner, own).withColumn("id", F.col("id").cast("string"))
+        direct = cut(direct.groupBy(*identity, "field").agg(F.min("reason").alias("reason"), F.min("made_at").alias("made_at"), F.lit(0).alias("level")))
+        wave = direct.select(*identity, "level").distinct()
+        waves, written, level = [wave], WAVES, 0
+        edges = {r: cut(_rows(tables, [r], own).withColumn("id", F.col("id").cast("string")).distinct()) for r in inner if r.child == r.parent}
+        results.append(direct)
+        while True:
+            level += 1
+            reached = {row["table"] for row in wave.select("table").distinct().collect()}  # at most one row per table
+            steps = []
+            for r in inner:
+                if r.parent in reached:
+                    rows = edges.get(r)
+                    rows = _rows(tables, [r], own).withColumn("id", F.col("id").cast("string")) if rows is None else rows
+                    keys = wave.where(F.col("table") == r.parent).select(F.col("own_scope").alias("scope"), F.col("id").alias("key"))
+                    steps.append(rows.join(keys, ["scope", "key"], "left_semi").select(*identity, "field", "made_at"))
+            if not steps:
+                break
+            met = _union(steps).groupBy(*identity).agg(F.min("field").alias("field"), F.min("made_at").alias("made_at"))
+            new = cut(met.join(_union(waves).select(*identity), identity, "left_anti").withColumn("reason", F.lit("parent")).withColumn("level", F.lit(level)))
+            wave = new.select(*identity, "level")
+            if wave.isEmpty():
+                break
+            results.append(new)
+            waves.append(wave)
+            if len(waves) > written:
+                waves, written = [cut(_union(waves))], 2 * written
+        orphaned = _union(waves)
+    if outer:
+        found = _found(tables, outer, own, orphaned).withColumn("id", F.col("id").cast("string"))
+        results.append(found.distinct())
     kind = F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("kind")
-    node_rows = orphaned.select(F.lit(n.child).alias("table"), F.col("_scope").alias("scope"), F.col("_id").cast("string").alias("id"), F.lit(n.field).alias("field"), kind, "reason", "level", "made_at")
-
-    r = into_nodes
-    direct = direct_orphans(refs, [(r, nodes), *others])
-    ref_id = r.row_id[0]
-    direct_rows = direct.select(F.lit(r.child).alias("table"), F.col("_scope").alias("scope"), F.col(ref_id).cast("string").alias("id"), "field", F.lit("direct").alias("kind"), "reason", F.lit(0).alias("level"), "made_at")
-    keys = orphaned.select(F.col("_scope").alias(r.scope), F.col("_id").alias(r.field), F.col("level").alias("_level"))
-    inherited = (
-        refs.select(ref_id, r.scope, r.field, F.col(r.made_at).alias("made_at"))
-        .join(keys, [r.scope, r.field])
-        .join(direct.where(F.col("field") == r.field).select(ref_id).distinct(), ref_id, "left_anti")
-        .select(F.lit(r.child).alias("table"), F.col(r.scope).alias("scope"), F.col(ref_id).cast("string").alias("id"), F.lit(r.field).alias("field"), F.lit("inherited").alias("kind"), F.lit("parent").alias("reason"), (F.col("_level") + 1).alias("level"), "made_at")
-        .distinct()
-    )
-    out = node_rows.unionByName(direct_rows).unionByName(inherited)
-    for child, ref, parent in more or []:
-        found = direct_orphans(child, [(ref, parent)])
-        out = out.unionByName(found.select(F.lit(ref.child).alias("table"), F.col("_scope").alias("scope"), F.col(ref.row_id[0]).cast("string").alias("id"), "field", F.lit("direct").alias("kind"), "reason", F.lit(0).alias("level"), "made_at"))
-    return out
+    return _union([f.select("table", F.col("own_scope").alias("scope"), "id", "field", kind, "reason", "level", "made_at") for f in results])
 
 
 def orphan_report(orphans: DataFrame, period: str = "month", time_column: str = "made_at") -> DataFrame:
