@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docweave.plans import config, pipeline
+from docweave.plans.artifacts import Trace
 from docweave.sources import files
 
 
@@ -27,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--debug", action="store_true", help="store the result of each step")
     p.add_argument("--use-debug-io", action="store_true", help="reuse stored results")
     p.add_argument("--enable-tracing", action="store_true")
+    p.add_argument("--folders", action="store_true", help="one folder of plain text per document and page; for a few documents")
     p.add_argument("--max-workers", type=int, help="parallel tasks of a local run")
     return p
 
@@ -42,12 +46,22 @@ def options_of(args: argparse.Namespace) -> config.Options:
     if args.steps:
         options.steps = tuple(s.strip() for s in args.steps.split(",") if s.strip())
     options.debug |= args.debug
+    options.folders |= args.folders
     options.use_debug_io |= args.use_debug_io
     options.tracing |= args.enable_tracing
     options.resolved_steps()
     return options
 
 
+def session(workers: int | None = None) -> SparkSession:
+    """The session of the run: the master that spark-submit or the configuration names, else this machine."""
+    builder = SparkSession.builder.appName("docweave").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    running = SparkContext._active_spark_context is not None
+    if not running and not SparkConf().get("spark.master", None):
+        builder = builder.master(f"local[{workers or '*'}]")
+    return builder.getOrCreate()
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.list_recipes:
@@ -56,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
     options = options_of(args)
     if not options.input and not options.markmap_input:
         raise SystemExit("an input is needed")
-    spark = SparkSession.builder.master(f"local[{args.max_workers or '*'}]").appName("docweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = session(args.max_workers)
     subtitles = bool({"subs_list", "subs_merge"} & set(options.resolved_steps()))
     one = lambda path: files.read_documents(spark, path, "*").select(F.xxhash64("path").alias("doc_id"), "text") if path else None
     single = lambda path: one(path).withColumn("doc_id", F.lit(0).cast("long")) if path else None
@@ -65,25 +79,31 @@ def main(argv: list[str] | None = None) -> int:
     else:
         documents, outlines = (None if subtitles else one(options.input)), None
     out = pipeline.run(spark, documents, options, outlines)
-    target = f"{options.output_dir.rstrip('/')}/{options.resolved_name()}"
+    target, trace = f"{options.output_dir.rstrip('/')}/{options.resolved_name()}", Trace()
+
+    def write(name: str, how: Callable[[], object]) -> None:
+        trace.step(f"write:{name}", how, (f"output:{name}",))
+
+    by_document = {"by": "doc_id", "folders": options.folders}
     if "manifest" in out:
-        files.write_manifest(out["manifest"], f"{target}/{options.manifest}")
+        write("manifest", lambda: files.write_manifest(out["manifest"], f"{target}/{options.manifest}", None if options.manifest.startswith("/") else f"{options.output_dir.rstrip('/')}/{options.manifest}"))
     if "transcript" in out:
-        files.write_lines(out["transcript"], f"{target}/subtitles_merged.md", ["sort_key", "sub"])
+        write("transcript", lambda: files.write_lines(out["transcript"], f"{target}/subtitles_merged.md", ["sort_key", "sub"]))
     if "markmap" in out:
-        files.write_lines(out["markmap"], f"{target}/mindmap.md", ["place"], by="doc_id")
-        files.write_lines(out["tree_json"], f"{target}/tree.json", ["place", "part", "ord"], by="doc_id")
-        files.write_pages(out["pages"], f"{target}/pages", "doc_id")
-        out["missing_links"].select(F.concat_ws(": ", "node_id", F.concat(F.lit("[["), "target", F.lit("]] not found")))).write.mode("overwrite").text(f"{target}/link_validation.txt")
-        pipeline.envelope(out, options.input or options.markmap_input, "cli").write.mode("overwrite").json(f"{target}/mindmap.json")
-        out["nodes"].write.mode("overwrite").json(f"{target}/nodes.json")
+        write("markmap", lambda: files.write_lines(out["markmap"], f"{target}/mindmap.md", ["place"], **by_document))
+        write("tree_json", lambda: files.write_lines(out["tree_json"], f"{target}/tree.json", ["place", "part", "ord"], **by_document))
+        write("pages", lambda: files.write_pages(out["pages"], f"{target}/pages", "doc_id", options.folders))
+        links = out["missing_links"].select(F.concat_ws(": ", "node_id", F.concat(F.lit("[["), "target", F.lit("]] not found"))))
+        write("link_validation", lambda: links.write.mode("overwrite").text(f"{target}/link_validation.txt"))
+        write("mindmap", lambda: pipeline.envelope(out, options.input or options.markmap_input, "cli").write.mode("overwrite").json(f"{target}/mindmap.json"))
+        write("nodes", lambda: out["nodes"].write.mode("overwrite").json(f"{target}/nodes.json"))
     if "qa_export" in out:
-        files.write_lines(out["qa_export"], f"{target}/qa.md", ["pos", "n", "sub"], by="doc_id")
+        write("qa", lambda: files.write_lines(out["qa_export"], f"{target}/qa.md", ["pos", "n", "sub"], **by_document))
     for name in ("reformat", "bullets", "clean_for_map"):
         if name in out:
-            files.write_lines(out[name], f"{target}/{name}.md", ["chunk_index"], line="part", by="doc_id")
-    if options.tracing and "trace" in out:
-        out["trace"].write.mode("append").json(f"{target}/traces")
+            write(name, lambda name=name: files.write_lines(out[name], f"{target}/{name}.md", ["chunk_index"], line="part", **by_document))
+    if options.tracing:
+        out["trace"].unionByName(trace.frame(spark)).write.mode("append").json(f"{target}/traces")
     return 0
 
 

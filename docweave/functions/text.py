@@ -96,9 +96,9 @@ def clean_subtitles(c: Column | str) -> Column:
 
 
 def natural_key(c: Column | str) -> Column:
-    """Sort key in which ``file2`` comes before ``file10``: digit runs padded to 20 places, the rest in lower case."""
+    """Sort key in which ``file2`` comes before ``file10``: digit runs by length and value, of any length, the rest in lower case."""
     parts = F.regexp_extract_all(F.lower(_col(c)), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("\x01"), F.lpad(F.regexp_replace(p, "^0+([0-9])", "$1"), 20, "0"))).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("\x01"), F.lpad(F.length(F.regexp_replace(p, "^0+([0-9])", "$1")).cast("string"), 10, "0"), F.lit("."), F.regexp_replace(p, "^0+([0-9])", "$1"))).otherwise(p)), "")
 
 
 def wikilinks(c: Column | str) -> Column:

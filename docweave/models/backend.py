@@ -36,6 +36,7 @@ class ModelBackend(Protocol):
     def leaf_note(self, title: str, path: str, content: str) -> str: ...
     def branch_note(self, title: str, path: str, digest: str) -> str: ...
     def pick_prereqs(self, node_id: str, candidates: list[str]) -> list[str]: ...
+    def merge(self, left: str, right: str) -> str: ...
 
 
 def sentences(markdown: str) -> list[str]:
@@ -95,6 +96,22 @@ class ExtractiveBackend:
     def branch_note(self, title: str, path: str, digest: str) -> str:
         return f"# {title}\n\n## Summary\n{path}\n\n## Overview\n{digest or title}"
 
+    def merge(self, left: str, right: str) -> str:
+        """Union of two JSON trees: equal titles (without case) of one parent are one node."""
+        a, b = json.loads(left or "{}"), json.loads(right or "{}")
+        todo = [(a, b)]
+        while todo:
+            into, more = todo.pop()
+            known = {str(c.get("title", "")).strip().lower(): c for c in into.setdefault("children", [])}
+            for child in more.get("children", []):
+                same = known.get(str(child.get("title", "")).strip().lower())
+                if same is None:
+                    into["children"].append(child)
+                    known[str(child.get("title", "")).strip().lower()] = child
+                else:
+                    todo.append((same, child))
+        return json.dumps(a, ensure_ascii=False)
+
     def pick_prereqs(self, node_id: str, candidates: list[str]) -> list[str]:
         return [c for c in candidates if c != node_id][:5]
 

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tokens of a chunk whose settings name none.
+LIMIT = 2000
+
 PACKED = "block_id long, chunk_index int, ord int, token_count int, role string"
 
 
@@ -34,10 +37,10 @@ def pack(blocks: DataFrame, document: str = "map_id", max_column: str = "max_tok
       one block unless ``strict_overlap``;
     * what is pending at the end is a chunk.
 
-    Null sizes count as 0, null limits as no limit.
+    Null sizes count as 0, null limits as LIMIT, so that a chunk stays a value.
     """
     kind = blocks.schema[document].dataType.simpleString()
-    narrow = blocks.select(document, "pos", "block_id", "type", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.coalesce("is_atomic", F.lit(False)).alias("is_atomic"), F.coalesce(max_column, F.lit(2**31 - 1)).alias("_max"), F.coalesce(overlap_column, F.lit(0)).alias("_over"))
+    narrow = blocks.select(document, "pos", "block_id", "type", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.coalesce("is_atomic", F.lit(False)).alias("is_atomic"), F.coalesce(max_column, F.lit(LIMIT)).alias("_max"), F.coalesce(overlap_column, F.lit(0)).alias("_over"))
     ordered = narrow.repartition(document).sortWithinPartitions(document, "pos", "block_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -32,8 +32,12 @@ def repair_links(texts: DataFrame, allowed: DataFrame, keys: list[str], text: st
 
     ``allowed`` holds ``tree, slug, canonical``.  A text is taken apart into
     links and the text between, the links meet their page in an equi-join, and
-    the parts of one text are put together again.  Null texts stay null.
+    the parts of one text are put together again; texts without a link take no
+    part in this.  Null texts stay null.
     """
+    has_link = F.coalesce(F.contains(F.col(text), F.lit("[[")), F.lit(False))
+    untouched = texts.where(~has_link).select(*keys, F.col(text).alias(out))
+    texts = texts.where(has_link)
     pattern = r"\[\[[^\]]+\]\]"
     between, links = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     pieces = F.flatten(F.transform(between, lambda t, i: F.array(t, F.coalesce(F.get(links, i), F.lit("")))))
@@ -44,8 +48,8 @@ def repair_links(texts: DataFrame, allowed: DataFrame, keys: list[str], text: st
     alias = F.when(F.contains(raw, F.lit("|")), F.regexp_replace(raw, r"^[^|]*\|", ""))
     linked = rows.withColumns({"_raw": raw, "_alias": alias, "_slug": F.when(raw != "", F.lower(base))})
     canonical = allowed.groupBy(tree, F.lower("slug").alias("_slug")).agg(F.min("canonical").alias("_to"))
-    joined = linked.join(canonical, [tree, "_slug"], "left")
+    joined = linked.where("_slug is not null").join(canonical, [tree, "_slug"], "left").unionByName(linked.where("_slug is null").withColumn("_to", F.lit(None).cast("string")))
     shown = F.when(F.col("_slug").isNull(), F.col("_p")).when(F.col("_to").isNull(), F.col("_raw")).otherwise(F.concat(F.lit("[["), F.col("_to"), F.coalesce(F.concat(F.lit("|"), F.col("_alias")), F.lit("")), F.lit("]]")))
     again = joined.withColumn("_s", shown).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_a"), F.max("_i").alias("_m"))
     text_out = F.array_join(F.transform("_a", lambda x: x["_s"]), "")
-    return again.select(*keys, F.when(F.col("_m").isNull(), F.lit(None).cast("string")).otherwise(text_out).alias(out))
+    return again.select(*keys, F.when(F.col("_m").isNull(), F.lit(None).cast("string")).otherwise(text_out).alias(out)).unionByName(untouched)

@@ -51,17 +51,19 @@ def with_reason(blocks: DataFrame, document: str = "map_id") -> DataFrame:
     return joined.withColumn("reason", reason).drop("_first")
 
 
-def batch_size(n: Column) -> Column:
-    """Blocks per batch: all below 20; else aiming at 6 to 10 batches of 20 to 80 blocks."""
+def batch_size(n: Column, override: int | None = None) -> Column:
+    """Blocks per batch: ``override`` if there is one; else all below 20; else aiming at 6 to 10 batches of 20 to 80 blocks."""
+    if override:
+        return F.lit(max(1, int(override)))
     target = F.least(F.greatest(F.bround(n / 60), F.lit(6)), F.lit(10))
     return F.when(n < 20, n).otherwise(F.greatest(F.least(F.ceil(n / target), F.lit(80)), F.lit(20))).cast("int")
 
 
-def batches(queued: DataFrame, document: str = "map_id") -> DataFrame:
+def batches(queued: DataFrame, document: str = "map_id", override: int | None = None) -> DataFrame:
     """Number of the batch of each queued block, in order of place."""
     sizes = queued.groupBy(document).agg(F.count(F.lit(1)).alias("_total"))
     numbered = ordinal(queued, [document], ["pos", "block_id"], F.floor(F.col("pos") / 4096), "k").join(sizes, document)
-    return numbered.withColumn("batch", F.floor(F.col("k") / batch_size(F.col("_total"))).cast("int")).drop("_total")
+    return numbered.withColumn("batch", F.floor(F.col("k") / batch_size(F.col("_total"), override)).cast("int")).drop("_total")
 
 
 def ref_markdown() -> Column:

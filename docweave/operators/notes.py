@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import camel, section
+from docweave.functions.text import camel, section, strip_section
+from docweave.operators import links as L
 from docweave.operators import trees as T
 from docweave.session import cut
 
@@ -46,13 +47,23 @@ def front_matter(node_id: Column, kind: Column, parent: Column, children: Column
 
 
 def child_digest(edges: DataFrame, summaries: DataFrame, tree: str = "map_id") -> DataFrame:
-    """Titles and summaries of all children of a node, one line each, in order."""
+    """Title, path and summary of all children of a node, one line each, in order; ``summaries`` holds ``title, where_, summary``."""
     ranked = edges.join(summaries, [tree, "node_id"], "left")
-    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("Untitled")), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), F.col("summary"))).otherwise(F.lit("")))
+    line = F.concat(F.lit("- "), F.coalesce("title", F.lit("Untitled")), F.lit(" :: [["), F.coalesce("where_", F.lit("")), F.lit("]] :: "), F.coalesce("summary", F.lit("")))
     lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("l"))))
     return ranked.groupBy(tree, F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("digest"))
 
 
+def with_children_section(bodies: DataFrame, edges: DataFrame, typed: DataFrame, folder: Column, tree: str = "map_id") -> DataFrame:
+    """Bodies of branches with a section of links to their children at the end, in place of one they may have."""
+    lines = L.children_lines(edges, typed, folder, tree)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
+    sections = lines.groupBy(tree, "node_id").agg(F.concat(F.lit("## Children\n"), F.array_join(listed, "\n")).alias("_section"))
+    bare = F.regexp_replace(strip_section("body", "Children"), r"[ \t\n\x0B\f\r]+$", "")
+    whole = F.when(F.col("_section").isNull(), bare).when(bare == "", F.col("_section")).otherwise(F.concat(bare, F.lit("\n\n"), F.col("_section")))
+    return bodies.join(sections, [tree, "node_id"], "left").select(tree, "node_id", whole.alias("body"))
+
+
 def assemble(typed: DataFrame, edges: DataFrame, see_also: DataFrame, prereqs: DataFrame, bodies: DataFrame, folder: Column, model: str, run: Column, tree: str = "map_id") -> DataFrame:
     """One synthetic note per node: ``tree, node_id, element_id, markdown``.
 
@@ -84,6 +95,9 @@ def assemble(typed: DataFrame, edges: DataFrame, see_also: DataFrame, prereqs: D
 def write_notes(walked: DataFrame, folders: DataFrame | None, folder: Column, asked: Callable[..., DataFrame], model: str, run: Column, tree: str = "map_id") -> DataFrame:
     """Notes of all nodes: leaves from their path, branches from the summaries of their children, prerequisites of leaves as picked.
 
+    Branches end with links to their children; links in any body lead to a page
+    of the tree or lose their brackets.
+
     ``folder`` is an expression over the walked nodes and ``folders`` (one row
     per tree, or none); ``asked`` has the arguments of ``ask``.
     """
@@ -91,13 +105,15 @@ def write_notes(walked: DataFrame, folders: DataFrame | None, folder: Column, as
     typed = cut(typed.withColumn("shown", F.coalesce("title", F.lit("Untitled"))).withColumn("where_", F.array_join("path", " / ")).withColumn("none", F.lit("")))
     edges = cut(T.children(walked, tree))
     leaves = cut(asked(typed.where("ntype = 'leaf'"), [tree, "node_id"], ["shown", "where_", "none"], "leaf_note", "body"))
-    titles = typed.select(tree, "node_id", "title")
+    titles = typed.select(tree, "node_id", "title", "where_")
     summaries = titles.join(leaves.select(tree, "node_id", section("body", "Summary").alias("summary")), [tree, "node_id"], "left")
     digests = child_digest(edges, summaries, tree)
     inner = typed.where("ntype <> 'leaf'").join(digests, [tree, "node_id"], "left")
-    branches = asked(inner, [tree, "node_id"], ["shown", "where_", "digest"], "branch_note", "body")
+    branches = with_children_section(asked(inner, [tree, "node_id"], ["shown", "where_", "digest"], "branch_note", "body"), edges, typed, folder, tree)
+    allowed = typed.select(tree, camel("title").alias("slug"), page_link(folder, F.col("title")).alias("canonical"))
+    bodies = L.repair_links(leaves.select(tree, "node_id", "body").unionByName(branches), allowed, [tree, "node_id"], "body", "body", tree)
     candidates = T.prereq_candidates(walked, tree).join(typed.where("ntype = 'leaf'").select(tree, "node_id"), [tree, "node_id"], "left_semi")
     picks = asked(candidates, [tree, "node_id"], ["node_id", "candidates"], "pick_prereqs", "picked", "array<string>").select(tree, "node_id", F.posexplode("picked").alias("ord", "pick"))
     chosen = T.valid_picks(picks, walked, tree)
     prereqs = cut(chosen.groupBy(tree, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pick"))), lambda x: x["pick"]).alias("prereqs")))
-    return assemble(typed, edges, T.see_also(walked, prereqs, tree), prereqs, leaves.unionByName(branches), folder, model, run, tree)
+    return assemble(typed, edges, T.see_also(walked, prereqs, tree), prereqs, bodies, folder, model, run, tree)

@@ -17,6 +17,8 @@ from docweave.session import cut
 
 #: Levels after which a walk cuts its plan and looks for nodes that are their own ancestors, again and again.
 LEVELS = 100
+#: Merges of one round that are made from one row.
+SLOTS = 65_536
 #: Between the steps of a place; it sorts before every character of an id, so children follow their parent at once.
 STEP = "\x01"
 
@@ -139,7 +141,11 @@ def merge_schedule(items: DataFrame, group: str, order: list[str]) -> DataFrame:
     rounds = F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.col("_n"))).cast("int"), F.lit(1)))).alias("round")
     before = F.ceil(F.col("_n") / F.pow(F.lit(2.0), F.col("round") - 1)).cast("long")
     per_round = sizes.where("_n > 1").select(group, "_n", rounds).withColumn("_before", before).where("_before > 1")
-    slots = per_round.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_before") / 2).cast("long") - 1)))
+    # Blocks first, then the slots of a block, so no row holds an array as long as a group.
+    merges = F.floor(F.col("_before") / 2).cast("long")
+    blocks = per_round.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((merges - 1) / SLOTS).cast("long"))))
+    first = F.col("_block") * F.lit(SLOTS)
+    slots = blocks.withColumn("slot", F.explode(F.sequence(first, F.least(first + F.lit(SLOTS), merges) - 1)))
     return slots.select(group, "round", "slot", (F.col("slot") * 2).alias("left"), (F.col("slot") * 2 + 1).alias("right"))
 
 

@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA_VERSION = "1.0.0"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """A file or folder of that name is there, in whichever file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 class Store:
     """Parquet copies of step results below ``<debug_dir>/<run>``; a step whose copy exists can be skipped.
 
@@ -25,9 +31,7 @@ class Store:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/_SUCCESS")
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+        return exists(self.spark, f"{self.path(name)}/_SUCCESS")
 
     def through(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The stored result if it may be reused; else the new one, stored if asked to."""
@@ -41,7 +45,11 @@ class Store:
 
 
 class Trace:
-    """Events of a run as rows: sequence, name, tags, start, duration, error."""
+    """Events of a run as rows: sequence, name, tags, start, duration, error.
+
+    A step only declares what Spark will do, which takes next to no time; the
+    work is done, and its time counted, in the events that write results.
+    """
 
     def __init__(self) -> None:
         self.events: list[tuple] = []

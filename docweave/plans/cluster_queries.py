@@ -29,9 +29,9 @@ def cluster_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cluster_tfidf(spark: SparkSession, root: str) -> DataFrame:
-    """The three heaviest terms of every block heading, over all headings."""
-    heads = B.live_blocks(table(spark, root, "blocks"), ["type", "text"]).where("type = 'heading' and text is not null").select("block_id", "text")
-    weights = K.tfidf(heads, ["block_id"], "text").withColumn("weight", F.round("weight", 5))
+    """The three heaviest terms of every block with a text, over all blocks."""
+    texts = B.live_blocks(table(spark, root, "blocks"), ["text"]).where("text is not null")
+    weights = K.tfidf(texts, ["block_id"], "text").withColumn("weight", F.round("weight", 5))
     place = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("weight"), "term"))
     return weights.withColumn("place", place).where("place <= 3")
 
@@ -89,8 +89,7 @@ def model_questions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def model_bullets(spark: SparkSession, root: str) -> DataFrame:
-    live = B.live_blocks(table(spark, root, "blocks"), ["markdown", "type"]).where("type in ('paragraph', 'heading')")
-    return ask(live, ["block_id"], ["markdown"], "bullets", "bullets")
+    return ask(B.live_blocks(table(spark, root, "blocks"), ["markdown"]), ["block_id"], ["markdown"], "bullets", "bullets")
 
 
 def notes_front_matter(spark: SparkSession, root: str) -> DataFrame:
@@ -114,11 +113,27 @@ QUERIES = {
     )
 }
 
+# The sentences of the text ``t``: it is cut after full stops and at line ends; headings, rows and images are left out.
+_SAID = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(array_to_string(list_filter(string_split({t}, chr(10)), lambda x: NOT regexp_matches(x, '^[\s\p{{Z}}\x1C-\x1F\x{{85}}]*(#|\||!\[)')), chr(10)),
+    '([.!?。])[\s\p{{Z}}\x1C-\x1F\x{{85}}]+', '\1' || chr(1), 'g'), '[\n\x01]+'), lambda x: regexp_replace(x, '^[\s\p{{Z}}\x1C-\x1F\x{{85}}]+|[\s\p{{Z}}\x1C-\x1F\x{{85}}]+$', '', 'g')), lambda x: x <> '')"""
+_BARE = r"regexp_replace(coalesce(markdown, ''), '(?ms)^```.*?^```[ \t]*$', '', 'g')"
+
 ORACLE = {
+    "model_tags": f"""{_PACK}, tx AS (SELECT pk.map_id, chunk_index, string_agg(markdown, chr(10) || chr(10) ORDER BY ord) AS md FROM pk JOIN live USING (block_id) WHERE coalesce(markdown, '') <> '' GROUP BY ALL),
+        wd AS (SELECT map_id, chunk_index, unnest(regexp_extract_all(lower(md), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{4,}}')) AS w FROM tx), ct AS (SELECT map_id, chunk_index, w, count(*) AS n FROM wd GROUP BY ALL),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY map_id, chunk_index ORDER BY n DESC, w) AS r FROM ct),
+        tg AS (SELECT map_id, chunk_index, list(w ORDER BY w) AS tags FROM rk WHERE r <= 5 GROUP BY ALL) SELECT tx.map_id, tx.chunk_index, coalesce(tags, []) AS tags FROM tx LEFT JOIN tg USING (map_id, chunk_index)""",
+    "model_questions": f"""WITH {LIVE}, b AS (SELECT block_id, type, regexp_replace(trim(coalesce(element_caption, '')), '[.]+$', '') AS cap, {_SAID.format(t=_BARE)} AS said FROM live WHERE type <> 'heading'),
+        a AS (SELECT block_id, type, CASE WHEN cap <> '' THEN cap ELSE regexp_replace(left(coalesce(said[1], 'this part'), 80), '[.]+$', '') END AS about FROM b)
+        SELECT block_id, [CASE type WHEN 'code' THEN 'What does the code for “' || about || '” do?' WHEN 'table' THEN 'What does the table “' || about || '” show?'
+            WHEN 'image' THEN 'What does the image “' || about || '” show?' ELSE 'What is said about “' || about || '”?' END] AS questions FROM a""",
+    "model_bullets": f"""WITH {LIVE}, l AS (SELECT block_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM (SELECT block_id, string_split(coalesce(markdown, ''), chr(10)) AS ls FROM live)),
+        o AS (SELECT block_id, i, CASE WHEN starts_with(line, '#') THEN [line] ELSE list_transform({_SAID.format(t="line")}, lambda x: '- ' || x) END AS shown FROM l)
+        SELECT block_id, coalesce(string_agg(array_to_string(shown, chr(10)), chr(10) ORDER BY i) FILTER (len(shown) > 0), '') AS bullets FROM o GROUP BY block_id""",
     "cluster_texts": f"""{_PACK}, pp AS (SELECT pk.map_id, chunk_index, array_to_string(heading_path, ' › ') AS path, sum(CASE WHEN pk.token_count = 0 THEN 1 ELSE pk.token_count END) AS wt, min(ord) AS o FROM pk JOIN live USING (block_id) WHERE len(heading_path) > 0 GROUP BY ALL),
         rr AS (SELECT *, row_number() OVER (PARTITION BY map_id, chunk_index ORDER BY wt DESC, o, path) AS r FROM pp), ps AS (SELECT map_id, chunk_index, string_agg(path, ' ; ' ORDER BY r) AS paths FROM rr WHERE r <= 3 GROUP BY ALL)
         SELECT map_id, chunk_index, paths || ' || ' || coalesce(array_to_string(tags, ' '), '') AS text FROM ps JOIN maps USING (map_id)""",
-    "cluster_tfidf": f"""WITH {LIVE}, h AS (SELECT block_id, text FROM live WHERE type = 'heading' AND text IS NOT NULL),
+    "cluster_tfidf": f"""WITH {LIVE}, h AS (SELECT block_id, text FROM live WHERE text IS NOT NULL),
         t AS (SELECT block_id, term, count(*) AS tf FROM (SELECT block_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM h) GROUP BY ALL),
         d AS (SELECT term, count(*) AS df FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM h),
         w AS (SELECT block_id, term, tf, df, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM t JOIN d USING (term), n),

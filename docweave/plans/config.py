@@ -74,6 +74,7 @@ class Options:
     map_batch_override: int | None = None
     presets: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(PRESETS))
     prompts: dict[str, str] = field(default_factory=dict)
+    folders: bool = False
 
     def resolved_steps(self) -> tuple[str, ...]:
         """Steps in the order they run: explicit steps, else the preset, else the default; unknown names are errors."""

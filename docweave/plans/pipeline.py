@@ -7,7 +7,9 @@ computed.  Results: a dict of named DataFrames.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +17,17 @@ from pyspark.sql import functions as F
 from docweave.functions import ids
 from docweave.functions import text as X
 from docweave.models.backend import ExtractiveBackend, ModelBackend, ask
+from docweave.models.prompts import BUILT_IN, prompt
 from docweave.operators import blocks as B
 from docweave.operators import chunks as C
 from docweave.operators import clusters as K
 from docweave.operators import concepts as P
 from docweave.operators import export as E
 from docweave.operators import links as L
+from docweave.operators import mapping as M
 from docweave.operators import notes as N
 from docweave.operators import trees as T
-from docweave.plans.artifacts import Store, Trace
+from docweave.plans.artifacts import Store, Trace, exists
 from docweave.plans.config import Options
 from docweave.sources import files, markdown
 
@@ -70,6 +74,8 @@ def run(
     name = options.resolved_name()
     store = Store(spark, options.debug_dir, name, options.debug, options.use_debug_io)
     trace = Trace()
+    if "prompts" in inspect.signature(factory).parameters:  # a client that takes prompts gets them, overrides first
+        factory = partial(factory, prompts={key: prompt(key, options.prompts) for key in BUILT_IN})
     out: dict[str, DataFrame] = {}
 
     def asked(frame: DataFrame, keys: list[str], inputs: list[str], method: str, column: str, kind: str = "string") -> DataFrame:
@@ -81,9 +87,13 @@ def run(
 
     if "subs_list" in steps:
         step("manifest", lambda: files.list_subtitles(spark, options.input, options.include_html))
+        out["trace"] = trace.frame(spark)
         return out
     if "subs_merge" in steps:
-        step("transcript", lambda: E.transcript_lines(files.read_subtitles(spark, options.input)))
+        places = [options.manifest, f"{options.output_dir.rstrip('/')}/{name}/{options.manifest}"]
+        manifest = next((p for p in places if exists(spark, p)), None)
+        step("transcript", lambda: E.transcript_lines(files.read_subtitles(spark, options.input, options.include_html, manifest)))
+        out["trace"] = trace.frame(spark)
         return out
 
     if "chunk" in steps:
@@ -104,6 +114,8 @@ def run(
         step("qa_export", lambda: E.nested_qa_lines(out["qa"], DOC, ["pos", "n"]))
     if "tree" in steps:
         step("tags", lambda: asked(out["chunks"], [DOC, "chunk_index"], ["md_text"], "tags", "tags", "array<string>"))
+        of_chunk = out["packed"].select("block_id", "chunk_index").distinct()
+        step("chunk_trees", lambda: P.heading_tree(out["blocks"].join(of_chunk, "block_id"), DOC, [DOC, "chunk_index"]))
         step("tree", lambda: P.heading_tree(out["blocks"], DOC))
     if "cluster" in steps:
         paths = C.chunk_top_paths(out["packed"], out["blocks"], DOC)
@@ -111,7 +123,11 @@ def run(
         points = K.hashed_vectors(K.tfidf(texts, [DOC, "chunk_index"], "text", [DOC]), [DOC, "chunk_index"])
         step("clusters", lambda: K.grouped_kmeans(points, DOC, "chunk_index"))
     if "merge" in steps or "refine" in steps:
-        made = P.as_nodes(P.refine(out["tree"], DOC), DOC)
+        if "merge" in steps and "clusters" in out:
+            by_cluster, merged = P.merged_trees(out["chunk_trees"], out["clusters"], DOC)
+            step("cluster_trees", lambda: by_cluster)
+            step("merged", lambda: merged)
+        made = P.as_nodes(P.refine(out.get("merged", out["tree"]), DOC), DOC)
         step("nodes", lambda: _identified(T.walk(made.select(DOC, "node_id", "parent_id", "sibling_idx", "title"), DOC)))
     if "qa_parse" in steps:
         guide = guides if guides is not None else documents
@@ -128,8 +144,12 @@ def run(
             plain = out["blocks"].where(F.col("type") != "heading")
             sources.append(plain.select(DOC, "block_id", "pos", "element_id", "type", F.coalesce("element_caption", F.lit("")).alias("element_caption"), "markdown", F.coalesce("text", "alt", F.lit("")).alias("text"), F.lit(None).cast("string").alias("q"), F.lit(None).cast("string").alias("a")))
         queue = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
-        weights = K.tfidf(queue, [DOC, "block_id"], "text", [DOC])
-        step("mapping", lambda: P.place_blocks(weights, out["nodes"], DOC))
+        step("map_queue", lambda: M.batches(queue.select(DOC, "block_id", "pos", "element_id", "type"), DOC, options.map_batch_override))
+        plain = queue.where("type <> 'qa'")
+        placed = [P.place_blocks(K.tfidf(plain, [DOC, "block_id"], "text", [DOC]), out["nodes"], DOC)] if len(sources) == 2 or "questions" not in out else []
+        if "questions" in out:
+            placed += _place_questions(out["questions"], out["nodes"], 3 if len(sources) == 1 else 1)
+        step("mapping", lambda: reduce(DataFrame.unionByName, placed))
         first = queue.groupBy(DOC, "element_id").agg(F.min_by("block_id", "pos").alias("block_id"))
         refs = queue.join(first, [DOC, "element_id", "block_id"], "left_semi").join(out["mapping"], [DOC, "block_id"])
         step("refs", lambda: refs.select(DOC, F.col("target_node_id").alias("node_id"), F.col("pos").cast("long").alias("ord"), "element_id", "type", "element_caption", "markdown", "q", "a", ids.content_hash(F.col("markdown")).alias("hash")))
@@ -148,6 +168,18 @@ def run(
     return out
 
 
+def _place_questions(questions: DataFrame, nodes: DataFrame, passes: int) -> list[DataFrame]:
+    """A node per question; further passes take those without one, by their path too, and by their answer too."""
+    said = [F.col("q"), F.concat_ws(" ", "q", F.array_join("heading_path", " ")), F.concat_ws(" ", "q", F.array_join("heading_path", " "), "a")]
+    found: list[DataFrame] = []
+    for text in said[:passes]:
+        left = questions
+        for before in found:
+            left = left.join(before.select(DOC, "block_id"), [DOC, "block_id"], "left_anti")
+        found.append(P.place_blocks(K.tfidf(left.select(DOC, "block_id", text.alias("text")), [DOC, "block_id"], "text", [DOC]), nodes, DOC))
+    return found
+
+
 def _notes(nodes: DataFrame, name: str, asked: Callable[..., DataFrame], run_id: str) -> DataFrame:
     """Notes of all nodes as their first content: leaves from their path, branches from the summaries of their children."""
     notes = N.write_notes(nodes, None, X.camel(F.lit(name)), asked, "extractive", F.lit(run_id), DOC)

@@ -54,19 +54,24 @@ def chunk_export(spark: SparkSession, root: str) -> DataFrame:
     return parts.select("map_id", "chunk_index", F.length("part").alias("n_chars"))
 
 
+def _notes(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents", ["doc_id", "text"]).where("text is not null")
+    return documents.where(~X.is_html_page(F.col("text")) & ~X.is_subtitles(F.col("text")))
+
+
 def read_markdown_blocks(spark: SparkSession, root: str) -> DataFrame:
     """Blocks of all Markdown notes among the documents."""
-    documents = table(spark, root, "documents", ["doc_id", "text"]).where("text is not null")
-    return R.markdown_blocks(documents.where(~X.is_html_page(F.col("text")) & ~X.is_subtitles(F.col("text"))))
+    return R.markdown_blocks(_notes(spark, root))
 
 
 def read_question_guides(spark: SparkSession, root: str) -> DataFrame:
-    return R.question_blocks(table(spark, root, "documents", ["doc_id", "text"]).where("text like '%\n### %'"))
+    """Headings with a text below them, as questions and answers, of all Markdown notes."""
+    return R.question_blocks(_notes(spark, root))
 
 
 def read_outlines(spark: SparkSession, root: str) -> DataFrame:
-    """Nodes of all outlines (documents that begin with a heading and a bullet)."""
-    return R.outline_nodes(table(spark, root, "documents", ["doc_id", "text"]).where(r"text rlike '^\\x{FEFF}?# [^\n]*\n *- '"))
+    """Headings and bullets of all documents, read as outlines."""
+    return R.outline_nodes(table(spark, root, "documents", ["doc_id", "text"]))
 
 
 def read_html(spark: SparkSession, root: str) -> DataFrame:
@@ -162,12 +167,27 @@ _CLEAN = rf"regexp_replace({_CLEAN}, '(?m)^[ \t\r\x0B\f]*{_TIME}[ \t\r]*-->[ \t\
 _CLEAN = rf"regexp_replace({_CLEAN}, '(?m)^[0-9]+[ \t\r]*$', '', 'g')"
 _CLEAN = rf"regexp_replace({_CLEAN}, '\n[ \t\n\x0B\f\r]*\n', chr(10), 'g')"
 _CLEAN = _STRIP.format(c=_CLEAN)
-_NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN chr(1) || lpad(regexp_replace(p, '^0+([0-9])', '\\1'), 20, '0') ELSE p END), '')"
+_NATURAL = "array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN chr(1) || printf('%010d', len(regexp_replace(p, '^0+([0-9])', '\\1'))) || '.' || regexp_replace(p, '^0+([0-9])', '\\1') ELSE p END), '')"
 _LINES = f"""WITH RECURSIVE {WALK}, {_REFS}, ed AS (SELECT map_id, parent_id, node_id, title, row_number() OVER (PARTITION BY map_id, parent_id ORDER BY coalesce(sibling_idx, 0), node_id) - 1 AS ord FROM w WHERE parent_id IS NOT NULL),
     nl AS (SELECT ed.map_id, ed.parent_id AS node_id, ord, {_CAMEL.format(c="run_name")} AS fo, {_CAMEL.format(c="coalesce(title, '')")} AS sl, CASE WHEN trim(coalesce(title, '')) = '' THEN 'Untitled' ELSE trim(title) END AS ti FROM ed JOIN maps m ON m.map_id = ed.map_id),
     pg AS (SELECT DISTINCT w.map_id, {_CAMEL.format(c=_TITLE)} AS name FROM w WHERE EXISTS (SELECT 1 FROM rf WHERE rf.map_id = w.map_id AND rf.node_id = w.node_id))"""
 
+# Every line that is a heading or a bullet is a node; it hangs on the last node of a smaller depth since the last root, else on that root.
+_OUTLINES = r"""WITH RECURSIVE t AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]') AS ls FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM t),
+    h AS (SELECT doc_id, pos, regexp_extract(line, '^(#{1,6})[\s\p{Z}\x1C-\x1F\x{85}]+(.*)$', 1) AS hash, regexp_extract(line, '^#{1,6}[\s\p{Z}\x1C-\x1F\x{85}]+(.*)$', 1) AS ht,
+        regexp_matches(line, '^[\s\p{Z}\x1C-\x1F\x{85}]*-[\s\p{Z}\x1C-\x1F\x{85}]+') AS bul, regexp_extract(line, '^([\s\p{Z}\x1C-\x1F\x{85}]*)-', 1) AS ind, regexp_extract(line, '^[\s\p{Z}\x1C-\x1F\x{85}]*-[\s\p{Z}\x1C-\x1F\x{85}]+(.*)$', 1) AS bt FROM l),
+    n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS no, hash <> '' AS head, CASE WHEN hash <> '' THEN length(hash) - 1 ELSE length(ind) // 2 END AS d,
+        regexp_replace(CASE WHEN hash <> '' THEN ht ELSE bt END, '^[\s\p{Z}\x1C-\x1F\x{85}]+|[\s\p{Z}\x1C-\x1F\x{85}]+$', '', 'g') AS t FROM h WHERE hash <> '' OR bul),
+    r AS (SELECT *, sum(CASE WHEN no = 0 OR (head AND d = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS seg FROM n),
+    g AS (SELECT *, min(no) OVER (PARTITION BY doc_id, seg) AS root FROM r),
+    q AS (SELECT g.doc_id, g.no, g.root, g.t, CASE WHEN g.no = g.root THEN NULL ELSE coalesce(max(b.no), g.root) END AS par FROM g LEFT JOIN g b ON b.doc_id = g.doc_id AND b.seg = g.seg AND b.no < g.no AND b.d < g.d GROUP BY g.doc_id, g.no, g.root, g.t),
+    w AS (SELECT doc_id, no, par, t, 0 AS depth FROM q WHERE par IS NULL UNION ALL SELECT q.doc_id, q.no, q.par, q.t, w.depth + 1 FROM q JOIN w ON w.doc_id = q.doc_id AND w.no = q.par)
+    SELECT doc_id, no::INTEGER AS node_no, par::INTEGER AS parent_no, depth, (row_number() OVER (PARTITION BY doc_id, par ORDER BY no) - 1)::INTEGER AS sibling_idx,
+        CASE WHEN regexp_full_match(t, '\[.+?\]\(.*?\)') THEN regexp_extract(t, '^\[(.+?)\]\(.*?\)$', 1) ELSE t END AS title FROM w"""
+
 ORACLE = {
+    "read_outlines": _OUTLINES,
     "chunk_pack": f"{_PACK} SELECT * FROM pk",
     "chunk_sizes": f"{_PACK} SELECT map_id, chunk_index, count(*) AS n_blocks, sum(token_count)::BIGINT AS tokens, max(CASE WHEN role = 'oversized' THEN 1 ELSE 0 END) AS is_oversized FROM pk GROUP BY ALL",
     "chunk_texts": f"{_PACK} SELECT pk.map_id, chunk_index, md5(string_agg(markdown, chr(10) || chr(10) ORDER BY ord)) AS md5 FROM pk JOIN live USING (block_id) WHERE coalesce(markdown, '') <> '' GROUP BY ALL",

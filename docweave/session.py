@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -18,15 +21,27 @@ def table(spark: SparkSession, root: str, name: str, columns: Iterable[str] | No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is used.
+    Where the setting is absent, a local run (tests, a laptop) uses a folder of
+    its own that goes when the run ends; on a cluster that is an error, as its
+    machines share no temporary folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docweave-checkpoint-"))
+        if named is None:
+            if not _is_local(context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="docweave-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def _is_local(master: str) -> bool:
+    """One process, as opposed to ``local-cluster`` and the masters of clusters."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through reliable storage, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(frame.sparkSession)
@@ -38,22 +53,22 @@ def blank(column: Column) -> Column:
     return column.isNull() | (column == F.lit(""))
 
 
-#: Bytes per core up to which an input of few files is spread over all cores.
-SPREAD_BYTES = 16 << 20
+# Operators of a plan that is no plain scan any more; such plans have the partitions of a shuffle already.
+_BEYOND_SCAN = re.compile(r"(?m)^[ :+|-]*(?:\w*Join|Aggregate|Window|Sort|Repartition|Generate|Union|Distinct|LocalLimit|LogicalRDD|Intersect|Except)\b")
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """Spread a small input that lies in fewer files than there are cores.
+    """Give every core a part of a scan that has fewer parts than there are cores.
 
-    A file of one row group is one task, however long Python works on it.  The
-    step moves at most ``SPREAD_BYTES`` per core; larger inputs, and inputs
-    that do not come from files, stay as they are.
+    A file of one row group is one task, however long Python works on it.  How
+    many parts a scan has is up to Spark's file settings, so an input with more
+    parts than cores, of whatever size, stays as it is; no list of files is
+    made here.  The rows are the same either way.
     """
     if frame.isStreaming:
         return frame
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    n_files = len(frame.inputFiles())
-    if not 0 < n_files < cores:
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    if "Relation" not in plan or _BEYOND_SCAN.search(plan):
         return frame
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(cores) if size <= cores * SPREAD_BYTES else frame
+    return frame.repartition(cores) if frame._jdf.rdd().getNumPartitions() < cores else frame

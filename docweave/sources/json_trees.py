@@ -3,12 +3,83 @@
 from __future__ import annotations
 
 import json
+import re
+from json.decoder import scanstring
 
 from pyspark.sql import DataFrame
 
 from docweave.sources.markdown import _rows
 
 
+def _parsed(text: str | None) -> object:
+    """The value of a JSON text of any depth; None if it is none."""
+    try:
+        return json.loads(text) if text else None
+    except ValueError:
+        return None
+    except RecursionError:  # nested too deeply for the library
+        try:
+            return _deep(text)
+        except (ValueError, IndexError):
+            return None
+
+
+_PLAIN = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def _deep(text: str) -> object:
+    """JSON by a stack of open values instead of recursion."""
+    at = _BLANK.match(text, 0).end()
+    stack: list[list | dict] = []
+    keys: list[str | None] = []
+    while True:
+        c, closed = text[at], False
+        if c in "[{":
+            value: object = [] if c == "[" else {}
+            at = _BLANK.match(text, at + 1).end()
+            if text[at] == ("]" if c == "[" else "}"):
+                at, closed = at + 1, True
+            else:
+                stack.append(value)
+                keys.append(None)
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+            closed = True
+        else:
+            plain = _PLAIN.match(text, at)
+            if not plain:
+                raise ValueError("no value")
+            value, at, closed = json.loads(plain.group()), plain.end(), True
+        while closed:  # put the value into what is open, and close that too if it ends here
+            at = _BLANK.match(text, at).end()
+            if not stack:
+                if at < len(text):
+                    raise ValueError("more than one value")
+                return value
+            if isinstance(stack[-1], list):
+                stack[-1].append(value)
+            else:
+                stack[-1][keys[-1]] = value
+            mark, end = text[at], "]" if isinstance(stack[-1], list) else "}"
+            if mark not in ("," + end):
+                raise ValueError("no comma")
+            at = _BLANK.match(text, at + 1).end()
+            if mark == ",":
+                closed = False
+            else:
+                value = stack.pop()
+                keys.pop()
+        if stack and isinstance(stack[-1], dict):
+            if text[at] != '"':
+                raise ValueError("no key")
+            keys[-1], at = scanstring(text, at + 1)
+            at = _BLANK.match(text, at).end()
+            if text[at] != ":":
+                raise ValueError("no colon")
+            at = _BLANK.match(text, at + 1).end()
+
+
 def parse_tree(text: str | None) -> list[tuple[int, int | None, int, int, str]]:
     """(number, parent's number, depth, place, title) of the nodes of a tree.
 
@@ -16,10 +87,7 @@ def parse_tree(text: str | None) -> list[tuple[int, int | None, int, int, str]]:
     ``nodes``; other keys are dropped.  What is no object, and a node without a
     title, is ``Untitled``.  Text that is no JSON yields no node.
     """
-    try:
-        tree = json.loads(text) if text else None
-    except ValueError:
-        tree = None
+    tree = _parsed(text)
     if tree is None:
         return []
     out: list[tuple[int, int | None, int, int, str]] = []
@@ -37,10 +105,7 @@ def parse_tree(text: str | None) -> list[tuple[int, int | None, int, int, str]]:
 
 def parse_picks(text: str | None, most: int = 5) -> list[str]:
     """The first ids of a JSON list; none if the text is no list."""
-    try:
-        picks = json.loads(text) if text else []
-    except ValueError:
-        return []
+    picks = _parsed(text)
     return [p for p in picks if isinstance(p, str)][:most] if isinstance(picks, list) else []
 
 

@@ -24,8 +24,10 @@ _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})
 _MARKER = re.compile(r"^([ \t]*)(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
 _QUOTE = re.compile(r"^ {0,3}> ?")
 _DELIMITER = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_IMAGE = re.compile(r"!\[([^\[\]]*)\]\(\s{0,9}<?([^\s()<>]{0,9999}(?:\([^\s()<>]{0,999}\)[^\s()<>]{0,999})?)>?(?:\s+[\"'(][^\n]{0,999}?[\"')])?\s{0,9}\)")
-_LINK = re.compile(r"\[([^\[\]]*)\]\([^()\n]{0,2000}\)")
+_IMAGE = re.compile(r"!\[([^\[\]]*)\]\(")
+_TARGET = re.compile(r"\s*(?:<([^<>\n]*)>|([^\s<>]*))")
+_CLOSING = {'"': '"', "'": "'", "(": ")"}
+_LINK = re.compile(r"\[([^\[\]]*)\]\([^()\n]*\)")
 _CODE = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
 _TAGS = re.compile(r"<!--(?:(?!<!--).)*?-->|</?[A-Za-z][^<>]*>", re.S)
 _EMPHASIS = re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1|(?<![\w*])([*_])(?=\S)([^*_]+?)(?<=\S)\3(?![\w*])", re.S)
@@ -44,16 +46,53 @@ class Block:
     alt: str | None = None
 
 
+def images(source: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, alternative text, target) of the images of inline Markdown; targets may be of any length.
+
+    Every opening bracket is paired with its closing one first, so the images
+    are found in one pass.
+    """
+    if "![" not in source:
+        return []
+    pairs: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.finditer(r"[()]", source):
+        if m.group() == "(":
+            open_.append(m.start())
+        elif open_:
+            pairs[open_.pop()] = m.start()
+    out, at = [], 0
+    while m := _IMAGE.search(source, at):
+        at = m.end()
+        close = pairs.get(m.end() - 1)
+        if close is None:
+            continue
+        target = _TARGET.match(source, m.end(), close)
+        rest = source[target.end() : close].strip()
+        if rest and not (len(rest) > 1 and _CLOSING.get(rest[0]) == rest[-1] and source[target.end()].isspace() and "\n" not in rest):
+            continue
+        out.append((m.start(), close + 1, m.group(1), target.group(1) if target.group(1) is not None else target.group(2)))
+        at = close + 1
+    return out
+
+
+def _without_images(source: str) -> str:
+    out, at = [], 0
+    for start, end, _, _ in images(source):
+        out.append(source[at:start])
+        at = end
+    return "".join(out) + source[at:]
+
+
 def plain_inline(source: str, soft_break: str = "") -> str:
     """Text of inline Markdown: code and markup vanish, link texts stay; a soft line break becomes ``soft_break``."""
-    text = _IMAGE.sub("", source)
+    text = _without_images(source)
     text = _CODE.sub("", text)
     text = _LINK.sub(r"\1", text)
     text = _TAGS.sub("", text)
-    for _ in range(3):
+    n = 1
+    while n:
         text, n = _EMPHASIS.subn(lambda m: m.group(2) or m.group(4) or "", text)
-        if not n:
-            break
     return soft_break.join(line.strip() for line in text.split("\n")).strip()
 
 
@@ -70,7 +109,7 @@ def parse_blocks(text: str | None, soft_break: str = "") -> list[Block]:
     def flush(end: int) -> None:
         if para:
             source = "\n".join(para)
-            out.extend(Block("image", None, start, end, src=m.group(2), alt=m.group(1)) for m in _IMAGE.finditer(source))
+            out.extend(Block("image", None, start, end, src=src, alt=alt) for _, _, alt, src in images(source))
             said = plain_inline(source, soft_break)
             if said:
                 out.append(Block("paragraph", said, start, end))

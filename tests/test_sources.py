@@ -8,6 +8,7 @@ from docweave.plans import config, pipeline
 from docweave.plans import text_queries as Q
 from docweave.plans.artifacts import Store, Trace
 from docweave.sources import files
+from docweave.sources import json_trees as J
 from docweave.sources import markdown as R
 from tests.conftest import rows
 
@@ -57,7 +58,25 @@ def test_files(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in listed.orderBy("sort_key").collect()] == ["file2.srt", "file10.srt", "x.vtt"]
     files.write_manifest(listed, str(tmp_path / "m"))
     assert files.read_manifest(spark, str(tmp_path / "m")).count() == 3
-    assert sorted(r["body"] for r in files.read_subtitles(spark, str(tmp_path / "in")).collect()) == ["ten", "two", "x"]
+    # A manifest chooses the files and their order; pages are read as Markdown.
+    (tmp_path / "in" / "b" / "p.HTML").write_text("<html><body><h1>T</h1><p>q</p></body></html>")
+    (tmp_path / "in" / "b" / "z.Srt").write_text("z")
+    lines = [str(tmp_path / "in" / "b" / "z.Srt"), str(tmp_path / "in" / "nowhere.srt"), "", str(tmp_path / "in" / "b" / "p.HTML"), str(tmp_path / "in" / "a" / "file10.srt")]
+    (tmp_path / "list.txt").write_text("\n".join(lines))
+    read = files.read_subtitles(spark, str(tmp_path / "in"), True, str(tmp_path / "list.txt"))
+    assert [r["body"] for r in read.orderBy("sort_key").collect()] == ["z", "# T\n\nq", "ten"]
+    assert files.read_subtitles(spark, str(tmp_path / "in")).count() == 4 and files.read_subtitles(spark, str(tmp_path / "in"), True).count() == 5
+    files.write_manifest(listed, str(tmp_path / "m1"), str(tmp_path / "m2"))
+    assert files.read_manifest(spark, str(tmp_path / "m2")).count() == 3
+    many = spark.createDataFrame([(1, 0, "a"), (2, 0, "c"), (1, 1, "b")], "d int, o int, line string")
+    files.write_lines(many, str(tmp_path / "many"), ["o"], by="d")
+    assert [(r["d"], r["value"]) for r in spark.read.json(str(tmp_path / "many")).collect()] == [(1, "a"), (1, "b"), (2, "c")]
+    files.write_lines(many, str(tmp_path / "apart"), ["o"], by="d", folders=True)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "apart" / "d=1")).collect()] == ["a", "b"]
+    pages = many.selectExpr("d AS map_id", "line AS page", "line AS node_id", "o AS ord", "line AS part")
+    files.write_pages(pages, str(tmp_path / "pages"))
+    assert spark.read.json(str(tmp_path / "pages")).count() == 3
+    assert sorted(r["body"] for r in files.read_subtitles(spark, str(tmp_path / "in")).collect()) == ["ten", "two", "x", "z"]
     files.write_lines(spark.createDataFrame([(1, "b"), (0, "a")], "o int, line string"), str(tmp_path / "o"), ["o"])
     assert [r[0] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["a", "b"]
 
@@ -198,3 +217,114 @@ def test_pages_and_notes_are_told_apart(spark, tmp_path):
     assert {r[0] for r in rows(Q.read_markdown_blocks(spark, str(tmp_path)), "doc_id")} == {len(pages) + i for i in range(len(notes))}
     many = spark.createDataFrame([(1, "<!-- x -->" * 20000 + "z"), (2, "```\n" * 20001), (3, "00:00" * 50000)], "doc_id long, text string")
     assert rows(many.select("doc_id", X.is_html_page(F.col("text")), X.is_subtitles(F.col("text")))) == [(1, False, False), (2, False, False), (3, False, False)]
+
+
+def test_values_of_any_size(spark):
+    url = "data:image/png;base64," + "iVBORw0KGgo" * 2000
+    assert [(b.type, b.src) for b in R.parse_blocks(f"![a]({url})")] == [("image", url)]
+    assert [(b.type, b.text, b.src, b.alt) for b in R.parse_blocks('x ![a](p(1).png "t") y ![](<a b.png>) z ![b](no end')] == [("image", None, "p(1).png", "a"), ("image", None, "a b.png", ""), ("paragraph", "x  y  z ![b](no end", None, None)]
+    assert R.plain_inline("[a](" + "x" * 5000 + ") b") == "a b" and R.plain_inline("**_~~**a**~~_**") == "a"
+    names = ["f9", "f10", "f" + "1" * 25, "f" + "2" * 25, "f" + "1" * 26, "f007", "g1"]
+    frame = spark.createDataFrame([(n,) for n in names], "p string")
+    assert [r["p"] for r in frame.orderBy(X.natural_key("p")).collect()] == ["f007", "f9", "f10", "f" + "1" * 25, "f" + "2" * 25, "f" + "1" * 26, "g1"]
+
+
+def test_deep_json(spark):
+    import json
+
+    n = 20000
+    deep = '{"title":"t","children":[' * n + "]}" * n
+    assert [x[2] for x in J.parse_tree(deep)] == list(range(n))
+    frame = spark.createDataFrame([(1, deep), (2, "[" * n), (3, "{" * n), (4, None), (5, '{"root": "r", "nodes": [1, {"title": " "}]}')], "doc_id long, text string")
+    assert rows(J.tree_nodes(frame).groupBy("doc_id").count()) == [(1, n), (5, 3)]
+    assert J.parse_picks("[" * n) == [] and J.parse_picks('["a", 1, "b"]') == ["a", "b"]
+    for text in ('{"a": [1, -2.5e3, "x\\u0041", true, null, {}], "b": {"c": []}}', "[]", "[[1], {}]", '"s"', "7", ' [ 1 , 2 ] '):
+        assert J._deep(text) == json.loads(text)
+    for text in ("", "[1", '{"a"', '{"a":', "[1}", "[1] 2", "[,]", '{"a" 1}', "[1,]"):
+        assert J._parsed(text) is None
+        with pytest.raises((ValueError, IndexError)):
+            J._deep(text)
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from docweave import session
+
+    class Context:
+        master, folder = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        def __init__(self, conf):
+            self.conf, self.sparkContext = conf, Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session({}))
+    assert session.ensure_checkpoint_dir(Session({"spark.checkpoint.dir": "hdfs:/shared"})) == "hdfs:/shared"
+    local = Session({})
+    local.sparkContext.master = "local[2]"
+    assert "docweave-checkpoint" in session.ensure_checkpoint_dir(local)
+    assert not session._is_local("local-cluster[3,2,1000]") and session._is_local("local")
+
+
+def test_spread(spark, tmp_path):
+    from docweave.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one).rdd.getNumPartitions() == cores and spread(one).count() == 100
+    spark.range(100).repartition(2 * cores).write.option("maxRecordsPerFile", 2).parquet(str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        assert "Exchange" not in spread(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    grouped = one.groupBy("id").count()
+    assert spread(grouped) is grouped
+
+
+def test_command_line(spark, tmp_path):
+    from docweave.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "n.md").write_text(NOTE)
+    (tmp_path / "in" / "a.srt").write_text("1\n00:01 --> 00:02\nhello")
+    out = tmp_path / "out"
+    assert main(["--recipe", "mindmap_from_markdown", "--input", str(tmp_path / "in" / "n.md"), "--output-dir", str(out), "--run-name", "r", "--enable-tracing"]) == 0
+    assert spark.read.json(str(out / "r" / "mindmap.md")).count() > 0 and spark.read.json(str(out / "r" / "traces")).where("chain_name like 'write:%' and duration_sec > 0").count() > 3
+    for recipe in ("list_notes_in_dir", "merge_notes_from_manifest"):
+        assert main(["--recipe", recipe, "--input", str(tmp_path / "in"), "--output-dir", str(out), "--run-name", "s"]) == 0
+    assert [r[0] for r in spark.read.text(str(out / "s" / "subtitles_merged.md")).collect()] == ["# in", "## a", "hello"]
+    assert main(["--list-recipes"]) == 0
+
+
+def test_prompts_reach_a_client(spark):
+    docs = spark.createDataFrame([(1, NOTE)], "doc_id long, text string")
+
+    class Client(ExtractiveBackend):
+        def __init__(self, prompts=None):
+            self.prompts = prompts
+
+        def bullets(self, markdown):
+            return self.prompts["bullets"][:7]
+
+    out = pipeline.run(spark, docs, config.Options(preset="bullets"), factory=Client)
+    assert {r["part"].strip() for r in out["bullets"].collect()} == {"Rewrite"}
+
+
+def test_questions_get_further_passes(spark):
+    guide = "# Tools\n\n## Nothing here fits\n\nthe kiln\n\n## Kiln?\n\nyes\n\n# Looms\n\n## Why?\n\nso\n"
+    docs = spark.createDataFrame([(2, guide)], "doc_id long, text string")
+    outlines = spark.createDataFrame([(2, "# Map\n- kiln\n- looms")], "doc_id long, text string")
+    out = pipeline.run(spark, docs, config.Options(preset="map_qa_onto_markmap", markmap_input="x", map_batch_override=2), outlines, docs)
+    placed = out["refs"].join(out["nodes"], ["doc_id", "node_id"])
+    assert rows(placed, "q", "title") == [("Kiln?", "kiln"), ("Nothing here fits", "kiln"), ("Why?", "looms")]
+    assert rows(out["map_queue"].groupBy("batch").count()) == [(0, 2), (1, 1)]

@@ -1,10 +1,12 @@
 import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.models.backend import ExtractiveBackend
+from docweave.models.backend import ExtractiveBackend, ask
+from docweave.operators import concepts as P
 from docweave.operators import export as E
 from docweave.operators import links as L
 from docweave.operators import mapping as M
@@ -166,9 +168,9 @@ def test_notes_hold_all_children(spark):
     nodes = spark.createDataFrame([(1, "r", None, 0, 0, "Root", "1", None)] + [(1, f"c{i:04}", "r", 1, i, f"Child {i:04}", "1", None) for i in range(n)], NODES)
     walked = T.walk(T.live_nodes(nodes))
     edges = T.children(walked)
-    summaries = walked.select("map_id", "node_id", "title", F.concat(F.lit("about "), "node_id").alias("summary"))
+    summaries = walked.select("map_id", "node_id", "title", F.array_join("path", " / ").alias("where_"), F.concat(F.lit("about "), "node_id").alias("summary"))
     (digest,) = rows(N.child_digest(edges, summaries), "digest")
-    assert digest[0].split("\n") == [f"- Child {i:04}: about c{i:04}" for i in range(n)]
+    assert digest[0].split("\n") == [f"- Child {i:04} :: [[Root / Child {i:04}]] :: about c{i:04}" for i in range(n)]
     none = walked.select("map_id", "node_id", F.array().cast("array<string>").alias("prereqs"))
     bodies = walked.select("map_id", "node_id", F.lit("# T").alias("body"))
     notes = N.assemble(T.node_types(walked), edges, T.see_also(walked), none, bodies, F.lit("Map"), "m", F.lit("run"))
@@ -183,7 +185,9 @@ def test_note_query_takes_the_path_of_the_plans(spark, tmp_path):
     told = {r["node_id"]: r["md5"] for r in Q.notes_front_matter(spark, str(tmp_path)).collect()}
     assert set(told) == {x[1] for x in n}
     backend = ExtractiveBackend()
-    branch = backend.branch_note("Apples", "Root / Apples", "- Cox: Cox\n- Elstar: Elstar")
+    # A path is no page, so the links of the digest lose their brackets; those to the children are pages.
+    branch = backend.branch_note("Apples", "Root / Apples", "- Cox :: Root / Apples / Cox :: Cox\n- Elstar :: Root / Apples / Elstar :: Elstar")
+    branch += "\n\n## Children\n- [[MyRun/Cox.md|Cox]]\n- [[MyRun/Elstar.md|Elstar]]"
     front = "---\nid: a\ntype: hub\nparent: MyRun/Root.md\nchildren:\n  - MyRun/Cox.md\n  - MyRun/Elstar.md\nprereqs:\nsee_also:\n  - MyRun/Pears.md\n  - MyRun/Root.md\nsummary: Root / Apples\nmodel: extractive\nrun_id: run\n---"
     note = f"{front}\n{branch}\n\n{N.PREREQS_BLOCK}{N.SEE_ALSO_BLOCK}"
     assert told["a"] == hashlib.md5(note.encode()).hexdigest()
@@ -200,3 +204,58 @@ def test_walk_ends_on_a_node_below_itself(spark):
     loop = spark.createDataFrame([(1, "r", None, 0, 0, "R", "1", None), (1, "a", "r", 1, 0, "A", "1", None), (1, "b", "a", 2, 0, "B", "1", None), (1, "a", "b", 3, 0, "A", "1", None)], NODES)
     with pytest.raises(ValueError, match="ancestor"):
         T.walk(loop)
+
+
+def heads(spark, rows_):
+    return spark.createDataFrame(rows_, "map_id long, pos long, block_id long, heading_path array<string>, chunk_index int")
+
+
+def test_heading_tree_and_more(spark):
+    paths = [["A"], ["A", "x"], ["a ", "X"], ["B"], None, []] + [["A", f"t{i}"] for i in range(8)] + [["A", "t7", "deep"]]
+    blocks = heads(spark, [(1, i, i, p, i % 2) for i, p in enumerate(paths)])
+    tree = P.heading_tree(blocks)
+    assert {(tuple(r["path"]), r["title"], r["first_pos"], r["n_blocks"]) for r in tree.collect() if len(r["path"]) < 2 or r["path"][1] == "x"} == {(("a",), "A", 0, 12), (("a", "x"), "x", 1, 2), (("b",), "B", 3, 1)}
+    refined = P.refine(tree)
+    assert rows(refined.where("more"), "title") == [("t5",), ("t6",), ("t7",)]
+    walked = T.walk(P.as_nodes(refined)).orderBy("place").collect()
+    assert [" / ".join(r["path"]) for r in walked] == ["A", "A / x", *[f"A / t{i}" for i in range(5)], "A / More", "A / More / t5", "A / More / t6", "A / More / t7", "A / More / t7 / deep", "B"]
+    assert P.as_nodes(P.refine(P.heading_tree(blocks.limit(0)))).count() == 0
+    # The trees of the chunks, merged by cluster and over all clusters, hold the same nodes; siblings of an earlier cluster come first.
+    chunks = P.heading_tree(blocks, keys=["map_id", "chunk_index"])
+    clusters = spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "map_id long, chunk_index int, cluster int")
+    by_cluster, merged = P.merged_trees(chunks, clusters)
+    assert rows(merged, "path", "n_blocks") == rows(tree, "path", "n_blocks") and by_cluster.select("cluster").distinct().count() == 2
+    ordered = P.refine(merged).where("size(path) = 2").orderBy("sibling_idx")
+    assert [r["title"] for r in ordered.collect()] == ["X", "t0", "t2", "t4", "t6", "t7", "t1", "t3", "t5"]
+
+
+def test_merge_in_rounds(spark):
+    data = [("g", i, f'{{"title": "R", "children": [{{"title": "t{i % 3}", "children": [{{"title": "n{i}", "children": []}}]}}]}}') for i in range(7)] + [("h", 0, '{"title": "S"}')]
+    frame = spark.createDataFrame(data, "g string, i int, tree string")
+    merged = {r["g"]: json.loads(r["tree"]) for r in P.merge_in_rounds(frame, ["g"], "i", "tree", lambda f, keys: ask(f, keys, ["left", "right"], "merge", "tree")).collect()}
+    assert {c["title"]: [x["title"] for x in c["children"]] for c in merged["g"]["children"]} == {"t0": ["n0", "n3", "n6"], "t1": ["n1", "n4"], "t2": ["n2", "n5"]} and merged["h"] == {"title": "S"}
+    assert P.merge_in_rounds(frame.limit(0), ["g"], "i", "tree", lambda f, keys: f).count() == 0
+
+
+def test_place_blocks(spark):
+    nodes = spark.createDataFrame([(1, "a", "1", "Old kilns"), (1, "b", "2", "Kilns"), (1, "c", "3", None), (2, "d", "1", "Maps")], "map_id long, node_id string, place string, title string")
+    weights = spark.createDataFrame([(1, 7, "kilns", 0.9), (1, 7, "old", 0.2), (1, 8, "maps", 0.5), (2, 9, "maps", 0.5), (2, 9, "kilns", 0.9)], "map_id long, block_id long, term string, weight double")
+    assert rows(P.place_blocks(weights, nodes), "block_id", "target_node_id") == [(7, "a"), (9, "d")]
+
+
+def test_refs_and_coverage(spark):
+    T1 = "2024-01-0"
+    refs = spark.createDataFrame([(1, 1, "p", "Paragraph", "cap", "n", T1 + "1"), (2, 1, "p", "paragraph", None, "m", T1 + "2"), (3, 1, "gone", "CODE", None, "n", T1 + "1"), (4, 1, "", "x", None, "n", T1 + "1"), (5, 1, "q", None, None, "ghost", T1 + "1"), (6, 1, "i", "image", None, "n", T1 + "1")], "ref_id long, map_id long, element_id string, type string, element_caption string, target_node_id string, created_at string")
+    blocks = spark.createDataFrame([(1, 1, 0, "p", "paragraph", "old", None, None, None, "old"), (2, 1, 5, "p", "paragraph", "new", None, None, None, "new"), (3, 1, 6, "i", "image", None, None, "s.png", " alt ", "x")], "block_id long, map_id long, pos int, element_id string, type string, text string, language string, src string, alt string, markdown string")
+    nodes = spark.createDataFrame([(1, "n"), (1, "m")], "map_id long, node_id string")
+    # The first decision of an id holds, the last block of an id is shown, unknown nodes are dropped, unknown blocks keep their type.
+    assert rows(M.insert_refs(refs, blocks, nodes), "ord", "node_id", "type", "markdown") == [(1, "n", "paragraph", "new"), (3, "n", "code", ""), (6, "n", "image", "![alt](s.png)")]
+    asked = spark.createDataFrame([(1, 1, "p"), (1, 1, "p"), (2, 1, "q"), (3, 1, "none"), (4, None, "p"), (5, 2, None)], "answer_id long, map_id long, element_id string")
+    assert rows(M.coverage(asked, refs, nodes)) == [(1, 3, 2, 1, 1, 66.6667), (2, 1, 0, 1, 0, 0.0)]
+    assert M.coverage(asked.limit(0), refs, nodes).count() == 0
+
+
+def test_batches(spark):
+    frame = spark.createDataFrame([(1, i, i) for i in range(130)] + [(2, i, i) for i in range(3)], "map_id long, pos int, block_id long")
+    assert rows(M.batches(frame).groupBy("map_id").agg(F.max("batch"))) == [(1, 5), (2, 0)]
+    assert rows(M.batches(frame, override=50).groupBy("map_id").agg(F.max("batch"))) == [(1, 2), (2, 0)]
