@@ -30,14 +30,18 @@ CAPACITY = 2048
 #: Grains at which combinations are sought: sizes are rounded up to so many units of the capacity, and a combination may leave
 #: so many units empty.  A plan is made for each grain and the one with the fewest containers is taken.
 GRAINS = ((32, 1), (64, 0), (64, 1), (128, 0))
+#: Slots of a plan that are broadcast, some 32 bytes each.
+BROADCAST_SLOTS = 100_000
 #: Items numbered by one task.
 NUMBERED_AT_ONCE = 500_000
 
 
-def nnls(columns: list[tuple[int, ...]], target: np.ndarray, weight: np.ndarray, max_steps: int = 2000) -> np.ndarray:
+def nnls(columns: list[tuple[int, ...]], target: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Least squares over non-negative repeat counts (active set method).
 
-    ``columns[s]`` lists the rows to which one repeat of ``s`` adds 1.
+    ``columns[s]`` lists the rows to which one repeat of ``s`` adds 1.  It ends
+    when no column has a gradient left, or when a step no longer brings the
+    solution nearer to the target than the arithmetic can tell.
     """
     rows = len(target)
     width = max((len(c) for c in columns), default=0)
@@ -57,8 +61,13 @@ def nnls(columns: list[tuple[int, ...]], target: np.ndarray, weight: np.ndarray,
     active: list[int] = []
     matrix = np.zeros((rows, 0))
     tolerance = 1e-9 * max(1.0, np.abs(b).max(initial=0.0))
-    for _ in range(max_steps):
+    nearest = np.inf
+    while True:
         residual = np.append(b - matrix @ x[active], 0.0)
+        distance = float(residual @ residual)
+        if distance >= nearest * (1 - 1e-12):
+            break
+        nearest = distance
         gradient = (residual * w)[index].sum(axis=1) / norm
         gradient[active] = -np.inf
         s = int(np.argmax(gradient)) if len(columns) else -1
@@ -116,6 +125,8 @@ class Pattern:
 class Plan:
     capacity: int
     patterns: list[Pattern] = field(default_factory=list)
+    planned: int = 0  # containers that come from the least-squares solution, later topped up or not
+    planned_items: int = 0
 
     @property
     def containers(self) -> int:
@@ -170,6 +181,8 @@ def _plan(histogram: dict[int, int], capacity: int, units: int, window: int) ->
                     left[s] -= times
                 result.patterns.append(Pattern(tuple(sizes), int(times)))
                 n -= times
+    result.planned = result.containers
+    result.planned_items = sum(len(p.sizes) * p.count for p in result.patterns)
     _fill(result, left)
     return result
 
@@ -229,19 +242,8 @@ def pack(items: DataFrame, key: str, size_column: str, capacity: int = CAPACITY)
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
+    pieces, histogram = _pieces(items, key, size_column, capacity)
     spark = items.sparkSession
-    size = F.greatest(F.coalesce(F.col(size_column).cast("long"), F.lit(0)), F.lit(0)).alias("_size")
-    sized = cut(items.select(F.col(key), size))
-    parts = F.greatest(F.ceil(F.col("_size") / F.lit(capacity)).cast("int"), F.lit(1))
-    pieces = (
-        sized.withColumn("n_pieces", parts)
-        .select(key, "_size", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece_no"))
-        .withColumn("start", F.col("piece_no") * F.lit(capacity).cast("long"))
-        .withColumn("size", F.least(F.col("_size") - F.col("start"), F.lit(capacity).cast("long")).cast("int"))
-        .drop("_size")
-    )
-    counted = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity + 1 rows
-    histogram = {r["size"]: r["n"] for r in counted}
     made = plan(histogram, capacity)
     total = sum(histogram.values())
 
@@ -252,16 +254,56 @@ def pack(items: DataFrame, key: str, size_column: str, capacity: int = CAPACITY)
     before = counts.select("size", "_salt", (F.sum("_n").over(Window.partitionBy("size").orderBy("_salt")) - F.col("_n")).alias("_before"))
     # counts has at most (capacity + 1) * salts rows, one for half a million items per size.
     numbered = salted.withColumn("_k", F.row_number().over(Window.partitionBy("size", "_salt").orderBy(key, "piece_no")) - 1).join(before, ["size", "_salt"])
-    slots = spark.createDataFrame([tuple(map(int, s)) for s in made.slots()] or [(0, 0, 0, 0, 1)], "_s int, _first long, _last long, _base long, _each int")
-    # Bounded by the number of combinations in use (some thousands), whatever the input.
-    rank = F.col("_k") + F.col("_before")
-    placed = numbered.withColumn("_rank", rank).join(F.broadcast(slots), (F.col("size") == F.col("_s")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last")))
-    container = (F.col("_base") + F.floor((F.col("_rank") - F.col("_first")) / F.col("_each"))).cast("long").alias("container_id")
+    # One row per size: an item meets the slots of its size as one sorted array, and takes the one that holds its number.
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
+    for size, first, last, base, each in made.slots():
+        slots.setdefault(int(size), []).append((int(first), int(last), int(base), int(each)))
+    by_size = spark.createDataFrame([(s, sorted(x)) for s, x in slots.items()], "size int, _slots array<struct<first: long, last: long, base: long, each: long>>")
+    held = sum(map(len, slots.values()))
+    # Broadcast up to a checked size; a plan of more slots is joined by size, where AQE splits the frequent ones.
+    placed = numbered.withColumn("_rank", F.col("_k") + F.col("_before")).join(F.broadcast(by_size) if held <= BROADCAST_SLOTS else by_size, "size")
+    slot = F.element_at(F.filter("_slots", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"])), 1)
+    placed = placed.withColumn("_slot", slot)
+    container = (F.col("_slot.base") + F.floor((F.col("_rank") - F.col("_slot.first")) / F.col("_slot.each"))).cast("long").alias("container_id")
     columns = [key, "piece_no", "n_pieces", "start", "size"]
     empty = pieces.where("size <= 0").select(*columns, F.pmod(F.xxhash64(key), F.lit(max(1, made.containers))).alias("container_id"))
     return placed.select(*columns, container).unionByName(empty)
 
 
+def _pieces(items: DataFrame, key: str, size_column: str, capacity: int) -> tuple[DataFrame, dict[int, int]]:
+    """Items as pieces of at most the capacity, and how many there are of each size."""
+    size = F.greatest(F.coalesce(F.col(size_column).cast("long"), F.lit(0)), F.lit(0)).alias("_size")
+    sized = cut(items.select(F.col(key), size))
+    parts = F.greatest(F.ceil(F.col("_size") / F.lit(capacity)).cast("int"), F.lit(1))
+    pieces = (
+        sized.withColumn("n_pieces", parts)
+        .select(key, "_size", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece_no"))
+        .withColumn("start", F.col("piece_no") * F.lit(capacity).cast("long"))
+        .withColumn("size", F.least(F.col("_size") - F.col("start"), F.lit(capacity).cast("long")).cast("int"))
+        .drop("_size")
+    )
+    counted = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity + 1 rows
+    histogram = {r["size"]: r["n"] for r in counted}
+    return pieces, histogram
+
+
+def plan_report(items: DataFrame, size_column: str, capacity: int = CAPACITY) -> list[tuple[str, int, int, int, float]]:
+    """How each way of planning does on the sizes of ``items``.
+
+    Rows of (way, containers, least possible containers, containers from the
+    least-squares solution, share of the pieces that these hold); the ways are
+    the grains, and ``greedy``: the residual packer alone.
+    """
+    _, histogram = _pieces(items.withColumn("_item", F.lit(0)), "_item", size_column, capacity)
+    sizes = {s: n for s, n in histogram.items() if s > 0}
+    least = -(-sum(s * n for s, n in sizes.items()) // capacity)
+    pieces = sum(sizes.values())
+    alone = Plan(capacity)
+    _fill(alone, dict(sorted(sizes.items())))
+    ways = [("greedy", alone), *[(f"{units} units, window {window}", _plan(sizes, capacity, units, window)) for units, window in GRAINS]]
+    return [(name, p.containers, least, p.planned, round(p.planned_items / pieces, 6) if pieces else 0.0) for name, p in ways]
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text_column: str = "text") -> DataFrame:
     """:func:`pack` of texts, sized in tokens of a public tokenizer; null and empty texts have size 0."""
     return pack(count_tokens(documents, key, text_column, vocabulary), key, "n_tokens", capacity)

@@ -65,6 +65,12 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return packing.container_report(packing.pack_documents(table(spark, root, "documents")))
 
 
+def p6_plan(spark: SparkSession, root: str) -> DataFrame:
+    """Containers that each way of planning needs for the documents, and what the least-squares solution contributes."""
+    sizes = tokenizer.count_tokens(table(spark, root, "documents", ["doc_id", "text"]))
+    return spark.createDataFrame(packing.plan_report(sizes, "n_tokens"), "way string, containers long, least long, planned long, planned_share double")
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return stuffing.stuffed_ids(table(spark, root, "documents"))
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_counts": p5_counts,
     "p6_packed": p6_packed,
     "p6_report": p6_report,
+    "p6_plan": p6_plan,
     "p7_found": p7_found,
     "p7_verdicts": p7_verdicts,
 }

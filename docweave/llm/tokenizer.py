@@ -1,9 +1,9 @@
 """Byte-level BPE encoding of whole corpora.
 
 The vocabulary is compiled into an Aho-Corasick automaton over bytes that are
-mapped one to one to Latin-1 characters.  A pre-token is encoded by taking the
-longest vocabulary entry at each position and backing off to the next shorter
-one whenever the entry can not stand beside its left neighbour.  "Can stand
+mapped one to one to Latin-1 characters.  One pass of it over a pre-token finds
+the entries that match at each position; the longest is taken, and the next
+shorter match whenever an entry can not stand beside its left neighbour.  "Can stand
 beside" is decided by replaying the merges across the seam once per pair of
 tokens and memoised, so the work per pre-token is linear in its length and the
 result is exactly that of applying the merges in rank order.
@@ -33,6 +33,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of the 50k byte-level vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Places of a pre-token whose matches are looked up at once.
+WINDOW = 512
 #: Encoded pieces and token pairs remembered by one Python worker.
 CACHE_ENTRIES = 250_000
 PAIR_ENTRIES = 300_000
@@ -55,6 +57,7 @@ class ByteBpe:
         for piece, rank in ranks.items():
             self.trie.add_word(piece.decode("latin-1"), rank)
         self.trie.make_automaton()
+        self.length = {rank: len(piece) for piece, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.joined: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
@@ -117,34 +120,44 @@ class ByteBpe:
             else:
                 before_right, right = right, b[0]
 
+    def _matches(self, text: str, start: int) -> list[list[int]]:
+        """Entries that begin at each place from ``start``, shortest first, from one pass of the automaton."""
+        end = min(len(text), start + WINDOW)
+        found: list[list[int]] = [[] for _ in range(end - start)]
+        for last, rank in self.trie.iter(text, start, min(len(text), end + self.longest)):
+            first = last + 1 - self.length[rank] - start
+            if 0 <= first < len(found):
+                found[first].append(rank)
+        return found
+
     def encode_pretoken(self, raw: bytes) -> list[int]:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        text, n, longest = raw.decode("latin-1"), len(raw), self.longest
-        match = self.trie.longest_prefix
+        text, n = raw.decode("latin-1"), len(raw)
+        begin, found = 0, self._matches(text, 0)
         tokens: list[int] = []
-        starts: list[int] = []
-        dead = bytearray(n + 1)  # positions from which no completion exists for the given prefix
-        at = 0
-        length = match(text[0:longest])
+        tried: list[int] = []  # of each token, how many entries at its place are shorter
+        dead = bytearray(n + 1)  # places from which no completion exists for the given tokens before
+        at, left = 0, len(found[0])
         while at < n:
-            placed = False
-            while length > 0:
-                token = self.ranks.get(raw[at : at + length])
-                if token is not None and not dead[at + length] and (not tokens or self.compatible(tokens[-1], token)):
+            if not begin <= at < begin + len(found):
+                begin, found = at, self._matches(text, at)
+            here = found[at - begin]
+            if left < 0:
+                left = len(here)
+            while left:
+                left -= 1
+                token = here[left]
+                if not dead[at + self.length[token]] and (not tokens or self.compatible(tokens[-1], token)):
                     tokens.append(token)
-                    starts.append(at)
-                    at += length
-                    length = match(text[at : at + longest]) if at < n else 0
-                    placed = True
+                    tried.append(left)
+                    at, left = at + self.length[token], -1
                     break
-                length -= 1
-            if not placed:
+            else:  # the next shorter match of the token before
                 dead[at] = 1
-                last = starts.pop()
-                tokens.pop()
-                length, at = at - last - 1, last
+                left = tried.pop()
+                at -= self.length[tokens.pop()]
         return tokens
 
     def piece(self, text: str) -> bytes:

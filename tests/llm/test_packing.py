@@ -67,3 +67,27 @@ def test_documents(spark):
     frame = spark.createDataFrame([(1, "the cat sat"), (2, None), (3, ""), (4, "word " * 50)], "doc_id long, text string")
     got = P.pack_documents(frame, 16)
     assert {r[0] for r in rows(got, "doc_id")} == {1, 2, 3, 4} and got.where("doc_id = 4").count() == 4
+
+
+def test_least_squares_beats_the_greedy_packer():
+    histogram = {51: 600, 27: 600, 26: 600, 23: 1200}  # 51 + 26 + 23 and 27 + 27 + 23 + 23 fill 100
+    greedy = P.Plan(100)
+    P._fill(greedy, dict(histogram))
+    made = P.plan(histogram, 100)
+    exact(made, histogram, 100)
+    assert made.containers < 0.9 * greedy.containers and made.planned_items >= 1800
+
+
+def test_many_slots_are_not_broadcast(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, 1 + i % 37) for i in range(300)], "doc_id long, n_tokens long")
+    hinted = rows(P.pack(frame, "doc_id", "n_tokens", 40), "doc_id", "container_id")
+    monkeypatch.setattr(P, "BROADCAST_SLOTS", 0)
+    plain = P.pack(frame, "doc_id", "n_tokens", 40)
+    assert rows(plain, "doc_id", "container_id") == hinted and "hint" not in plain._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_plan_report(spark):
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate([51, 26, 23] * 20 + [0, None])], "doc_id long, n_tokens long")
+    ways = {w[0]: w[1:] for w in P.plan_report(frame, "n_tokens", 100)}
+    assert all(n >= least == 20 for n, least, _, _ in ways.values()) and ways["greedy"][2] == 0 and max(share for _, _, _, share in ways.values()) == 1.0
+    assert {w[1] for w in P.plan_report(frame.limit(0), "n_tokens", 100)} == {0}
