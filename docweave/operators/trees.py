@@ -1,13 +1,13 @@
 """Operators on trees held as adjacency rows.
 
 A tree is a set of rows (tree, node id, parent id, place among siblings,
-title).  Walks go level by level, one join per level over the whole table, so
-a tree of any width is spread over all tasks; nothing collects a tree.
+title).  Walks double their reach with each join over the whole table, so a
+tree of any width is spread over all tasks; nothing collects a tree.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from docweave.functions import ids
 from docweave.session import cut
 
-#: Levels after which a walk cuts its plan and looks for nodes that are their own ancestors, again and again.
-LEVELS = 100
 #: Merges of one round that are made from one row.
 SLOTS = 65_536
 #: Between the steps of a place; it sorts before every character of an id, so children follow their parent at once.
@@ -43,38 +41,35 @@ def walk(nodes: DataFrame, tree: str = "map_id") -> DataFrame:
     Adds ``level`` (0 at a root), ``path`` (titles from the root) and
     ``place``, a string whose order within a tree is the preorder: siblings by
     their index, ties by node id.  Nodes that hang on no root are left out.
-    A tree may be of any depth; a node below itself is an error.
+    A tree may be of any depth; a node below itself that hangs on a root too is
+    an error.
+
+    Every node starts with itself and looks up to its parent; in each round it
+    puts what the node it looks up to has found before its own path, and looks
+    on from there.  So a tree of depth d takes log2(d) joins, and only nodes
+    that have not reached a root take part in the next.
     """
-    base = cut(nodes.select(tree, "node_id", "parent_id", "sibling_idx", "title"))
-    level = cut(
-        base.where("parent_id is null").select(
-            tree, "node_id", "parent_id", "sibling_idx", "title", F.lit(0).alias("level"), F.array(F.coalesce("title", F.lit(""))).alias("path"), _key(F.col("sibling_idx"), F.col("node_id")).alias("place")
-        )
-    )
-    rest = base.where("parent_id is not null")
-    done = level
-    for depth in count(1):
-        above = level.select(tree, F.col("node_id").alias("parent_id"), F.col("path").alias("_path"), F.col("place").alias("_place"))
-        level = rest.join(above, [tree, "parent_id"]).select(
-            tree,
-            "node_id",
-            "parent_id",
-            "sibling_idx",
-            "title",
-            F.lit(depth).alias("level"),
-            F.concat("_path", F.array(F.coalesce("title", F.lit("")))).alias("path"),
-            F.concat("_place", F.lit(STEP), _key(F.col("sibling_idx"), F.col("node_id"))).alias("place"),
-        )
-        level = cut(level)
-        if level.isEmpty():
+    columns = [tree, "node_id", "parent_id", "sibling_idx", "title"]
+    start = nodes.select(*columns, F.col("parent_id").alias("_up"), F.array(F.coalesce("title", F.lit(""))).alias("path"), _key(F.col("sibling_idx"), F.col("node_id")).alias("place"))
+    start = cut(start)
+    done, open_, turning = [start.where("_up is null")], start.where("_up is not null"), []
+    steps = F.split("place", STEP)
+    turns = F.size(F.array_distinct(steps)) < F.size(steps)
+    while True:
+        known = reduce(DataFrame.unionByName, [*done, open_])
+        above = known.select(tree, F.col("node_id").alias("_up"), F.col("path").alias("_path"), F.col("place").alias("_place"), F.col("_up").alias("_next"))
+        met = open_.join(above, [tree, "_up"]).select(*columns, F.col("_next").alias("_up"), F.concat("_path", "path").alias("path"), F.concat("_place", F.lit(STEP), "place").alias("place"))
+        met = cut(met)
+        if met.isEmpty():
             break
-        done = done.unionByName(level)
-        if depth % LEVELS == 0:
-            done = cut(done)
-            steps = F.split("place", STEP)
-            if not level.where(F.size(F.array_distinct(steps)) < F.size(steps)).isEmpty():
-                raise ValueError("a node is its own ancestor")
-    return done
+        done.append(met.where("_up is null"))
+        going = met.where("_up is not null")
+        turning.append(going.where(turns).select(tree, "node_id"))
+        open_ = going.where(~turns)
+    walked = reduce(DataFrame.unionByName, done).select(*columns, (F.size("path") - 1).alias("level"), "path", "place")
+    if turning and not reduce(DataFrame.unionByName, turning).join(walked, [tree, "node_id"], "left_semi").isEmpty():
+        raise ValueError("a node is its own ancestor")
+    return walked
 
 
 def with_ids(walked: DataFrame) -> DataFrame:

@@ -194,12 +194,18 @@ def test_note_query_takes_the_path_of_the_plans(spark, tmp_path):
 
 
 def test_walk_of_any_depth(spark):
-    n = 104
+    n = 150
     chain = spark.createDataFrame([(1, f"n{i:03}", f"n{i - 1:03}" if i else None, i, 0, f"T{i}", "1", None) for i in range(n)], NODES)
     walked = T.walk(T.live_nodes(chain))
     assert [r["node_id"] for r in walked.orderBy("place").collect()] == [f"n{i:03}" for i in range(n)]
 
 
+def test_nodes_without_a_root_are_left_out(spark):
+    n = [(1, "r", None, 0, 0, "R", "1", None), (1, "p", "q", 1, 0, "P", "1", None), (1, "q", "p", 1, 0, "Q", "1", None), (1, "s", "p", 2, 0, "S", "1", None), (1, "x", "ghost", 1, 0, "X", "1", None), (1, "y", "x", 2, 0, "Y", "1", None), (2, "x", "r", 1, 0, "X", "1", None)]
+    assert rows(T.walk(spark.createDataFrame(n, NODES)), "map_id", "node_id", "level") == [(1, "r", 0)]
+    assert T.walk(spark.createDataFrame(n, NODES).limit(0)).count() == 0
+
+
 def test_walk_ends_on_a_node_below_itself(spark):
     loop = spark.createDataFrame([(1, "r", None, 0, 0, "R", "1", None), (1, "a", "r", 1, 0, "A", "1", None), (1, "b", "a", 2, 0, "B", "1", None), (1, "a", "b", 3, 0, "A", "1", None)], NODES)
     with pytest.raises(ValueError, match="ancestor"):
