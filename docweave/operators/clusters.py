@@ -39,8 +39,9 @@ def tfidf(frame: DataFrame, keys: list[str], text: str, within: list[str] | None
     # Without ``within`` the total is one row.
     weighed = weighed.join(total, within) if within else weighed.withColumn("n", F.lit(frame.count()))
     raw = weighed.withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
-    norm = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # A window over one text, as large as its different words, in place of a second aggregate and join.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return raw.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
 def hashed_vectors(weights: DataFrame, keys: list[str], dimensions: int = DIMENSIONS) -> DataFrame:

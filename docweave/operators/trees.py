@@ -55,13 +55,11 @@ def walk(nodes: DataFrame, tree: str = "map_id") -> DataFrame:
     done, open_, turning = [start.where("_up is null")], start.where("_up is not null"), []
     steps = F.split("place", STEP)
     turns = F.size(F.array_distinct(steps)) < F.size(steps)
-    while True:
+    while not open_.isEmpty():
         known = reduce(DataFrame.unionByName, [*done, open_])
         above = known.select(tree, F.col("node_id").alias("_up"), F.col("path").alias("_path"), F.col("place").alias("_place"), F.col("_up").alias("_next"))
         met = open_.join(above, [tree, "_up"]).select(*columns, F.col("_next").alias("_up"), F.concat("_path", "path").alias("path"), F.concat("_place", F.lit(STEP), "place").alias("place"))
         met = cut(met)
-        if met.isEmpty():
-            break
         done.append(met.where("_up is null"))
         going = met.where("_up is not null")
         turning.append(going.where(turns).select(tree, "node_id"))
