@@ -1,20 +1,28 @@
 """Greedy packing of blocks into token-bounded chunks.
 
 Only narrow rows (ids, sizes, flags) go through the ordered fold; texts are
-joined back by chunk afterwards.  The fold of one document is sequential by
-definition (what is carried over depends on the chunk before), so a document
-is one sorted stream: it is never held as a group, only its current chunk is.
+joined back by chunk afterwards.  The fold of a long document runs in segments
+of positions, all at once: what a segment hands on hardly depends on what it is
+handed, because the boundaries of chunks soon fall together.  Each segment is
+folded as if nothing came in, then again with what the segment before handed
+on, and further only where that has changed.  When nothing changes any more,
+the segments agree with the fold of the whole document, from the first one on.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.session import cut
+
+#: Positions of one segment of a document.
+SEGMENT = 4096
 #: Tokens of a chunk whose settings name none.
 LIMIT = 2000
 
@@ -37,28 +45,72 @@ def pack(blocks: DataFrame, document: str = "map_id", max_column: str = "max_tok
       one block unless ``strict_overlap``;
     * what is pending at the end is a chunk.
 
-    Null sizes count as 0, null limits as LIMIT, so that a chunk stays a value.
+    Null sizes count as 0, null limits as LIMIT, so that a chunk stays a value;
+    blocks of no document are left out.
     """
-    kind = blocks.schema[document].dataType.simpleString()
-    narrow = blocks.select(document, "pos", "block_id", "type", F.coalesce("token_count", F.lit(0)).alias("token_count"), F.coalesce("is_atomic", F.lit(False)).alias("is_atomic"), F.coalesce(max_column, F.lit(LIMIT)).alias("_max"), F.coalesce(overlap_column, F.lit(0)).alias("_over"))
-    ordered = narrow.repartition(document).sortWithinPartitions(document, "pos", "block_id")
+    narrow = blocks.select(
+        document, F.coalesce(F.floor(F.col("pos") / SEGMENT), F.lit(-1)).alias("_seg"), "pos", "block_id", "type", F.coalesce("token_count", F.lit(0)).alias("token_count"),
+        F.coalesce("is_atomic", F.lit(False)).alias("is_atomic"), F.coalesce(max_column, F.lit(LIMIT)).alias("_max"), F.coalesce(overlap_column, F.lit(0)).alias("_over"),
+    ).where(F.col(document).isNotNull())
+    along = Window.partitionBy(document).orderBy("_seg")
+    segments = narrow.select(document, "_seg").distinct()
+    # One row per segment: the state that comes in, the chunks before, and whether it is the last.
+    begins = cut(segments.withColumns({"_first": F.lag("_seg").over(along).isNull(), "_last": F.lead("_seg").over(along).isNull(), "_state": F.lit(None).cast("string"), "_base": F.lit(0)}))
+    several = begins.where("not (_first and _last)")
+    if not several.isEmpty():
+        rows = cut(narrow.join(several.select(document, "_seg"), [document, "_seg"], "left_semi"))
+        known = cut(several.select(document, "_seg", "_last", "_state").join(_folded(rows, several, document, strict_overlap, False), [document, "_seg"]))
+        while True:
+            wanted = known.withColumn("_in", F.lag("_out").over(along))
+            todo = cut(wanted.where(~F.col("_in").eqNullSafe(F.col("_state"))).select(document, "_seg", "_last", F.col("_in").alias("_state")).withColumn("_base", F.lit(0)))
+            if todo.isEmpty():
+                break
+            again = _folded(rows.join(todo.select(document, "_seg"), [document, "_seg"], "left_semi"), todo, document, strict_overlap, False).join(todo.select(document, "_seg", "_last", "_state"), [document, "_seg"])
+            known = cut(known.join(todo.select(document, "_seg"), [document, "_seg"], "left_anti").unionByName(again.select(*known.columns)))
+        counted = known.select(document, "_seg", "_last", "_state", (F.sum("_n").over(along) - F.col("_n")).cast("int").alias("_base"))
+        begins = begins.where("_first and _last").select(document, "_seg", "_last", "_state", "_base").unionByName(counted)
+    return _folded(narrow, begins, document, strict_overlap, True)
+
+
+def _folded(rows: DataFrame, begins: DataFrame, document: str, strict_overlap: bool, members: bool) -> DataFrame:
+    """The fold of each segment from the state it begins with: its chunks' ``members``, or the state it hands on (``_out``) and its number of chunks (``_n``)."""
+    kind = rows.schema[document].dataType.simpleString()
+    # No nulls among the numbers: they would reach Python as floats, which do not hold every id.
+    none = {c: F.lit("" if c == "type" else None if c == "pos" else 0).cast(rows.schema[c].dataType) for c in ("pos", "block_id", "type", "token_count", "is_atomic", "_max", "_over")}
+    heads = begins.select(document, "_seg", F.lit(0).alias("_kind"), *[c.alias(n) for n, c in none.items()], "_state", "_base", "_last")
+    body = rows.withColumns({"_kind": F.lit(1), "_state": F.lit(None).cast("string"), "_base": F.lit(0), "_last": F.lit(False)}).select(*heads.columns)
+    ordered = heads.unionByName(body).repartition(document, "_seg").sortWithinPartitions(document, "_seg", "_kind", "pos", "block_id")
+    names = [document, "block_id", "chunk_index", "ord", "token_count", "role"] if members else [document, "_seg", "_out", "_n"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, chunk, pending, held = None, 0, [], 0
+        doc, seg, last, base, chunk, pending, held = None, None, True, 0, 0, [], 0
         out: list[tuple] = []
 
-        def emit(members: list[tuple], role: str | None = None) -> None:
+        def emit(held_members: list[tuple], role: str | None = None) -> None:
             nonlocal chunk
-            out.extend((doc, b, chunk, i, t, role or ("carried" if carried else "packed")) for i, (b, t, _, carried) in enumerate(members))
+            if members:
+                out.extend((doc, b, base + chunk, i, t, role or ("carried" if carried else "packed")) for i, (b, t, _, carried) in enumerate(held_members))
             chunk += 1
 
+        def close() -> None:
+            if seg is None:
+                return
+            if last and pending:
+                emit(pending)
+            if not members:
+                out.append((doc, seg, None if last else json.dumps(pending), chunk))
+
         for pdf in frames:
-            for d, b, k, t, atomic, most, over in zip(pdf[document], pdf["block_id"], pdf["type"], pdf["token_count"], pdf["is_atomic"], pdf["_max"], pdf["_over"]):
-                if d != doc:
-                    if pending:
-                        emit(pending)
-                    doc, chunk, pending, held = d, 0, [], 0
-                if t > most and (atomic or k == "paragraph"):
+            cells = [pdf[c].to_numpy() for c in (document, "_seg", "_kind", "block_id", "type", "token_count", "is_atomic", "_max", "_over", "_state", "_base", "_last")]
+            for d, g, k, b, what, t, atomic, most, over, state, before, ends in zip(*cells):
+                if k == 0:
+                    close()
+                    doc, seg, last, base, chunk = d, g, bool(ends), int(before), 0
+                    pending = [tuple(m) for m in json.loads(state)] if state else []
+                    held = sum(m[1] for m in pending)
+                    continue
+                b, t, atomic = int(b), int(t), bool(atomic)
+                if t > most and (atomic or what == "paragraph"):
                     emit([(b, t, atomic, False)], "oversized" if atomic else "split")
                     continue
                 if held + t > most:
@@ -77,13 +129,13 @@ def pack(blocks: DataFrame, document: str = "map_id", max_column: str = "max_tok
                     pending = carry
                 pending.append((b, t, atomic, False))
                 held += t
-            yield pd.DataFrame(out, columns=[document, "block_id", "chunk_index", "ord", "token_count", "role"])
+            yield pd.DataFrame(out, columns=names)
             out.clear()
-        if pending:
-            emit(pending)
-            yield pd.DataFrame(out, columns=[document, "block_id", "chunk_index", "ord", "token_count", "role"])
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
-    return ordered.mapInPandas(run, f"`{document}` {kind}, {PACKED}")
+    return ordered.mapInPandas(run, f"`{document}` {kind}, {PACKED}" if members else f"`{document}` {kind}, _seg long, _out string, _n int")
 
 
 def chunk_sizes(packed: DataFrame, document: str = "map_id") -> DataFrame:

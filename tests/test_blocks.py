@@ -120,3 +120,22 @@ def test_text_functions(spark):
     assert one(lambda c: X.section(c, "summary"), body) == "One two."
     assert one(lambda c: X.strip_section(c, "Summary"), body) == "# T\n\n## Next\nx"
     assert one(X.token_count, "a_b c-d 日本 é!") == 7 and one(X.token_count, None) == 0
+
+
+def test_packing_in_segments_agrees_with_the_whole(spark, monkeypatch):
+    rnd = random.Random(9)
+    data = []
+    for doc in range(4):
+        most, over = rnd.choice([(10, 0), (10, 3), (25, 12), (8, 8)])
+        kinds = [rnd.choice(("paragraph", "heading", "code")) for _ in range(60 if doc else 7)]
+        data += [(doc, i if i != 3 else None, (1 << 62) + 100 * doc + i, k, rnd.choice((None, 0, 1, 2, 3, 5, 9, 14)), k == "code", most, over) for i, k in enumerate(kinds)]
+    data += [(None, 0, 999, "paragraph", 3, False, 10, 0), (9, 0, 900, "paragraph", 3, False, None, None)]
+    frame = spark.createDataFrame(data, "map_id long, pos int, block_id long, type string, token_count int, is_atomic boolean, max_tokens int, overlap_tokens int")
+    for strict in (False, True):
+        monkeypatch.setattr(C, "SEGMENT", 4096)
+        whole = rows(C.pack(frame, strict_overlap=strict))
+        assert {r[1] for r in whole} == {d[2] for d in data if d[0] is not None}
+        for size in (5, 16):
+            monkeypatch.setattr(C, "SEGMENT", size)
+            assert rows(C.pack(frame, strict_overlap=strict)) == whole, (strict, size)
+    assert C.pack(frame.limit(0)).count() == 0
