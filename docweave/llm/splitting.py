@@ -16,7 +16,7 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +75,9 @@ def split_text(text: str, max_tokens: int, overlap_tokens: int, pattern=None) ->
     """Pieces of at most ``max_tokens`` tokens; their own parts joined give the text.
 
     Each piece but the first starts with the last ``overlap_tokens`` tokens
-    before its own part (fewer only if there are fewer, or if the limit leaves
-    no room: at least one token of a piece is its own).
+    before its own part (fewer if there are fewer).  An overlap that the limit
+    can not hold, as it is no smaller, is taken as half the limit.  A limit
+    below 1 can not be kept either: then every token is a piece.
     """
     import regex
 
@@ -86,7 +87,9 @@ def split_text(text: str, max_tokens: int, overlap_tokens: int, pattern=None) ->
     limit = max(1, max_tokens)
     if n <= limit:
         return [Piece(0, 0, len(text), n, 0)]
-    overlap = min(max(0, overlap_tokens), limit - 1)
+    overlap = max(0, overlap_tokens)
+    if overlap >= limit:
+        overlap = limit // 2
     room = limit - overlap
 
     strength = [0] + [_strength(text, spans[i - 1][1], spans[i][0]) for i in range(1, n)]
@@ -167,20 +170,24 @@ def split_oversized(
 
 
 def _cut(sized: DataFrame, key: str, kind: str) -> DataFrame:
+    names = [key, "piece_no", "n_pieces", "start", "own", "n_tokens", "n_overlap", "piece"]
     schema = f"`{key}` {kind}, piece_no int, n_pieces int, start int, own int, n_tokens int, n_overlap int, piece string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         pattern = regex.compile(WORD_PUNCT)
-        for pdf in frames:
-            rows = []
-            for k, text, most, overlap in zip(pdf[key], pdf["_text"], pdf["_max"], pdf["_overlap"]):
-                pieces = split_text(text, int(most), 0 if pd.isna(overlap) else int(overlap), pattern)
-                rows += [(k, i, len(pieces), p.start, p.own, p.tokens, p.overlap, text[p.start : p.end]) for i, p in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=[key, "piece_no", "n_pieces", "start", "own", "n_tokens", "n_overlap", "piece"])
-
-    return sized.select(key, "_text", "_max", "_overlap").mapInPandas(run, schema)
+        for batch in batches:
+            row, numbers, shown = [], [], []
+            for at, (text, most, overlap) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
+                pieces = split_text(text, most, overlap or 0, pattern)
+                row += [at] * len(pieces)
+                numbers += [(i, len(pieces), p.start, p.own, p.tokens, p.overlap) for i, p in enumerate(pieces)]
+                shown += [text[p.start : p.end] for p in pieces]
+            columns = list(zip(*numbers)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, pa.int32()) for c in columns], pa.array(shown, pa.string())], names=names)
+
+    return sized.select(key, "_text", "_max", "_overlap").mapInArrow(run, schema)
 
 
 def oversized_items(items: DataFrame, limits: DataFrame, key: str = "block_id", **columns: str) -> DataFrame:

@@ -17,7 +17,8 @@ def check(text, most, overlap):
         assert n == p.tokens <= max(1, most)
         assert p.tokens - p.overlap >= 1 or len(pieces) == 1
         before = sum(a < p.own for a, _ in spans)
-        assert p.overlap == (0 if i == 0 else min(max(0, overlap), max(1, most) - 1, before))
+        limit = max(1, most)
+        assert p.overlap == (0 if i == 0 else min(max(0, overlap) if overlap < limit else limit // 2, before))
         assert len(TOKEN.findall(text[p.start : p.own])) == p.overlap
     assert (len(pieces) > 1) == (len(spans) > max(1, most))
     return pieces
@@ -37,6 +38,8 @@ def test_natural_boundaries():
     check("x" * 50000, 5, 2)
     check("a-" * 20000, 64, 16)
     check("", 5, 1)
+    assert len(check("word " * 5000, 100, 100)) < 110  # an overlap that can not be kept
+    assert len(check("word " * 50, 0, 3)) == 50
 
 
 def test_table(spark):
