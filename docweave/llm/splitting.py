@@ -102,10 +102,11 @@ def split_text(text: str, max_tokens: int, overlap_tokens: int, pattern=None) ->
     after = list(range(1, count)) + [-1]
     version = [0] * count
     dead = [False] * count
-    heap = [(strength[starts[i + 1]], ends[i + 1] - starts[i], i, 0, 0) for i in range(count - 1)]
+    # Of equal boundaries the first merges first, so that pieces fill up from the left.
+    heap = [(strength[starts[i + 1]], i, ends[i + 1] - starts[i], 0, 0) for i in range(count - 1)]
     heapq.heapify(heap)
     while heap:
-        _, size, i, vi, vj = heapq.heappop(heap)
+        _, i, size, vi, vj = heapq.heappop(heap)
         j = after[i]
         if dead[i] or j < 0 or version[i] != vi or version[j] != vj:
             continue
@@ -120,7 +121,7 @@ def split_text(text: str, max_tokens: int, overlap_tokens: int, pattern=None) ->
             before[after[j]] = i
         for a, b in ((before[i], i), (i, after[i])):
             if a >= 0 and b >= 0:
-                heapq.heappush(heap, (strength[starts[b]], ends[b] - starts[a], a, version[a], version[b]))
+                heapq.heappush(heap, (strength[starts[b]], a, ends[b] - starts[a], version[a], version[b]))
     pieces, i = [], 0
     while i >= 0:
         lo, hi = starts[i], ends[i]
