@@ -35,27 +35,42 @@ def normalize_for_id(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(plain, SPACE + "+", " "))
 
 
+# Lower-case letters of other alphabets in Latin spelling.
+SPELLED = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "ı": "i",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
+    "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o",
+    "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+
+
 def _ascii_table() -> tuple[str, str]:
-    """Letters and signs that decompose canonically to one ASCII letter and accents, by rule."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0x212A, 0x212B):
+    """Letters and signs that decompose canonically to one letter that is ASCII or spelled by one letter, and accents, by rule."""
+    pairs = [(letter, latin) for letter, latin in SPELLED.items() if len(latin) == 1]
+    for code in (*range(0xC0, 0x250), *range(0x386, 0x3CF), *range(0x1E00, 0x1F00), 0x212A, 0x212B):
         base, *marks = unicodedata.normalize("NFD", chr(code))
-        if base.isascii() and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+        base = SPELLED.get(base, base)
+        if marks and len(base) == 1 and base.isascii() and base.isalpha() and all(unicodedata.combining(m) for m in marks) or code in (0x212A, 0x212B):
             pairs.append((chr(code), base))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_ACCENTED, _PLAIN = _ascii_table()
+_FOREIGN, _PLAIN = _ascii_table()
 
 
 def ascii_fold(c: Column | str) -> Column:
-    """Accented Latin letters as ASCII; all other non-ASCII characters vanish."""
-    return F.regexp_replace(F.translate(_col(c), _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    """Accented Latin letters, and lower-case Cyrillic and Greek ones, as ASCII; all other non-ASCII characters vanish."""
+    text = _col(c)
+    for letter, latin in SPELLED.items():
+        if len(latin) > 1:
+            text = F.replace(text, F.lit(letter), F.lit(latin))
+    return F.regexp_replace(F.translate(text, _FOREIGN, _PLAIN), r"[^\x00-\x7F]", "")
 
 
 def slug(c: Column | str) -> Column:
     """Lower-case ASCII words joined by hyphens; empty if there are none."""
-    return F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(F.lower(_col(c)))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def camel(c: Column | str) -> Column:

@@ -153,7 +153,10 @@ def ask(
 
     Only keys and inputs reach Python.  Null texts are asked as empty texts;
     an answer that is not a text becomes JSON.  One client per worker.
+    ``min_delay`` holds between any two calls of the whole run: as many tasks
+    run at once, each waits so much longer.
     """
+    min_delay *= frame.sparkSession.sparkContext.defaultParallelism
     schema = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys) + f", `{out}` {out_type}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

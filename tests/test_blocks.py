@@ -90,6 +90,8 @@ def test_ids(spark):
     got = [r[0] for r in frame.select(ids.element_id(F.col("type"), F.col("text"))).collect()]
     assert got[0] == got[1] and got[0].startswith("paragraph_ein-gro")
     assert got[2].startswith("paragraph_item_")
+    words = spark.createDataFrame([("Straße",), ("Привет, мир",), ("Щука ёлка",), ("Łódź Øre",), ("Ωμέγα",), ("ΐ é Å",)], "t string")
+    assert [r[0] for r in words.select(X.slug("t")).collect()] == ["strasse", "privet-mir", "shchuka-iolka", "lodz-ore", "omega", "i-e-a"]
     assert got[3] == got[4] and got[3].startswith("paragraph_paragrap_")
 
 
