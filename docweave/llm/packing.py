@@ -301,7 +301,7 @@ def plan_report(items: DataFrame, size_column: str, capacity: int = CAPACITY) ->
     alone = Plan(capacity)
     _fill(alone, dict(sorted(sizes.items())))
     ways = [("greedy", alone), *[(f"{units} units, window {window}", _plan(sizes, capacity, units, window)) for units, window in GRAINS]]
-    return [(name, p.containers, least, p.planned, round(p.planned_items / pieces, 6) if pieces else 0.0) for name, p in ways]
+    return [(name, int(p.containers), int(least), int(p.planned), round(float(p.planned_items / pieces), 6) if pieces else 0.0) for name, p in ways]
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, key: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -90,4 +90,5 @@ def test_plan_report(spark):
     frame = spark.createDataFrame([(i, s) for i, s in enumerate([51, 26, 23] * 20 + [0, None])], "doc_id long, n_tokens long")
     ways = {w[0]: w[1:] for w in P.plan_report(frame, "n_tokens", 100)}
     assert all(n >= least == 20 for n, least, _, _ in ways.values()) and ways["greedy"][2] == 0 and max(share for _, _, _, share in ways.values()) == 1.0
+    assert {type(v) for w in ways.values() for v in w} == {int, float}
     assert {w[1] for w in P.plan_report(frame.limit(0), "n_tokens", 100)} == {0}
