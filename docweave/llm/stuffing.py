@@ -209,7 +209,7 @@ def _japanese(word: str) -> bytes:
     return bytes(out)
 
 
-@dataclass
+@dataclass(slots=True)
 class Stretch:
     kind: str  # text, table or code
     source: str
@@ -244,6 +244,7 @@ class Reader:
         if "<" in text:
             text = _without_markup(text)
         hosts = "://" in text or _DOTTED.search(text) is not None
+        cues = "-->" in text
         class_of = self.class_of
         out: list[Stretch] = []
         lines: list[str] = []
@@ -264,7 +265,7 @@ class Reader:
                 close()
                 fence = not fence
                 continue
-            if not line or line.isdigit() or line == "WEBVTT" or ("-->" in line and _CUE_TIME.match(line)):
+            if not line or (cues and (line.isdigit() or line == "WEBVTT" or _CUE_TIME.match(line))):
                 if size >= STRETCH:
                     close()
                 continue
@@ -279,14 +280,14 @@ class Reader:
             if hosts or "](" in line:
                 shown = _marked(shown)
             code = b"".join(map(class_of, shown.split()))
-            long = len(code) >= STRETCH
-            if long:
-                close()
+            if len(code) >= STRETCH:
+                if lines:
+                    close()
+                out.append(Stretch(kind, line, code))
+                continue
             lines.append(line)
             codes.append(code)
             size += len(code)
-            if long:
-                close()
         close()
         votes = _VOTES @ np.bincount(np.frombuffer(b"".join([s.code for s in out]), dtype=np.uint8), minlength=256)
         for s in out:
