@@ -145,12 +145,6 @@ def sanitize_markdown(c: Column | str) -> Column:
     return F.when(t.startswith("```"), F.concat(F.lit("\n"), t)).otherwise(t)
 
 
-def unwrap_fence(c: Column | str) -> Column:
-    """The inside of a text that is one Markdown fence; else the text."""
-    inside = F.regexp_extract(_col(c), r"(?s)^[ \t\n]*```(?:md|markdown)?[ \t]*\n(.*?)\n?```[ \t\n]*$", 1)
-    return F.when((inside != "") & ~F.contains(inside, F.lit("```")), inside).otherwise(_col(c))
-
-
 def first_filled(*columns: Column | str) -> Column:
     """The first text that is not blank; null if all are."""
     return F.coalesce(*[F.when(strip(c) != "", _col(c)) for c in columns])

@@ -20,6 +20,8 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from docweave.sources.json_trees import parse_picks
+
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]{4,}")
 
@@ -167,6 +169,8 @@ def ask(
             answers = []
             for row in zip(*columns):
                 value = call(asked, *map(_given, row), attempts=attempts, limiter=limiter)
+                if out_type == "array<string>" and isinstance(value, str):  # a client that answers with the text of a list
+                    value = parse_picks(value, None)
                 answers.append(value if out_type != "string" or isinstance(value, str) else json.dumps(value, ensure_ascii=False))
             yield pdf[keys].assign(**{out: answers})
 

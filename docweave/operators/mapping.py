@@ -86,12 +86,15 @@ def decisions(refs: DataFrame, document: str = "map_id") -> DataFrame:
     return keep_first(kept, [document, "element_id"], ["created_at", "ref_id"])
 
 
-def insert_refs(refs: DataFrame, blocks: DataFrame, nodes: DataFrame, document: str = "map_id") -> DataFrame:
+def insert_refs(refs: DataFrame, blocks: DataFrame, nodes: DataFrame, document: str = "map_id", questions: DataFrame | None = None) -> DataFrame:
     """Content references as they enter the tree.
 
     Each decision meets the last block of its id (by place) and its node;
     without a block the reference keeps its type and has no Markdown; without
-    a node it is dropped.  Adds ``markdown``, ``hash``, ``ord``.
+    a node it is dropped.  Adds ``markdown``, ``hash``, ``ord``.  An id that
+    belongs to one of the ``questions`` (document, element_id, q, a; the last
+    of an id by q and a) is a question, whatever block has it too, and its
+    Markdown is the question as a heading above the answer.
     """
     rest = ["type", "text", "language", "src", "alt", "markdown"]
     last = blocks.where(F.coalesce("element_id", F.lit("")) != "").groupBy(document, "element_id").agg(F.max_by(F.struct(*rest), F.struct("pos", "block_id")).alias("_b"))
@@ -102,6 +105,12 @@ def insert_refs(refs: DataFrame, blocks: DataFrame, nodes: DataFrame, document:
     shown = joined.withColumn("_md", F.coalesce(ref_markdown(), F.lit(""))).select(
         document, F.col("target_node_id").alias("node_id"), F.col("ref_id").alias("ord"), "element_id", kind.alias("type"), F.col("ref_caption").alias("element_caption"), F.col("_md").alias("markdown"), F.lit(None).cast("string").alias("q"), F.lit(None).cast("string").alias("a")
     )
+    if questions is not None:
+        asked = questions.where(F.coalesce("element_id", F.lit("")) != "").groupBy(document, "element_id").agg(F.max(F.struct(F.coalesce("q", F.lit("")).alias("q"), F.coalesce("a", F.lit("")).alias("a"))).alias("_q"))
+        both = shown.drop("q", "a").join(asked, [document, "element_id"], "left").withColumns({"q": F.col("_q.q"), "a": F.col("_q.a")})
+        is_question = F.col("_q").isNotNull()
+        as_text = F.concat(F.lit("## "), F.col("q"), F.lit("\n"), F.col("a"))
+        shown = both.withColumns({"type": F.when(is_question, "qa").otherwise(F.col("type")), "markdown": F.when(is_question, as_text).otherwise(F.col("markdown"))}).select(*shown.columns)
     return shown.withColumn("hash", content_hash(F.col("markdown")))
 
 
@@ -127,3 +136,10 @@ def attach_answers(answers: DataFrame, blocks: DataFrame, document: str = "map_i
     known = blocks.where(F.coalesce("element_id", F.lit("")) != "").groupBy(document, "element_id").agg(F.min_by(F.struct("pos", "heading_path"), F.struct("pos", "block_id")).alias("_b"))
     once = keep_first(answers.where(F.col("element_id").isNotNull()).select("answer_id", document, "element_id", "question", "answer"), ["answer_id"], ["element_id", "question", "answer"])
     return once.join(known, [document, "element_id"]).select("answer_id", document, "element_id", "question", "answer", F.col("_b.pos").alias("pos"), F.col("_b.heading_path").alias("heading_path"))
+
+
+def pairs_by_block(pairs: DataFrame, document: str = "map_id") -> DataFrame:
+    """The pairs of each block: their number, and question and answer of each in order as one text (``pairs``), as large as the block's pairs."""
+    said = F.concat(F.lit("## "), F.coalesce("question", F.lit("")), F.lit("\n"), F.coalesce("answer", F.lit("")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("answer_id", said.alias("s")))), lambda x: x["s"])
+    return pairs.groupBy(document, "element_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.array_join(listed, "\n\n").alias("pairs"))

@@ -64,6 +64,7 @@ class Options:
     max_tokens: int = 2000
     overlap_tokens: int = 0
     strict_overlap: bool = False
+    tokenizer: str = "word_punct"
     steps: tuple[str, ...] | None = None
     preset: str | None = None
     debug: bool = False
@@ -128,7 +129,7 @@ def write_recipes(folder: str) -> list[str]:
 # Sections of a configuration file, and the options their entries set.
 _SECTIONS = {
     "io": ("input", "markmap_input", "output_dir", "debug_dir", "run_name", "manifest", "include_html"),
-    "chunk": ("max_tokens", "overlap_tokens", "strict_overlap"),
+    "chunk": ("max_tokens", "overlap_tokens", "strict_overlap", "tokenizer"),
     "runtime": ("debug", "use_debug_io", "min_delay_sec", "max_retries", "map_batch_override"),
     "pipeline": ("steps", "preset"),
 }

@@ -14,7 +14,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions import ids
+from docweave.functions import ids, tokens
 from docweave.functions import text as X
 from docweave.models.backend import ExtractiveBackend, ModelBackend, ask
 from docweave.models.prompts import BUILT_IN, prompt
@@ -34,12 +34,12 @@ from docweave.sources import files, markdown
 DOC = "doc_id"
 
 
-def parsed_blocks(documents: DataFrame) -> DataFrame:
+def parsed_blocks(documents: DataFrame, tokenizer: str = tokens.WORD_PUNCT_NAME) -> DataFrame:
     """Blocks of the documents with paths, ids, Markdown and sizes; ``block_id`` is unique and follows the order."""
     raw = markdown.markdown_blocks(documents, DOC)
     pathed = B.heading_paths(raw, DOC, "pos").withColumnRenamed("path", "heading_path")
     md = B.block_markdown(F.col("type"), F.col("level"), F.col("text"), F.col("language"), F.col("src"), F.col("alt"))
-    sized = pathed.withColumn("markdown", md).withColumn("token_count", X.token_count("markdown")).withColumn("is_atomic", F.col("type").isin("code", "table", "image"))
+    sized = pathed.withColumn("markdown", md).withColumn("token_count", tokens.count("markdown", tokenizer)).withColumn("is_atomic", F.col("type").isin("code", "table", "image"))
     content = ids.block_content(F.col("type"), F.col("text"), F.col("markdown"), F.col("src"), F.col("alt"), F.col("heading_path"))
     named = sized.withColumn("element_id", ids.element_id(F.col("type"), content)).withColumn("element_caption", F.when(F.col("type") == "image", F.col("alt")))
     return named.withColumn("block_id", F.xxhash64(DOC, "pos"))
@@ -97,7 +97,7 @@ def run(
         return out
 
     if "chunk" in steps:
-        step("blocks", lambda: parsed_blocks(documents))
+        step("blocks", lambda: parsed_blocks(documents, options.tokenizer))
         limited = out["blocks"].withColumn("max_tokens", F.lit(options.max_tokens)).withColumn("overlap_tokens", F.lit(options.overlap_tokens))
         step("packed", lambda: C.pack(limited, DOC, strict_overlap=options.strict_overlap))
         step("chunks", lambda: C.chunk_texts(out["packed"], out["blocks"], DOC))

@@ -51,7 +51,7 @@ def chunk_export(spark: SparkSession, root: str) -> DataFrame:
     """All chunks of a map as the parts of one document."""
     live = B.live_blocks(table(spark, root, "blocks"), ["markdown"])
     parts = E.join_parts(C.chunk_texts(_packed(spark, root), live), "map_id", "chunk_index", "md_text")
-    return parts.select("map_id", "chunk_index", F.length("part").alias("n_chars"))
+    return parts.select("map_id", "chunk_index", F.length("part").alias("n_chars"), F.md5("part").alias("md5"))
 
 
 def _notes(spark: SparkSession, root: str) -> DataFrame:
@@ -194,7 +194,8 @@ ORACLE = {
     "chunk_top_paths": f"""{_PACK}, pp AS (SELECT pk.map_id, chunk_index, array_to_string(heading_path, ' › ') AS path, sum(CASE WHEN pk.token_count = 0 THEN 1 ELSE pk.token_count END) AS wt, min(ord) AS o FROM pk JOIN live USING (block_id) WHERE len(heading_path) > 0 GROUP BY ALL),
         rr AS (SELECT *, row_number() OVER (PARTITION BY map_id, chunk_index ORDER BY wt DESC, o, path) AS r FROM pp) SELECT map_id, chunk_index, string_agg(path, ' ; ' ORDER BY r) AS paths FROM rr WHERE r <= 3 GROUP BY ALL""",
     "chunk_export": f"""{_PACK}, tx AS (SELECT pk.map_id, chunk_index, string_agg(markdown, chr(10) || chr(10) ORDER BY ord) AS md FROM pk JOIN live USING (block_id) WHERE coalesce(markdown, '') <> '' GROUP BY ALL)
-        SELECT map_id, chunk_index, (length(regexp_replace(md, '[ \\t\\n\\x0B\\f\\r]+$', '')) + CASE WHEN chunk_index = max(chunk_index) OVER (PARTITION BY map_id) THEN 1 ELSE 2 END)::INTEGER AS n_chars FROM tx""",
+        SELECT map_id, chunk_index, (length(regexp_replace(md, '[ \\t\\n\\x0B\\f\\r]+$', '')) + CASE WHEN chunk_index = max(chunk_index) OVER (PARTITION BY map_id) THEN 1 ELSE 2 END)::INTEGER AS n_chars,
+            md5(regexp_replace(md, '[ \\t\\n\\x0B\\f\\r]+$', '') || CASE WHEN chunk_index = max(chunk_index) OVER (PARTITION BY map_id) THEN chr(10) ELSE chr(10) || chr(10) END) AS md5 FROM tx""",
     "subtitle_clean": f"SELECT doc_id, {_CLEAN} AS body FROM documents WHERE text LIKE '%-->%'",
     "subtitle_transcript": f"""WITH f AS (SELECT path, {_NATURAL} AS sort_key, {_CLEAN} AS body, string_split(regexp_replace(path, '/?[^/]*$', ''), '/')[-1] AS dir, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem
             FROM documents WHERE regexp_matches(lower(path), '\\.(srt|vtt)$') AND text IS NOT NULL),

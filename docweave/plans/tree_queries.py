@@ -117,7 +117,7 @@ def qa_attached(spark: SparkSession, root: str) -> DataFrame:
 
 def qa_per_block(spark: SparkSession, root: str) -> DataFrame:
     pairs = M.attach_answers(table(spark, root, "answers"), _blocks(spark, root))
-    return pairs.groupBy("map_id", "element_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return M.pairs_by_block(pairs).select("map_id", "element_id", "n_pairs", F.md5("pairs").alias("pairs_md5"))
 
 
 def export_qa(spark: SparkSession, root: str) -> DataFrame:
@@ -226,7 +226,7 @@ ORACLE = {
         FROM a LEFT JOIN m ON m.map_id = a.map_id AND m.element_id = a.element_id GROUP BY a.map_id""",
     "qa_unmapped": "SELECT DISTINCT map_id, answer_id, element_id FROM answers a WHERE map_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM content_refs c WHERE c.map_id = a.map_id AND c.element_id = a.element_id AND c.element_id <> '')",
     "qa_attached": f"WITH {_ATTACHED} SELECT answer_id, map_id, element_id, pos FROM att",
-    "qa_per_block": f"WITH {_ATTACHED} SELECT map_id, element_id, count(*) AS n_pairs FROM att GROUP BY ALL",
+    "qa_per_block": f"WITH {_ATTACHED} SELECT map_id, element_id, count(*) AS n_pairs, md5(string_agg('## ' || question || chr(10) || coalesce(answer, ''), chr(10) || chr(10) ORDER BY answer_id)) AS pairs_md5 FROM att GROUP BY ALL",
     "export_qa": f"""WITH {_ATTACHED}, p AS (SELECT map_id, pos, answer_id, unnest(list_transform(range(1, len(heading_path) + 1), lambda i: heading_path[1:i])) AS pre FROM att),
         f AS (SELECT map_id, pre, min({{'pos': pos, 'id': answer_id}}) AS m FROM p GROUP BY ALL)
         SELECT map_id, m.pos AS pos, m.id AS answer_id, len(pre)::INTEGER AS sub, repeat('#', len(pre)) || ' ' || pre[len(pre)] AS line FROM f

@@ -103,7 +103,7 @@ def parse_tree(text: str | None) -> list[tuple[int, int | None, int, int, str]]:
     return out
 
 
-def parse_picks(text: str | None, most: int = 5) -> list[str]:
+def parse_picks(text: str | None, most: int | None = 5) -> list[str]:
     """The first ids of a JSON list; none if the text is no list."""
     picks = _parsed(text)
     return [p for p in picks if isinstance(p, str)][:most] if isinstance(picks, list) else []

@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docweave.functions import ids
 from docweave.functions import text as X
+from docweave.functions import tokens
 from docweave.operators import blocks as B
 from docweave.operators import chunks as C
 from tests.conftest import rows
@@ -117,7 +119,6 @@ def test_text_functions(spark):
     assert one(X.camel, "the ÄBC of x_1") == "TheBcOfX1" and one(X.camel, "日本") == "Untitled" and one(X.camel, None) == "Untitled"
     assert sorted(one(X.wikilinks, "[[A/B.md|x]] `[[no]]` ```\n[[no]]\n``` [[c]] [[c]]")) == ["B", "c"]
     assert one(X.sanitize_markdown, "```a\r\n```") == "\n```a\n```"
-    assert one(X.unwrap_fence, "```md\n# x\n```") == "# x" and one(X.unwrap_fence, "a ```b```") == "a ```b```"
     body = "# T\n\n## Summary\nOne\ntwo.\n\n## Next\nx"
     assert one(lambda c: X.section(c, "summary"), body) == "One two."
     assert one(lambda c: X.strip_section(c, "Summary"), body) == "# T\n\n## Next\nx"
@@ -141,3 +142,18 @@ def test_packing_in_segments_agrees_with_the_whole(spark, monkeypatch):
             monkeypatch.setattr(C, "SEGMENT", size)
             assert rows(C.pack(frame, strict_overlap=strict)) == whole, (strict, size)
     assert C.pack(frame.limit(0)).count() == 0
+
+
+def test_tokenizers_of_models(spark, tmp_path, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    words = tokenizers.models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?")
+    made = tokenizers.Tokenizer(words)
+    made.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    made.save(str(tmp_path / "mine.json"))
+    frame = spark.createDataFrame([("a b c d",), (None,), ("",), ("a_b c",)], "t string")
+    for name in (str(tmp_path / "mine.json"), "mine"):
+        monkeypatch.setenv(tokens.FOLDER, str(tmp_path))
+        assert [r[0] for r in frame.select(tokens.count("t", name)).collect()] == [4, 0, 0, 2]
+    assert [r[0] for r in frame.select(tokens.count("t")).collect()] == [4, 0, 0, 2]
+    with pytest.raises(FileNotFoundError):
+        tokens.count("t", "nowhere")

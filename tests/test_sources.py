@@ -114,6 +114,11 @@ def test_call_and_limiter():
 def test_ask(spark):
     frame = spark.createDataFrame([(1, "Alpha beta. Gamma!"), (2, None)], "k int, md string")
     assert {r["k"]: r["b"] for r in ask(frame, ["k"], ["md"], "bullets", "b").collect()} == {1: "- Alpha beta.\n- Gamma!", 2: ""}
+    class Client(ExtractiveBackend):
+        def tags(self, markdown):
+            return '["x", 1, "y"]' if markdown else "no list"
+
+    assert {r["k"]: r["t"] for r in ask(frame, ["k"], ["md"], "tags", "t", "array<string>", Client).collect()} == {1: ["x", "y"], 2: []}
     assert len(ExtractiveBackend().pick_prereqs("a", list("abcdefgh"))) == 5
     assert ExtractiveBackend().clean("x\n\nx\n\ny") == "x\n\ny"
 

@@ -256,6 +256,8 @@ def test_refs_and_coverage(spark):
     nodes = spark.createDataFrame([(1, "n"), (1, "m")], "map_id long, node_id string")
     # The first decision of an id holds, the last block of an id is shown, unknown nodes are dropped, unknown blocks keep their type.
     assert rows(M.insert_refs(refs, blocks, nodes), "ord", "node_id", "type", "markdown") == [(1, "n", "paragraph", "new"), (3, "n", "code", ""), (6, "n", "image", "![alt](s.png)")]
+    questions = spark.createDataFrame([(1, "p", "Why?", "So."), (1, "p", "Why?", None), (1, "", "x", "y")], "map_id long, element_id string, q string, a string")
+    assert rows(M.insert_refs(refs, blocks, nodes, questions=questions).where("type = 'qa'"), "ord", "q", "markdown") == [(1, "Why?", "## Why?\nSo.")]
     asked = spark.createDataFrame([(1, 1, "p"), (1, 1, "p"), (2, 1, "q"), (3, 1, "none"), (4, None, "p"), (5, 2, None)], "answer_id long, map_id long, element_id string")
     assert rows(M.coverage(asked, refs, nodes)) == [(1, 3, 2, 1, 1, 66.6667), (2, 1, 0, 1, 0, 0.0)]
     assert M.coverage(asked.limit(0), refs, nodes).count() == 0
