@@ -161,7 +161,7 @@ WALK = f"""{_LN}, w AS (
     SELECT map_id, node_id, parent_id, sibling_idx, title, 0 AS level, [coalesce(title, '')] AS path, {_KEY.format(a="ln")} AS place FROM ln WHERE parent_id IS NULL
     UNION ALL
     SELECT n.map_id, n.node_id, n.parent_id, n.sibling_idx, n.title, w.level + 1, list_append(w.path, coalesce(n.title, '')), w.place || chr(1) || {_KEY.format(a="n")}
-    FROM ln n JOIN w ON n.map_id = w.map_id AND n.parent_id = w.node_id WHERE w.level < 100)"""
+    FROM ln n JOIN w ON n.map_id = w.map_id AND n.parent_id = w.node_id)"""
 _W = f"WITH RECURSIVE {WALK}"
 _NEAR = """, sb AS (SELECT a.map_id, a.node_id, b.node_id AS other, 1 AS k, b.place FROM w a JOIN w b ON a.map_id = b.map_id AND a.parent_id = b.parent_id),
     cs AS (SELECT a.map_id, a.node_id, c.node_id AS other, 3 AS k, c.place FROM w a JOIN w p ON p.map_id = a.map_id AND p.node_id = a.parent_id
@@ -190,7 +190,19 @@ _ATTACHED = f"""{LIVE}, fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTI
     an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY element_id, question, answer NULLS FIRST) rn FROM answers WHERE element_id IS NOT NULL) WHERE rn = 1),
     att AS (SELECT an.answer_id, an.map_id, an.element_id, an.question, an.answer, fb.pos, coalesce(fb.heading_path, []) AS heading_path FROM an JOIN fb ON fb.map_id = an.map_id AND fb.element_id = an.element_id)"""
 
+# Lines of the nested JSON: a node's opening, its contents, the opening of its children; after the last node of a root all is closed.
+_JSON = f"""{_W}, {_REFS}, pv AS (SELECT *, lag(map_id) OVER (ORDER BY map_id, place) AS pm, lag(level) OVER (ORDER BY map_id, place) AS pl FROM w),
+    c AS (SELECT rf.map_id, w.place, rf.ord, rf.ord = min(rf.ord) OVER (PARTITION BY rf.map_id, rf.node_id) AS fst, '{{"element_id":' || to_json(coalesce(element_id, '')) || ',"type":' || to_json(coalesce(type, '')) || ',"element_caption":' || to_json(coalesce(element_caption, ''))
+        || ',"markdown":' || to_json(markdown) || ',"hash":' || to_json('sha256:' || sha256(markdown)) || '}}' AS j FROM rf JOIN w ON w.map_id = rf.map_id AND w.node_id = rf.node_id),
+    rt AS (SELECT map_id, max(place) AS place, arg_max(level, place) AS level FROM w GROUP BY map_id, string_split(place, chr(1))[1])
+    SELECT map_id, place, 0 AS part, 0::BIGINT AS ord, CASE WHEN pm = map_id AND level > 0 AND pl >= level THEN repeat(']}}', pl - level + 1) || ',' ELSE '' END
+        || '{{"title":' || to_json(coalesce(title, 'Untitled')) || ',"node_id":' || to_json(node_id) || ',"content_refs":[' AS line FROM pv
+    UNION ALL SELECT map_id, place, 1, ord, CASE WHEN fst THEN '' ELSE ',' END || j FROM c
+    UNION ALL SELECT map_id, place, 2, 0, '],"children":[' FROM w
+    UNION ALL SELECT map_id, place, 3, 0, repeat(']}}', level + 1) FROM rt"""
+
 ORACLE = {
+    "export_json": _JSON,
     "tree_walk": f"{_W} SELECT map_id, node_id, level, place, array_to_string(path, ' / ') AS path FROM w",
     "tree_ids": f"""{_W}, p AS (SELECT *, array_to_string(list_transform(path, lambda x: CASE WHEN x = '' THEN 'untitled' ELSE x END), ' / ') AS t FROM w)
         SELECT map_id, node_id, coalesce(nullif({SLUG.format(c="t")}, ''), 'untitled') || '_' || left(md5(t || '|depth=' || level || '|sib=' || CASE WHEN level = 0 THEN 0 ELSE coalesce(sibling_idx, 0) END), 8) AS new_id FROM p""",
