@@ -32,6 +32,20 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return pieces.where("n_pieces > 1").withColumn("piece_hash", F.xxhash64("piece")).drop("piece").distinct()
 
 
+def p2_joined(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of each oversized block put together again: text, tokens, and whether every piece keeps the limit and the overlap."""
+    blocks, limits = table(spark, root, "blocks"), table(spark, root, "chunk_configs")
+    pieces = splitting.split_oversized(blocks, limits).where("n_pieces > 1").distinct()
+    settings = blocks.select("block_id", "config_name").distinct().join(limits, "config_name")
+    kept = (F.col("n_tokens") <= F.col("max_tokens")) & (F.col("n_overlap") == F.when(F.col("piece_no") == 0, 0).otherwise(F.least("overlap_tokens", F.col("n_tokens"))))
+    own = F.substr("piece", F.col("own") - F.col("start") + 1)
+    joined = pieces.join(settings, "block_id").withColumns({"_kept": kept, "_own": own})
+    texts = F.array_sort(F.collect_list(F.struct("piece_no", "_own")))
+    return joined.groupBy("block_id").agg(
+        F.md5(F.array_join(F.transform(texts, lambda x: x["_own"]), "")).alias("md5"), F.sum(F.col("n_tokens") - F.col("n_overlap")).cast("long").alias("n_tokens"), F.min("_kept").alias("kept")
+    )
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, root, "blocks"))
 
@@ -85,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_joined": p2_joined,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p4_consistent": p4_consistent,
@@ -127,6 +142,9 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT a.block_id AS block_id_a, b.block_id AS block_id_b, a.field FROM c a JOIN c b ON a.field = b.field AND a.look = b.look AND a.block_id < b.block_id AND a.x <> b.x""",
     "p4_classes": f"""{_MIXED}
         SELECT block_id, field, count(*) OVER (PARTITION BY field, look) - count(*) OVER (PARTITION BY field, look, x) AS links FROM c""",
+    "p2_joined": f"""
+        SELECT DISTINCT b.block_id, md5(b.markdown) AS md5, {_TOKENS}::BIGINT AS n_tokens, true AS kept FROM blocks b JOIN chunk_configs c ON b.config_name = c.config_name
+        WHERE {_TOKENS} > c.max_tokens""",
     "p2_found": f"""
         SELECT DISTINCT b.block_id FROM blocks b JOIN chunk_configs c ON b.config_name = c.config_name
         WHERE {_TOKENS} > c.max_tokens""",
