@@ -102,6 +102,8 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("reformat", "bullets", "clean_for_map"):
         if name in out:
             write(name, lambda name=name: files.write_lines(out[name], f"{target}/{name}.md", ["chunk_index"], line="part", **by_document))
+    if options.tracing and "calls" in out:
+        write("calls", lambda: out["calls"].write.mode("append").json(f"{target}/trace_calls"))
     if options.tracing:
         out["trace"].unionByName(trace.frame(spark)).write.mode("append").json(f"{target}/traces")
     return 0

@@ -149,30 +149,35 @@ def call(fn: Callable[..., Any], *args: Any, attempts: int = 4, limiter: Limiter
 
 
 def ask(
-    frame: DataFrame, keys: list[str], inputs: list[str], method: str, out: str, out_type: str = "string", factory: Callable[[], ModelBackend] = ExtractiveBackend, attempts: int = 4, min_delay: float = 0.0
+    frame: DataFrame, keys: list[str], inputs: list[str], method: str, out: str, out_type: str = "string", factory: Callable[[], ModelBackend] = ExtractiveBackend, attempts: int = 4, min_delay: float = 0.0, traced: bool = False
 ) -> DataFrame:
     """Ask the backend once per row: ``keys`` and the answer.
 
     Only keys and inputs reach Python.  Null texts are asked as empty texts;
     an answer that is not a text becomes JSON.  One client per worker.
     ``min_delay`` holds between any two calls of the whole run: as many tasks
-    run at once, each waits so much longer.
+    run at once, each waits so much longer.  If ``traced``, the inputs and the
+    time of each call (``_started``, ``_seconds``, its retries and delays
+    included) come along.
     """
     min_delay *= frame.sparkSession.sparkContext.defaultParallelism
-    schema = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys) + f", `{out}` {out_type}"
+    kept = [*keys, *[c for c in inputs if c not in keys]] if traced else keys
+    schema = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in kept) + f", `{out}` {out_type}" + (", _started double, _seconds double" if traced else "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend, limiter = factory(), Limiter(min_delay)
         asked = getattr(backend, method)
         for pdf in frames:
             columns = [pdf[c] for c in inputs]
-            answers = []
+            answers, times = [], []
             for row in zip(*columns):
+                began = time.time()
                 value = call(asked, *map(_given, row), attempts=attempts, limiter=limiter)
                 if out_type == "array<string>" and isinstance(value, str):  # a client that answers with the text of a list
                     value = parse_picks(value, None)
+                times.append((began, time.time() - began))
                 answers.append(value if out_type != "string" or isinstance(value, str) else json.dumps(value, ensure_ascii=False))
-            yield pdf[keys].assign(**{out: answers})
+            yield pdf[kept].assign(**{out: answers}, **({"_started": [t[0] for t in times], "_seconds": [t[1] for t in times]} if traced else {}))
 
     return frame.select(*dict.fromkeys([*keys, *inputs])).mapInPandas(run, schema)
 

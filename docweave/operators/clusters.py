@@ -9,8 +9,8 @@ from docweave.session import cut
 
 #: Dimensions of a hashed text vector.
 DIMENSIONS = 32
-#: Largest number of clusters tried, and rounds of k-means.
-MAX_K, ROUNDS = 10, 5
+#: Largest number of clusters tried, rounds of k-means, and starts for each number.
+MAX_K, ROUNDS, STARTS = 10, 5, 3
 
 
 def cluster_text(paths: Column, tags: Column) -> Column:
@@ -70,14 +70,15 @@ def centroids_of(points: DataFrame, label: str, vector: str, dimensions: int) ->
     return points.groupBy(label).agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"c{i}") for i in range(dimensions)])
 
 
-def grouped_kmeans(points: DataFrame, group: str, key: str, vector: str = "v", dimensions: int = DIMENSIONS, max_k: int = MAX_K, rounds: int = ROUNDS) -> DataFrame:
+def grouped_kmeans(points: DataFrame, group: str, key: str, vector: str = "v", dimensions: int = DIMENSIONS, max_k: int = MAX_K, rounds: int = ROUNDS, starts: int = STARTS) -> DataFrame:
     """Clusters within every group at once: ``group, key, cluster, k``.
 
     For each k from 2 to min(max_k, n-1) the points of a group start from k
-    points of smallest hash and move for some rounds; the k with the largest
-    mean silhouette (distances to the centroids) wins, ties go to the smallest
-    k.  A group of one point, or of points that are all alike, is one cluster;
-    a group of two is two.
+    points of smallest hash, several times with other hashes, and move for some
+    rounds; of the starts that with the least sum of squares is kept.  The k
+    with the largest mean silhouette (distances to the centroids) wins, ties go
+    to the smallest k.  A group of one point, or of points that are all alike,
+    is one cluster; a group of two is two.
 
     The centroids of a group are one row; an iteration is one join on the group
     and one aggregate with a map-side combine, so a group may hold any share of
@@ -86,20 +87,27 @@ def grouped_kmeans(points: DataFrame, group: str, key: str, vector: str = "v", d
     base = cut(points.select(group, key, vector))
     spread = base.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.greatest(*[F.coalesce(F.stddev_pop(F.col(vector)[i]), F.lit(0.0)) for i in range(dimensions)]).alias("_s"))
     usable = spread.where("_n >= 2 and _s > 1e-12").select(group, F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(max_k), (F.col("_n") - 1).cast("int"))))).alias("k"))
-    first = base.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))).where(F.col("_r") <= max_k)
-    seeds = first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", vector))), lambda x: x[vector]).alias("_all"))
-    centres = cut(usable.join(seeds, group).select(group, "k", F.slice("_all", 1, F.col("k")).alias("c")))
-    many = base.join(usable, group)
+    numbers = F.array(*map(F.lit, range(starts)))
+    # The k points of smallest hash per start: a ranked window that Spark limits before it shuffles.
+    hashed = base.select(group, key, vector, F.explode(numbers).alias("_start"))
+    first = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_start").orderBy(F.xxhash64(key, "_start"), key))).where(F.col("_r") <= max_k)
+    seeds = first.groupBy(group, "_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", vector))), lambda x: x[vector]).alias("_all"))
+    case = [group, "k", "_start"]
+    centres = cut(usable.join(seeds, group).select(*case, F.slice("_all", 1, F.col("k")).alias("c")))
 
     def assigned(c: DataFrame) -> DataFrame:
-        scored = many.join(c, [group, "k"]).withColumn("_d", F.transform("c", lambda x: _distance2(F.col(vector), x)))
+        scored = base.join(c, group).withColumn("_d", F.transform("c", lambda x: _distance2(F.col(vector), x)))
         return scored.withColumn("cluster", F.array_position("_d", F.array_min("_d")).cast("int") - 1)
 
     for _ in range(rounds):
-        means = assigned(centres).groupBy(group, "k", "cluster").agg(F.array(*[F.avg(F.col(vector)[i]) for i in range(dimensions)]).alias("m"))
-        moved = means.groupBy(group, "k").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "m"))).alias("_m"))
+        means = assigned(centres).groupBy(*case, "cluster").agg(F.array(*[F.avg(F.col(vector)[i]) for i in range(dimensions)]).alias("m"))
+        moved = means.groupBy(*case).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "m"))).alias("_m"))
         # An empty cluster keeps its centre.
-        centres = cut(centres.join(moved, [group, "k"]).select(group, "k", F.transform("c", lambda x, i: F.coalesce(F.element_at("_m", i), x)).alias("c")))
+        centres = cut(centres.join(moved, case).select(*case, F.transform("c", lambda x, i: F.coalesce(F.element_at("_m", i), x)).alias("c")))
+    if starts > 1:
+        spent = assigned(centres).groupBy(*case).agg(F.sum(F.array_min("_d")).alias("_e"))
+        least = spent.groupBy(group, "k").agg(F.min_by("_start", F.struct(F.round("_e", 9), "_start")).alias("_start"))
+        centres = cut(centres.join(least, case, "left_semi"))
     final = assigned(centres)
     inner = F.sqrt(F.array_min("_d"))
     outer = F.sqrt(F.element_at(F.array_sort("_d"), 2))

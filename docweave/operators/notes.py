@@ -102,7 +102,8 @@ def write_notes(walked: DataFrame, folders: DataFrame | None, folder: Column, as
     per tree, or none); ``asked`` has the arguments of ``ask``.
     """
     typed = T.node_types(walked, tree) if folders is None else T.node_types(walked, tree).join(folders, tree)
-    typed = cut(typed.withColumn("shown", F.coalesce("title", F.lit("Untitled"))).withColumn("where_", F.array_join("path", " / ")).withColumn("none", F.lit("")))
+    typed = typed.withColumn("shown", F.coalesce("title", F.lit("Untitled"))).withColumn("where_", F.array_join("path", " / ")).withColumn("none", F.lit(""))
+    typed = cut(typed.drop("path", "place", "sibling_idx", "level", "n_children"))
     edges = cut(T.children(walked, tree))
     leaves = cut(asked(typed.where("ntype = 'leaf'"), [tree, "node_id"], ["shown", "where_", "none"], "leaf_note", "body"))
     titles = typed.select(tree, "node_id", "title", "where_")

@@ -162,10 +162,9 @@ def nearest(walked: DataFrame, tree: str = "map_id", siblings: int = 36, cousins
         .groupBy(tree, "grand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "node_id"))), lambda x: x["node_id"]).alias("cous"))
     )
     empty = F.array().cast("array<string>")
-    return (
-        walked.select(tree, "node_id", "parent_id").join(parents, [tree, "parent_id"], "left").join(own, [tree, "parent_id"], "left").join(grand, [tree, "grand_id"], "left")
-        .select(tree, "node_id", "parent_id", F.coalesce("sibs", empty).alias("sibs"), F.coalesce("cous", empty).alias("cous"))
-    )
+    # Both arrays belong to the parent: one row per parent meets its children in one join, after which nothing wide is shuffled.
+    lists = own.join(parents, [tree, "parent_id"], "left").join(grand, [tree, "grand_id"], "left").select(tree, "parent_id", "sibs", "cous")
+    return walked.select(tree, "node_id", "parent_id").join(lists, [tree, "parent_id"], "left").select(tree, "node_id", "parent_id", F.coalesce("sibs", empty).alias("sibs"), F.coalesce("cous", empty).alias("cous"))
 
 
 def prereq_candidates(walked: DataFrame, tree: str = "map_id", limit: int = 30) -> DataFrame:

@@ -29,6 +29,7 @@ from docweave.operators import notes as N
 from docweave.operators import trees as T
 from docweave.plans.artifacts import Store, Trace, exists
 from docweave.plans.config import Options
+from docweave.session import cut
 from docweave.sources import files, markdown
 
 DOC = "doc_id"
@@ -77,9 +78,17 @@ def run(
     if "prompts" in inspect.signature(factory).parameters:  # a client that takes prompts gets them, overrides first
         factory = partial(factory, prompts={key: prompt(key, options.prompts) for key in BUILT_IN})
     out: dict[str, DataFrame] = {}
+    calls: list[DataFrame] = []
 
     def asked(frame: DataFrame, keys: list[str], inputs: list[str], method: str, column: str, kind: str = "string") -> DataFrame:
-        return ask(frame, keys, inputs, method, column, kind, factory, options.max_retries, options.min_delay_sec if factory is not ExtractiveBackend else 0.0)
+        made = ask(frame, keys, inputs, method, column, kind, factory, options.max_retries, options.min_delay_sec if factory is not ExtractiveBackend else 0.0, options.tracing)
+        if not options.tracing:
+            return made
+        made = cut(made)  # asked once, whoever reads the answers
+        given, said = F.to_json(F.struct(*inputs)), F.to_json(F.struct(column))
+        calls.append(made.select(F.lit(method).alias("chain_name"), F.lit(trace.run_id).alias("run_id"), F.to_json(F.struct(*keys)).alias("record"), given.alias("inputs"), said.alias("outputs"), F.col("_started").alias("started_at"), F.round("_seconds", 4).alias("duration_sec"), X.token_count(given).alias("input_tokens"), X.token_count(said).alias("output_tokens")))
+        out["calls"] = reduce(DataFrame.unionByName, calls)
+        return made.select(*keys, column)
 
     def step(key: str, make: Callable[[], DataFrame]) -> DataFrame:
         out[key] = trace.step(key, lambda: store.through(key, make), (f"step:{key}",))

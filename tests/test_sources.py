@@ -333,3 +333,14 @@ def test_questions_get_further_passes(spark):
     placed = out["refs"].join(out["nodes"], ["doc_id", "node_id"])
     assert rows(placed, "q", "title") == [("Kiln?", "kiln"), ("Nothing here fits", "kiln"), ("Why?", "looms")]
     assert rows(out["map_queue"].groupBy("batch").count()) == [(0, 2), (1, 1)]
+
+
+def test_traced_calls(spark):
+    docs = spark.createDataFrame([(1, NOTE)], "doc_id long, text string")
+    out = pipeline.run(spark, docs, config.Options(preset="qa", tracing=True))
+    calls = out["calls"].collect()
+    assert {c["chain_name"] for c in calls} == {"questions", "answer"} and len({c["run_id"] for c in calls}) == 1
+    assert all(c["duration_sec"] >= 0 and c["started_at"] > 1e9 and c["input_tokens"] > 0 and c["output_tokens"] > 0 and "doc_id" in c["record"] for c in calls)
+    assert any("What is said about" in c["outputs"] for c in calls if c["chain_name"] == "questions")
+    assert out["qa"].count() == sum(c["chain_name"] == "answer" for c in calls)
+    assert "calls" not in pipeline.run(spark, docs, config.Options(preset="qa"))
