@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from docweave.session import cut
 
 #: Dimensions of a hashed text vector.
 DIMENSIONS = 32
+#: Points of a group that one call of Python holds.
+PART = 4096
 #: Largest number of clusters tried, rounds of k-means, and starts for each number.
 MAX_K, ROUNDS, STARTS = 10, 5, 3
 
@@ -80,55 +86,81 @@ def grouped_kmeans(points: DataFrame, group: str, key: str, vector: str = "v", d
     to the smallest k.  A group of one point, or of points that are all alike,
     is one cluster; a group of two is two.
 
-    The centroids of a group are one row; an iteration is one join on the group
-    and one aggregate with a map-side combine, so a group may hold any share of
-    all points.
+    Points lie in parts of a group, so a group may hold any share of all
+    points; a part meets the centroids of its group once, for all k and starts,
+    and yields sums per cluster, which are added up by group.
     """
     base = cut(points.select(group, key, vector))
     spread = base.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.greatest(*[F.coalesce(F.stddev_pop(F.col(vector)[i]), F.lit(0.0)) for i in range(dimensions)]).alias("_s"))
-    usable = spread.where("_n >= 2 and _s > 1e-12").select(group, F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(max_k), (F.col("_n") - 1).cast("int"))))).alias("k"))
-    numbers = F.array(*map(F.lit, range(starts)))
+    spread = cut(spread.withColumn("_use", (F.col("_n") >= 2) & (F.col("_s") > 1e-12)))
+    usable = spread.where("_use").select(group, F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(max_k), (F.col("_n") - 1).cast("int"))))).alias("k"))
+    parted = cut(base.join(spread.where("_use").select(group, F.ceil(F.col("_n") / PART).alias("_parts")), group).select(group, F.pmod(F.xxhash64(key), F.col("_parts")).alias("_part"), key, vector))
+    parts = cut(parted.select(group, "_part").distinct())
     # The k points of smallest hash per start: a ranked window that Spark limits before it shuffles.
-    hashed = base.select(group, key, vector, F.explode(numbers).alias("_start"))
+    hashed = parted.select(group, key, vector, F.explode(F.array(*map(F.lit, range(starts)))).alias("_start"))
     first = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_start").orderBy(F.xxhash64(key, "_start"), key))).where(F.col("_r") <= max_k)
     seeds = first.groupBy(group, "_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", vector))), lambda x: x[vector]).alias("_all"))
     case = [group, "k", "_start"]
     centres = cut(usable.join(seeds, group).select(*case, F.slice("_all", 1, F.col("k")).alias("c")))
-
-    def assigned(c: DataFrame) -> DataFrame:
-        scored = base.join(c, group).withColumn("_d", F.transform("c", lambda x: _distance2(F.col(vector), x)))
-        return scored.withColumn("cluster", F.array_position("_d", F.array_min("_d")).cast("int") - 1)
+    kind, key_kind = (base.schema[c].dataType.simpleString() for c in (group, key))
+
+    def met(c: DataFrame, make: Callable, schema: str) -> DataFrame:
+        """``make`` of every part of a group and the group's centroids."""
+        near = c.join(parts, group).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "k", "_start", "c")
+        return parted.groupBy(group, "_part").cogroup(near.groupBy("_g", "_p")).applyInPandas(make, f"`{group}` {kind}, {schema}")
+
+    def summed(_: tuple, own: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        x = _matrix(own[vector], dimensions)
+        for g, k, start, centroids in zip(c["_g"], c["k"], c["_start"], c["c"]):
+            d = _distances(x, _matrix(centroids, dimensions))
+            cluster, near = d.argmin(axis=1), np.sqrt(np.sort(d, axis=1)[:, :2])
+            silhouette = np.divide(near[:, 1] - near[:, 0], near[:, 1], out=np.zeros(len(x)), where=near[:, 1] > 0)
+            for i in np.unique(cluster):
+                mine = cluster == i
+                rows.append((g, int(k), int(start), int(i), int(mine.sum()), x[mine].sum(axis=0).tolist(), float(d[mine, i].sum()), float(silhouette[mine].sum())))
+        return pd.DataFrame(rows, columns=[*case, "cluster", "n", "s", "e", "q"])
+
+    def sums(c: DataFrame) -> DataFrame:
+        """Size, mean, sum of squares and of silhouettes of every cluster of every case."""
+        partial = met(c, summed, "k int, _start int, cluster int, n long, s array<double>, e double, q double")
+        n = F.sum("n")
+        return partial.groupBy(*case, "cluster").agg(n.alias("n"), F.array(*[F.sum(F.col("s")[i]) / n for i in range(dimensions)]).alias("m"), F.sum("e").alias("e"), F.sum("q").alias("q"))
 
     for _ in range(rounds):
-        means = assigned(centres).groupBy(*case, "cluster").agg(F.array(*[F.avg(F.col(vector)[i]) for i in range(dimensions)]).alias("m"))
-        moved = means.groupBy(*case).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "m"))).alias("_m"))
+        moved = sums(centres).groupBy(*case).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "m"))).alias("_m"))
         # An empty cluster keeps its centre.
         centres = cut(centres.join(moved, case).select(*case, F.transform("c", lambda x, i: F.coalesce(F.element_at("_m", i), x)).alias("c")))
-    if starts > 1:
-        spent = assigned(centres).groupBy(*case).agg(F.sum(F.array_min("_d")).alias("_e"))
-        least = spent.groupBy(group, "k").agg(F.min_by("_start", F.struct(F.round("_e", 9), "_start")).alias("_start"))
-        centres = cut(centres.join(least, case, "left_semi"))
-    final = assigned(centres)
-    inner = F.sqrt(F.array_min("_d"))
-    outer = F.sqrt(F.element_at(F.array_sort("_d"), 2))
-    silhouette = F.when(F.greatest(inner, outer) > 0, (outer - inner) / F.greatest(inner, outer)).otherwise(0.0)
     # A cluster of one point counts as 0, as in the usual definition.
-    sums = final.groupBy(group, "k", "cluster").agg(F.sum(silhouette).alias("_s"), F.count(F.lit(1)).alias("_m"))
-    means = sums.groupBy(group, "k").agg((F.sum(F.when(F.col("_m") > 1, F.col("_s")).otherwise(0.0)) / F.sum("_m")).alias("_q"))
-    best = means.groupBy(group).agg(F.max_by("k", F.struct(F.round("_q", 9), -F.col("k"))).alias("k"))
-    chosen = final.join(best, [group, "k"], "left_semi").select(group, key, "cluster", "k")
-    single = base.join(usable.select(group).distinct(), group, "left_anti").select(group, key, F.lit(0).alias("cluster"), F.lit(1).alias("k"))
+    scored = sums(centres).groupBy(*case).agg(F.sum("e").alias("_e"), (F.sum(F.when(F.col("n") > 1, F.col("q")).otherwise(0.0)) / F.sum("n")).alias("_q"))
+    least = scored.groupBy(group, "k").agg(F.min_by(F.struct("_start", "_q"), F.struct(F.round("_e", 9), "_start")).alias("_b")).select(group, "k", "_b._start", "_b._q")
+    best = least.groupBy(group).agg(F.max_by(F.struct("k", "_start"), F.struct(F.round("_q", 9), -F.col("k"))).alias("_b")).select(group, "_b.k", "_b._start")
+
+    def labelled(_: tuple, own: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(own[vector], dimensions)
+        found = _distances(x, _matrix(c["c"].iloc[0], dimensions)).argmin(axis=1) if len(c) else np.zeros(len(x))
+        return pd.DataFrame({group: own[group], key: own[key], "cluster": found.astype("int32"), "k": int(c["k"].iloc[0]) if len(c) else 1})
+
+    chosen = met(centres.join(best, case, "left_semi"), labelled, f"`{key}` {key_kind}, cluster int, k int")
+    single = base.join(spread.where("not _use").select(group), group, "left_semi").select(group, key, F.lit(0).alias("cluster"), F.lit(1).alias("k"))
     return chosen.unionByName(single)
 
 
+def _matrix(rows: Iterable, dimensions: int) -> np.ndarray:
+    return np.array([np.asarray(r, dtype=float) for r in rows]).reshape(-1, dimensions)
+
+
+def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to each centroid."""
+    return ((x[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
+
+
 def truncated_svd(points: DataFrame, vector: str, dimensions: int, rank: int = 50) -> list[list[float]]:
     """Right singular vectors of the matrix of all points, largest first, at most ``rank``.
 
     The Gram matrix (dimensions squared) is summed by Spark; nothing grows with
     the number of points.
     """
-    import numpy as np
-
     def partial(batches):  # one Gram matrix per task
         import pyarrow as pa
 
