@@ -113,8 +113,9 @@ def write_notes(walked: DataFrame, folders: DataFrame | None, folder: Column, as
     branches = with_children_section(asked(inner, [tree, "node_id"], ["shown", "where_", "digest"], "branch_note", "body"), edges, typed, folder, tree)
     allowed = typed.select(tree, camel("title").alias("slug"), page_link(folder, F.col("title")).alias("canonical"))
     bodies = L.repair_links(leaves.select(tree, "node_id", "body").unionByName(branches), allowed, [tree, "node_id"], "body", "body", tree)
-    candidates = T.prereq_candidates(walked, tree).join(typed.where("ntype = 'leaf'").select(tree, "node_id"), [tree, "node_id"], "left_semi")
+    lists = cut(T.neighbours(walked, tree))
+    candidates = T.prereq_candidates(walked, tree, lists=lists).join(typed.where("ntype = 'leaf'").select(tree, "node_id"), [tree, "node_id"], "left_semi")
     picks = asked(candidates, [tree, "node_id"], ["node_id", "candidates"], "pick_prereqs", "picked", "array<string>").select(tree, "node_id", F.posexplode("picked").alias("ord", "pick"))
     chosen = T.valid_picks(picks, walked, tree)
     prereqs = cut(chosen.groupBy(tree, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pick"))), lambda x: x["pick"]).alias("prereqs")))
-    return assemble(typed, edges, T.see_also(walked, prereqs, tree), prereqs, bodies, folder, model, run, tree)
+    return assemble(typed, edges, T.see_also(walked, prereqs, tree, lists=lists), prereqs, bodies, folder, model, run, tree)

@@ -142,8 +142,8 @@ def merge_schedule(items: DataFrame, group: str, order: list[str]) -> DataFrame:
     return slots.select(group, "round", "slot", (F.col("slot") * 2).alias("left"), (F.col("slot") * 2 + 1).alias("right"))
 
 
-def nearest(walked: DataFrame, tree: str = "map_id", siblings: int = 36, cousins: int = 72) -> DataFrame:
-    """Adds two bounded arrays per node: its parent's first children and its grandparent's first grandchildren, in order.
+def neighbours(walked: DataFrame, tree: str = "map_id", siblings: int = 36, cousins: int = 72) -> DataFrame:
+    """Two bounded arrays per parent: its first children (``sibs``) and its own parent's first grandchildren (``cous``), in order.
 
     Both are cut to what the lists built from them can use, by a ranked window
     that Spark limits before it shuffles, so a parent with very many children
@@ -161,15 +161,22 @@ def nearest(walked: DataFrame, tree: str = "map_id", siblings: int = 36, cousins
         edges.join(parents, [tree, "parent_id"]).withColumn("_k", F.row_number().over(by_grand)).where(F.col("_k") <= cousins)
         .groupBy(tree, "grand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "node_id"))), lambda x: x["node_id"]).alias("cous"))
     )
+    return own.join(parents, [tree, "parent_id"], "left").join(grand, [tree, "grand_id"], "left").select(tree, "parent_id", "sibs", "cous")
+
+
+def nearest(walked: DataFrame, tree: str = "map_id", lists: DataFrame | None = None) -> DataFrame:
+    """Adds the arrays of :func:`neighbours` of its parent to each node; ``lists`` holds them if they are known.
+
+    One row per parent meets its children in one join, after which nothing wide is shuffled.
+    """
+    lists = neighbours(walked, tree) if lists is None else lists
     empty = F.array().cast("array<string>")
-    # Both arrays belong to the parent: one row per parent meets its children in one join, after which nothing wide is shuffled.
-    lists = own.join(parents, [tree, "parent_id"], "left").join(grand, [tree, "grand_id"], "left").select(tree, "parent_id", "sibs", "cous")
     return walked.select(tree, "node_id", "parent_id").join(lists, [tree, "parent_id"], "left").select(tree, "node_id", "parent_id", F.coalesce("sibs", empty).alias("sibs"), F.coalesce("cous", empty).alias("cous"))
 
 
-def prereq_candidates(walked: DataFrame, tree: str = "map_id", limit: int = 30) -> DataFrame:
+def prereq_candidates(walked: DataFrame, tree: str = "map_id", limit: int = 30, lists: DataFrame | None = None) -> DataFrame:
     """Per node the first candidates, in order: siblings, then children of the grandparent's children; not the node itself."""
-    near = nearest(walked, tree)
+    near = nearest(walked, tree, lists)
     both = F.array_distinct(F.concat("sibs", "cous"))
     return near.select(tree, "node_id", F.slice(F.filter(F.slice(both, 1, 200), lambda x: x != F.col("node_id")), 1, limit).alias("candidates"))
 
@@ -184,9 +191,9 @@ def valid_picks(picks: DataFrame, walked: DataFrame, tree: str = "map_id", limit
     return once.withColumn("place", k).where(F.col("place") <= limit).select(tree, "node_id", "place", "pick")
 
 
-def see_also(walked: DataFrame, prereqs: DataFrame | None = None, tree: str = "map_id", limit: int = 5) -> DataFrame:
+def see_also(walked: DataFrame, prereqs: DataFrame | None = None, tree: str = "map_id", limit: int = 5, lists: DataFrame | None = None) -> DataFrame:
     """Per node up to ``limit`` others, in order: siblings, parent, cousins, without its prerequisites (tree, node_id, array ``prereqs``)."""
-    near = nearest(walked, tree)
+    near = nearest(walked, tree, lists)
     empty = F.array().cast("array<string>")
     near = near.withColumn("prereqs", empty) if prereqs is None else near.join(prereqs.select(tree, "node_id", "prereqs"), [tree, "node_id"], "left").withColumn("prereqs", F.coalesce("prereqs", empty))
     parent = F.when(F.col("parent_id").isNull(), empty).otherwise(F.array("parent_id"))
